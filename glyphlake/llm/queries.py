@@ -7,18 +7,44 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
+from .decontamination import decontaminate
 from .exact_dedup import exact_dedup
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_decontamination": op5_decontamination,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_decontamination": r"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents),
+i AS (
+    SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark WHERE text IS NOT NULL),
+windows AS (
+    SELECT DISTINCT item_id, w[k:k + 9] AS win, len(w[k:k + 9]) AS n
+    FROM i, unnest(generate_series(1, greatest(1, len(w) - 9))) AS s(k) WHERE len(w) > 0),
+lengths AS (SELECT DISTINCT n FROM windows),
+grams AS (
+    SELECT doc_id, k, n, w[k:k + n - 1] AS win
+    FROM d, lengths, unnest(generate_series(1, len(w) - n + 1)) AS s(k)),
+hits AS (SELECT doc_id, k, n, item_id FROM grams JOIN windows USING (win, n)),
+places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hits, unnest(generate_series(k, k + n - 1)) AS s(p) GROUP BY doc_id),
+found AS (SELECT doc_id, list_sort(list_distinct(list(CAST(item_id AS VARCHAR)))) AS ids FROM hits GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items,
+       sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id)""",
     "op10_exact_dedup": r"""
 WITH n AS (
     SELECT doc_id, length(coalesce(text, '')) AS n,
