@@ -9,6 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents
 from .decontamination import decontaminate
 from .exact_dedup import exact_dedup
+from .pii import find_pii
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(documents(spark, sf_dir))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +25,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_pii": op4_pii,
     "op5_decontamination": op5_decontamination,
     "op10_exact_dedup": op10_exact_dedup,
 }
