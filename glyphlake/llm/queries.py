@@ -11,6 +11,11 @@ from .decontamination import decontaminate
 from .exact_dedup import exact_dedup
 from .packing import pack
 from .pii import find_pii
+from .quality import judge
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), ["doc_id", "lang"])
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +35,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_pii": op4_pii,
     "op5_decontamination": op5_decontamination,
     "op8_packing": op8_packing,
