@@ -23,9 +23,9 @@ from pyspark.sql import types as T
 from .common import materialize
 
 ORDER = 5
-QUANTILE = 0.995
+QUANTILE = 0.98
 #: The threshold lies beyond that quantile by this part of its distance from the median (in logarithms).
-SLACK = 1.0
+SLACK = 1.5
 #: One in so many trusted documents is held out for the thresholds.
 FOLDS = 5
 #: Bytes at which a document counts as much as the mean of its language: short texts are judged less sharply.
