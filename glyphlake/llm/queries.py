@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents
 from .decontamination import decontaminate
 from .exact_dedup import exact_dedup
+from .language_id import identify
 from .packing import pack
 from .pii import find_pii
 from .quality import judge
@@ -26,6 +27,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(documents(spark, sf_dir))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
@@ -38,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_pii": op4_pii,
     "op5_decontamination": op5_decontamination,
+    "op6_language_id": op6_language_id,
     "op8_packing": op8_packing,
     "op10_exact_dedup": op10_exact_dedup,
 }
