@@ -66,3 +66,37 @@ def powers(n: int, base: np.uint64 = BASE) -> np.ndarray:
     if n:
         out[0] = 1
     return np.multiply.accumulate(out) if n else out
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps, which it does when the driver collects its garbage."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", salts: int = 8) -> DataFrame:
+    """left joined with right, which has each key once: right's rows are copied so that a hot key of left spreads over tasks."""
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int")
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.withColumn("_salt", salt).join(right, [*keys, "_salt"], how).drop("_salt")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component): the smallest id that each endpoint of the edges (a, b) reaches.
+
+    Labels spread by minimum over the edges, then jump to their label's label; the rounds grow with the
+    logarithm of a component's width. Every round is a table in the shared folder.
+    """
+    edges = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")))
+    while True:
+        near = both.join(labels.select(F.col("id").alias("b"), F.col("component").alias("near")), "b").groupBy(F.col("a").alias("id")).agg(F.min("near").alias("near"))
+        jump = labels.select(F.col("id").alias("component"), F.col("component").alias("jump"))
+        new = labels.join(near, "id").join(jump, "component", "left")
+        new = materialize(new.select("id", F.least("component", "near", "jump").alias("component"), (F.least("near", "jump") < F.col("component")).alias("moved")))
+        labels = new.select("id", "component")
+        if not new.where("moved").limit(1).count():
+            return labels
