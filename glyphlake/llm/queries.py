@@ -5,18 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import documents
 from .decontamination import decontaminate
 from .exact_dedup import exact_dedup
 from .html_extraction import extract
 from .language_id import identify
+from .line_dedup import removed_lines
 from .ngram_join import ngram_join
 from .packing import pack
 from .pii import find_pii
 from .quality import judge
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = removed_lines(documents(spark, sf_dir))
+    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.transform("removed", lambda x: x.cast("string")), ",").alias("removed_lines"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), ["doc_id", "lang"])
 
@@ -50,6 +57,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_pii": op4_pii,
     "op5_decontamination": op5_decontamination,
