@@ -16,6 +16,7 @@ spanning forest of the links is returned.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -274,12 +275,12 @@ def linked(rows: DataFrame, sets: Callable = shingle_hashes, percent: int = PERC
     return salted_join(out, found.select(F.col("id").alias("rep"), "component"), ["rep"]).select("id", "n", "rep", F.coalesce("component", "rep").alias("component"))
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, set_id.
 
-    Two documents link when 100 * intersection >= percent * union of their distinct 3-word shingles. A null
+    Two documents link when 100 * intersection >= percent * union of their distinct word shingles. A null
     or empty text has an empty set and links with nothing. Rows with one id are one document if their texts
     agree. Null ids are dropped, for they name nothing; an empty table gives no rows.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("t"))
-    return linked(rows, percent=percent).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("rep").alias("set_id"))
+    return linked(rows, partial(shingle_hashes, k=shingle), percent).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("rep").alias("set_id"))
