@@ -280,8 +280,15 @@ def train(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, max_en
         langs, shards = np.asarray(table.column("lang").to_pandas(), object), np.asarray(table.column("shard"))
         k, v = np.asarray(table.column("k")).astype(np.uint64), np.asarray(table.column("v"))
         blocks.append({x: (k[langs == x], v[langs == x], np.unique(shards[langs == x]).astype(np.uint64)) for x in {a for a, _ in group}})
-    if len(blocks) == 1:  # a context that no shard has still belongs somewhere: whole languages take every shard
-        blocks = [{x: (k, v, np.arange(SHARDS, dtype=np.uint64)) for x, (k, v, _) in blocks[0].items()}]
+    for lang in unigrams:  # shards without an n-gram belong to the language's first block: their bytes count too
+        missing, home = np.arange(SHARDS, dtype=np.uint64), None
+        for block in blocks:
+            if lang in block:
+                home = home or block
+                missing = np.setdiff1d(missing, block[lang][2])
+        if home:
+            k, v, shards = home[lang]
+            home[lang] = (k, v, np.concatenate([shards, missing]))
     model = Model(blocks, unigrams, {}, {})
     scored = materialize(score(trusted.where(held), model, "lang", "text", ["lang"]).where("_n > 0"))
     for r in scored.groupBy("lang").agg(F.sum("_lp").alias("lp"), F.sum("_n").alias("n")).collect():
