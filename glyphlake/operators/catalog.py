@@ -1,7 +1,8 @@
 """The catalog of declarations: anchor, namespace, aliases, callability.
 
-A catalog has about 10 ** 5 rows at most, but its size is not taken on trust: `small` broadcasts a side only
-below a row bound and leaves larger ones to a shuffle join.
+A catalog has about 10 ** 5 rows at most, but its size is not taken on trust: joins carry no hint, so Spark
+broadcasts a side when its measured size is below the session's threshold and shuffles it otherwise. The one
+hinted side is the anchor, which has one row.
 """
 
 from __future__ import annotations
@@ -11,13 +12,6 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import is_stub, strip_category
 
-MAX_BROADCAST_ROWS = 200_000
-
-
-def small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else df
-
-
 def _row(*names: str) -> Column:
     return F.struct(*names)
 
@@ -54,7 +48,7 @@ def follow_aliases(aliases: DataFrame, symbols: DataFrame) -> DataFrame:
 
     Same name in the module, same name anywhere, then both without the category suffix; one hop only.
     """
-    d = small(declared(symbols).select(F.col("name").alias("d_name"), F.col("kind").alias("d_kind"), F.col("module").alias("d_module"), F.col("path").alias("d_path"), "pos"))
+    d = declared(symbols).select(F.col("name").alias("d_name"), F.col("kind").alias("d_kind"), F.col("module").alias("d_module"), F.col("path").alias("d_path"), "pos")
     rows = aliases.select("module", "imported_name").distinct()
     rows = rows.withColumn("t", F.explode(F.array_distinct(F.array(F.struct(F.lit(0).alias("tier"), F.col("imported_name").alias("look")), F.struct(F.lit(2).alias("tier"), strip_category(F.col("imported_name")).alias("look"))))))
     hit = rows.join(d, F.col("t.look") == F.col("d_name"), "left").where("t.tier = 0 OR t.look <> imported_name")
@@ -97,13 +91,13 @@ def callable_names(targets: DataFrame, symbols: DataFrame, methods: DataFrame, b
     # An attribute's `_Type_*` annotation names an import of its module; any other annotation is the class.
     imports = symbols.where("kind = 'import'").select(F.col("name").alias("annotation"), F.col("path").alias("i_path"), F.col("module").alias("i_module"), F.col("imported_name").alias("i_name"))
     classes = alias_classes(imports.select(F.col("i_module").alias("module"), F.col("i_name").alias("imported_name")), symbols).select(F.col("module").alias("i_module"), F.col("imported_name").alias("i_name"), F.col("class_name").alias("via"))
-    typed = small(imports.join(classes, ["i_module", "i_name"]).select("annotation", "i_path", "via").dropDuplicates(["annotation", "i_path"]))
+    typed = imports.join(classes, ["i_module", "i_name"]).select("annotation", "i_path", "via").dropDuplicates(["annotation", "i_path"])
     rows = targets.join(typed, (targets.annotation == typed.annotation) & (targets.path == typed.i_path), "left").select("name", "target_kind", F.coalesce("via", targets.annotation).alias("class_name"))
-    rows = rows.join(small(callable_classes.withColumn("yes", F.lit(True))), "class_name", "left")
+    rows = rows.join(callable_classes.withColumn("yes", F.lit(True)), "class_name", "left")
     return rows.select("name", (F.coalesce(F.col("target_kind"), F.lit("")).isin("function", "class") | ((F.col("target_kind") == "attribute") & F.coalesce("yes", F.lit(False)))).alias("is_callable")).withColumn("is_callable", F.coalesce("is_callable", F.lit(False)))
 
 
 def find_class(names: DataFrame, symbols: DataFrame) -> DataFrame:
     """(name, class_path, class_module): the first class of that name in the stub tree."""
     classes = stub_symbols(symbols).where("kind = 'class'").groupBy("name").agg(F.min_by(F.struct("path", "module"), F.struct("path", "pos")).alias("c"))
-    return names.select("name").distinct().join(small(classes), "name", "left").select("name", F.col("c.path").alias("class_path"), F.col("c.module").alias("class_module"))
+    return names.select("name").distinct().join(classes, "name", "left").select("name", F.col("c.path").alias("class_path"), F.col("c.module").alias("class_module"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import callable_names, entry_targets, namespace, small
+from .catalog import callable_names, entry_targets, namespace
 from .statements import implicit_files
 
 
@@ -34,7 +34,7 @@ def completions(positions: DataFrame, files: DataFrame, symbols: DataFrame, meth
     meet prefixes by their first letter, then by the whole prefix.
     """
     open_ = positions.where("NOT qualified AND NOT is_target AND NOT in_import AND prefix <> ''").join(implicit_files(files).select("file_id"), "file_id", "left_semi")
-    names = small(entries(symbols, methods, bases).withColumn("initial", F.lower(F.left("name", F.lit(1)))))
+    names = entries(symbols, methods, bases).withColumn("initial", F.lower(F.left("name", F.lit(1))))
     rows = open_.withColumn("initial", F.lower(F.left("prefix", F.lit(1)))).join(names, "initial").where(prefix_matches(F.col("name"), F.col("prefix")))
     text, caret = insertion(F.col("name"), F.col("is_callable"), F.col("next_char"))
     return rows.select("file_id", "pos", "name", "kind", F.lit("sage.all").alias("type_text"), "is_callable", text.alias("insert_text"), caret.cast("int").alias("caret"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import ancestors, anchor, declared, find_class, follow_aliases, small, stub_symbols
+from .catalog import ancestors, anchor, declared, find_class, follow_aliases, stub_symbols
 from .statements import generator_statements, implicit_files
 
 
@@ -22,7 +22,7 @@ def find_declarations(names: DataFrame, symbols: DataFrame) -> DataFrame:
     rows = rows.withColumn("tier", tier).where("tier IS NOT NULL")
     order = F.struct("tier", F.when(F.col("kind") == "class", 1).otherwise(0), "path", "pos")
     best = rows.groupBy("name").agg(F.min_by(F.struct("tier", "kind", "path", "module", "imported_name"), order).alias("d")).select("name", "d.*")
-    found = names.select("name").distinct().join(small(best), "name", "left")
+    found = names.select("name").distinct().join(best, "name", "left")
     alias = follow_aliases(found.where("tier = 2"), symbols)
     found = found.join(alias, ["module", "imported_name"], "left")
     return found.select("name", F.coalesce("tier", F.lit(0)).alias("tier"), F.coalesce("target_kind", "kind").alias("target_kind"), F.coalesce("target_path", "path").alias("target_path"))
@@ -48,12 +48,12 @@ def literal_types(assignments: DataFrame, symbols: DataFrame) -> DataFrame:
     kind = F.when(value.rlike(r"^(?:\d+|0[xX][0-9a-fA-F]+|0[oO][0-7]+|0[bB][01]+)$"), "Integer").when(value.rlike(r"^(?:\d+\.\d*|\.\d+|\d+(?=[eE]))(?:[eE][+-]?\d+)?$"), "RealNumber")
     rows = assignments.withColumn("name", kind).where("name IS NOT NULL")
     classes = find_class(rows, symbols).where("class_path IS NOT NULL")
-    return rows.join(small(classes), "name").select("file_id", "line_no", "target", F.col("name").alias("class_name"))
+    return rows.join(classes, "name").select("file_id", "line_no", "target", F.col("name").alias("class_name"))
 
 
 def factory_types(statements: DataFrame, returns: DataFrame) -> DataFrame:
     """M4: generator statements with factory_class, the declared return class of the callee (callee, class_name)."""
-    return statements.join(small(returns.select("callee", F.col("class_name").alias("factory_class")).dropDuplicates(["callee"])), "callee", "left")
+    return statements.join(returns.select("callee", F.col("class_name").alias("factory_class")).dropDuplicates(["callee"]), "callee", "left")
 
 
 def generator_types(statements: DataFrame, returns: DataFrame, methods: DataFrame, bases: DataFrame) -> DataFrame:
@@ -62,7 +62,7 @@ def generator_types(statements: DataFrame, returns: DataFrame, methods: DataFram
     made = factory_types(statements, returns)
     gens = methods.where("method = '_first_ngens'").select(F.col("class_name").alias("ancestor"), F.when(F.col("return_kind") == "tuple", F.get("return_elems", F.lit(0))).otherwise(F.col("return_elems")[0]).alias("gen_class"))
     closure = ancestors(bases).join(gens, "ancestor").groupBy("class_name").agg(F.min_by("gen_class", F.struct(F.col("ancestor") != F.col("class_name"), "ancestor")).alias("gen_class"))
-    closure = small(closure.withColumnRenamed("class_name", "factory_class"))
+    closure = closure.withColumnRenamed("class_name", "factory_class")
     rows = made.join(closure, "factory_class", "left")
     pair = lambda target, kind: F.struct(target.alias("target"), kind.alias("class_name"))
     return rows.select("file_id", "line_no", F.inline(F.concat(F.array(pair(F.col("factory_name"), F.col("factory_class"))), F.transform("names", lambda x: pair(x, F.col("gen_class"))))))
