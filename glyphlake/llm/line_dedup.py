@@ -3,7 +3,7 @@
 Tokens are the distinct words of a line, ordered by rarity: how often they occur in the corpus. The counts of
 the VOCABULARY most frequent repeated words are broadcast; all other words are rarest, and as long as the list
 holds every repeated word they are known to occur once and join nothing. A line posts its prefix, with its
-size, the token's position and a 64-bit map of its words. Postings meet by token, packed into buckets; length,
+size, the token's position and a 128-bit map of its less common words. Postings meet by token, packed into buckets; length,
 positional and bitmap bounds leave few pairs, of which each bucket returns only a spanning forest. The forest's
 components bound where matches can lie; inside them exact Jaccard similarities decide, in blocks, whether a
 line has an earlier match. A line set is known by a 63-bit hash; repeats of one set need no comparison.
@@ -29,6 +29,8 @@ MIN_WORDS = 5
 VOCABULARY = 1 << 21
 #: Bits of the broadcast filter of clustered lines (16 MB).
 FILTER_BITS = 1 << 27
+#: So many of the most frequent words are left out of the lines' bitmaps, where they would tell nothing apart.
+COMMON = 256
 CHUNK = 1 << 22
 BLOCK = 1000
 
@@ -97,10 +99,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out()
 
 
-POST = np.dtype([("tok", "<i8"), ("sig", "<i8"), ("map", "<u8"), ("n", "<u4"), ("at", "<u4")])
+POST = np.dtype([("tok", "<i8"), ("sig", "<i8"), ("map0", "<u8"), ("map1", "<u8"), ("n", "<u4"), ("at", "<u4")])
 
 
-def _post(model, buckets: int, percent: int, complete: bool, least: int):
+def _post(model, buckets: int, percent: int, complete: bool, least: int, common: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Table.of(*model.value)
         for _, texts in _chunks(batches):
@@ -113,13 +115,16 @@ def _post(model, buckets: int, percent: int, complete: bool, least: int):
             keep = use[x.who] & (at < prefix_length(x.n, percent)[x.who])
             if complete:
                 keep &= x.seen > 1
-            bits = np.zeros(len(x.n), np.uint64)
+            bits = np.zeros((2, len(x.n)), np.uint64)
             some = np.flatnonzero(x.n)
             if len(some):
-                bits[some] = np.bitwise_or.reduceat(np.uint64(1) << (mix(x.tok) >> np.uint64(58)), x.first[some])
+                slot = mix(x.tok) >> np.uint64(57)
+                bit = np.where(x.seen < common, np.uint64(1) << (slot & np.uint64(63)), np.uint64(0))
+                for half in (0, 1):
+                    bits[half, some] = np.bitwise_or.reduceat(np.where(slot >> np.uint64(6) == half, bit, np.uint64(0)), x.first[some])
             rows = np.empty(int(keep.sum()), POST)
             who = x.who[keep]
-            rows["tok"], rows["sig"], rows["map"], rows["n"], rows["at"] = x.tok[keep], x.sig[who], bits[who], x.n[who], at[keep]
+            rows["tok"], rows["sig"], rows["map0"], rows["map1"], rows["n"], rows["at"] = x.tok[keep], x.sig[who], bits[0, who], bits[1, who], x.n[who], at[keep]
             part = rows["tok"] % buckets
             order = np.argsort(part, kind="stable")
             rows, part = rows[order], part[order]
@@ -156,7 +161,9 @@ def _meet(percent: int):
         p, q = x["at"][i].astype(np.int64), x["at"][j].astype(np.int64)
         need = -(-percent * (n + m) // (100 + percent))  # the least intersection
         ok = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (np.minimum(p, q) + np.minimum(n - p, m - q) >= need)
-        return ok & (np.bitwise_count(x["map"][i] ^ x["map"][j]) <= n + m - 2 * need)
+        i, j, most = i[ok], j[ok], (n + m - 2 * need)[ok]
+        ok[ok] = np.bitwise_count(x["map0"][i] ^ x["map0"][j]).astype(np.int64) + np.bitwise_count(x["map1"][i] ^ x["map1"][j]) <= most
+        return ok
 
     def run(table: pa.Table) -> pa.Table:
         x = np.frombuffer(b"".join(table.column("rows").to_pylist()), POST)
@@ -264,8 +271,10 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     complete = not histogram or floor <= histogram[0][0]
     listed = counts.where(F.col("n") >= floor).toArrow()
     model = spark.sparkContext.broadcast((np.asarray(listed.column("tok")).astype(np.uint64), np.minimum(np.asarray(listed.column("n")), 1 << 24).astype(np.float32)))
+    often = np.sort(np.asarray(listed.column("n")))[-COMMON:]
+    common = float(often[0]) if len(often) == COMMON else float("inf")
     buckets = max(16, parts(spark))
-    posts = texts.mapInArrow(_post(model, buckets, percent, complete, least), "part int, rows binary")
+    posts = texts.mapInArrow(_post(model, buckets, percent, complete, least, common), "part int, rows binary")
     clusters = components(posts.groupBy("part").applyInArrow(_meet(percent), "a long, b long"))
     release(spark)
     bitmap = np.zeros(FILTER_BITS // 8, np.uint8)
