@@ -221,30 +221,40 @@ def _list(model, wanted, least: int):
     return run
 
 
+def _late(n: np.ndarray, doc: np.ndarray, line: np.ndarray, toks: list[bytes], percent: int) -> np.ndarray:
+    """Which sets of one component have an earlier match."""
+    _, tok, count = np.unique(unsix(b"".join(toks)), return_inverse=True, return_counts=True)
+    who = np.repeat(np.arange(len(n)), n)
+    common = count > 1
+    who, tok = who[common[tok]], (np.cumsum(common) - 1)[tok[common[tok]]]
+    inter = np.zeros((len(n), len(n)), np.float32)
+    order = np.argsort(tok, kind="stable")
+    who, tok = who[order], tok[order]
+    for lo in range(0, int(common.sum()), 8192):
+        a, b = np.searchsorted(tok, [lo, lo + 8192])
+        m = np.zeros((len(n), min(8192, int(common.sum()) - lo)), np.float32)
+        m[who[a:b], tok[a:b] - lo] = 1
+        inter += m @ m.T
+    rank = np.empty(len(n), np.int64)
+    rank[np.lexsort((line, doc))] = np.arange(len(n))
+    i = inter.astype(np.int64)
+    return ((100 * i >= percent * (n[:, None] + n[None, :] - i)) & (rank[None, :] < rank[:, None])).any(axis=1)
+
+
 def _decide(percent: int):
-    """One block pair of a cluster: the line sets that have an earlier match."""
+    """Some whole components, or one block pair of a large one: the line sets that have an earlier match."""
 
     def run(table: pa.Table) -> pa.Table:
-        sig, n = np.asarray(table.column("sig")), np.asarray(table.column("n"))
-        doc, line = np.asarray(table.column("doc_id")), np.asarray(table.column("line"))
-        toks = [unsix(t) for t in table.column("toks").to_pylist()]
-        _, tok, count = np.unique(np.concatenate(toks), return_inverse=True, return_counts=True)
-        who = np.repeat(np.arange(len(sig)), n)
-        common = count > 1
-        who, tok = who[common[tok]], (np.cumsum(common) - 1)[tok[common[tok]]]
-        inter = np.zeros((len(sig), len(sig)), np.float32)
-        order = np.argsort(tok, kind="stable")
-        who, tok = who[order], tok[order]
-        for lo in range(0, int(common.sum()), 8192):
-            a, b = np.searchsorted(tok, [lo, lo + 8192])
-            m = np.zeros((len(sig), min(8192, int(common.sum()) - lo)), np.float32)
-            m[who[a:b], tok[a:b] - lo] = 1
-            inter += m @ m.T
-        rank = np.empty(len(sig), np.int64)
-        rank[np.lexsort((line, doc))] = np.arange(len(sig))
-        i = inter.astype(np.int64)
-        late = ((100 * i >= percent * (n[:, None] + n[None, :] - i)) & (rank[None, :] < rank[:, None])).any(axis=1)
-        return pa.table({"sig": sig[late]})
+        component, sig, n, doc, line = (np.asarray(table.column(c)) for c in ("component", "sig", "n", "doc_id", "line"))
+        toks = table.column("toks").to_pylist()
+        order = np.argsort(component, kind="stable")
+        cut = [0, *(np.flatnonzero(np.diff(component[order])) + 1).tolist(), len(order)]
+        late = []
+        for a, b in zip(cut, cut[1:], strict=False):
+            r = order[a:b]
+            if len(r) > 1:
+                late.append(sig[r[_late(n[r], doc[r], line[r], [toks[i] for i in r], percent)]])
+        return pa.table({"sig": np.concatenate(late) if late else np.empty(0, np.int64)})
 
     return run
 
@@ -292,8 +302,12 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sizes = members.groupBy("component").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     dealt = members.join(sizes, "component").withColumn("mine", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "sig", "n", "toks", "doc_id", "line")
-    late = dealt.groupBy("component", "i", "j").applyInArrow(_decide(percent), "sig long").distinct().withColumn("late", F.lit(True))
+    # Components of one block share tasks' groups, some thousand sets in each.
+    bins = members.count() // BLOCK + 1
+    whole = F.col("blocks") == 1
+    bin_ = F.when(whole, F.pmod(F.xxhash64("component"), F.lit(bins))).otherwise(F.col("component"))
+    dealt = dealt.select(whole.alias("whole"), bin_.alias("bin"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "component", "sig", "n", "toks", "doc_id", "line")
+    late = dealt.groupBy("whole", "bin", "i", "j").applyInArrow(_decide(percent), "sig long").distinct().withColumn("late", F.lit(True))
     verdict = materialize(sets.join(late, "sig", "left").where("late OR c > 1").select("sig", "at", F.coalesce("late", F.lit(False)).alias("late")))
     gone = salted_join(real.select("sig", "doc_id", "line"), verdict, ["sig"], "inner").where("late OR at.doc_id <> doc_id OR at.line <> line")
     gone = gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed"))
