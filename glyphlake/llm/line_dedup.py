@@ -46,13 +46,17 @@ class Lines:
         self.words = words
         if counts is None:
             return
-        seen, there = counts.get(words)
+        # Ranks by (count, hash) among the chunk's words make one sortable number of a line and a word.
+        known, at = np.unique(words, return_inverse=True)
+        seen, there = counts.get(known)
         seen = np.where(there, seen, np.float32(1))
-        order = np.lexsort((words, seen, who))
-        words, who, seen = words[order], who[order], seen[order]
-        new = np.ones(len(words), bool)
-        new[1:] = (words[1:] != words[:-1]) | (who[1:] != who[:-1])
-        self.tok, self.seen, who = words[new], seen[new], who[new]
+        order = np.lexsort((known, seen))
+        rank = np.empty(len(known), np.int64)
+        rank[order] = np.arange(len(known))
+        key = np.sort(who * len(known) + rank[at])
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+        who, at = np.divmod(key, max(1, len(known)))
+        self.tok, self.seen = known[order][at], seen[order][at]
         self.n = np.bincount(who, minlength=int(self.per_doc.sum())).astype(np.int64)
         self.first = np.cumsum(self.n) - self.n
         some = np.flatnonzero(self.n)
