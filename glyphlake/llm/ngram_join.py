@@ -30,6 +30,8 @@ SHINGLE, PERCENT = 3, 90
 CHUNK, CHUNK_DOCS = 1 << 22, 50_000
 BLOCK = 1000
 VOCABULARY = 8192
+#: Numbers of sets travel in 2 bytes; this one means so many or more.
+MANY = 65535
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -142,7 +144,7 @@ def _repeated(table: pa.Table) -> pa.Table:
     unit, ids, toks = rows.column("unit").to_pylist(), rows.column("ids").to_pylist(), rows.column("toks").to_pylist()
     tok = unsix(b"".join(toks)) if toks else np.empty(0, np.uint64)
     _, at, count = np.unique(tok, return_inverse=True, return_counts=True)
-    df = np.minimum(count, 65535)[at] if len(tok) else np.empty(0, np.int64)
+    df = np.minimum(count, MANY)[at] if len(tok) else np.empty(0, np.int64)
     out, begin = [], 0
     for u, i in zip(unit, ids, strict=True):
         who = np.frombuffer(i, "<u2")
@@ -252,8 +254,8 @@ def linked(rows: DataFrame, sets: Callable = shingle_hashes, percent: int = PERC
     groups = reps.where("single = 0").groupBy("n", key.alias("k")).agg(F.min("id").alias("gid"), F.count("*").alias("members")).where("members > 1")
     grouped = salted_join(reps.select("id", "n", "single", "pre", "pre_df", "c").withColumn("k", F.when(F.col("single") == 0, key)), groups, ["n", "k"])
     grouped = materialize(grouped.select("id", F.coalesce("gid", "id").alias("gid"), "c", "pre", "pre_df"))
-    # A token that only copies of one set have joins nothing.
-    postings = grouped.where("id = gid").select("gid", "c", F.explode(F.arrays_zip("pre", "pre_df")).alias("x")).where("x.pre_df > c").select("gid", F.col("x.pre").alias("tok"))
+    # A token that only copies of one set have joins nothing; of MANY or more it is not known.
+    postings = grouped.where("id = gid").select("gid", "c", F.explode(F.arrays_zip("pre", "pre_df")).alias("x")).where((F.col("x.pre_df") > F.col("c")) | (F.col("x.pre_df") >= MANY)).select("gid", F.col("x.pre").alias("tok"))
     leaders = postings.groupBy("tok").agg(F.min("gid").alias("leader"), F.count("*").alias("m")).where("m > 1").select("tok", "leader")
     chains = salted_join(postings, leaders, ["tok"], "inner").where("gid <> leader").select(F.col("gid").alias("a"), F.col("leader").alias("b")).distinct()
     chains = chains.unionByName(grouped.where("id <> gid").select(F.col("id").alias("a"), F.col("gid").alias("b")))

@@ -101,6 +101,14 @@ def test_ngram_join(spark, rows, k, percent):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.components(rows, k, percent)
 
 
+def test_ngram_join_links_a_huge_group_of_copies(spark):
+    words = [f"w{k}" for k in range(31)]
+    near = [(100_000 + k, " ".join([*words[:30], f"x{k}"])) for k in range(3)] + [(200_000, "nothing like it")]
+    copies = spark.range(66_000).select(F.col("id").alias("doc_id"), F.lit(" ".join(words)).alias("text"))
+    got = ngram_join(copies.unionByName(spark.createDataFrame(near, "doc_id long, text string"))).groupBy("component_id").count().collect()
+    assert {r.component_id: r["count"] for r in got} == {0: 66_003, 200_000: 1}
+
+
 def test_line_dedup(spark, rows):
     want = brute.lines(rows)
     got = removed_lines(table(spark, rows)).collect()
