@@ -26,7 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less the lines that an earlier line matches; one that loses lines and keeps none of MIN_WORDS words goes."""
-    gone = removed_lines(docs).where(F.size("removed") > 0).select(F.col("doc_id").alias("_id"), "removed")
+    gone = removed_lines(docs, least=1).where(F.size("removed") > 0).select(F.col("doc_id").alias("_id"), "removed")
     kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("removed", i.cast("long")))
     long = F.exists("_kept", lambda x: F.size(F.array_distinct(F.array_remove(F.split(x, r"[\x20\x09-\x0D]+", -1), ""))) >= MIN_WORDS)
     out = docs.join(gone, docs.doc_id == F.col("_id"), "left").withColumn("_kept", F.when(F.col("_id").isNotNull(), kept))

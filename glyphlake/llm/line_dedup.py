@@ -23,7 +23,7 @@ from .ngram_join import prefix_length, six, unsix, word_hashes
 from .quality import Table
 
 PERCENT = 80
-#: Lines of fewer distinct words are left alone: chance makes them alike.
+#: Default of `least`; the queries judge lines of any number of words.
 MIN_WORDS = 5
 #: Repeated words whose counts are broadcast (12 bytes each).
 VOCABULARY = 1 << 21
@@ -114,7 +114,8 @@ def _post(model, buckets: int, percent: int, complete: bool, least: int, common:
             _, one = np.unique(x.sig, return_index=True)
             use = np.zeros(len(x.sig), bool)
             use[one] = True
-            use &= x.n >= least
+            # Of two different sets, the smaller of size n has a similarity of at most n / (n + 1): equal sets need no join.
+            use &= (x.n >= least) & (100 * x.n >= percent * (x.n + 1))
             at = np.arange(len(x.tok)) - x.first[x.who]
             keep = use[x.who] & (at < prefix_length(x.n, percent)[x.who])
             if complete:
@@ -201,7 +202,7 @@ def _meet(percent: int):
 
 
 def _list(model, wanted, least: int):
-    """Every line of MIN_WORDS words: (sig, doc, line), and its words if the filter has it; line -1 counts the lines."""
+    """Every line of `least` words: (sig, doc, line), and its words if the filter has it; line -1 counts the lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         empty = Table.of(np.empty(0, np.uint64), np.empty(0, np.float32))
@@ -319,9 +320,9 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return heads.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.coalesce("removed", F.array().cast("array<long>")).alias("removed"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, least: int = MIN_WORDS) -> DataFrame:
     """docs, all columns and rows, with the text less its removed lines; null texts stay null."""
-    gone = removed_lines(docs, id_col, text_col, percent).where(F.size("removed") > 0).select(F.col("doc_id").alias("_id"), F.col("removed").alias("_removed"))
+    gone = removed_lines(docs, id_col, text_col, percent, least).where(F.size("removed") > 0).select(F.col("doc_id").alias("_id"), F.col("removed").alias("_removed"))
     kept = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda x, i: ~F.array_contains("_removed", i.cast("long"))), "\n")
     out = docs.join(gone, docs[id_col].cast("long") == F.col("_id"), "left")
     return out.withColumn(text_col, F.when(F.col("_id").isNull(), F.col(text_col)).otherwise(kept)).select(docs.columns)

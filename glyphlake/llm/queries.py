@@ -21,7 +21,7 @@ from .suffix_dedup import suffix_dedup
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = removed_lines(documents(spark, sf_dir))
+    found = removed_lines(documents(spark, sf_dir), least=1)
     return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.transform("removed", lambda x: x.cast("string")), ",").alias("removed_lines"))
 
 

@@ -18,6 +18,7 @@ from glyphlake.llm.exact_dedup import exact_dedup  # noqa: E402
 from glyphlake.llm.line_dedup import line_dedup, removed_lines  # noqa: E402
 from glyphlake.llm.ngram_join import ngram_join  # noqa: E402
 from glyphlake.llm.pii import find_pii  # noqa: E402
+from glyphlake.llm.queries import op1_line_dedup  # noqa: E402
 from glyphlake.llm.suffix_dedup import suffix_dedup  # noqa: E402
 
 LONG = "word " * 30_000
@@ -124,6 +125,15 @@ def test_line_dedup(spark, rows):
         assert texts[i] == kept
 
 
+def test_op1_judges_short_lines(spark, rows, tmp_path):
+    more = [(5000, "an end\n第一行文字\na b c d"), (5001, "An end \n第一行文字\n第二行\na b c d e"), (5002, "a b c\n \nend an"), (5003, "a b c d e f\n\n")]
+    table(spark, rows + more).write.parquet(f"{tmp_path}/documents.parquet")
+    got = op1_line_dedup(spark, str(tmp_path)).collect()
+    want = brute.lines(rows + more, least=1)
+    assert {r.doc_id: (r.n_lines, r.removed_lines) for r in got} == {i: (n, ",".join(map(str, gone))) for i, (n, gone) in want.items()}
+    assert want[5001] == (4, [0, 1, 3]) and want[5002] == (3, [2])
+
+
 def test_suffix_dedup(spark, rows):
     got = suffix_dedup(table(spark, rows)).collect()
     assert {r.doc_id: tuple(r)[1:] for r in got} == brute.substrings(rows)
