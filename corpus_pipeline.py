@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from glyphlake.llm.common import documents, materialize
 from glyphlake.llm.decontamination import decontaminate
-from glyphlake.llm.line_dedup import MIN_WORDS, removed_lines
+from glyphlake.llm.line_dedup import removed_lines
 from glyphlake.llm.ngram_join import ngram_join
 from glyphlake.llm.packing import pack
 from glyphlake.llm.quality import judge
@@ -25,12 +25,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents less the lines that an earlier line matches; one that loses lines and keeps none of MIN_WORDS words goes."""
+    """Documents less the lines that an earlier line matches; one that loses lines and keeps no word goes."""
     gone = removed_lines(docs, least=1).where(F.size("removed") > 0).select(F.col("doc_id").alias("_id"), "removed")
     kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("removed", i.cast("long")))
-    long = F.exists("_kept", lambda x: F.size(F.array_distinct(F.array_remove(F.split(x, r"[\x20\x09-\x0D]+", -1), ""))) >= MIN_WORDS)
+    some = F.exists("_kept", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     out = docs.join(gone, docs.doc_id == F.col("_id"), "left").withColumn("_kept", F.when(F.col("_id").isNotNull(), kept))
-    out = out.where(F.col("_id").isNull() | long).withColumn("text", F.when(F.col("_id").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n")))
+    out = out.where(F.col("_id").isNull() | some).withColumn("text", F.when(F.col("_id").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_id").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(docs.columns)

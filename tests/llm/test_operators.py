@@ -287,3 +287,13 @@ def test_pipeline(spark):
         assert 0 < docs.count() <= seen
         seen = docs.count()
     assert corpus_pipeline.STAGES[-1][1](spark, docs, data).select("doc_id").distinct().count() == seen
+
+
+def test_pipeline_keeps_what_lines_leave(spark):
+    import corpus_pipeline
+
+    licence = "all rights to this text are reserved by its authors"
+    rows = [(1, licence), (2, f"{licence}\n一行\n两行"), (3, f"milk\n{licence}\n \neggs"), (4, licence), (5, f" \n{licence}\n\t"), (6, " \n"), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert got == {1: licence, 2: "一行\n两行", 3: "milk\n \neggs", 6: " \n", 7: None}
