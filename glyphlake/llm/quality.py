@@ -5,7 +5,7 @@ a shuffle, so what the model gathers grows with the trusted text. Counts are sha
 context: an n-gram, all its suffixes and all their contexts are in one shard, so each shard turns its counts
 into probabilities and back-off weights on its own. Scoring joins n-grams with the shards inside the tasks:
 blocks of at most MAX_ENTRIES n-grams are broadcast, and every block adds its share of each document's log
-probability; the texts themselves are never shuffled. A document is rejected if its perplexity lies well above
+probability; the texts themselves are never shuffled. A document is rejected if its perplexity lies above
 a high quantile of that of the trusted documents held out of training in its language.
 """
 
@@ -23,9 +23,8 @@ from pyspark.sql import types as T
 from .common import materialize
 
 ORDER = 5
+#: The threshold of a language: this quantile of its held-out trusted documents.
 QUANTILE = 0.98
-#: The threshold lies beyond that quantile by this part of its distance from the median (in logarithms).
-SLACK = 1.5
 #: One in so many trusted documents is held out for the thresholds.
 FOLDS = 5
 #: Bytes at which a document counts as much as the mean of its language: short texts are judged less sharply.
@@ -293,8 +292,8 @@ def train(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, max_en
     scored = materialize(score(trusted.where(held), model, "lang", "text", ["lang"]).where("_n > 0"))
     for r in scored.groupBy("lang").agg(F.sum("_lp").alias("lp"), F.sum("_n").alias("n")).collect():
         model.mean[r.lang] = r.lp / r.n
-    for r in scored.groupBy("lang").agg(F.percentile_approx(-_rate(model), F.array(F.lit(0.5), F.lit(quantile)), F.lit(10_000)).alias("q")).collect():
-        model.threshold[r.lang] = r.q[1] + SLACK * (r.q[1] - r.q[0])
+    for r in scored.groupBy("lang").agg(F.percentile_approx(-_rate(model), F.lit(quantile), F.lit(10_000)).alias("q")).collect():
+        model.threshold[r.lang] = r.q
     return model
 
 

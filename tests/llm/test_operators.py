@@ -200,6 +200,17 @@ def test_quality(spark):
     assert quality.judge(docs, none, ["doc_id"]).where("kept").count() == len(got)
 
 
+def test_quality_threshold_is_the_quantile_of_a_language(spark):
+    rng = random.Random(5)
+    word = lambda vowels: "".join(rng.choice("bdgklmnprst") + rng.choice(vowels) for _ in range(rng.randint(1, 3)))
+    rows = [(i, " ".join(word(v) for _ in range(rng.randint(20, 90))), lang) for i in range(1000) for lang, v in [("aa", "aeiou") if i % 2 else ("bb", "yw")]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = quality.judge(docs, docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic"), ["doc_id", "lang"]).collect()
+    for lang in ("aa", "bb"):
+        held = [r for r in got if r.lang == lang and zlib.crc32(str(r.doc_id).encode()) % quality.FOLDS == 0]
+        assert sum(not r.kept for r in held) == len(held) - int(np.ceil(quality.QUANTILE * len(held))) > 0
+
+
 def test_kneser_ney_sums_to_one():
     data = np.frombuffer(b"\n\n\n\nabracadabra banana cabana", np.uint8)
     keys, n = np.unique(quality._keys(data, np.array([0, len(data)]))[0], return_counts=True)
