@@ -52,6 +52,8 @@ class Block:
 class _Reader:
     blocks: list[Block] = field(default_factory=list)
     stack: list[tuple[str, list[str], str]] = field(default_factory=list)
+    #: Where in the stack each tag is open.
+    places: dict[str, list[int]] = field(default_factory=dict)
     held: list[str] = field(default_factory=list)
     linked: int = 0
     link: bool = False
@@ -81,11 +83,12 @@ class _Reader:
             self.link = False
             closes = {"p": ("p",), "li": ("li", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "tr": ("tr", "td", "th"), "dt": ("dd", "dt", "p"), "dd": ("dd", "dt", "p"), "option": ("option",)}.get(tag, ("p",))
             while self.stack and self.stack[-1][0] in closes:
-                self.stack.pop()
+                self.cut(len(self.stack) - 1)
             if tag not in VOID and not attributes.endswith("/"):
                 lower = attributes.lower()
                 names = [w for m in NAME.finditer(attributes) for w in WORDS.findall((m[1] or m[2] or m[3] or "").lower())] if "class" in lower or "id" in lower or "role" in lower else []
                 mark = re.search(r'data-label="(\w+)"', attributes)
+                self.places.setdefault(tag, []).append(len(self.stack))
                 self.stack.append((tag, names, mark[1] if mark else ""))
 
     def close(self, tag: str) -> None:
@@ -93,10 +96,12 @@ class _Reader:
             self.link = False
         elif tag in BLOCK:
             self.flush()
-            for i in range(len(self.stack) - 1, max(-1, len(self.stack) - 64), -1):
-                if self.stack[i][0] == tag:
-                    del self.stack[i:]
-                    break
+            if self.places.get(tag):
+                self.cut(self.places[tag][-1])
+
+    def cut(self, size: int) -> None:
+        while len(self.stack) > size:
+            self.places[self.stack.pop()[0]].pop()
 
 
 def leaf_blocks(page: str) -> list[Block]:

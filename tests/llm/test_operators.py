@@ -271,6 +271,11 @@ def test_held_out_pages(reader):
     assert wrong < 0.03 * total
 
 
+def test_closing_tag_matches_at_any_depth():
+    blocks = html_extraction.leaf_blocks("<article><nav>" + "<div>menu" * 200 + "</nav><p>text</article><p>after")
+    assert [b.tags for b in blocks[-2:]] == [["article", "p"], ["p"]]
+
+
 def test_page(spark):
     page = """<html><head><title>no</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a>b">menu</a></li></ul></nav>
     <div class="cookie-notice">We use cookies.</div><article><h1>A &amp; B</h1><p><b>First   line
