@@ -47,10 +47,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     A document word inside any occurrence of a window is hit. Null or empty texts, of documents or items, have
     no words; an item without words has no window. Repeated document rows are judged one by one; items with the
-    same id count as one. An empty benchmark hits nothing. Other columns are not read.
+    same id count as one. Windows of an item without an id hit, but are not in n_items and items_sha256. An empty
+    benchmark hits nothing. Other columns are not read.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), words_of(text_of(text_col)).alias("w"))
-    items = items.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id"), words_of(text_of(item_text_col)).alias("w"))
+    items = items.select(F.col(item_col).alias("item_id"), words_of(text_of(item_text_col)).alias("w"))
     windows = materialize(_windows(items, size))
     vocabulary = windows.select(F.explode("win").alias("tok")).distinct()
     small = windows.count() <= max_tokens and len(known := [r.tok for r in vocabulary.limit(max_tokens + 1).collect()]) <= max_tokens

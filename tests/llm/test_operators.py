@@ -96,6 +96,13 @@ def test_decontamination(spark, rows):
     assert decontaminate(table(spark, rows), none).where("contaminated").count() == 0
 
 
+def test_decontamination_by_items_without_an_id(spark):
+    items = spark.createDataFrame([(None, "one two three"), (7, "four five six"), (None, "four five six")], "item_id long, text string")
+    for limit in (50_000, 1):
+        got = decontaminate(table(spark, [(1, "zero one two three"), (2, "four five six"), (3, "zero")]), items, max_tokens=limit).collect()
+        assert {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in got} == {1: (3, 0, True), 2: (3, 1, True), 3: (0, 0, False)}
+
+
 @pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80)])
 def test_ngram_join(spark, rows, k, percent):
     got = ngram_join(table(spark, rows), shingle=k, percent=percent).collect()
