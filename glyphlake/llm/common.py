@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,19 +15,33 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which every executor sees; a temporary one where none is set."""
+    """A new folder below spark.checkpoint.dir, which every executor sees. Where it is unset, a temporary one in local mode; an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="glyphlake-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/glyphlake/{uuid.uuid4().hex}"
 
 
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """df written as a Parquet table in the shared folder and read back; later jobs read it instead of recomputing."""
     path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables that materialize has written and that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_PATHS.pop(df))
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,12 +106,15 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")))
+    labels = held = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")))
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), F.col("component").alias("near")), "b").groupBy(F.col("a").alias("id")).agg(F.min("near").alias("near"))
+        # A hub of many edges and the label of a large component are hot keys.
+        near = salted_join(both, labels.select(F.col("id").alias("b"), F.col("component").alias("near")), ["b"], "inner").groupBy(F.col("a").alias("id")).agg(F.min("near").alias("near"))
         jump = labels.select(F.col("id").alias("component"), F.col("component").alias("jump"))
-        new = labels.join(near, "id").join(jump, "component", "left")
+        new = salted_join(labels.join(near, "id"), jump, ["component"])
         new = materialize(new.select("id", F.least("component", "near", "jump").alias("component"), (F.least("near", "jump") < F.col("component")).alias("moved")))
-        labels = new.select("id", "component")
+        discard(held)
+        labels, held = new.select("id", "component"), new
         if not new.where("moved").limit(1).count():
+            discard(edges)
             return labels

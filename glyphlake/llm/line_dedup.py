@@ -1,83 +1,96 @@
 """Line dedup by an exact set-similarity join of lines.
 
 Tokens are the distinct words of a line, ordered by rarity: how often they occur in the corpus. The counts of
-the VOCABULARY most frequent repeated words are broadcast; all other words are rarest, and as long as the list
-holds every repeated word they are known to occur once and join nothing. A line posts its prefix, with its
-size, the token's position and a 128-bit map of its less common words. Postings meet by token, packed into buckets; length,
-positional and bitmap bounds leave few pairs, of which each bucket returns only a spanning forest. The forest's
-components bound where matches can lie; inside them exact Jaccard similarities decide, in blocks, whether a
-line has an earlier match. A line set is known by a 63-bit hash; repeats of one set need no comparison.
+the VOCABULARY most frequent words are broadcast; all others are rarest, and a fixed bitmap of the repeated ones
+tells most words that occur once, which join nothing. A line set posts its prefix, with its size, its place, the
+token's position and a parity sketch of its words: the bits in which two sketches differ are at most the words
+in which two sets do. Postings meet by token; length, positional and sketch bounds leave few pairs. In order of
+place, each set takes the earliest set that passes the bounds (the nearest of the first TRIED) as its candidate,
+and the candidate's exact similarity decides. Sets which their candidates do not settle, and that have further
+ones, are open: a second round pairs just those with everything that passes. So a family of near copies costs
+its size, no pair goes unverified that could matter, and nothing is chained.
+
+A prefix token above HOT occurrences would gather an unbounded list. All tokens after it in the order are as
+frequent, so it is replaced by pairs of hot tokens in the prefix that is one longer, of which matching sets
+share two.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, components, materialize, mix, parts, release, salted_join, text_of
-from .ngram_join import prefix_length, six, unsix, word_hashes
-from .quality import Table
+from .common import BASE, discard, materialize, mix, parts, release, salted_join, text_of
+from .ngram_join import prefix_length
+from .words import bitmap_of, blobs_of, dealt, in_bitmap, packed, unpacked, word_hashes
 
 PERCENT = 80
-#: Default of `least`; the queries judge lines of any number of words.
-MIN_WORDS = 5
-#: Repeated words whose counts are broadcast (12 bytes each).
-VOCABULARY = 1 << 21
-#: Bits of the broadcast filter of clustered lines (16 MB).
-FILTER_BITS = 1 << 27
-#: So many of the most frequent words are left out of the lines' bitmaps, where they would tell nothing apart.
-COMMON = 256
+#: Most frequent words whose counts are broadcast (12 bytes each); rarer ones count as rarest, results do not change.
+VOCABULARY = 1 << 20
+#: Bits of the broadcast bitmaps (8 MB); a full one filters nothing and changes no result.
+BITS = 1 << 26
+#: Words that occur more often are posted in pairs.
+HOT = 1 << 16
+#: A set's candidate is the nearest of so many that pass the bounds.
+TRIED = 8
+#: Words in the smallest class of set sizes; a class's sketches have as many bits as its sets have words at most.
+SMALLEST = 256
 CHUNK = 1 << 22
-BLOCK = 1000
+#: Bytes of postings in a bucket, about.
+GROUP = 24 << 20
+_NOTHING = np.empty(0, np.int64)
 
 
-class Lines:
-    """The lines of a chunk of documents: distinct words by line, ordered by (line, count, hash)."""
+@dataclass
+class Counts:
+    """Words in order of their hashes, with their numbers of occurrences, and a bitmap of all repeated words."""
 
-    def __init__(self, texts: list[bytes], counts: Table | None = None):
-        lines = [t.split(b"\n") for t in texts]
-        self.per_doc = np.array([len(x) for x in lines], np.int64)
-        words, who = word_hashes([x for y in lines for x in y])
-        words >>= np.uint64(16)
-        self.words = words
-        if counts is None:
-            return
-        # Ranks by (count, hash) among the chunk's words make one sortable number of a line and a word.
-        known, at = np.unique(words, return_inverse=True)
-        seen, there = counts.get(known)
-        seen = np.where(there, seen, np.float32(1))
-        order = np.lexsort((known, seen))
-        rank = np.empty(len(known), np.int64)
-        rank[order] = np.arange(len(known))
-        key = np.sort(who * len(known) + rank[at])
-        key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
-        who, at = np.divmod(key, max(1, len(known)))
-        self.tok, self.seen = known[order][at], seen[order][at]
-        self.n = np.bincount(who, minlength=int(self.per_doc.sum())).astype(np.int64)
-        self.first = np.cumsum(self.n) - self.n
-        some = np.flatnonzero(self.n)
-        self.sig = np.zeros(len(self.n), np.uint64)
-        if len(some):
-            self.sig[some] = np.add.reduceat(mix(self.tok + BASE), self.first[some])
-        self.sig = (mix(self.sig + self.n.astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
-        self.who = who
+    words: np.ndarray
+    seen: np.ndarray
+    repeated: bytes
+
+    def of(self, words: np.ndarray) -> np.ndarray:
+        """Occurrences of distinct words: 2 for repeated ones beyond the vocabulary, 1 for words that occur once."""
+        out = np.where(in_bitmap(self.repeated, words.view(np.int64)), 2, 1)
+        if len(self.words):
+            at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+            out = np.where(self.words[at] == words, self.seen[at], out)
+        return out
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bytes]]:
+    """Documents cut at line feeds into units of about CHUNK bytes: document, number, last-of-document and text of the lines."""
+    ids, first, last, texts, size = [], [], [], [], 0
 
+    def unit():
+        n = np.array([t.count(b"\n") + 1 for t in texts])
+        at = np.cumsum(n) - n
+        line = np.arange(n.sum()) - np.repeat(at, n) + np.repeat(np.array(first), n)
+        end = np.zeros(len(line), bool)
+        end[(at + n - 1)[np.array(last)]] = True
+        return np.repeat(np.array(ids, np.int64), n), line, end, b"\n".join(texts)
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
-    ids, texts, size = [], [], 0
     for batch in batches:
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ids.append(i), texts.append(t.as_py().encode("utf-8", "replace"))
-            size += len(texts[-1])
-            if size >= CHUNK:
-                yield ids, texts
-                ids, texts, size = [], [], 0
+            t, at, line = t.as_py(), 0, 0
+            while at <= len(t):
+                cut = t.find(b"\n", at + CHUNK) if len(t) - at > CHUNK else -1
+                cut = len(t) if cut < 0 else cut
+                ids.append(i), first.append(line), last.append(cut == len(t)), texts.append(t[at:cut])
+                size += cut - at + 1
+                line += texts[-1].count(b"\n") + 1
+                at = cut + 1
+                if size >= CHUNK or len(ids) >= CHUNK >> 6:
+                    yield unit()
+                    ids, first, last, texts, size = [], [], [], [], 0
     if ids:
-        yield ids, texts
+        yield unit()
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,239 +103,334 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out():
         k, n = merged()
         for i in range(0, len(k), 500_000):
-            yield pa.RecordBatch.from_arrays([pa.array(k[i : i + 500_000].astype(np.int64)), pa.array(n[i : i + 500_000])], names=["tok", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(k[i : i + 500_000].view(np.int64)), pa.array(n[i : i + 500_000])], names=["tok", "n"])
 
-    for _, texts in _chunks(batches):
-        held.append(np.unique(Lines(texts).words, return_counts=True))
+    for _, _, _, text in _units(batches):
+        held.append(np.unique(word_hashes(text)[0], return_counts=True))
         if len(held) == 8:
             held = [merged()]
-            if len(held[0][0]) > 3_000_000:  # bounds the task's memory
+            if len(held[0][0]) > 2_000_000:  # bounds the task's memory
                 yield from out()
                 held = []
     if held:
         yield from out()
 
 
-POST = np.dtype([("tok", "<i8"), ("sig", "<i8"), ("map0", "<u8"), ("map1", "<u8"), ("n", "<u4"), ("at", "<u4")])
+class Sets:
+    """The lines of a unit as sets: n distinct words and a hash of each line; tok and seen by (line, rarity) if counts are given.
 
+    only: a mask of the lines to read; holding: a bitmap, of whose words a line needs one to be read. Others count as empty.
+    """
+
+    def __init__(self, text: bytes, lines: int, counts: Counts | None, only: np.ndarray | None = None, holding: bytes | None = None):
+        words, start = word_hashes(text)
+        feeds = np.flatnonzero(np.frombuffer(text, np.uint8) == 10)
+        who = np.searchsorted(feeds, start)
+        if holding is not None:
+            only = np.zeros(lines, bool)
+            only[who[in_bitmap(holding, words.view(np.int64))]] = True
+        if only is not None:
+            words, who = words[only[who]], who[only[who]]
+        known, at = np.unique(words, return_inverse=True)
+        if counts is None:
+            seen, rank = None, at
+        else:  # ranks by (count, hash) among the unit's words make one sortable number of a line and a word
+            seen = counts.of(known)
+            order = np.lexsort((known, seen))
+            rank = np.empty(len(known), np.int64)
+            rank[order] = np.arange(len(known))
+            rank, known, seen = rank[at], known[order], seen[order]
+        key = np.sort(who * max(1, len(known)) + rank)
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+        self.who, at = np.divmod(key, max(1, len(known)))
+        self.tok, self.seen = known[at], None if seen is None else seen[at]
+        self.n = np.bincount(self.who, minlength=lines).astype(np.int64)
+        self.first = np.cumsum(self.n) - self.n
+        self.sig = np.zeros(lines, np.uint64)
+        self.some = np.flatnonzero(self.n)
+        if len(self.some):
+            self.sig[self.some] = np.add.reduceat(mix(self.tok + BASE), self.first[self.some])
+        self.sig = mix(self.sig + self.n.astype(np.uint64)).view(np.int64)
+
+    def sketches(self, rows: np.ndarray, bits: int) -> np.ndarray:
+        """Of some lines: bit k of a sketch is the parity of the number of words that hash to k."""
+        n = self.n[rows]
+        at = np.repeat(self.first[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        slot = mix(self.tok[at]) >> np.uint64(64 - int(bits).bit_length() + 1)
+        bit, lane = np.uint64(1) << (slot & np.uint64(63)), slot >> np.uint64(6)
+        out, cut = np.zeros((len(rows), bits // 64), np.uint64), np.cumsum(n) - n
+        for k in range(bits // 64):
+            out[:, k] = np.bitwise_xor.reduceat(np.where(lane == k, bit, np.uint64(0)), cut)
+        return out
+
+
+def post(bits: int) -> np.dtype:
+    return np.dtype([("tok", "<u8"), ("sig", "<i8"), ("doc", "<i8"), ("line", "<u4"), ("n", "<u4"), ("at", "<u4"), ("sketch", "<u8", (bits // 64,))])
+
+
+def _keys(x: Sets, rows: np.ndarray, percent: int, hot: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys by which the sets in rows are posted: set, key and position."""
+    size = prefix_length(x.n, percent)
+    wanted = np.zeros(len(x.n), bool)
+    wanted[rows] = True
+    at = np.arange(len(x.tok)) - x.first[x.who]
+    use = wanted[x.who] & (at < size[x.who]) & (x.seen > 1)
+    warm = use & (x.seen <= hot)
+    who, key, place = [x.who[warm]], [x.tok[warm]], [at[warm]]
+    for r in np.unique(x.who[use & (x.seen > hot)]).tolist():
+        a, e = x.first[r], x.first[r] + min(x.n[r], size[r] + 1)
+        tok = x.tok[a:e][x.seen[a:e] > hot]
+        i, j = np.triu_indices(len(tok), 1)
+        who.append(np.full(len(i), r)), key.append(mix(mix(tok[i]) + tok[j])), place.append(i + (e - a - len(tok)))
+    return np.concatenate(who), np.concatenate(key), np.concatenate(place)
+
+
+def _post(model: Broadcast, buckets: int, percent: int, hot: float, only: Broadcast | None):
+    """Lines to postings, packed by class and bucket. only: a bitmap of the keys to post."""
 
-def _post(model, buckets: int, percent: int, complete: bool, least: int, common: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Table.of(*model.value)
-        for _, texts in _chunks(batches):
-            x = Lines(texts, counts)
-            _, one = np.unique(x.sig, return_index=True)
-            use = np.zeros(len(x.sig), bool)
-            use[one] = True
+        for doc, line, _, text in _units(batches):
+            x = Sets(text, len(doc), model.value, holding=only and only.value)
+            order = np.lexsort((line, doc))
+            use = np.zeros(len(x.n), bool)
+            use[order[np.unique(x.sig[order], return_index=True)[1]]] = True
             # Of two different sets, the smaller of size n has a similarity of at most n / (n + 1): equal sets need no join.
-            use &= (x.n >= least) & (100 * x.n >= percent * (x.n + 1))
-            at = np.arange(len(x.tok)) - x.first[x.who]
-            keep = use[x.who] & (at < prefix_length(x.n, percent)[x.who])
-            if complete:
-                keep &= x.seen > 1
-            bits = np.zeros((2, len(x.n)), np.uint64)
-            some = np.flatnonzero(x.n)
-            if len(some):
-                slot = mix(x.tok) >> np.uint64(57)
-                bit = np.where(x.seen < common, np.uint64(1) << (slot & np.uint64(63)), np.uint64(0))
-                for half in (0, 1):
-                    bits[half, some] = np.bitwise_or.reduceat(np.where(slot >> np.uint64(6) == half, bit, np.uint64(0)), x.first[some])
-            rows = np.empty(int(keep.sum()), POST)
-            who = x.who[keep]
-            rows["tok"], rows["sig"], rows["map0"], rows["map1"], rows["n"], rows["at"] = x.tok[keep], x.sig[who], bits[0, who], bits[1, who], x.n[who], at[keep]
-            part = rows["tok"] % buckets
-            order = np.argsort(part, kind="stable")
-            rows, part = rows[order], part[order]
-            cut = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
-            spans = [(a, b) for a, b in zip(cut, cut[1:], strict=False) if b > a]
-            if spans:
-                yield pa.RecordBatch.from_arrays([pa.array([int(part[a]) for a, _ in spans], pa.int32()), pa.array([rows[a:b].tobytes() for a, b in spans], pa.binary())], names=["part", "rows"])
+            use &= (x.n > 0) & (100 * x.n >= percent * (x.n + 1))
+            out, bits, most = [], SMALLEST, int(x.n.max(initial=0))
+            while bits < 2 * most or bits == SMALLEST:
+                # A class holds its own sets, and larger ones that may match them.
+                rows = np.flatnonzero(use & (percent * x.n <= 100 * bits) & (x.n > (bits // 2 if bits > SMALLEST else 0)))
+                if len(rows):
+                    who, key, at = _keys(x, rows, percent, hot)
+                    if only is not None:
+                        keep = in_bitmap(only.value, key.view(np.int64))
+                        who, key, at = who[keep], key[keep], at[keep]
+                    part = (key % np.uint64(buckets)).astype(np.int32)
+                    order, spans = dealt(part)
+                    part, who, key, at = part[order], who[order], key[order], at[order]
+                    posts = np.empty(len(key), post(bits))
+                    sketch = np.zeros((len(x.n), bits // 64), np.uint64)
+                    sketch[rows] = x.sketches(rows, bits)
+                    posts["tok"], posts["sig"], posts["doc"], posts["line"], posts["n"], posts["at"], posts["sketch"] = key, x.sig[who], doc[who], line[who], x.n[who], at, sketch[who]
+                    out += [(bits, int(part[a]), packed(posts[a:b])) for a, b in spans]
+                bits *= 2
+            if out:
+                c = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.binary())], names=["bits", "part", "posts"])
 
     return run
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A star forest with the components of the edges."""
-    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    u, v = at[: len(a)], at[len(a) :]
-    label = np.arange(len(ids))
-    while True:
-        new = label.copy()
-        np.minimum.at(new, u, label[v])
-        np.minimum.at(new, v, label[u])
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    child = np.flatnonzero(label != np.arange(len(ids)))
-    return ids[child], ids[label[child]]
+def _open_keys(model: Broadcast, open_: Broadcast, percent: int, hot: float):
+    """The keys of the open sets' postings, and of a pair the first word too."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc, line, _, text in _units(batches):
+            mine = in_bitmap(open_.value, name_of(doc, line))
+            if mine.any():
+                x = Sets(text, len(doc), model.value, mine)
+                who, key, at = _keys(x, np.flatnonzero(x.n), percent, hot)
+                yield pa.RecordBatch.from_arrays([pa.array(np.union1d(key, x.tok[x.first[who] + at]).view(np.int64))], names=["key"])
+
+    return run
+
+
+def name_of(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """A hash of a line's place, for bitmaps."""
+    return mix(mix(doc.astype(np.int64).view(np.uint64)) + line.astype(np.uint64)).view(np.int64)
+
+
+PAIRS = "name long, doc long, line long, name2 long, doc2 long, line2 long, more boolean"
 
-def _meet(percent: int):
-    """One bucket: pairs of line sets that share a token and pass the bounds, as a forest."""
 
-    def passing(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        n, m = x["n"][i].astype(np.int64), x["n"][j].astype(np.int64)
-        p, q = x["at"][i].astype(np.int64), x["at"][j].astype(np.int64)
-        need = -(-percent * (n + m) // (100 + percent))  # the least intersection
-        ok = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (np.minimum(p, q) + np.minimum(n - p, m - q) >= need)
-        i, j, most = i[ok], j[ok], (n + m - 2 * need)[ok]
-        ok[ok] = np.bitwise_count(x["map0"][i] ^ x["map0"][j]).astype(np.int64) + np.bitwise_count(x["map1"][i] ^ x["map1"][j]) <= most
-        return ok
+def candidates(x: np.ndarray, bits: int, percent: int, tried: int, open_: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of postings by (key, place): later and earlier posting of the pairs to verify, and whether the later has more.
+
+    Without open_, the nearest of the first `tried` passing ones for each; with it, all pairs of the open postings.
+    """
+    new = np.concatenate([[True], x["tok"][1:] != x["tok"][:-1]])
+    start = np.flatnonzero(new)[np.cumsum(new) - 1]
+    alive = np.flatnonzero(~new if open_ is None else ~new & open_)
+    # Repeats of a set in its list are the same set.
+    same = mix(x["tok"] + mix(x["sig"].view(np.uint64)))
+    first = np.zeros(len(x), bool)
+    first[np.unique(same, return_index=True)[1]] = True
+    alive = alive[first[alive]]
+    n, at, sketch = x["n"].astype(np.int64), x["at"].astype(np.int64), x["sketch"]
+    best, least, passed = np.full(len(x), -1), np.full(len(x), 1 << 40), np.zeros(len(x), np.int64)
+    left, right, step, slab = [], [], 0, max(1, (1 << 22) // bits)
+    while len(alive):
+        alive = alive[start[alive] + step < alive]
+        done = []
+        for lo in range(0, len(alive), slab):
+            i = alive[lo : lo + slab]
+            j = start[i] + step
+            a, b, p, q = n[i], n[j], at[i], at[j]
+            need = -(-percent * (a + b) // (100 + percent))  # the least intersection
+            ok = (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (np.minimum(p, q) + np.minimum(a - p, b - q) >= need)
+            ok &= (np.minimum(a, b) <= bits) & first[j]
+            i, j, most = i[ok], j[ok], (a + b - 2 * need)[ok]
+            far = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
+            ok = far <= most
+            i, j, far = i[ok], j[ok], far[ok]
+            if open_ is not None:
+                left.append(i), right.append(j)
+                continue
+            passed[i] += 1
+            nearer = far < least[i]
+            best[i[nearer]], least[i[nearer]] = j[nearer], far[nearer]
+            done.append(i[passed[i] > tried])
+        if done:
+            stop = np.zeros(len(x), bool)
+            stop[np.concatenate(done)] = True
+            alive = alive[~stop[alive]]
+        step += 1
+    if open_ is not None:
+        i, j = (np.concatenate(y) if y else _NOTHING for y in (left, right))
+        return i, j, np.zeros(len(i), bool)
+    i = np.flatnonzero(best >= 0)
+    return i, best[i], passed[i] > 1
+
+
+def _meet(percent: int, tried: int, open_: Broadcast | None):
+    """One bucket of a class: the pairs to verify."""
 
     def run(table: pa.Table) -> pa.Table:
-        x = np.frombuffer(b"".join(table.column("rows").to_pylist()), POST)
-        x = x[np.lexsort((x["sig"], x["tok"]))]
-        new = np.ones(len(x), bool)
-        new[1:] = (x["tok"][1:] != x["tok"][:-1]) | (x["sig"][1:] != x["sig"][:-1])
-        x = x[new]
-        start = np.flatnonzero(np.concatenate([[True], x["tok"][1:] != x["tok"][:-1]])) if len(x) else np.empty(0, np.int64)
-        size = np.diff(np.append(start, len(x)))
-        left, right = [], []
-        step, budget = 1, 1 << 22
-        limit = int(size.max(initial=1))
-        # Pairs at distance `step` in their token's list, for all tokens at once; slices bound the memory.
-        rank_left = np.repeat(start + size, size) - np.arange(len(x))
-        alive = np.arange(len(x))
-        while step < limit:
-            alive = alive[rank_left[alive] > step]
-            for k in range(0, len(alive), budget):
-                i = alive[k : k + budget]
-                ok = passing(x, i, i + step)
-                if ok.any():
-                    left.append(x["sig"][i[ok]]), right.append(x["sig"][i[ok] + step])
-            if sum(map(len, left)) > budget:
-                a, b = _forest(np.concatenate(left), np.concatenate(right))
-                left, right = [a], [b]
-            step += 1
-        a, b = _forest(np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64),) * 2
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        bits = table.column("bits")[0].as_py()
+        x = unpacked(list(blobs_of(table, "posts")), post(bits))
+        del table
+        x = x[np.argsort(x["tok"], kind="stable")]
+        alone = np.ones(len(x), bool)
+        alone[1:] &= x["tok"][1:] != x["tok"][:-1]
+        alone[:-1] &= x["tok"][1:] != x["tok"][:-1]
+        x = x[~alone]
+        x = x[np.lexsort((x["line"], x["doc"], x["tok"]))]
+        i, j, more = candidates(x, bits, percent, tried, None if open_ is None else in_bitmap(open_.value, name_of(x["doc"], x["line"]))) if len(x) else (_NOTHING, _NOTHING, np.empty(0, bool))
+        a, b = name_of(x["doc"][i], x["line"][i]), name_of(x["doc"][j], x["line"][j])
+        one = np.unique(mix(a.view(np.uint64) + mix(b.view(np.uint64))), return_index=True)[1]
+        one = np.union1d(one, np.flatnonzero(more))
+        i, j, a, b, more = i[one], j[one], a[one], b[one], more[one]
+        return pa.table({"name": a, "doc": x["doc"][i], "line": x["line"][i].astype(np.int64), "name2": b, "doc2": x["doc"][j], "line2": x["line"][j].astype(np.int64), "more": pa.array(more)})
 
     return run
 
 
-def _list(model, wanted, least: int):
-    """Every line of `least` words: (sig, doc, line), and its words if the filter has it; line -1 counts the lines."""
+def _list(wanted: Broadcast, whole: bool):
+    """Words of the lines that the bitmap has. whole: all other lines that have words too, and for each document a line -1 with its number of lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        empty = Table.of(np.empty(0, np.uint64), np.empty(0, np.float32))
-        bits = np.frombuffer(wanted.value, np.uint8)
-        for ids, texts in _chunks(batches):
-            x = Lines(texts, empty)
-            doc = np.repeat(np.arange(len(ids)), x.per_doc)
-            line = np.arange(len(doc)) - np.repeat(np.cumsum(x.per_doc) - x.per_doc, x.per_doc)
-            rows = np.flatnonzero(x.n >= least)
-            slot = x.sig[rows] % FILTER_BITS
-            hit = (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1
-            first = np.zeros(len(x.sig), bool)
-            first[np.unique(x.sig, return_index=True)[1]] = True
-            toks = [six(x.tok[x.first[r] : x.first[r] + x.n[r]]) if h and first[r] else None for r, h in zip(rows, hit, strict=True)]
-            ids = np.array(ids, np.int64)
+        for doc, line, end, text in _units(batches):
+            hit = in_bitmap(wanted.value, name_of(doc, line))
+            if not whole and not hit.any():
+                continue
+            x = Sets(text, len(doc), None, None if whole else hit)
+            rows = np.flatnonzero(x.n)
+            heads = np.flatnonzero(end) if whole else _NOTHING
+            toks = [x.tok[x.first[r] : x.first[r] + x.n[r]].tobytes() if hit[r] else None for r in rows]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([x.sig[rows], np.zeros(len(ids), np.int64)])), pa.array(np.concatenate([ids[doc[rows]], ids])), pa.array(np.concatenate([line[rows], np.full(len(ids), -1)])), pa.array(np.concatenate([x.n[rows], x.per_doc])), pa.array([*toks, *[None] * len(ids)], pa.binary())],
+                [pa.array(np.concatenate([x.sig[rows], np.zeros(len(heads), np.int64)])), pa.array(np.concatenate([doc[rows], doc[heads]])), pa.array(np.concatenate([line[rows], np.full(len(heads), -1)])), pa.array(np.concatenate([x.n[rows], line[heads] + 1])), pa.array([*toks, *[None] * len(heads)], pa.binary())],
                 names=["sig", "doc_id", "line", "n", "toks"],
             )
 
     return run
 
 
-def _late(n: np.ndarray, doc: np.ndarray, line: np.ndarray, toks: list[bytes], percent: int) -> np.ndarray:
-    """Which sets of one component have an earlier match."""
-    _, tok, count = np.unique(unsix(b"".join(toks)), return_inverse=True, return_counts=True)
-    who = np.repeat(np.arange(len(n)), n)
-    common = count > 1
-    who, tok = who[common[tok]], (np.cumsum(common) - 1)[tok[common[tok]]]
-    inter = np.zeros((len(n), len(n)), np.float32)
-    order = np.argsort(tok, kind="stable")
-    who, tok = who[order], tok[order]
-    for lo in range(0, int(common.sum()), 8192):
-        a, b = np.searchsorted(tok, [lo, lo + 8192])
-        m = np.zeros((len(n), min(8192, int(common.sum()) - lo)), np.float32)
-        m[who[a:b], tok[a:b] - lo] = 1
-        inter += m @ m.T
-    rank = np.empty(len(n), np.int64)
-    rank[np.lexsort((line, doc))] = np.arange(len(n))
-    i = inter.astype(np.int64)
-    return ((100 * i >= percent * (n[:, None] + n[None, :] - i)) & (rank[None, :] < rank[:, None])).any(axis=1)
-
-
-def _decide(percent: int):
-    """Some whole components, or one block pair of a large one: the line sets that have an earlier match."""
+def _verify(percent: int):
+    """Pairs with the words of both sets: the names of later sets whose similarity is enough."""
 
-    def run(table: pa.Table) -> pa.Table:
-        component, sig, n, doc, line = (np.asarray(table.column(c)) for c in ("component", "sig", "n", "doc_id", "line"))
-        toks = table.column("toks").to_pylist()
-        order = np.argsort(component, kind="stable")
-        cut = [0, *(np.flatnonzero(np.diff(component[order])) + 1).tolist(), len(order)]
-        late = []
-        for a, b in zip(cut, cut[1:], strict=False):
-            r = order[a:b]
-            if len(r) > 1:
-                late.append(sig[r[_late(n[r], doc[r], line[r], [toks[i] for i in r], percent)]])
-        return pa.table({"sig": np.concatenate(late) if late else np.empty(0, np.int64)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                b = batch.slice(lo, 4096)
+                left, right = ([np.frombuffer(x.as_buffer(), "<u8") for x in b.column(k)] for k in (1, 2))
+                n, m = (np.array([len(x) for x in y]) for y in (left, right))
+                pair = np.concatenate([np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(m)), m)])
+                tok = np.concatenate([*left, *right])
+                order = np.lexsort((tok, pair))
+                tok, pair = tok[order], pair[order]
+                both = np.bincount(pair[1:][(tok[1:] == tok[:-1]) & (pair[1:] == pair[:-1])], minlength=len(n))
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(100 * both >= percent * (n + m - both)))], names=["name"])
 
     return run
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, least: int = MIN_WORDS, vocabulary: int = VOCABULARY) -> DataFrame:
+def _verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """(name): later sets of the pairs that match their earlier one."""
+    words = lines.where("toks IS NOT NULL").select("doc_id", "line", "toks").dropDuplicates(["doc_id", "line"])
+    one = words.select(F.col("doc_id").alias("doc"), "line", F.col("toks").alias("toks"))
+    two = words.select(F.col("doc_id").alias("doc2"), F.col("line").alias("line2"), F.col("toks").alias("toks2"))
+    # The earlier set of a family is its members' candidate, a hot key.
+    both = salted_join(pairs.select("name", "doc", "line", "doc2", "line2").distinct(), two, ["doc2", "line2"], "inner").join(one, ["doc", "line"])
+    return both.select("name", "toks", "toks2").mapInArrow(_verify(percent), "name long").distinct()
+
+
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, vocabulary: int = VOCABULARY, hot: int = HOT, tried: int = TRIED) -> DataFrame:
     """One row per document: doc_id, n_lines, removed (sorted numbers of the lines to remove, from 0).
 
     A line is what line feeds separate. It is removed if an earlier line (smaller doc_id, or the same document
     and a smaller number) has a Jaccard similarity of at least percent / 100 over distinct lower-cased (A-Z)
-    words; lines are judged on the input, not on what is left. Lines of fewer than `least` distinct words stay.
-    Null or empty texts have one empty line. Null ids are dropped, for nothing could be earlier or later than
-    they; repeated rows of an id are one document. An empty table gives no rows.
+    words; lines are judged on the input, not on what is left. Lines without words stay. Null or empty texts have
+    one empty line. Null ids are dropped, for nothing could be earlier or later than they. Rows with one id and
+    one text are one document; of rows with one id and different texts, a line number stands for all lines of
+    that number, which go if any of them does. An empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("t"))
-    counts = materialize(texts.select("doc_id", "t").mapInArrow(_count, "tok long, n long").groupBy("tok").agg(F.sum("n").alias("n")).where("n > 1"))
+    send = spark.sparkContext.broadcast
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).cast("binary").alias("t"))
+    counts = materialize(texts.mapInArrow(_count, "tok long, n long").groupBy("tok").agg(F.sum("n").alias("n")).where("n > 1"))
     # The least count with at most `vocabulary` words at or above it.
-    histogram = sorted((r.n, r["count"]) for r in counts.groupBy(F.least("n", F.lit(100_000)).alias("n")).count().collect())
+    histogram = sorted((r.least, r.kinds, r.n) for r in counts.groupBy(F.least("n", F.lit(100_000)).alias("least")).agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).collect())
     floor, held = 100_001, 0
-    for n, k in reversed(histogram):
+    for n, k, _ in reversed(histogram):
         if held + k > vocabulary:
             break
         floor, held = n, held + k
-    complete = not histogram or floor <= histogram[0][0]
     listed = counts.where(F.col("n") >= floor).toArrow()
-    model = spark.sparkContext.broadcast((np.asarray(listed.column("tok")).astype(np.uint64), np.minimum(np.asarray(listed.column("n")), 1 << 24).astype(np.float32)))
-    often = np.sort(np.asarray(listed.column("n")))[-COMMON:]
-    common = float(often[0]) if len(often) == COMMON else float("inf")
-    buckets = max(16, parts(spark))
-    posts = texts.mapInArrow(_post(model, buckets, percent, complete, least, common), "part int, rows binary")
-    clusters = components(posts.groupBy("part").applyInArrow(_meet(percent), "a long, b long"))
+    words, seen = np.asarray(listed.column("tok")).view(np.uint64), np.asarray(listed.column("n"))
+    order = np.argsort(words)
+    model = send(Counts(words[order], np.minimum(seen[order], 1 << 30).astype(np.int32), bitmap_of(counts, F.col("tok"), BITS)))
+    discard(counts)
+    # About one word in five is posted.
+    buckets = max(16, parts(spark), sum(x[2] for x in histogram) * post(SMALLEST).itemsize // 5 // GROUP)
+    warmest = hot if percent > 50 else float("inf")  # matching sets share two words if percent is above 50
+
+    def pairs_of(only=None, open_=None) -> DataFrame:
+        posts = texts.mapInArrow(_post(model, buckets, percent, warmest, only), "bits int, part int, posts binary")
+        return materialize(posts.groupBy("bits", "part").applyInArrow(_meet(percent, tried, open_), PAIRS))
+
+    def listed_for(pairs: DataFrame, whole: bool) -> DataFrame:
+        both = pairs.select("name").unionByName(pairs.select(F.col("name2").alias("name")))
+        return materialize(texts.mapInArrow(_list(send(bitmap_of(both, F.col("name"), BITS)), whole), "sig long, doc_id long, line long, n long, toks binary"))
+
+    pairs = pairs_of()
+    release(spark)
+    lines = listed_for(pairs, True)
+    late = materialize(_verified(pairs, lines, percent))
     release(spark)
-    bitmap = np.zeros(FILTER_BITS // 8, np.uint8)
-    slots = clusters.select((F.pmod("id", F.lit(FILTER_BITS)) + 1).alias("s"))
-    for r in slots.groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m")).collect():
-        bitmap[(r.b - 1) * 4096 : r.b * 4096] |= np.frombuffer(r.m, np.uint8)
-    lines = materialize(texts.mapInArrow(_list(model, spark.sparkContext.broadcast(bitmap.tobytes()), least), "sig long, doc_id long, line long, n long, toks binary"))
-    real = lines.where("line >= 0")
-    sets = real.groupBy("sig").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count("*").alias("c"))
-    sets = materialize(sets)
-    # One row with words for each clustered set; a set's rows have equal words.
-    members = real.where("toks IS NOT NULL").dropDuplicates(["sig"]).select("sig", "n", "toks").join(clusters.withColumnRenamed("id", "sig"), "sig").join(sets, "sig")
-    members = members.select("component", "sig", "n", "toks", F.col("at.doc_id").alias("doc_id"), F.col("at.line").alias("line"))
-    members = materialize(members)
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "component").withColumn("mine", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    # Components of one block share tasks' groups, some thousand sets in each.
-    bins = members.count() // BLOCK + 1
-    whole = F.col("blocks") == 1
-    bin_ = F.when(whole, F.pmod(F.xxhash64("component"), F.lit(bins))).otherwise(F.col("component"))
-    dealt = dealt.select(whole.alias("whole"), bin_.alias("bin"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "component", "sig", "n", "toks", "doc_id", "line")
-    late = dealt.groupBy("whole", "bin", "i", "j").applyInArrow(_decide(percent), "sig long").distinct().withColumn("late", F.lit(True))
-    verdict = materialize(sets.join(late, "sig", "left").where("late OR c > 1").select("sig", "at", F.coalesce("late", F.lit(False)).alias("late")))
-    gone = salted_join(real.select("sig", "doc_id", "line"), verdict, ["sig"], "inner").where("late OR at.doc_id <> doc_id OR at.line <> line")
+    open_ = pairs.where("more").select("name").distinct().join(late, "name", "left_anti")
+    if open_.limit(1).count():
+        opened = send(bitmap_of(open_, F.col("name"), BITS))
+        keys = texts.mapInArrow(_open_keys(model, opened, percent, warmest), "key long")
+        rest = pairs_of(send(bitmap_of(keys, F.col("key"), BITS)), opened)
+        more = listed_for(rest, False)
+        before, late = late, materialize(late.unionByName(_verified(rest, more, percent)).distinct())
+        discard(before, more, rest)
+        release(spark)
+    # A set that has an earlier match goes wherever it stands, any other stays where it stands first.
+    named = pairs.select("name", "doc", "line").distinct().join(late, "name").select(F.col("doc").alias("doc_id"), "line").withColumn("late", F.lit(True))
+    real = lines.where("line >= 0").select("sig", "doc_id", "line")
+    sets = real.join(named.distinct(), ["doc_id", "line"], "left").groupBy("sig").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count("*").alias("c"), F.max("late").alias("late"))
+    verdict = materialize(sets.where("late OR c > 1").select("sig", "at", F.coalesce("late", F.lit(False)).alias("late")))
+    discard(pairs, late)
+    gone = salted_join(real, verdict, ["sig"], "inner").where("late OR at.doc_id <> doc_id OR at.line <> line")
     gone = gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed"))
     heads = lines.where("line = -1").groupBy("doc_id").agg(F.max("n").alias("n_lines"))
     return heads.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.coalesce("removed", F.array().cast("array<long>")).alias("removed"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, least: int = MIN_WORDS) -> DataFrame:
-    """docs, all columns and rows, with the text less its removed lines; null texts stay null."""
-    gone = removed_lines(docs, id_col, text_col, percent, least).where(F.size("removed") > 0).select(F.col("doc_id").alias("_id"), F.col("removed").alias("_removed"))
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """docs, all columns and rows, with the text less its removed lines; null texts stay null, rows with null ids are as they were."""
+    gone = removed_lines(docs, id_col, text_col, percent).where(F.size("removed") > 0).select(F.col("doc_id").alias("_id"), F.col("removed").alias("_removed"))
     kept = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda x, i: ~F.array_contains("_removed", i.cast("long"))), "\n")
     out = docs.join(gone, docs[id_col].cast("long") == F.col("_id"), "left")
     return out.withColumn(text_col, F.when(F.col("_id").isNull(), F.col(text_col)).otherwise(kept)).select(docs.columns)

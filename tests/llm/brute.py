@@ -66,13 +66,13 @@ def components(rows, k=3, percent=90):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-def lines(rows, least=5, percent=80):
+def lines(rows, percent=80):
     seen, holders, out = [], defaultdict(list), {}
     for i, t in sorted(rows):
         gone, parts = [], (t or "").split("\n")
         for k, line in enumerate(parts):
             s = set(words(line))
-            if len(s) < least:
+            if not s:
                 continue
             counts = Counter(j for w in s for j in holders[w])
             if any(100 * n >= percent * (len(s) + len(seen[j]) - n) for j, n in counts.items()):
