@@ -26,7 +26,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, discard, materialize, mix, parts, release, salted_join, text_of
+from .common import BASE, discard, materialize, mix, parts, release, text_of
 from .ngram_join import prefix_length
 from .words import bitmap_of, blobs_of, dealt, in_bitmap, packed, unpacked, word_hashes
 
@@ -40,7 +40,7 @@ HOT = 1 << 16
 #: A set's candidate is the nearest of so many that pass the bounds.
 TRIED = 8
 #: Words in the smallest class of set sizes; a class's sketches have as many bits as its sets have words at most.
-SMALLEST = 256
+SMALLEST = 128
 CHUNK = 1 << 22
 #: Bytes of postings in a bucket, about.
 GROUP = 24 << 20
@@ -49,32 +49,39 @@ _NOTHING = np.empty(0, np.int64)
 
 @dataclass
 class Counts:
-    """Words in order of their hashes, with their numbers of occurrences, and a bitmap of all repeated words."""
+    """Words in order of their hashes, with their numbers of occurrences; a bitmap of all repeated words; most frequent sets and where each stands first."""
 
     words: np.ndarray
     seen: np.ndarray
     repeated: bytes
+    heavy: np.ndarray
+    place: np.ndarray
 
     def of(self, words: np.ndarray) -> np.ndarray:
         """Occurrences of distinct words: 2 for repeated ones beyond the vocabulary, 1 for words that occur once."""
-        out = np.where(in_bitmap(self.repeated, words.view(np.int64)), 2, 1)
+        words = words.view(np.int64)
+        out = np.where(in_bitmap(self.repeated, words), 2, 1)
         if len(self.words):
             at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
             out = np.where(self.words[at] == words, self.seen[at], out)
         return out
 
+    def later(self, sig: np.ndarray, doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+        """Which lines repeat a frequent set that stands first elsewhere."""
+        if not len(self.heavy):
+            return np.zeros(len(sig), bool)
+        at = np.minimum(np.searchsorted(self.heavy, sig), len(self.heavy) - 1)
+        return (self.heavy[at] == sig) & ((self.place[at, 0] != doc) | (self.place[at, 1] != line))
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bytes]]:
-    """Documents cut at line feeds into units of about CHUNK bytes: document, number, last-of-document and text of the lines."""
-    ids, first, last, texts, size = [], [], [], [], 0
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, bytes]]:
+    """Documents cut at line feeds into units of about CHUNK bytes: document, number and text of the lines."""
+    ids, first, texts, size = [], [], [], 0
 
     def unit():
         n = np.array([t.count(b"\n") + 1 for t in texts])
-        at = np.cumsum(n) - n
-        line = np.arange(n.sum()) - np.repeat(at, n) + np.repeat(np.array(first), n)
-        end = np.zeros(len(line), bool)
-        end[(at + n - 1)[np.array(last)]] = True
-        return np.repeat(np.array(ids, np.int64), n), line, end, b"\n".join(texts)
+        line = np.arange(n.sum()) + np.repeat(np.array(first) - np.cumsum(n) + n, n)
+        return np.repeat(np.array(ids, np.int64), n), line, b"\n".join(texts)
 
     for batch in batches:
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -82,18 +89,20 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
             while at <= len(t):
                 cut = t.find(b"\n", at + CHUNK) if len(t) - at > CHUNK else -1
                 cut = len(t) if cut < 0 else cut
-                ids.append(i), first.append(line), last.append(cut == len(t)), texts.append(t[at:cut])
+                ids.append(i), first.append(line), texts.append(t[at:cut])
                 size += cut - at + 1
-                line += texts[-1].count(b"\n") + 1
+                if cut < len(t):
+                    line += texts[-1].count(b"\n") + 1
                 at = cut + 1
                 if size >= CHUNK or len(ids) >= CHUNK >> 6:
                     yield unit()
-                    ids, first, last, texts, size = [], [], [], [], 0
+                    ids, first, texts, size = [], [], [], 0
     if ids:
         yield unit()
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words with their numbers of occurrences in some units (doc_id null), and the set of each line that has words."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def merged():
@@ -103,10 +112,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out():
         k, n = merged()
         for i in range(0, len(k), 500_000):
-            yield pa.RecordBatch.from_arrays([pa.array(k[i : i + 500_000].view(np.int64)), pa.array(n[i : i + 500_000])], names=["tok", "n"])
+            w = pa.array(k[i : i + 500_000].view(np.int64))
+            yield pa.RecordBatch.from_arrays([w, pa.array(n[i : i + 500_000]), pa.nulls(len(w), pa.int64()), pa.nulls(len(w), pa.int64())], names=["key", "n", "doc_id", "line"])
 
-    for _, _, _, text in _units(batches):
-        held.append(np.unique(word_hashes(text)[0], return_counts=True))
+    for doc, line, text in _units(batches):
+        x = Sets(text, len(doc))
+        held.append((x.known, x.occurrences))
+        yield pa.RecordBatch.from_arrays([pa.array(x.sig[x.some]), pa.array(x.n[x.some]), pa.array(doc[x.some]), pa.array(line[x.some])], names=["key", "n", "doc_id", "line"])
         if len(held) == 8:
             held = [merged()]
             if len(held[0][0]) > 2_000_000:  # bounds the task's memory
@@ -119,21 +131,20 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Sets:
     """The lines of a unit as sets: n distinct words and a hash of each line; tok and seen by (line, rarity) if counts are given.
 
-    only: a mask of the lines to read; holding: a bitmap, of whose words a line needs one to be read. Others count as empty.
+    holding: a bitmap, of whose words a line needs one to be read; other lines count as empty.
     """
 
-    def __init__(self, text: bytes, lines: int, counts: Counts | None, only: np.ndarray | None = None, holding: bytes | None = None):
+    def __init__(self, text: bytes, lines: int, counts: Counts | None = None, holding: bytes | None = None):
         words, start = word_hashes(text)
-        feeds = np.flatnonzero(np.frombuffer(text, np.uint8) == 10)
-        who = np.searchsorted(feeds, start)
+        who = np.searchsorted(np.flatnonzero(np.frombuffer(text, np.uint8) == 10), start)
         if holding is not None:
-            only = np.zeros(lines, bool)
-            only[who[in_bitmap(holding, words.view(np.int64))]] = True
-        if only is not None:
-            words, who = words[only[who]], who[only[who]]
+            read = np.zeros(lines, bool)
+            read[who[in_bitmap(holding, words.view(np.int64))]] = True
+            words, who = words[read[who]], who[read[who]]
         known, at = np.unique(words, return_inverse=True)
         if counts is None:
             seen, rank = None, at
+            self.known, self.occurrences = known, np.bincount(at, minlength=len(known))
         else:  # ranks by (count, hash) among the unit's words make one sortable number of a line and a word
             seen = counts.of(known)
             order = np.lexsort((known, seen))
@@ -189,13 +200,13 @@ def _post(model: Broadcast, buckets: int, percent: int, hot: float, only: Broadc
     """Lines to postings, packed by class and bucket. only: a bitmap of the keys to post."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc, line, _, text in _units(batches):
-            x = Sets(text, len(doc), model.value, holding=only and only.value)
+        for doc, line, text in _units(batches):
+            x = Sets(text, len(doc), model.value, only and only.value)
             order = np.lexsort((line, doc))
             use = np.zeros(len(x.n), bool)
             use[order[np.unique(x.sig[order], return_index=True)[1]]] = True
             # Of two different sets, the smaller of size n has a similarity of at most n / (n + 1): equal sets need no join.
-            use &= (x.n > 0) & (100 * x.n >= percent * (x.n + 1))
+            use &= (x.n > 0) & (100 * x.n >= percent * (x.n + 1)) & ~model.value.later(x.sig, doc, line)
             out, bits, most = [], SMALLEST, int(x.n.max(initial=0))
             while bits < 2 * most or bits == SMALLEST:
                 # A class holds its own sets, and larger ones that may match them.
@@ -225,16 +236,25 @@ def _open_keys(model: Broadcast, open_: Broadcast, percent: int, hot: float):
     """The keys of the open sets' postings, and of a pair the first word too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc, line, _, text in _units(batches):
-            mine = in_bitmap(open_.value, name_of(doc, line))
-            if mine.any():
-                x = Sets(text, len(doc), model.value, mine)
+        for doc, line, text in _units(batches):
+            rows, text = _lines(text, in_bitmap(open_.value, name_of(doc, line)))
+            if len(rows):
+                x = Sets(text, len(rows), model.value)
                 who, key, at = _keys(x, np.flatnonzero(x.n), percent, hot)
                 yield pa.RecordBatch.from_arrays([pa.array(np.union1d(key, x.tok[x.first[who] + at]).view(np.int64))], names=["key"])
 
     return run
 
 
+def _lines(text: bytes, wanted: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """The wanted lines of a unit: their rows and their text."""
+    rows = np.flatnonzero(wanted)
+    if not len(rows):
+        return rows, b""
+    feeds = np.concatenate([[-1], np.flatnonzero(np.frombuffer(text, np.uint8) == 10), [len(text)]])
+    return rows, b"\n".join([text[a:b] for a, b in zip((feeds[rows] + 1).tolist(), feeds[rows + 1].tolist(), strict=True)])
+
+
 def name_of(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
     """A hash of a line's place, for bitmaps."""
     return mix(mix(doc.astype(np.int64).view(np.uint64)) + line.astype(np.uint64)).view(np.int64)
@@ -256,7 +276,9 @@ def candidates(x: np.ndarray, bits: int, percent: int, tried: int, open_: np.nda
     first = np.zeros(len(x), bool)
     first[np.unique(same, return_index=True)[1]] = True
     alive = alive[first[alive]]
-    n, at, sketch = x["n"].astype(np.int64), x["at"].astype(np.int64), x["sketch"]
+    # Where two sets have their first common token, at most the tokens from there on are common; all pairs meet there.
+    n, sketch = x["n"].astype(np.int64), np.ascontiguousarray(x["sketch"])
+    rest, share = (100 + percent) * (n - x["at"]), percent * n
     best, least, passed = np.full(len(x), -1), np.full(len(x), 1 << 40), np.zeros(len(x), np.int64)
     left, right, step, slab = [], [], 0, max(1, (1 << 22) // bits)
     while len(alive):
@@ -265,11 +287,12 @@ def candidates(x: np.ndarray, bits: int, percent: int, tried: int, open_: np.nda
         for lo in range(0, len(alive), slab):
             i = alive[lo : lo + slab]
             j = start[i] + step
-            a, b, p, q = n[i], n[j], at[i], at[j]
-            need = -(-percent * (a + b) // (100 + percent))  # the least intersection
-            ok = (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (np.minimum(p, q) + np.minimum(a - p, b - q) >= need)
-            ok &= (np.minimum(a, b) <= bits) & first[j]
-            i, j, most = i[ok], j[ok], (a + b - 2 * need)[ok]
+            ok = np.minimum(rest[i], rest[j]) >= share[i] + share[j]
+            i, j = i[ok], j[ok]
+            ok = (np.minimum(n[i], n[j]) <= bits) & first[j]
+            i, j = i[ok], j[ok]
+            both = n[i] + n[j]
+            most = both - 2 * -(-percent * both // (100 + percent))
             far = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
             ok = far <= most
             i, j, far = i[ok], j[ok], far[ok]
@@ -315,53 +338,46 @@ def _meet(percent: int, tried: int, open_: Broadcast | None):
     return run
 
 
-def _list(wanted: Broadcast, whole: bool):
-    """Words of the lines that the bitmap has. whole: all other lines that have words too, and for each document a line -1 with its number of lines."""
+def _words(wanted: Broadcast):
+    """Words of the lines that the bitmap has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc, line, end, text in _units(batches):
-            hit = in_bitmap(wanted.value, name_of(doc, line))
-            if not whole and not hit.any():
-                continue
-            x = Sets(text, len(doc), None, None if whole else hit)
-            rows = np.flatnonzero(x.n)
-            heads = np.flatnonzero(end) if whole else _NOTHING
-            toks = [x.tok[x.first[r] : x.first[r] + x.n[r]].tobytes() if hit[r] else None for r in rows]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([x.sig[rows], np.zeros(len(heads), np.int64)])), pa.array(np.concatenate([doc[rows], doc[heads]])), pa.array(np.concatenate([line[rows], np.full(len(heads), -1)])), pa.array(np.concatenate([x.n[rows], line[heads] + 1])), pa.array([*toks, *[None] * len(heads)], pa.binary())],
-                names=["sig", "doc_id", "line", "n", "toks"],
-            )
+        for doc, line, text in _units(batches):
+            rows, text = _lines(text, in_bitmap(wanted.value, name_of(doc, line)))
+            x = Sets(text, len(rows))
+            toks = [x.tok[a : a + n].tobytes() for a, n in zip(x.first.tolist(), x.n.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(line[rows]), pa.array(toks, pa.binary())], names=["doc", "line", "toks"])
 
     return run
 
 
 def _verify(percent: int):
-    """Pairs with the words of both sets: the names of later sets whose similarity is enough."""
+    """Pairs with the words of both sets: the places of later sets whose similarity is enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
                 b = batch.slice(lo, 4096)
-                left, right = ([np.frombuffer(x.as_buffer(), "<u8") for x in b.column(k)] for k in (1, 2))
+                left, right = ([np.frombuffer(x.as_buffer(), "<u8") for x in b.column(k)] for k in (2, 3))
                 n, m = (np.array([len(x) for x in y]) for y in (left, right))
                 pair = np.concatenate([np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(m)), m)])
                 tok = np.concatenate([*left, *right])
                 order = np.lexsort((tok, pair))
                 tok, pair = tok[order], pair[order]
                 both = np.bincount(pair[1:][(tok[1:] == tok[:-1]) & (pair[1:] == pair[:-1])], minlength=len(n))
-                yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(100 * both >= percent * (n + m - both)))], names=["name"])
+                enough = pa.array(100 * both >= percent * (n + m - both))
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(enough), b.column(1).filter(enough)], names=["doc", "line"])
 
     return run
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """(name): later sets of the pairs that match their earlier one."""
-    words = lines.where("toks IS NOT NULL").select("doc_id", "line", "toks").dropDuplicates(["doc_id", "line"])
-    one = words.select(F.col("doc_id").alias("doc"), "line", F.col("toks").alias("toks"))
-    two = words.select(F.col("doc_id").alias("doc2"), F.col("line").alias("line2"), F.col("toks").alias("toks2"))
-    # The earlier set of a family is its members' candidate, a hot key.
-    both = salted_join(pairs.select("name", "doc", "line", "doc2", "line2").distinct(), two, ["doc2", "line2"], "inner").join(one, ["doc", "line"])
-    return both.select("name", "toks", "toks2").mapInArrow(_verify(percent), "name long").distinct()
+def _verified(pairs: DataFrame, words: DataFrame, percent: int) -> DataFrame:
+    """(name, doc, line): later sets of the pairs that match their earlier one."""
+    # False hits of the bitmap have words too; repeated rows have them twice.
+    one, two = words.dropDuplicates(["doc", "line"]), words.dropDuplicates(["doc", "line"]).toDF("doc2", "line2", "toks2")
+    # The earlier set of a family is its members' candidate: a hot key, which adaptive execution splits.
+    both = pairs.select("doc", "line", "doc2", "line2").distinct().join(two, ["doc2", "line2"]).join(one, ["doc", "line"])
+    return both.select("doc", "line", "toks", "toks2").mapInArrow(_verify(percent), "doc long, line long").distinct()
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, vocabulary: int = VOCABULARY, hot: int = HOT, tried: int = TRIED) -> DataFrame:
@@ -377,57 +393,66 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     send = spark.sparkContext.broadcast
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).cast("binary").alias("t"))
-    counts = materialize(texts.mapInArrow(_count, "tok long, n long").groupBy("tok").agg(F.sum("n").alias("n")).where("n > 1"))
-    # The least count with at most `vocabulary` words at or above it.
-    histogram = sorted((r.least, r.kinds, r.n) for r in counts.groupBy(F.least("n", F.lit(100_000)).alias("least")).agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).collect())
-    floor, held = 100_001, 0
-    for n, k, _ in reversed(histogram):
-        if held + k > vocabulary:
-            break
-        floor, held = n, held + k
-    listed = counts.where(F.col("n") >= floor).toArrow()
-    words, seen = np.asarray(listed.column("tok")).view(np.uint64), np.asarray(listed.column("n"))
-    order = np.argsort(words)
-    model = send(Counts(words[order], np.minimum(seen[order], 1 << 30).astype(np.int32), bitmap_of(counts, F.col("tok"), BITS)))
+    scanned = materialize(texts.mapInArrow(_scan, "key long, n long, doc_id long, line long"))
+    counts = materialize(scanned.where("doc_id IS NULL").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"))
+    lines = scanned.where("doc_id IS NOT NULL").select(F.col("key").alias("sig"), "doc_id", "line")
+    sets = materialize(lines.groupBy("sig").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count("*").alias("c")).where("c > 1"))
+    release(spark)
+    words, seen, histogram = _most_frequent(counts, "n", vocabulary, "key")
+    # Frequent sets are posted where they stand first only; others come so rarely that a bucket can drop their repeats.
+    heavy, doc, line, _, _ = _most_frequent(sets, "c", vocabulary, "sig", "at.doc_id", "at.line")
+    model = send(Counts(words, np.minimum(seen, 1 << 30).astype(np.int32), bitmap_of(counts, F.col("key"), BITS), heavy, np.stack([doc, line], axis=1)))
     discard(counts)
     # About one word in five is posted.
-    buckets = max(16, parts(spark), sum(x[2] for x in histogram) * post(SMALLEST).itemsize // 5 // GROUP)
+    buckets = max(16, parts(spark), histogram * post(SMALLEST).itemsize // 5 // GROUP)
     warmest = hot if percent > 50 else float("inf")  # matching sets share two words if percent is above 50
 
     def pairs_of(only=None, open_=None) -> DataFrame:
         posts = texts.mapInArrow(_post(model, buckets, percent, warmest, only), "bits int, part int, posts binary")
         return materialize(posts.groupBy("bits", "part").applyInArrow(_meet(percent, tried, open_), PAIRS))
 
-    def listed_for(pairs: DataFrame, whole: bool) -> DataFrame:
+    def late_of(pairs: DataFrame) -> DataFrame:
         both = pairs.select("name").unionByName(pairs.select(F.col("name2").alias("name")))
-        return materialize(texts.mapInArrow(_list(send(bitmap_of(both, F.col("name"), BITS)), whole), "sig long, doc_id long, line long, n long, toks binary"))
+        words = materialize(texts.mapInArrow(_words(send(bitmap_of(both, F.col("name"), BITS))), "doc long, line long, toks binary"))
+        out = materialize(_verified(pairs, words, percent))
+        discard(words)
+        release(spark)
+        return out
 
     pairs = pairs_of()
     release(spark)
-    lines = listed_for(pairs, True)
-    late = materialize(_verified(pairs, lines, percent))
-    release(spark)
-    open_ = pairs.where("more").select("name").distinct().join(late, "name", "left_anti")
+    late = late_of(pairs)
+    open_ = pairs.where("more").select("name", "doc", "line").distinct().join(late, ["doc", "line"], "left_anti")
     if open_.limit(1).count():
         opened = send(bitmap_of(open_, F.col("name"), BITS))
         keys = texts.mapInArrow(_open_keys(model, opened, percent, warmest), "key long")
         rest = pairs_of(send(bitmap_of(keys, F.col("key"), BITS)), opened)
-        more = listed_for(rest, False)
-        before, late = late, materialize(late.unionByName(_verified(rest, more, percent)).distinct())
-        discard(before, more, rest)
-        release(spark)
-    # A set that has an earlier match goes wherever it stands, any other stays where it stands first.
-    named = pairs.select("name", "doc", "line").distinct().join(late, "name").select(F.col("doc").alias("doc_id"), "line").withColumn("late", F.lit(True))
-    real = lines.where("line >= 0").select("sig", "doc_id", "line")
-    sets = real.join(named.distinct(), ["doc_id", "line"], "left").groupBy("sig").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count("*").alias("c"), F.max("late").alias("late"))
-    verdict = materialize(sets.where("late OR c > 1").select("sig", "at", F.coalesce("late", F.lit(False)).alias("late")))
-    discard(pairs, late)
-    gone = salted_join(real, verdict, ["sig"], "inner").where("late OR at.doc_id <> doc_id OR at.line <> line")
-    gone = gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed"))
-    heads = lines.where("line = -1").groupBy("doc_id").agg(F.max("n").alias("n_lines"))
+        late = late.unionByName(late_of(rest))
+        discard(rest)
+    discard(pairs)
+    # A set stays where it stands first, if it has no earlier match there.
+    again = lines.join(sets, "sig").where("at.doc_id <> doc_id OR at.line <> line").select("doc_id", "line")
+    gone = again.unionByName(late.select(F.col("doc").alias("doc_id"), "line")).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    feeds = F.octet_length("t") - F.octet_length(F.replace(F.col("t"), F.lit("\n"), F.lit("")))
+    heads = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("t")).groupBy("doc_id").agg(F.max(feeds + 1).cast("long").alias("n_lines"))
     return heads.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.coalesce("removed", F.array().cast("array<long>")).alias("removed"))
 
 
+def _most_frequent(rows: DataFrame, count: str, most: int, key: str, *more: str) -> tuple:
+    """key, further columns and count of the rows with the greatest counts, `most` at most, in order of key; the sum of all counts."""
+    band = F.floor(4 * F.log2(count))
+    kinds = rows.groupBy(band.alias("band")).agg(F.count("*").alias("kinds"), F.sum(count).alias("n")).collect()
+    least, held = 1 << 30, 0
+    for at, n, _ in sorted(kinds, reverse=True):
+        if held + n > most:
+            break
+        least, held = at, held + n
+    listed = rows.where(band >= least).select(key, *(F.col(c).alias(f"c{i}") for i, c in enumerate(more)), count).toArrow()
+    columns = [np.asarray(c).astype(np.int64) for c in listed.columns]
+    order = np.argsort(columns[0])
+    return (*(c[order] for c in columns), sum(r.n for r in kinds))
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """docs, all columns and rows, with the text less its removed lines; null texts stay null, rows with null ids are as they were."""
     gone = removed_lines(docs, id_col, text_col, percent).where(F.size("removed") > 0).select(F.col("doc_id").alias("_id"), F.col("removed").alias("_removed"))
