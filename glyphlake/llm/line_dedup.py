@@ -5,10 +5,10 @@ the VOCABULARY most frequent words are broadcast; all others are rarest, and a f
 tells most words that occur once, which join nothing. A line set posts its prefix, with its size, its place, the
 token's position and a parity sketch of its words: the bits in which two sketches differ are at most the words
 in which two sets do. Postings meet by token; length, positional and sketch bounds leave few pairs. In order of
-place, each set takes the earliest set that passes the bounds (the nearest of the first TRIED) as its candidate,
-and the candidate's exact similarity decides. Sets which their candidates do not settle, and that have further
-ones, are open: a second round pairs just those with everything that passes. So a family of near copies costs
-its size, no pair goes unverified that could matter, and nothing is chained.
+place, each set takes the earliest sets that pass the bounds as its candidates, until STRONG of them have near
+sketches, and their exact similarities decide. Sets which their candidates do not settle, and that may have
+further ones, are open: a second round pairs just those with everything that passes. So a family of near copies
+costs its size, no pair goes unverified that could matter, and nothing is chained.
 
 A prefix token above HOT occurrences would gather an unbounded list. All tokens after it in the order are as
 frequent, so it is replaced by pairs of hot tokens in the prefix that is one longer, of which matching sets
@@ -37,11 +37,11 @@ VOCABULARY = 1 << 20
 BITS = 1 << 26
 #: Words that occur more often are posted in pairs.
 HOT = 1 << 16
-#: A set's candidate is the nearest of so many that pass the bounds.
-TRIED = 8
+#: In the first round, a list gives a set as many candidates as it has, but ends after so many, or so many strong ones.
+TRIED, STRONG = 64, 2
 #: Words in the smallest class of set sizes; a class's sketches have as many bits as its sets have words at most.
 SMALLEST = 128
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 #: Bytes of postings in a bucket, about.
 GROUP = 24 << 20
 _NOTHING = np.empty(0, np.int64)
@@ -74,14 +74,20 @@ class Counts:
         return (self.heavy[at] == sig) & ((self.place[at, 0] != doc) | (self.place[at, 1] != line))
 
 
+def _feeds(text: bytes) -> np.ndarray:
+    return np.flatnonzero(np.frombuffer(text, np.uint8) == 10)
+
+
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, bytes]]:
     """Documents cut at line feeds into units of about CHUNK bytes: document, number and text of the lines."""
     ids, first, texts, size = [], [], [], 0
 
     def unit():
-        n = np.array([t.count(b"\n") + 1 for t in texts])
+        text = b"\n".join(texts)
+        end = np.cumsum([len(t) + 1 for t in texts])
+        n = np.diff(np.searchsorted(_feeds(text), end - 1), prepend=-1)
         line = np.arange(n.sum()) + np.repeat(np.array(first) - np.cumsum(n) + n, n)
-        return np.repeat(np.array(ids, np.int64), n), line, b"\n".join(texts)
+        return np.repeat(np.array(ids, np.int64), n), line, text
 
     for batch in batches:
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -94,38 +100,55 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
                 if cut < len(t):
                     line += texts[-1].count(b"\n") + 1
                 at = cut + 1
-                if size >= CHUNK or len(ids) >= CHUNK >> 6:
+                if size >= CHUNK or len(ids) >= CHUNK >> 4:
                     yield unit()
                     ids, first, texts, size = [], [], [], 0
     if ids:
         yield unit()
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words with their numbers of occurrences in some units (doc_id null), and the set of each line that has words."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+SCAN = "part int, words binary, n binary, sig long, doc_id long, line long"
+
+
+def _scan(buckets: int):
+    """Words with their numbers of occurrences in some units, packed by bucket, and the set of each line that has words (part null)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged():
+            k, at = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+            return k, np.bincount(at, weights=np.concatenate([x[1] for x in held])).astype("<i8")
+
+        def out():
+            k, n = merged()
+            part = (k % np.uint64(buckets)).astype(np.int32)
+            order, spans = dealt(part)
+            part, k, n = part[order], k[order], n[order]
+            no = pa.nulls(len(spans), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([int(part[a]) for a, _ in spans], pa.int32()), pa.array([k[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([n[a:b].tobytes() for a, b in spans], pa.binary()), no, no, no], names=["part", "words", "n", "sig", "doc_id", "line"])
+
+        for doc, line, text in _units(batches):
+            x = Sets(text, len(doc))
+            held.append((x.known, x.occurrences))
+            no = pa.nulls(len(x.some), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(x.some), pa.int32()), no, no, pa.array(x.sig[x.some]), pa.array(doc[x.some]), pa.array(line[x.some])], names=["part", "words", "n", "sig", "doc_id", "line"])
+            if len(held) == 8:
+                held = [merged()]
+                if len(held[0][0]) > 2_000_000:  # bounds the task's memory
+                    yield out()
+                    held = []
+        if held:
+            yield out()
 
-    def merged():
-        k, at = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
-        return k, np.bincount(at, weights=np.concatenate([x[1] for x in held])).astype(np.int64)
+    return run
 
-    def out():
-        k, n = merged()
-        for i in range(0, len(k), 500_000):
-            w = pa.array(k[i : i + 500_000].view(np.int64))
-            yield pa.RecordBatch.from_arrays([w, pa.array(n[i : i + 500_000]), pa.nulls(len(w), pa.int64()), pa.nulls(len(w), pa.int64())], names=["key", "n", "doc_id", "line"])
 
-    for doc, line, text in _units(batches):
-        x = Sets(text, len(doc))
-        held.append((x.known, x.occurrences))
-        yield pa.RecordBatch.from_arrays([pa.array(x.sig[x.some]), pa.array(x.n[x.some]), pa.array(doc[x.some]), pa.array(line[x.some])], names=["key", "n", "doc_id", "line"])
-        if len(held) == 8:
-            held = [merged()]
-            if len(held[0][0]) > 2_000_000:  # bounds the task's memory
-                yield from out()
-                held = []
-    if held:
-        yield from out()
+def _sum(table: pa.Table) -> pa.Table:
+    """One bucket of words: those that occur more than once, with their numbers of occurrences."""
+    k, at = np.unique(np.concatenate([np.frombuffer(x, "<u8") for x in blobs_of(table, "words")]), return_inverse=True)
+    n = np.bincount(at, weights=np.concatenate([np.frombuffer(x, "<i8") for x in blobs_of(table, "n")]))
+    return pa.table({"key": k[n > 1].view(np.int64), "n": n[n > 1].astype(np.int64)})
 
 
 class Sets:
@@ -136,7 +159,7 @@ class Sets:
 
     def __init__(self, text: bytes, lines: int, counts: Counts | None = None, holding: bytes | None = None):
         words, start = word_hashes(text)
-        who = np.searchsorted(np.flatnonzero(np.frombuffer(text, np.uint8) == 10), start)
+        who = np.repeat(np.arange(lines), np.diff(np.searchsorted(start, _feeds(text)), prepend=0, append=len(start))) if lines else _NOTHING
         if holding is not None:
             read = np.zeros(lines, bool)
             read[who[in_bitmap(holding, words.view(np.int64))]] = True
@@ -147,7 +170,7 @@ class Sets:
             self.known, self.occurrences = known, np.bincount(at, minlength=len(known))
         else:  # ranks by (count, hash) among the unit's words make one sortable number of a line and a word
             seen = counts.of(known)
-            order = np.lexsort((known, seen))
+            order = np.argsort(seen, kind="stable")
             rank = np.empty(len(known), np.int64)
             rank[order] = np.arange(len(known))
             rank, known, seen = rank[at], known[order], seen[order]
@@ -251,7 +274,7 @@ def _lines(text: bytes, wanted: np.ndarray) -> tuple[np.ndarray, bytes]:
     rows = np.flatnonzero(wanted)
     if not len(rows):
         return rows, b""
-    feeds = np.concatenate([[-1], np.flatnonzero(np.frombuffer(text, np.uint8) == 10), [len(text)]])
+    feeds = np.concatenate([[-1], _feeds(text), [len(text)]])
     return rows, b"\n".join([text[a:b] for a, b in zip((feeds[rows] + 1).tolist(), feeds[rows + 1].tolist(), strict=True)])
 
 
@@ -266,7 +289,8 @@ PAIRS = "name long, doc long, line long, name2 long, doc2 long, line2 long, more
 def candidates(x: np.ndarray, bits: int, percent: int, tried: int, open_: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of postings by (key, place): later and earlier posting of the pairs to verify, and whether the later has more.
 
-    Without open_, the nearest of the first `tried` passing ones for each; with it, all pairs of the open postings.
+    Without open_, each set's earlier ones that pass the bounds, up to `tried` or up to STRONG whose sketches differ by
+    half the bound at most; with it, all pairs of the open postings.
     """
     new = np.concatenate([[True], x["tok"][1:] != x["tok"][:-1]])
     start = np.flatnonzero(new)[np.cumsum(new) - 1]
@@ -279,7 +303,7 @@ def candidates(x: np.ndarray, bits: int, percent: int, tried: int, open_: np.nda
     # Where two sets have their first common token, at most the tokens from there on are common; all pairs meet there.
     n, sketch = x["n"].astype(np.int64), np.ascontiguousarray(x["sketch"])
     rest, share = (100 + percent) * (n - x["at"]), percent * n
-    best, least, passed = np.full(len(x), -1), np.full(len(x), 1 << 40), np.zeros(len(x), np.int64)
+    passed, strong = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
     left, right, step, slab = [], [], 0, max(1, (1 << 22) // bits)
     while len(alive):
         alive = alive[start[alive] + step < alive]
@@ -295,24 +319,20 @@ def candidates(x: np.ndarray, bits: int, percent: int, tried: int, open_: np.nda
             most = both - 2 * -(-percent * both // (100 + percent))
             far = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
             ok = far <= most
-            i, j, far = i[ok], j[ok], far[ok]
-            if open_ is not None:
-                left.append(i), right.append(j)
-                continue
+            i, j = i[ok], j[ok]
+            left.append(i), right.append(j)
             passed[i] += 1
-            nearer = far < least[i]
-            best[i[nearer]], least[i[nearer]] = j[nearer], far[nearer]
-            done.append(i[passed[i] > tried])
-        if done:
+            strong[i] += 2 * far[ok] <= most[ok]
+            done.append(i[(strong[i] == STRONG) | (passed[i] == tried)])
+        if done and open_ is None:
             stop = np.zeros(len(x), bool)
             stop[np.concatenate(done)] = True
             alive = alive[~stop[alive]]
         step += 1
-    if open_ is not None:
-        i, j = (np.concatenate(y) if y else _NOTHING for y in (left, right))
-        return i, j, np.zeros(len(i), bool)
-    i = np.flatnonzero(best >= 0)
-    return i, best[i], passed[i] > 1
+    i, j = (np.concatenate(y) if y else _NOTHING for y in (left, right))
+    if open_ is None:
+        return i, j, ((strong == STRONG) | (passed == tried))[i]
+    return i, j, np.zeros(len(i), bool)
 
 
 def _meet(percent: int, tried: int, open_: Broadcast | None):
@@ -373,10 +393,8 @@ def _verify(percent: int):
 
 def _verified(pairs: DataFrame, words: DataFrame, percent: int) -> DataFrame:
     """(name, doc, line): later sets of the pairs that match their earlier one."""
-    # False hits of the bitmap have words too; repeated rows have them twice.
-    one, two = words.dropDuplicates(["doc", "line"]), words.dropDuplicates(["doc", "line"]).toDF("doc2", "line2", "toks2")
     # The earlier set of a family is its members' candidate: a hot key, which adaptive execution splits.
-    both = pairs.select("doc", "line", "doc2", "line2").distinct().join(two, ["doc2", "line2"]).join(one, ["doc", "line"])
+    both = pairs.join(words.toDF("doc2", "line2", "toks2"), ["doc2", "line2"]).join(words, ["doc", "line"])
     return both.select("doc", "line", "toks", "toks2").mapInArrow(_verify(percent), "doc long, line long").distinct()
 
 
@@ -393,9 +411,9 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     send = spark.sparkContext.broadcast
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).cast("binary").alias("t"))
-    scanned = materialize(texts.mapInArrow(_scan, "key long, n long, doc_id long, line long"))
-    counts = materialize(scanned.where("doc_id IS NULL").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"))
-    lines = scanned.where("doc_id IS NOT NULL").select(F.col("key").alias("sig"), "doc_id", "line")
+    scanned = materialize(texts.mapInArrow(_scan(4 * max(16, parts(spark))), SCAN))
+    counts = materialize(scanned.where("part IS NOT NULL").select("part", "words", "n").groupBy("part").applyInArrow(_sum, "key long, n long"))
+    lines = scanned.where("part IS NULL").select("sig", "doc_id", "line")
     sets = materialize(lines.groupBy("sig").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count("*").alias("c")).where("c > 1"))
     release(spark)
     words, seen, histogram = _most_frequent(counts, "n", vocabulary, "key")
@@ -413,9 +431,11 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def late_of(pairs: DataFrame) -> DataFrame:
         both = pairs.select("name").unionByName(pairs.select(F.col("name2").alias("name")))
-        words = materialize(texts.mapInArrow(_words(send(bitmap_of(both, F.col("name"), BITS))), "doc long, line long, toks binary"))
+        words = texts.mapInArrow(_words(send(bitmap_of(both, F.col("name"), BITS))), "doc long, line long, toks binary")
+        words = materialize(words.dropDuplicates(["doc", "line"]))  # repeated rows have them twice
+        pairs = materialize(pairs.select("doc", "line", "doc2", "line2").distinct())
         out = materialize(_verified(pairs, words, percent))
-        discard(words)
+        discard(words, pairs)
         release(spark)
         return out
 
