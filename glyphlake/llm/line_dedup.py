@@ -42,6 +42,8 @@ TRIED, STRONG = 64, 2
 #: Words in the smallest class of set sizes; a class's sketches have as many bits as its sets have words at most.
 SMALLEST = 128
 CHUNK = 1 << 20
+#: Up to so many documents are looked up by their ids.
+FEW = 5000
 #: Bytes of postings in a bucket, about.
 GROUP = 24 << 20
 _NOTHING = np.empty(0, np.int64)
@@ -111,7 +113,7 @@ SCAN = "part int, words binary, n binary, sig long, doc_id long, line long"
 
 
 def _scan(buckets: int):
-    """Words with their numbers of occurrences in some units, packed by bucket, and the set of each line that has words (part null)."""
+    """Words with their numbers of occurrences in some units, packed by bucket; with part null, the set of each line that has words, and with sig null too, numbers of lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -129,10 +131,12 @@ def _scan(buckets: int):
             return pa.RecordBatch.from_arrays([pa.array([int(part[a]) for a, _ in spans], pa.int32()), pa.array([k[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([n[a:b].tobytes() for a, b in spans], pa.binary()), no, no, no], names=["part", "words", "n", "sig", "doc_id", "line"])
 
         for doc, line, text in _units(batches):
-            x = Sets(text, len(doc))
+            x = Sets.read(text, len(doc))
             held.append((x.known, x.occurrences))
-            no = pa.nulls(len(x.some), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(x.some), pa.int32()), no, no, pa.array(x.sig[x.some]), pa.array(doc[x.some]), pa.array(line[x.some])], names=["part", "words", "n", "sig", "doc_id", "line"])
+            last = np.flatnonzero(np.append(line[1:] <= line[:-1], True) | np.append(doc[1:] != doc[:-1], True))
+            size = len(x.some) + len(last)
+            no, sig = pa.nulls(size, pa.binary()), pa.concat_arrays([pa.array(x.sig[x.some]), pa.nulls(len(last), pa.int64())])
+            yield pa.RecordBatch.from_arrays([pa.nulls(size, pa.int32()), no, no, sig, pa.array(np.concatenate([doc[x.some], doc[last]])), pa.array(np.concatenate([line[x.some], line[last] + 1]))], names=["part", "words", "n", "sig", "doc_id", "line"])
             if len(held) == 8:
                 held = [merged()]
                 if len(held[0][0]) > 2_000_000:  # bounds the task's memory
@@ -152,18 +156,20 @@ def _sum(table: pa.Table) -> pa.Table:
 
 
 class Sets:
-    """The lines of a unit as sets: n distinct words and a hash of each line; tok and seen by (line, rarity) if counts are given.
+    """Lines as sets: n distinct words and a hash of each line; tok and seen by (line, rarity) if counts are given."""
 
-    holding: a bitmap, of whose words a line needs one to be read; other lines count as empty.
-    """
-
-    def __init__(self, text: bytes, lines: int, counts: Counts | None = None, holding: bytes | None = None):
+    @classmethod
+    def read(cls, text: bytes, lines: int, counts: Counts | None = None, holding: bytes | None = None) -> Sets:
+        """The lines of a unit. holding: a bitmap, of whose words a line needs one to be read; other lines count as empty."""
         words, start = word_hashes(text)
         who = np.repeat(np.arange(lines), np.diff(np.searchsorted(start, _feeds(text)), prepend=0, append=len(start))) if lines else _NOTHING
         if holding is not None:
             read = np.zeros(lines, bool)
             read[who[in_bitmap(holding, words.view(np.int64))]] = True
             words, who = words[read[who]], who[read[who]]
+        return cls(words, who, lines, counts)
+
+    def __init__(self, words: np.ndarray, who: np.ndarray, lines: int, counts: Counts | None = None):
         known, at = np.unique(words, return_inverse=True)
         if counts is None:
             seen, rank = None, at
@@ -224,7 +230,7 @@ def _post(model: Broadcast, buckets: int, percent: int, hot: float, only: Broadc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, line, text in _units(batches):
-            x = Sets(text, len(doc), model.value, only and only.value)
+            x = Sets.read(text, len(doc), model.value, only and only.value)
             order = np.lexsort((line, doc))
             use = np.zeros(len(x.n), bool)
             use[order[np.unique(x.sig[order], return_index=True)[1]]] = True
@@ -255,16 +261,15 @@ def _post(model: Broadcast, buckets: int, percent: int, hot: float, only: Broadc
     return run
 
 
-def _open_keys(model: Broadcast, open_: Broadcast, percent: int, hot: float):
-    """The keys of the open sets' postings, and of a pair the first word too."""
+def _open_keys(model: Broadcast, percent: int, hot: float):
+    """The words of open sets to the keys of their postings, and of a pair the first word too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc, line, text in _units(batches):
-            rows, text = _lines(text, in_bitmap(open_.value, name_of(doc, line)))
-            if len(rows):
-                x = Sets(text, len(rows), model.value)
-                who, key, at = _keys(x, np.flatnonzero(x.n), percent, hot)
-                yield pa.RecordBatch.from_arrays([pa.array(np.union1d(key, x.tok[x.first[who] + at]).view(np.int64))], names=["key"])
+        for batch in batches:
+            sets = [np.frombuffer(x.as_buffer(), "<u8") for x in batch.column(0)]
+            x = Sets(np.concatenate([np.empty(0, "<u8"), *sets]), np.repeat(np.arange(len(sets)), [len(t) for t in sets]), len(sets), model.value)
+            who, key, at = _keys(x, np.flatnonzero(x.n), percent, hot)
+            yield pa.RecordBatch.from_arrays([pa.array(np.union1d(key, x.tok[x.first[who] + at]).view(np.int64))], names=["key"])
 
     return run
 
@@ -364,7 +369,7 @@ def _words(wanted: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, line, text in _units(batches):
             rows, text = _lines(text, in_bitmap(wanted.value, name_of(doc, line)))
-            x = Sets(text, len(rows))
+            x = Sets.read(text, len(rows))
             toks = [x.tok[a : a + n].tobytes() for a, n in zip(x.first.tolist(), x.n.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(line[rows]), pa.array(toks, pa.binary())], names=["doc", "line", "toks"])
 
@@ -394,6 +399,7 @@ def _verify(percent: int):
 def _verified(pairs: DataFrame, words: DataFrame, percent: int) -> DataFrame:
     """(name, doc, line): later sets of the pairs that match their earlier one."""
     # The earlier set of a family is its members' candidate: a hot key, which adaptive execution splits.
+    pairs = pairs.select("doc", "line", "doc2", "line2").distinct()
     both = pairs.join(words.toDF("doc2", "line2", "toks2"), ["doc2", "line2"]).join(words, ["doc", "line"])
     return both.select("doc", "line", "toks", "toks2").mapInArrow(_verify(percent), "doc long, line long").distinct()
 
@@ -413,7 +419,8 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).cast("binary").alias("t"))
     scanned = materialize(texts.mapInArrow(_scan(4 * max(16, parts(spark))), SCAN))
     counts = materialize(scanned.where("part IS NOT NULL").select("part", "words", "n").groupBy("part").applyInArrow(_sum, "key long, n long"))
-    lines = scanned.where("part IS NULL").select("sig", "doc_id", "line")
+    lines = scanned.where("part IS NULL AND sig IS NOT NULL").select("sig", "doc_id", "line")
+    heads = scanned.where("part IS NULL AND sig IS NULL").groupBy("doc_id").agg(F.max("line").alias("n_lines"))
     sets = materialize(lines.groupBy("sig").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count("*").alias("c")).where("c > 1"))
     release(spark)
     words, seen, histogram = _most_frequent(counts, "n", vocabulary, "key")
@@ -429,32 +436,30 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         posts = texts.mapInArrow(_post(model, buckets, percent, warmest, only), "bits int, part int, posts binary")
         return materialize(posts.groupBy("bits", "part").applyInArrow(_meet(percent, tried, open_), PAIRS))
 
-    def late_of(pairs: DataFrame) -> DataFrame:
-        both = pairs.select("name").unionByName(pairs.select(F.col("name2").alias("name")))
-        words = texts.mapInArrow(_words(send(bitmap_of(both, F.col("name"), BITS))), "doc long, line long, toks binary")
-        words = materialize(words.dropDuplicates(["doc", "line"]))  # repeated rows have them twice
-        pairs = materialize(pairs.select("doc", "line", "doc2", "line2").distinct())
-        out = materialize(_verified(pairs, words, percent))
-        discard(words, pairs)
-        release(spark)
-        return out
+    def words_of(pairs: DataFrame) -> DataFrame:
+        both = pairs.select("name", "doc").unionByName(pairs.select(F.col("name2").alias("name"), F.col("doc2").alias("doc")))
+        few = [r.doc for r in both.select("doc").distinct().limit(FEW + 1).collect()]
+        some = texts.where(F.col("doc_id").isin(few)) if len(few) <= FEW else texts
+        words = some.mapInArrow(_words(send(bitmap_of(both, F.col("name"), BITS))), "doc long, line long, toks binary")
+        return materialize(words.dropDuplicates(["doc", "line"]))  # repeated rows have them twice
 
     pairs = pairs_of()
     release(spark)
-    late = late_of(pairs)
-    open_ = pairs.where("more").select("name", "doc", "line").distinct().join(late, ["doc", "line"], "left_anti")
-    if open_.limit(1).count():
-        opened = send(bitmap_of(open_, F.col("name"), BITS))
-        keys = texts.mapInArrow(_open_keys(model, opened, percent, warmest), "key long")
-        rest = pairs_of(send(bitmap_of(keys, F.col("key"), BITS)), opened)
-        late = late.unionByName(late_of(rest))
-        discard(rest)
+    words = words_of(pairs)
+    late = materialize(_verified(pairs, words, percent))
+    release(spark)
+    open_ = materialize(pairs.where("more").select("name", "doc", "line").distinct().join(late, ["doc", "line"], "left_anti"))
     discard(pairs)
+    if open_.limit(1).count():
+        keys = words.join(open_, ["doc", "line"]).select("toks").mapInArrow(_open_keys(model, percent, warmest), "key long")
+        rest = pairs_of(send(bitmap_of(keys, F.col("key"), BITS)), send(bitmap_of(open_, F.col("name"), BITS)))
+        more = words_of(rest)
+        late = late.unionByName(materialize(_verified(rest, more, percent)))
+        discard(rest, more)
+    discard(words, open_)
     # A set stays where it stands first, if it has no earlier match there.
     again = lines.join(sets, "sig").where("at.doc_id <> doc_id OR at.line <> line").select("doc_id", "line")
     gone = again.unionByName(late.select(F.col("doc").alias("doc_id"), "line")).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed"))
-    feeds = F.octet_length("t") - F.octet_length(F.replace(F.col("t"), F.lit("\n"), F.lit("")))
-    heads = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("t")).groupBy("doc_id").agg(F.max(feeds + 1).cast("long").alias("n_lines"))
     return heads.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.coalesce("removed", F.array().cast("array<long>")).alias("removed"))
 
 

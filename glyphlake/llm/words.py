@@ -46,10 +46,11 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def bitmap_of(df: DataFrame, key: Column, bits: int) -> bytes:
     """A bitmap of `bits` bits (a multiple of 32768) with the bit pmod(key, bits) of every row set."""
-    slot = (F.pmod(key, F.lit(bits)) + 1).alias("s")
+    slots = df.select((F.pmod(key, F.lit(bits)) + 1).alias("s")).select("s", F.bitmap_bucket_number("s").alias("b"))
+    if slots.count() < bits:  # few: the slots travel, beyond that every task's bitmap
+        slots = slots.repartition("b")
     out = np.zeros(bits // 8, np.uint8)
-    rows = df.select(slot).groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m"))
-    for r in rows.toLocalIterator():
+    for r in slots.groupBy("b").agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m")).toLocalIterator():
         out[(r.b - 1) * 4096 : r.b * 4096] |= np.frombuffer(r.m, np.uint8)
     return out.tobytes()
 
