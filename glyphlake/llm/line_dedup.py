@@ -38,7 +38,7 @@ BITS = 1 << 26
 #: Words that occur more often are posted in pairs.
 HOT = 1 << 16
 #: In the first round, a list gives a set as many candidates as it has, but ends after so many, or so many strong ones.
-TRIED, STRONG = 64, 2
+TRIED, STRONG = 64, 1
 #: Words in the smallest class of set sizes; a class's sketches have as many bits as its sets have words at most.
 SMALLEST = 128
 CHUNK = 1 << 20

@@ -13,10 +13,8 @@ from pyspark.sql import functions as F
 from .common import mix
 
 #: Words are runs of anything but ASCII white space, with A-Z lower-cased.
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+_SPACE = bytes(x in (9, 10, 11, 12, 13, 32) for x in range(256))
+_LOWER = bytes(x + 32 * (65 <= x <= 90) for x in range(256))
 _MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 _ODD = np.uint64(0x9FB21C651E98DF25)
 #: Words of more bytes are hashed one by one.
@@ -25,13 +23,13 @@ _WIDE = 64
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of a byte string, in order, and where each starts."""
-    low = _LOWER[np.frombuffer(data + b" \0\0\0\0\0\0\0\0", np.uint8)]
-    space = _SPACE[low[: len(data) + 1]]
+    low = data.translate(_LOWER) + b" \0\0\0\0\0\0\0\0"
+    space = np.frombuffer((data + b" ").translate(_SPACE), np.uint8)
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if not space[0]:
         edge = np.concatenate([[0], edge])
     start, size = edge[::2], edge[1::2] - edge[::2]
-    eight = np.ndarray((len(low) - 7,), "<u8", low.data, strides=(1,))
+    eight = np.ndarray((len(low) - 7,), "<u8", low, strides=(1,))
     h = mix((eight[start] & _MASK[np.minimum(size, 8)]) + size.astype(np.uint64) * _ODD)
     more = np.flatnonzero(size > 8)
     at = 8
