@@ -108,10 +108,10 @@ def components(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = held = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")))
     while True:
-        # A hub of many edges and the label of a large component are hot keys.
-        near = salted_join(both, labels.select(F.col("id").alias("b"), F.col("component").alias("near")), ["b"], "inner").groupBy(F.col("a").alias("id")).agg(F.min("near").alias("near"))
+        # A hub of many edges and the label of a large component are hot keys: adaptive execution splits these plain joins.
+        near = both.join(labels.select(F.col("id").alias("b"), F.col("component").alias("near")), "b").groupBy(F.col("a").alias("id")).agg(F.min("near").alias("near"))
         jump = labels.select(F.col("id").alias("component"), F.col("component").alias("jump"))
-        new = salted_join(labels.join(near, "id"), jump, ["component"])
+        new = labels.join(near, "id").join(jump, "component", "left")
         new = materialize(new.select("id", F.least("component", "near", "jump").alias("component"), (F.least("near", "jump") < F.col("component")).alias("moved")))
         discard(held)
         labels, held = new.select("id", "component"), new

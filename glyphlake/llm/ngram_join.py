@@ -24,44 +24,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, BYTE_CODE, components, materialize, mix, parts, powers, release, salted_join, text_of
+from .common import BASE, components, discard, materialize, mix, parts, release, salted_join, text_of
+from .words import blobs_of, dealt, word_hashes
 
 SHINGLE, PERCENT = 3, 90
-CHUNK, CHUNK_DOCS = 1 << 22, 50_000
+CHUNK, CHUNK_DOCS = 1 << 20, 50_000
 BLOCK = 1000
 VOCABULARY = 8192
 #: Numbers of sets travel in 2 bytes; this one means so many or more.
 MANY = 65535
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-
-
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, in order, and the text each belongs to. Words are runs of anything but ASCII white space, A-Z lower-cased."""
-    data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-    if not len(data):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    inside = ~_SPACE[data]
-    edge = np.diff(inside.astype(np.int8), prepend=np.int8(0))
-    start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if not len(start):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    size = stop - start
-    at = np.flatnonzero(inside)
-    first = np.cumsum(size) - size
-    place = np.arange(len(at)) - np.repeat(first, size)
-    h = np.add.reduceat(BYTE_CODE[_LOWER[data[at]]] * powers(int(size.max()), BASE)[place], first)
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    return mix(h + size.astype(np.uint64)), np.searchsorted(ends, start, side="right")
-
 
 def shingle_hashes(texts: list[bytes], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Text number and hash of the distinct k-word shingles of each text; a text of fewer words is one shingle."""
-    words, owner = word_hashes(texts)
-    counts = np.bincount(owner, minlength=len(texts)).astype(np.int64)
+    words, start = word_hashes(b"\n".join(texts))
+    counts = np.diff(np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts])), prepend=0) if texts else np.empty(0, np.int64)
+    owner = np.repeat(np.arange(len(texts)), counts)
     full = np.flatnonzero(np.arange(len(words)) + k <= np.cumsum(counts)[owner]) if len(words) else np.empty(0, np.int64)
     h = words[full]
     for i in range(1, k):
@@ -111,12 +89,11 @@ def _spread(sets: Callable, buckets: int):
                 sig[some, 0], sig[some, 1] = np.add.reduceat(mix(h), first[some]), np.add.reduceat(mix(h ^ BASE), first[some])
             tok = h >> np.uint64(16)
             part = (tok % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(part, kind="stable")
+            order, spans = dealt(part)
             part, tok, who = part[order], tok[order], who[order].astype("<u2")
-            cut = np.flatnonzero(np.diff(part)) + 1
-            at = [0, *cut.tolist(), len(part)] if len(part) else [0]
-            rows = [(unit % buckets, True, np.array(ids, "<i8").tobytes(), n.astype("<i8").tobytes(), sig.tobytes())]
-            rows += [(int(part[a]), False, who[a:b].tobytes(), None, six(tok[a:b])) for a, b in zip(at, at[1:], strict=False)]
+            home = int(mix(np.array([unit], np.uint64))[0] % np.uint64(buckets))
+            rows = [(home, True, np.array(ids, "<i8").tobytes(), n.astype("<i8").tobytes(), sig.tobytes())]
+            rows += [(int(part[a]), False, who[a:b].tobytes(), None, six(tok[a:b])) for a, b in spans]
             p, head, i, c, t = zip(*rows, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array([unit] * len(p), pa.int64()), pa.array(head), pa.array(i, pa.binary()), pa.array(c, pa.binary()), pa.array(t, pa.binary())], names=["part", "unit", "head", "ids", "n", "toks"])
 
@@ -124,7 +101,6 @@ def _spread(sets: Callable, buckets: int):
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 t = t.as_py()
-                t = t.encode("utf-8", "replace") if isinstance(t, str) else t
                 ids.append(i), texts.append(t)
                 size += len(t)
                 if size >= CHUNK or len(ids) >= CHUNK_DOCS:
@@ -140,20 +116,26 @@ def _spread(sets: Callable, buckets: int):
 def _repeated(table: pa.Table) -> pa.Table:
     """One bucket: keeps the tokens that more than one set has, with their numbers of sets."""
     head = np.asarray(table.column("head").to_pandas(), bool)
+    heads = table.filter(pa.array(head)).select(["unit", "head", "ids", "n", "toks"])
     rows = table.filter(pa.array(~head))
-    unit, ids, toks = rows.column("unit").to_pylist(), rows.column("ids").to_pylist(), rows.column("toks").to_pylist()
-    tok = unsix(b"".join(toks)) if toks else np.empty(0, np.uint64)
-    _, at, count = np.unique(tok, return_inverse=True, return_counts=True)
-    df = np.minimum(count, MANY)[at] if len(tok) else np.empty(0, np.int64)
+    unit = rows.column("unit").to_pylist()
+    del table
+    tok = np.concatenate([np.empty(0, np.uint64), *map(unsix, blobs_of(rows, "toks"))])
+    # Numbers of sets, by the sorted tokens' runs.
+    order = np.argsort(tok)
+    new = np.flatnonzero(np.concatenate([[True], tok[order[1:]] != tok[order[:-1]]])) if len(tok) else np.empty(0, np.int64)
+    count = np.diff(new, append=len(tok))
+    df = np.empty(len(tok), "<u2")
+    df[order] = np.repeat(np.minimum(count, MANY).astype("<u2"), count)
+    del order, new, count
     out, begin = [], 0
-    for u, i in zip(unit, ids, strict=True):
+    for u, i in zip(unit, blobs_of(rows, "ids"), strict=True):
         who = np.frombuffer(i, "<u2")
         s = slice(begin, begin + len(who))
         begin += len(who)
         keep = df[s] > 1
         if keep.any():
-            out.append((u, False, who[keep].tobytes(), df[s][keep].astype("<u2").tobytes(), six(tok[s][keep])))
-    heads = table.filter(pa.array(head)).select(["unit", "head", "ids", "n", "toks"])
+            out.append((u, False, who[keep].tobytes(), df[s][keep].tobytes(), six(tok[s][keep])))
     u, f, i, n, t = zip(*out, strict=True) if out else ([], [], [], [], [])
     new = pa.table({"unit": pa.array(u, pa.int64()), "head": pa.array(f, pa.bool_()), "ids": pa.array(i, pa.binary()), "n": pa.array(n, pa.binary()), "toks": pa.array(t, pa.binary())})
     return pa.concat_tables([heads.cast(new.schema), new])
@@ -239,7 +221,7 @@ def _verify(percent: int):
 def linked(rows: DataFrame, sets: Callable = shingle_hashes, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """(id, n, rep, component) of rows (id, t): set size, smallest id with the same set, smallest id reachable by links."""
     spark = rows.sparkSession
-    buckets = max(16, parts(spark))
+    buckets = 4 * max(16, parts(spark))
     spread = rows.mapInArrow(_spread(sets, buckets), ROW)
     counted = spread.groupBy("part").applyInArrow(_repeated, "unit long, head boolean, ids binary, n binary, toks binary")
     table = materialize(counted.groupBy("unit").applyInArrow(_assemble(percent), SETS))
@@ -260,10 +242,12 @@ def linked(rows: DataFrame, sets: Callable = shingle_hashes, percent: int = PERC
     chains = salted_join(postings, leaders, ["tok"], "inner").where("gid <> leader").select(F.col("gid").alias("a"), F.col("leader").alias("b")).distinct()
     chains = chains.unionByName(grouped.where("id <> gid").select(F.col("id").alias("a"), F.col("gid").alias("b")))
     clusters = components(chains)
+    discard(grouped)
     # Members, dealt to units of neighbouring size bands, each cut into blocks.
     band = F.floor(F.log("n") / F.lit(float(np.log(100 / percent)))).cast("int")
     members = reps.join(clusters, "id").select("component", "id", "n", "toks", band.alias("band"))
     members = materialize(members)
+    discard(reps)
     spans = members.select("component", F.explode(F.array("band", F.col("band") - 1)).alias("u"), "band")
     spans = spans.groupBy("component", "u").agg(F.count("*").alias("m"), F.count_if(F.col("u") == F.col("band")).alias("own")).where("m > 1 AND own > 0")
     spans = spans.select("component", "u", F.ceil(F.col("m") / F.lit(block)).cast("int").alias("blocks"))
@@ -273,6 +257,7 @@ def linked(rows: DataFrame, sets: Callable = shingle_hashes, percent: int = PERC
     dealt = dealt.select("component", "u", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "id", "n", (F.col("band") == F.col("u")).alias("near"), "toks")
     links = dealt.groupBy("component", "u", "i", "j").applyInArrow(_verify(percent), "a long, b long")
     found = components(links)
+    discard(members)
     out = salted_join(table.select("id", "n", "s1", "s2"), classes.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"]).select("id", "n", F.coalesce("rep", "id").alias("rep"))
     return salted_join(out, found.select(F.col("id").alias("rep"), "component"), ["rep"]).select("id", "n", "rep", F.coalesce("component", "rep").alias("component"))
 
@@ -284,5 +269,5 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     or empty text has an empty set and links with nothing. Rows with one id are one document if their texts
     agree. Null ids are dropped, for they name nothing; an empty table gives no rows.
     """
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("t"))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_of(text_col).cast("binary").alias("t"))
     return linked(rows, partial(shingle_hashes, k=shingle), percent).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("rep").alias("set_id"))
