@@ -142,8 +142,43 @@ def test_op1_judges_short_lines(spark, rows, tmp_path):
 
 
 def test_suffix_dedup(spark, rows):
-    got = suffix_dedup(table(spark, rows)).collect()
-    assert {r.doc_id: tuple(r)[1:] for r in got} == brute.substrings(rows)
+    rng = random.Random(8)
+    words = "".join(rng.choice("ab c") for _ in range(400))
+    # Periodic texts, a passage with many surroundings, and pieces that begin anywhere in a passage.
+    more = [(3000, "abc" * 200), (3001, "bca" * 200), (3002, "x" + "abc" * 90 + "y"), (3003, "😀" * 80), (3004, "é" + "😀" * 70)]
+    more += [(4000 + k, "".join(rng.choice("xyz") for _ in range(rng.randint(0, 60))) + words[k : k + rng.randint(60, 200)] + "".join(rng.choice("uvw") for _ in range(rng.randint(0, 60)))) for k in range(60)]
+    want = brute.substrings(rows + more)
+    for other in ({}, {"step": 150}, {"hot": 1}):
+        got = suffix_dedup(table(spark, rows + more), **other).collect()
+        assert {r.doc_id: tuple(r)[1:] for r in got} == want
+
+
+def test_suffix_dedup_of_repeated_rows_and_null_ids(spark):
+    text = "".join(random.Random(1).choices("abcdefgh ", k=300))
+    got = suffix_dedup(table(spark, [(1, text), (1, text), (None, text), (2, text[50:250])])).collect()
+    assert sorted((r.doc_id or 0, r.n_removed) for r in got) == [(0, 0), (1, 0), (1, 0), (2, 200)]
+
+
+def test_ranks_tell_equal_windows():
+    from glyphlake.llm import suffix_dedup as s
+
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 99, 3000).astype(np.uint8)
+    data[1500:1900] = data[100:500]
+    data[2200:2330] = data[1510:1640]
+    doc, key, _, p, span, off = s.samples(data, np.array([1300, 3000]))
+    start = p + np.array([0, 1300])[doc]
+    size = span + s.LENGTH
+    text = np.concatenate([data[a : a + n] for a, n in zip(start, size, strict=True)])
+    d, q = s.late_windows(text, np.cumsum(size) - size, doc, p, span, off)
+    seen, want = set(), set()
+    for i in range(3000 - 99):
+        if not 1300 - 100 < i < 1300:
+            w = data[i : i + 100].tobytes()
+            if w in seen:
+                want.add((int(i >= 1300), i - 1300 * (i >= 1300)))
+            seen.add(w)
+    assert set(zip(d.tolist(), q.tolist(), strict=True)) == want and want
 
 
 def test_packing_round_trip(spark, rows):
