@@ -105,7 +105,7 @@ class Table:
 
     @classmethod
     def of(cls, keys: np.ndarray, values: np.ndarray) -> Table:
-        bits = max(4, int(4 * len(keys)).bit_length())
+        bits = max(4, int(2 * len(keys)).bit_length())
         out = cls(np.full(1 << bits, cls.EMPTY), np.zeros(1 << bits, np.float32), np.uint64(64 - bits))
         keys, values = keys.astype(np.uint64), values.astype(np.float32)
         at = ((keys * cls.FACTOR) >> out.shift).astype(np.int64)
