@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import lean, text_of
 from .language_id import forward_backward
 
 WIDTH = 1 << 13
@@ -315,6 +315,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Null or empty html gives an empty text, as does a page without text blocks. Repeated rows are extracted
     each; an empty table gives no rows; other columns are not read.
     """
+    lean(pages.sparkSession)
     model = pages.sparkSession.sparkContext.broadcast(fit(labelled if labelled is not None else labelled_pages()))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), text_of(html_col).alias("html"))
 

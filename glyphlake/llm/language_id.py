@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, mix, powers, text_of
+from .common import BASE, lean, mix, powers, text_of
 
 WIDTH = 1 << 18
 #: Bounds of the training sample.
@@ -186,6 +186,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     there is nothing to learn from. Repeated rows are judged alike; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    lean(spark)
     known = docs.where(~held_out(F.col(id_col))).where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     known = known.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("t"), F.xxhash64(F.col(id_col)).alias("h"))
     counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()

@@ -26,7 +26,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, discard, materialize, mix, parts, release, text_of
+from .common import BASE, discard, lean, materialize, mix, parts, release, text_of, trim
 from .ngram_join import prefix_length
 from .words import bitmap_of, blobs_of, dealt, in_bitmap, packed, unpacked, word_hashes
 
@@ -107,6 +107,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
                     ids, first, texts, size = [], [], [], 0
     if ids:
         yield unit()
+    trim()
 
 
 SCAN = "part int, words binary, n binary, sig long, doc_id long, line long"
@@ -139,7 +140,7 @@ def _scan(buckets: int):
             yield pa.RecordBatch.from_arrays([pa.nulls(size, pa.int32()), no, no, sig, pa.array(np.concatenate([doc[x.some], doc[last]])), pa.array(np.concatenate([line[x.some], line[last] + 1]))], names=["part", "words", "n", "sig", "doc_id", "line"])
             if len(held) == 8:
                 held = [merged()]
-                if len(held[0][0]) > 2_000_000:  # bounds the task's memory
+                if len(held[0][0]) > 1_000_000:  # bounds the task's memory
                     yield out()
                     held = []
         if held:
@@ -415,6 +416,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     that number, which go if any of them does. An empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
+    lean(spark)
     send = spark.sparkContext.broadcast
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).cast("binary").alias("t"))
     scanned = materialize(texts.mapInArrow(_scan(4 * max(16, parts(spark))), SCAN))

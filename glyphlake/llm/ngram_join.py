@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, components, discard, materialize, mix, parts, release, salted_join, text_of
+from .common import BASE, components, discard, lean, materialize, mix, parts, release, salted_join, text_of, trim
 from .words import blobs_of, dealt, word_hashes
 
 SHINGLE, PERCENT = 3, 90
@@ -109,6 +109,7 @@ def _spread(sets: Callable, buckets: int):
                     ids, texts, size = [], [], 0
         if ids:
             yield emit(ids, texts, unit)
+        trim()
 
     return run
 
@@ -221,6 +222,7 @@ def _verify(percent: int):
 def linked(rows: DataFrame, sets: Callable = shingle_hashes, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """(id, n, rep, component) of rows (id, t): set size, smallest id with the same set, smallest id reachable by links."""
     spark = rows.sparkSession
+    lean(spark)
     buckets = 4 * max(16, parts(spark))
     spread = rows.mapInArrow(_spread(sets, buckets), ROW)
     counted = spread.groupBy("part").applyInArrow(_repeated, "unit long, head boolean, ids binary, n binary, toks binary")

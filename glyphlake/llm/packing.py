@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, parts, text_of
+from .common import lean, materialize, parts, text_of
 
 CAPACITY = 1024
 END = 2
@@ -209,6 +209,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     table gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
+    lean(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("t"))
     pieces = materialize(texts.mapInArrow(_pieces(vocabulary(json_path), capacity), "doc_id long, piece int, start long, length long, ids_crc32 long"))
     histogram = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import lean, materialize, trim
 
 ORDER = 5
 #: The threshold of a language: this quantile of its held-out trusted documents.
@@ -34,7 +34,9 @@ MAX_ENTRIES = 4_000_000
 SHARDS = 64
 #: Labels are broadcast up to so many rows (16 bytes each), joined by a shuffle beyond.
 MAX_LABELS = 1_000_000
-CHUNK = 1 << 21
+CHUNK = 1 << 20
+#: Rows that are scored at a time.
+ROWS = 1000
 PAD = b"\n" * (ORDER - 1)
 
 
@@ -189,7 +191,7 @@ def _score_fn(block, unigrams, lang_at: int, text_at: int, keep: list[int], name
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = {lang: (Table.of(k, v), shards) for lang, (k, v, shards) in block.value.items()}
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             langs, texts = batch.column(lang_at).to_pylist(), batch.column(text_at).to_pylist()
             lp, size = np.zeros(len(langs)), np.zeros(len(langs), np.int64)
             for lang in {x for x in langs if x in tables}:
@@ -214,6 +216,8 @@ def _score_fn(block, unigrams, lang_at: int, text_at: int, keep: list[int], name
                 lp += np.asarray(batch.column(total_at))
                 size = np.maximum(size, np.asarray(batch.column(total_at + 1)))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(lp), pa.array(size)], names=names)
+        del tables
+        trim()
 
     return run
 
@@ -235,6 +239,7 @@ def score(docs: DataFrame, model: Model, lang_col: str, text_col: str, keep: lis
 def train(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, max_entries: int = MAX_ENTRIES) -> Model:
     """The model and the thresholds, from doc_id, text and lang of docs and doc_id, quality and toxic of labels."""
     spark = docs.sparkSession
+    lean(spark)
     good = labels.where("doc_id IS NOT NULL AND quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id").distinct()
     if good.limit(MAX_LABELS + 1).count() <= MAX_LABELS:
         good = F.broadcast(good)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, BASE_INV, BYTE_CODE, discard, materialize, mix, parts, powers, release, text_of
+from .common import BASE, BASE_INV, BYTE_CODE, discard, lean, materialize, mix, parts, powers, release, text_of, trim
 from .words import blobs_of, dealt
 
 LENGTH = 100
@@ -101,6 +101,7 @@ def _units(batches: Iterator[pa.RecordBatch], *more: int) -> Iterator[tuple]:
             size += len(row[1])
     if held:
         yield tuple(map(list, zip(*held, strict=True)))
+    trim()
 
 
 def _pieces(ids: list, texts: list[bytes], step: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -342,6 +343,7 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Longer texts are read in pieces of `step` bytes; k-mers with more than `hot` surroundings are dealt more finely.
     """
     spark = docs.sparkSession
+    lean(spark)
     buckets = 4 * max(16, parts(spark))
     texts = _texts(docs, id_col, text_col).where("doc_id IS NOT NULL").where(F.octet_length("t") >= LENGTH)
     met = materialize(texts.mapInArrow(_deal(buckets, step), SAMPLES).groupBy("part").applyInArrow(_meet(hot), "doc_id long, gone binary, want binary"))
