@@ -7,11 +7,14 @@ hinted side is the anchor, which has one row.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import is_stub, strip_category
 
+
 def _row(*names: str) -> Column:
     return F.struct(*names)
 
@@ -72,16 +75,38 @@ def entry_targets(names: DataFrame, symbols: DataFrame) -> DataFrame:
     return rows.select("name", "kind", "module", "path", "annotation", "imported_name", pick("target_name", "name"), pick("target_kind", "kind"), pick("target_path", "path"))
 
 
-def ancestors(bases: DataFrame, depth: int = 32) -> DataFrame:
-    """(class_name, ancestor), the class itself included; cycles end because pairs are distinct."""
-    spark = bases.sparkSession
-    return spark.sql(
-        f"""WITH RECURSIVE up(class_name, ancestor, depth) AS (
-            SELECT class_name, class_name, 0 FROM (SELECT class_name FROM {{b}} UNION SELECT base FROM {{b}})
-            UNION ALL SELECT up.class_name, b.base, depth + 1 FROM up JOIN {{b}} b ON b.class_name = up.ancestor WHERE depth < {int(depth)})
-        SELECT DISTINCT class_name, ancestor FROM up""",
-        b=bases,
-    )
+def _settled(df: DataFrame) -> DataFrame:
+    """df from a table in the shared checkpoint folder, so that a loop's plan does not grow."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if spark.sparkContext.master.split("[")[0] != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            folder = "file://" + tempfile.mkdtemp(prefix="glyphlake-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
+def ancestors(bases: DataFrame) -> DataFrame:
+    """(class_name, ancestor, distance), the class itself at distance 0, of bases (class_name, base).
+
+    Distinct pairs with their least distance, to a fixed point: each round joins the known pairs with themselves,
+    so the rounds grow with the logarithm of the depth. Diamonds count once and cycles end; nulls are no classes.
+    """
+    pair = F.col("class_name").isNotNull() & F.col("ancestor").isNotNull() & (F.col("class_name") != F.col("ancestor"))
+    steps = _settled(bases.select("class_name", F.col("base").alias("ancestor"), F.lit(1).alias("distance")).where(pair).distinct())
+    size = lambda: steps.agg(F.count("*"), F.coalesce(F.sum("distance"), F.lit(0))).first()
+    seen = size()
+    while True:
+        up = steps.toDF("ancestor", "higher", "more")
+        longer = steps.join(up, "ancestor").select("class_name", F.col("higher").alias("ancestor"), (F.col("distance") + F.col("more")).alias("distance")).where(pair)
+        steps = _settled(steps.unionByName(longer).groupBy("class_name", "ancestor").agg(F.min("distance").alias("distance")))
+        before, seen = seen, size()
+        if seen == before:
+            break
+    own = bases.select(F.explode(F.array("class_name", "base")).alias("class_name")).where("class_name IS NOT NULL").distinct()
+    return steps.unionByName(own.select("class_name", F.col("class_name").alias("ancestor"), F.lit(0).alias("distance")))
 
 
 def callable_names(targets: DataFrame, symbols: DataFrame, methods: DataFrame, bases: DataFrame) -> DataFrame:

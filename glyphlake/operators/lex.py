@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,14 +39,40 @@ def _caret_pieces(x: Column) -> Column:
     )
 
 
-def lexemes(text: Column) -> Column:
-    """Array of (lexeme, start): offsets are code points; built row by row, without a shuffle."""
-    found = F.regexp_extract_all(text, F.lit(LEX), F.lit(0))
-    return F.aggregate(
-        found,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<lexeme:string,start:int>>").alias("out")),
+#: Lexemes in a block of `lexemes`.
+_BLOCK = 256
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _blocks(found: Column) -> Column:
+    last = F.floor((F.size(found) - 1) / _BLOCK).cast("int")
+    return F.when(F.size(found) > 0, F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(found, b * _BLOCK + 1, _BLOCK)))
+
+
+def _placed(blocks: Column) -> Column:
+    start = lambda kind: F.array().cast(f"array<{kind}>").alias("out")
+    sizes = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), lambda n, y: n + F.length(y)))
+    before = F.aggregate(sizes, F.struct(F.lit(0).alias("at"), start("int")), lambda a, n: F.struct((a.at + n).alias("at"), F.array_append(a.out, a.at).alias("out")))["out"]
+    one = lambda block, at: F.aggregate(
+        block,
+        F.struct(at.alias("at"), start("struct<lexeme:string,start:int>")),
         lambda a, x: F.struct((a.at + F.length(x)).alias("at"), F.array_append(a.out, F.struct(x.alias("lexeme"), a.at.alias("start"))).alias("out")),
     )["out"]
+    return F.flatten(F.zip_with(blocks, before, one))
+
+
+def lexemes(text: Column) -> Column:
+    """Array of (lexeme, start): offsets are code points; built row by row, without a shuffle.
+
+    A fold copies its array at every step, so offsets are summed in blocks: first of blocks, then inside each.
+    """
+    found = F.regexp_extract_all(text, F.lit(LEX), F.lit(0))
+    placed = _let(found, lambda f: _let(_blocks(f), _placed))
+    return F.when(text.isNotNull(), F.coalesce(placed, F.array().cast("array<struct<lexeme:string,start:int>>")))
 
 
 def tokens(files: DataFrame) -> DataFrame:

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import ast
-import io
-import tokenize
+import keyword
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -51,89 +51,168 @@ def apply_fixes(files: DataFrame, hits: DataFrame) -> DataFrame:
     return files.join(places, "file_id").select("file_id", fixed.alias("fixed_text"))
 
 
-def _python(line: str) -> tuple[str, dict[int, tuple[int, str]]]:
-    """The line as Python (^ as **, ^^ as ^), and for each operator's new column its old one and spelling."""
-    out, back, i, n = [], {}, 0, 0
-    quote = ""
-    while i < len(line):
-        c = line[i]
-        if quote:
-            step = 2 if c == "\\" else len(quote) if line.startswith(quote, i) else 1
-            if step == len(quote) and line.startswith(quote, i):
-                quote = ""
-            piece = line[i : i + step]
-        elif c in "\"'":
-            quote = c * 3 if line.startswith(c * 3, i) else c
-            piece, step = quote, len(quote)
-        elif c == "#":
-            step = (line.find("\n", i) if "\n" in line[i:] else len(line)) - i
-            piece = line[i : i + step]
-        elif c == "^":
-            step = len(line) - i - len(line[i:].lstrip("^"))
-            piece = "**" if step == 1 else "^"
-            back[n] = (i, "^" * step + ("=" if line.startswith("=", i + step) else ""))
-        else:
-            piece, step = c, 1
+#: What decides where code is: strings, comments, carets, brackets, ends of lines.
+_PIECE = re.compile(
+    r"""(?P<string>"{3}(?:[^"\\]|\\[\s\S]|"{1,2}(?!"))*+"{3}|'{3}(?:[^'\\]|\\[\s\S]|'{1,2}(?!'))*+'{3}|"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+')
+    |(?P<comment>\#[^\n]*+)|(?P<caret>\^++)|(?P<range>(?<!\.)\.\.(?!\.))|(?P<empty>\[[ \t]*\])|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<line>\\\n|\n)""",
+    re.VERBOSE,
+)
+#: The generators of a top-level statement, between its first target and the "=".
+_GENERATORS = re.compile(r"(?m)(?<=^)([^\W\d]\w*)([ \t]*\.[ \t]*<[^<>\n]*>)(?=[ \t]*=(?!=))")
+_HEADER = re.compile(r"(?:elif|else|except|finally|case)\b")
+
+
+def _python(text: str) -> tuple[str, dict[int, tuple[int, str]], list[tuple[int, int]]]:
+    """The script as Python, for each caret's new place its old one and spelling, and the spans of the logical lines.
+
+    ^ becomes ** and ^^ becomes ^; generators and empty subscripts become blanks, a range's two points a comma.
+    """
+    heads = {m.start(): m for m in _GENERATORS.finditer(text)}
+    out, back, lines, at, n, depth, begin = [], {}, [], 0, 0, 0, 0
+
+    def plain(stop: int) -> None:
+        """Text without carets, less the generators of a statement that begins in it."""
+        nonlocal n, at
+        if m := heads.get(at) if depth == 0 and n == begin else None:
+            if m.end() <= stop:
+                out.append(m[1] + " " * len(m[2]))
+                n += m.end() - at
+                at = m.end()
+        out.append(text[at:stop])
+        n += stop - at
+        at = stop
+
+    for m in _PIECE.finditer(text):
+        if m.start() < at:
+            continue
+        plain(m.start())
+        piece = m[0]
+        match m.lastgroup:
+            case "caret":
+                back[n] = (at, piece + ("=" if text.startswith("=", m.end()) else ""))
+                piece = "**" if len(piece) == 1 else "^"
+            case "range":
+                piece = ", "
+            case "empty":
+                before = re.search(r"(?:([^\W\d]\w*)|[\w)\]])$", text[max(0, at - 40) : at])
+                if before and not keyword.iskeyword(before[1] or ""):
+                    piece = " " * len(piece)
+            case "open":
+                depth += 1
+            case "close":
+                depth = max(0, depth - 1)
         out.append(piece)
         n += len(piece)
-        i += step
-    return "".join(out), back
+        at = m.end()
+        if piece == "\n" and depth == 0:
+            lines.append((begin, n))
+            begin = n
+    plain(len(text))
+    lines.append((begin, n))
+    return "".join(out), back, lines
+
+
+def _parsed(source: str) -> ast.Module | None:
+    try:
+        return ast.parse(source)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return None
+
+
+def _trees(source: str, lines: list[tuple[int, int]]) -> list[tuple[ast.Module, str, int]]:
+    """Parse trees with their text and where it begins: of the whole script, else of each top-level statement, else of each of its lines."""
+    if tree := _parsed(source):
+        return [(tree, source, 0)]
+    out, blocks = [], []
+    for a, b in lines:
+        text = source[a:b]
+        if blocks and (not text.strip() or text[0] in " \t#" or _HEADER.match(text)):
+            blocks[-1].append((a, b))
+        else:
+            blocks.append([(a, b)])
+    for block in blocks:
+        a, b = block[0][0], block[-1][1]
+        if tree := _parsed(source[a:b]):
+            out.append((tree, source[a:b], a))
+            continue
+        for a, b in block:
+            text = source[a:b].lstrip(" \t")
+            text = text[2:] if text.startswith("elif") else text
+            at = b - len(text)
+            for whole in (text, text.rstrip() + " pass"):
+                if tree := _parsed(whole):
+                    out.append((tree, whole, at))
+                    break
+    return out
+
 
+class _Place:
+    """Offsets of nodes in their source, whose columns count UTF-8 bytes."""
 
-def _bytes_like(node: ast.AST, source: str, known: set[str]) -> bool:
-    text = (ast.get_source_segment(source, node) or "").lstrip()[:3].lower()
-    if text.startswith(BYTES_PREFIXES):
-        return True
+    def __init__(self, source: str):
+        self.source, self.lines, self.starts = source, source.split("\n"), [0]
+        for line in self.lines:
+            self.starts.append(self.starts[-1] + len(line) + 1)
+
+    def at(self, line: int, col: int) -> int:
+        text = self.lines[line - 1]
+        return self.starts[line - 1] + (col if text.isascii() else len(text.encode()[:col].decode("utf-8", "ignore")))
+
+    def text(self, node: ast.AST) -> str:
+        return self.source[self.at(node.lineno, node.col_offset) : self.at(node.end_lineno, node.end_col_offset)]
+
+    def between(self, left: ast.AST, right: ast.AST) -> range:
+        return range(self.at(left.end_lineno, left.end_col_offset), self.at(right.lineno, right.col_offset))
+
+
+def _bytes_like(node: ast.AST, place: _Place, known: set[str]) -> bool:
     if isinstance(node, ast.Call):
-        return (ast.get_source_segment(source, node.func) or "") in BYTES_CALLS
-    return isinstance(node, ast.Name) and node.id in known
-
-
-def misuse_in(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, operator, fix) in one script; a part that does not parse is retried line by line, then skipped."""
-    out: list[tuple[int, int, str, str]] = []
-
-    def scan(part: str, base: int) -> bool:
-        source, back = _python(part)
-        try:
-            tree = ast.parse(source)
-            list(tokenize.generate_tokens(io.StringIO(source).readline))
-        except (SyntaxError, ValueError, RecursionError, tokenize.TokenError, MemoryError):
-            return False
-        starts = [0]
-        for line in source.splitlines(keepends=True):
-            starts.append(starts[-1] + len(line))
-        lines = source.splitlines()
-        place = lambda line, col: starts[line - 1] + len(lines[line - 1].encode()[:col].decode("utf-8", "ignore"))
-        known = {n.target.id for n in ast.walk(tree) if isinstance(n, ast.AnnAssign) and isinstance(n.target, ast.Name) and isinstance(n.annotation, ast.Name) and n.annotation.id in BYTES_TYPES}
-        known |= {a.arg for a in ast.walk(tree) if isinstance(a, ast.arg) and isinstance(a.annotation, ast.Name) and a.annotation.id in BYTES_TYPES}
+        return place.text(node.func) in BYTES_CALLS
+    if isinstance(node, ast.Name):
+        return node.id in known
+    return place.text(node).lstrip()[:3].lower().startswith(BYTES_PREFIXES)
+
+
+def _annotated(tree: ast.AST) -> set[str]:
+    """Names that are annotated as bytes."""
+    kinds = lambda n: isinstance(n, ast.Name) and n.id in BYTES_TYPES
+    out = set()
+    for n in ast.walk(tree):
+        if isinstance(n, ast.AnnAssign) and isinstance(n.target, ast.Name) and kinds(n.annotation):
+            out.add(n.target.id)
+        elif isinstance(n, ast.arg) and kinds(n.annotation):
+            out.add(n.arg)
+    return out
+
+
+def misuse_in(text: str | None) -> list[tuple[int, int, str, str]]:
+    """(start, end, operator, fix) in one script; null has none. What does not parse is retried by statements, then by lines, then skipped."""
+    if not text or "^" not in text:
+        return []
+    # Form feeds and the like are no ends of lines to the parser, nor are they here.
+    source, back, lines = _python(text.replace("\r", " ").replace("\f", " "))
+    trees = _trees(source, lines)
+    known = set().union(*(_annotated(tree) for tree, _, _ in trees))
+    out: set[tuple[int, int, str, str]] = set()
+    for tree, part, base in trees:
+        place = _Place(part)
         stack: list[tuple[ast.AST, bool]] = [(tree, False)]
         while stack:
             node, inside = stack.pop()
             if isinstance(node, ast.stmt):
                 inside = False
-            operand = None
-            if isinstance(node, ast.BinOp) and isinstance(node.op, ast.Pow) and (inside or _bytes_like(node.left, source, known) or _bytes_like(node.right, source, known)):
-                operand = (place(node.left.end_lineno, node.left.end_col_offset), place(node.right.lineno, node.right.col_offset), "^")
-            elif isinstance(node, ast.AugAssign) and isinstance(node.op, ast.Pow) and (_bytes_like(node.target, source, known) or _bytes_like(node.value, source, known)):
-                operand = (place(node.target.end_lineno, node.target.end_col_offset), place(node.value.lineno, node.value.col_offset), "^=")
-            if operand:
-                for at in range(operand[0], operand[1]):
-                    if at in back and back[at][1] == operand[2]:
-                        i = base + back[at][0]
-                        out.append((i, i + len(operand[2]), operand[2], "^" + operand[2]))
+            spots, lexeme = range(0), "^"
+            if isinstance(node, ast.BinOp) and isinstance(node.op, ast.Pow) and (inside or _bytes_like(node.left, place, known) or _bytes_like(node.right, place, known)):
+                spots = place.between(node.left, node.right)
+            elif isinstance(node, ast.AugAssign) and isinstance(node.op, ast.Pow) and (_bytes_like(node.target, place, known) or _bytes_like(node.value, place, known)):
+                spots, lexeme = place.between(node.target, node.value), "^="
+            for i in spots:
+                if (found := back.get(base + i)) and found[1] == lexeme:
+                    out.add((found[0], found[0] + len(lexeme), lexeme, "^" + lexeme))
             for child in ast.iter_child_nodes(node):
                 call = isinstance(node, ast.Call) and child is not node.func
                 stack.append((child, isinstance(node.func, ast.Name) and node.func.id == "bytes" if call else inside))
-        return True
-
-    if "^" in text and not scan(text, 0):
-        at = 0
-        for line in text.split("\n"):
-            if "^" in line:
-                scan(line.lstrip(), at + len(line) - len(line.lstrip()))
-            at += len(line) + 1
-    return sorted(set(out))
+    return sorted(out)
 
 
 def misuse(files: DataFrame) -> DataFrame:

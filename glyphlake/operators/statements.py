@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lex import lexemes, raw_type
+from .lex import LEX, raw_type
 
 #: A top-level statement `X.<a, b> = rhs`; what follows the "=" may be missing.
 GENERATOR = r"^([\p{L}_][\p{L}\p{N}_]*)[ \t]*\.[ \t]*<[ \t]*([\p{L}_][\p{L}\p{N}_]*(?:[ \t]*,[ \t]*[\p{L}_][\p{L}\p{N}_]*)*)[ \t]*>[ \t]*=([^=][\s\S]*|)$"
@@ -17,12 +17,12 @@ EXPLICIT = r"^\s*from[ \t]+sage[ \t]*\.[ \t]*all[ \t]+import\b"
 def code_only(text: Column) -> Column:
     """The text with the inside of strings and comments blanked, so that patterns see code alone; same length."""
 
-    def shown(t: Column) -> Column:
-        kind = raw_type(t.lexeme)
-        blank = F.regexp_replace(t.lexeme, r"[^\n]", " ")
-        return F.when(kind == "COMMENT", blank).when(kind == "STRING", F.regexp_replace(t.lexeme, r"[^\n\"']", "_")).otherwise(t.lexeme)
+    def shown(x: Column) -> Column:
+        kind = raw_type(x)
+        blank = F.regexp_replace(x, r"[^\n]", " ")
+        return F.when(kind == "COMMENT", blank).when(kind == "STRING", F.regexp_replace(x, r"[^\n\"']", "_")).otherwise(x)
 
-    return F.array_join(F.transform(lexemes(text), shown), "")
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(LEX), F.lit(0)), shown), "")
 
 
 def logical_lines(files: DataFrame) -> DataFrame:

@@ -89,7 +89,7 @@ def expand(expressions: DataFrame, templates: DataFrame, bases: DataFrame | None
     Only in scripts. A user row with conditions needs one that fits: a public kind, or a class that the
     expression's type is or inherits. The caret is where $END$ was, else the end.
     """
-    rows = expressions.where("ext = 'sage'").join(F.broadcast(templates.limit(100_000)), "key")
+    rows = expressions.where("ext = 'sage'").join(templates, "key")
     kind = F.coalesce("expr_type", F.lit(""))
     public = F.array_contains("conditions", kind) | (F.array_contains("conditions", F.lit("non-None")) & ~kind.isin("", "None"))
     if bases is not None:
@@ -104,7 +104,7 @@ def expand(expressions: DataFrame, templates: DataFrame, bases: DataFrame | None
 
 def expand_live(requests: DataFrame, templates: DataFrame) -> DataFrame:
     """Live templates: requests (request_id, key, arguments map) to (request_id, key, expanded); defaults fill the rest."""
-    rows = requests.join(F.broadcast(templates.limit(100_000)), "key")
+    rows = requests.join(templates, "key")
     pieces = F.split("value", r"\$", -1)  # slots are the odd pieces
     given = lambda x: F.coalesce(F.element_at("arguments", x), F.element_at("defaults", x))
     text = F.array_join(F.transform(pieces, lambda x, i: F.when(i % 2 == 1, F.coalesce(given(x), F.lit(""))).otherwise(x)), "")

@@ -1,6 +1,7 @@
 """A script corpus and a catalog to query. Both are SQL that Spark and DuckDB read alike.
 
-The given tables hold no scripts, so each row of `part` becomes one: import line, statement, expression.
+The given tables hold no scripts, so each row of `part` becomes one: import line, statement, expression. The catalog
+has a few hand-written rows for each rule, and a declaration for each row of `part`.
 """
 
 from __future__ import annotations
@@ -11,12 +12,12 @@ _K = "CAST(p_partkey AS STRING)"
 _S = "CAST(p_size AS STRING)"
 _FIRST = """CASE p_partkey % 5 WHEN 0 THEN 'from sage.all import *' WHEN 1 THEN '# from sage.all import *'
     WHEN 2 THEN 's = "from sage.all import *"' WHEN 3 THEN 'from sage.rings.all import ZZ' ELSE 'import os' END"""
-_SECOND = f"""CASE p_partkey % 8 WHEN 0 THEN concat('R', {_K}, '.<x> = GF(', {_S}, ')[]') WHEN 1 THEN concat('F.<a,b> = NumberField(x^', {_S}, ' - 2)')
+_SECOND = f"""CASE p_partkey % 8 WHEN 0 THEN concat('R', {_K}, '.<x> = ', CASE WHEN p_partkey % 16 = 0 THEN 'GF' ELSE concat('fn', CAST(p_partkey - p_partkey % 6 + 1 AS STRING)) END, '(', {_S}, ')[]') WHEN 1 THEN concat('F.<a,b> = NumberField(x^', {_S}, ' - 2)')
     WHEN 2 THEN concat('y = e^', {_S}) WHEN 3 THEN concat('m ^^= ', {_S}) WHEN 4 THEN concat('z = b"', p_brand, '" ^ k')
     WHEN 5 THEN 'R.<x' WHEN 6 THEN concat('# ', p_name, ' ^ comment') ELSE concat('n = ', {_S}) END"""
-_THIRD = f"""CASE p_partkey % 9 WHEN 0 THEN 'c = bytes(x ^ y for x, y in zip(a, b))' WHEN 1 THEN 'm ^= b"k"' WHEN 2 THEN 'w = p ^^^ q'
+_THIRD = f"""CASE p_partkey % 11 WHEN 0 THEN 'c = bytes(x ^ y for x, y in zip(a, b))' WHEN 1 THEN 'm ^= b"k"' WHEN 2 THEN 'w = p ^^^ q'
     WHEN 3 THEN concat('v = ', {_S}, '.5') WHEN 4 THEN 'u = -5' WHEN 5 THEN 's = "a^b" ^ 2  # c^d' WHEN 6 THEN 'a ^^^= b'
-    WHEN 7 THEN 'd = bytes(f(x ^ y))' ELSE concat('S.<y> = ZZ[]; T = ', {_S}) END"""
+    WHEN 7 THEN 'd = bytes(f(x ^ y))' WHEN 8 THEN 'h: bytes = g(); v = h ^ t' WHEN 9 THEN 'for i in [1..5]: v = i ^ 2' ELSE concat('S.<y> = ZZ[]; T = ', {_S}) END"""
 SCRIPTS = f"""SELECT p_partkey AS file_id, concat('/src/', {_K}, '.', CASE WHEN p_partkey % 10 = 9 THEN 'py' ELSE 'sage' END) AS path,
     CASE WHEN p_partkey % 10 = 9 THEN 'py' ELSE 'sage' END AS ext,
     concat({_FIRST}, chr(10), {_SECOND}, chr(10), {_THIRD}) AS text FROM {{part}}"""
@@ -69,27 +70,48 @@ def values(rows, columns: str) -> str:
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) AS t({columns})"
 
 
-SYMBOLS = values(SYMBOL_ROWS, "name, kind, module, path, annotation, imported_name, src, pos")
-METHODS = values(METHOD_ROWS, "class_name, method, return_kind, return_elem")
-BASES = values(BASE_ROWS, "class_name, base")
-RETURNS = values(RETURN_ROWS, "callee, class_name")
+def _made(prefix: str, less: int = 0) -> str:
+    return f"concat('{prefix}', CAST(p_partkey - {less} AS STRING))"
+
+
+#: Each row of `part` is a declaration too: a class, a function, two imports, an attribute or a listed name.
+_DECLARED = f"""SELECT CASE p_partkey % 6 WHEN 0 THEN {_made("Cls")} WHEN 1 THEN {_made("fn")} WHEN 2 THEN {_made("al")} WHEN 3 THEN {_made("am")} WHEN 4 THEN {_made("at")} ELSE {_made("li")} END AS name,
+    CASE p_partkey % 6 WHEN 0 THEN 'class' WHEN 1 THEN 'function' WHEN 4 THEN 'attribute' WHEN 5 THEN 'listed' ELSE 'import' END AS kind,
+    CASE p_partkey % 6 WHEN 0 THEN concat('sage.gen.m', CAST(p_partkey % 50 AS STRING)) WHEN 1 THEN concat('sage.gen.m', CAST(p_partkey % 50 AS STRING))
+        WHEN 2 THEN concat('sage.gen.m', CAST((p_partkey - 2) % 50 AS STRING)) WHEN 3 THEN 'sage.elsewhere' ELSE 'sage.all' END AS module,
+    CASE WHEN p_partkey % 6 < 2 THEN concat('{_LIB}/gen/m', CAST(p_partkey % 50 AS STRING), '.pyi') ELSE '{_NS}' END AS path,
+    CASE WHEN p_partkey % 6 = 4 THEN {_made("Cls", 4)} END AS annotation, CASE p_partkey % 6 WHEN 2 THEN {_made("Cls", 2)} WHEN 3 THEN {_made("fn", 2)} END AS imported_name,
+    CASE p_partkey % 6 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 4 THEN 1 WHEN 5 THEN 5 ELSE 4 END AS src, p_partkey + 100 AS pos FROM {{part}}"""
+#: The classes are chains of fifty in which every class has the next two as bases: half of all paths are diamonds.
+_INHERITED = f"""SELECT {_made("Cls")} AS class_name, {_made("Cls", 6)} AS base FROM {{part}} WHERE p_partkey % 6 = 0 AND p_partkey % 300 <> 0
+    UNION ALL SELECT {_made("Cls")}, {_made("Cls", 12)} FROM {{part}} WHERE p_partkey % 6 = 0 AND p_partkey % 300 >= 12"""
+_GIVEN = f"""SELECT {_made("Cls")} AS class_name, '_first_ngens' AS method, 'tuple' AS return_kind, {_made("El")} AS return_elem FROM {{part}} WHERE p_partkey % 150 = 0
+    UNION ALL SELECT {_made("Cls")}, '__call__', 'instance', 'Element' FROM {{part}} WHERE p_partkey % 600 = 0"""
+SYMBOLS = values(SYMBOL_ROWS, "name, kind, module, path, annotation, imported_name, src, pos") + " UNION ALL " + _DECLARED
+METHODS = values(METHOD_ROWS, "class_name, method, return_kind, return_elem") + " UNION ALL " + _GIVEN
+BASES = values(BASE_ROWS, "class_name, base") + " UNION ALL " + _INHERITED
+RETURNS = values(RETURN_ROWS, "callee, class_name") + f" UNION ALL SELECT {_made('fn')}, {_made('Cls', 1)} FROM {{part}} WHERE p_partkey % 6 = 1"
+
+
+def _over_part(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    return spark.sql(sql, part=spark.read.parquet(f"{sf_dir}/part.parquet"))
 
 
 def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(SCRIPTS, part=spark.read.parquet(f"{sf_dir}/part.parquet"))
+    return _over_part(spark, sf_dir, SCRIPTS)
 
 
-def symbols(spark: SparkSession) -> DataFrame:
-    return spark.sql(SYMBOLS)
+def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _over_part(spark, sf_dir, SYMBOLS)
 
 
-def methods(spark: SparkSession) -> DataFrame:
-    return spark.sql(f"SELECT class_name, method, return_kind, array(return_elem) AS return_elems FROM ({METHODS})")
+def methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _over_part(spark, sf_dir, f"SELECT class_name, method, return_kind, array(return_elem) AS return_elems FROM ({METHODS})")
 
 
-def bases(spark: SparkSession) -> DataFrame:
-    return spark.sql(BASES)
+def bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _over_part(spark, sf_dir, BASES)
 
 
-def returns(spark: SparkSession) -> DataFrame:
-    return spark.sql(RETURNS)
+def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _over_part(spark, sf_dir, RETURNS)

@@ -6,7 +6,8 @@ from ..operators import templates
 from . import corpus
 from .queries import _OUTPUT, _POSITIONS, _REFS, _RUNS
 
-_FILES = f"files AS ({corpus.SCRIPTS.replace('{part}', 'part')})"
+_PART = lambda sql: sql.replace("{part}", "part")
+_FILES = f"files AS ({_PART(corpus.SCRIPTS)})"
 _LEX = r"""[rRbBuU]*"[^"\\\n]*(?:\\.[^"\\\n]*)*"|#[^\n]*|\^+=?|[A-Za-z_]\w*|\d[\d_]*(?:\.\d*)?|[ \t]+|\n|(?s:.)"""
 _TOKENS = f"""lexed AS (SELECT file_id, ext, regexp_extract_all(text, '{_LEX}') AS l FROM files),
 raw AS (SELECT file_id, ext, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM lexed),
@@ -21,7 +22,7 @@ _GENS = f"""{_LINES}, gens AS (SELECT file_id, line_no, regexp_extract(line, '{_
     nullif(regexp_extract(string_split(regexp_extract(line, '{_GEN}', 3), ';')[1], '^\\s*([A-Za-z_][\\w.]*)\\s*\\(', 1), '') AS callee FROM lines WHERE ext = 'sage' AND regexp_matches(line, '{_GEN}'))"""
 _EXPLICIT = r"explicit AS (SELECT file_id FROM files WHERE regexp_matches(text, '(?m)^\s*from\s+sage\.all\s+import\b'))"
 _IMPLICIT = f"{_EXPLICIT}, implicit AS (SELECT file_id FROM files WHERE ext = 'sage' AND file_id NOT IN (SELECT file_id FROM explicit))"
-_STUBS = f"symbols AS ({corpus.SYMBOLS}), stubs AS (SELECT * FROM symbols WHERE contains(path, '/site-packages/sage/') AND path LIKE '%.pyi'), home AS (SELECT path FROM stubs WHERE kind = 'function' AND name = 'GF' ORDER BY path, pos LIMIT 1)"
+_STUBS = f"symbols AS ({_PART(corpus.SYMBOLS)}), stubs AS (SELECT * FROM symbols WHERE contains(path, '/site-packages/sage/') AND path LIKE '%.pyi'), home AS (SELECT path FROM stubs WHERE kind = 'function' AND name = 'GF' ORDER BY path, pos LIMIT 1)"
 _NAMES = f"{_STUBS}, names AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY src, pos) AS rn FROM stubs WHERE path IN (SELECT path FROM home) AND name <> '__all__') WHERE rn = 1)"
 _DECLARED = "declared AS (SELECT name AS n, kind AS k, module AS m, path AS p, pos AS o FROM stubs WHERE kind IN ('function', 'class'))"
 _FOLLOW = f"""{_DECLARED}, looks AS (SELECT DISTINCT module, imported_name, 0 AS t, imported_name AS look FROM symbols WHERE kind = 'import'
@@ -31,7 +32,7 @@ follow AS (SELECT * FROM (SELECT module, imported_name, n, k, m, p, row_number()
 _TARGETS = f"""{_NAMES}, {_FOLLOW}, targets AS (SELECT name, names.path AS home_path, annotation, CASE WHEN kind = 'listed' THEN NULL ELSE kind END AS kind,
     CASE WHEN kind = 'import' AND k IS NOT NULL THEN n ELSE name END AS target_name, CASE WHEN kind = 'import' AND k IS NOT NULL THEN k WHEN kind = 'listed' THEN NULL ELSE kind END AS target_kind,
     CASE WHEN kind = 'import' AND k IS NOT NULL THEN p ELSE names.path END AS target_path FROM names LEFT JOIN follow USING (module, imported_name))"""
-_UP = f"bases AS ({corpus.BASES}), methods AS ({corpus.METHODS}), up(class_name, ancestor) AS (SELECT class_name, class_name FROM (SELECT class_name FROM bases UNION SELECT base FROM bases) UNION SELECT up.class_name, b.base FROM up JOIN bases b ON b.class_name = up.ancestor)"
+_UP = f"bases AS ({_PART(corpus.BASES)}), methods AS ({_PART(corpus.METHODS)}), up(class_name, ancestor, distance) AS (SELECT class_name, class_name, 0 FROM (SELECT class_name FROM bases UNION SELECT base FROM bases) UNION SELECT up.class_name, b.base, distance + 1 FROM up JOIN bases b ON b.class_name = up.ancestor)"
 _CALLABLE = f"""{_TARGETS}, {_UP}, calling AS (SELECT class_name FROM up JOIN methods ON methods.class_name = ancestor AND method = '__call__' UNION SELECT class_name FROM methods WHERE method = '__call__'),
 typed AS (SELECT s.name AS a, s.path AS ap, n AS via FROM symbols s JOIN follow USING (module, imported_name) WHERE s.kind = 'import' AND k = 'class'),
 entries AS (SELECT name, target_kind AS kind, coalesce(target_kind IN ('function', 'class') OR target_kind = 'attribute' AND coalesce(via, annotation) IN (SELECT class_name FROM calling), false) AS is_callable
@@ -40,12 +41,12 @@ _FIND = f"""{_STUBS}, {_FOLLOW}, tiers AS (SELECT name, kind, path, module, impo
     WHEN kind IN ('function', 'class') THEN CASE WHEN path IN (SELECT path FROM home) THEN 3 ELSE 4 END END AS tier FROM stubs WHERE kind <> 'listed'),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY tier, CASE WHEN kind = 'class' THEN 1 ELSE 0 END, path, pos) AS rn FROM tiers WHERE tier IS NOT NULL) WHERE rn = 1),
 found AS (SELECT name, tier, CASE WHEN tier = 2 AND k IS NOT NULL THEN k ELSE kind END AS target_kind, CASE WHEN tier = 2 AND p IS NOT NULL THEN p ELSE path END AS target_path FROM best LEFT JOIN follow USING (module, imported_name))"""
-_GENTYPES = f"""{_FILES}, {_GENS}, {_UP}, made AS (SELECT gens.*, r.class_name AS factory_class FROM gens LEFT JOIN ({corpus.RETURNS}) r USING (callee)),
-first_gens AS (SELECT class_name, return_elem AS gen_class FROM (SELECT up.class_name, return_elem, row_number() OVER (PARTITION BY up.class_name ORDER BY ancestor <> up.class_name, ancestor) AS rn FROM up JOIN methods m ON m.class_name = ancestor AND method = '_first_ngens') WHERE rn = 1),
+_GENTYPES = f"""{_FILES}, {_GENS}, {_UP}, made AS (SELECT gens.*, r.class_name AS factory_class FROM gens LEFT JOIN ({_PART(corpus.RETURNS)}) r USING (callee)),
+first_gens AS (SELECT class_name, return_elem AS gen_class FROM (SELECT up.class_name, return_elem, row_number() OVER (PARTITION BY up.class_name ORDER BY distance, ancestor) AS rn FROM up JOIN methods m ON m.class_name = ancestor AND method = '_first_ngens') WHERE rn = 1),
 gentypes AS (SELECT file_id, line_no, factory_name AS target, factory_class AS class_name FROM made UNION ALL SELECT file_id, line_no, x, gen_class FROM (SELECT file_id, line_no, factory_class, unnest(names) AS x FROM made) LEFT JOIN first_gens ON class_name = factory_class)"""
 _LITERALS = f"""assigned AS (SELECT file_id, line_no, regexp_extract(line, '^([A-Za-z_]\\w*)\\s*=\\s*([^=].*)$', 1) AS target, trim(regexp_extract(line, '^([A-Za-z_]\\w*)\\s*=\\s*([^=].*)$', 2)) AS rhs FROM lines WHERE ext = 'sage' AND regexp_matches(line, '^[A-Za-z_]\\w*\\s*=\\s*[^=]')),
 literals AS (SELECT file_id, line_no, target, CASE WHEN regexp_matches(rhs, '^\\d+$') THEN 'Integer' ELSE 'RealNumber' END AS class_name FROM assigned WHERE regexp_matches(rhs, '^\\d+(\\.\\d*)?$'))"""
-_MISUSE = f"""{_FILES}, {_TOKENS}, code AS (SELECT *, lag(x) OVER w AS before, lead(x) OVER w AS after FROM placed WHERE NOT regexp_matches(x, '^[ \\t]') AND x NOT LIKE '#%' WINDOW w AS (PARTITION BY file_id ORDER BY i)),
+_MISUSE = f"""{_FILES}, {_TOKENS}, code AS (SELECT *, lag(x) OVER w AS before, lead(x) OVER w AS after, lag(x, 2) OVER w AS opened, lag(x, 3) OVER w AS called FROM placed WHERE NOT regexp_matches(x, '^[ \\t]') AND x NOT LIKE '#%' WINDOW w AS (PARTITION BY file_id ORDER BY i)),
 misuse AS (SELECT file_id, spot AS start_at, x AS lexeme, concat('^', x) AS fix FROM code WHERE ext = 'sage' AND x IN ('^', '^=') AND (regexp_matches(before, '(?i)^(b|br|rb)["'']') OR regexp_matches(after, '(?i)^(b|br|rb)["'']')))"""
 _KEYS = [*templates.CALL_WRAPS, *(k for k, _ in templates.FIXED_POSTFIX)]
 _q = lambda s: "'" + s.replace("'", "''") + "'"
@@ -81,7 +82,7 @@ ORACLE_SQL: dict[str, str] = {
     "explicit_import_files": f"WITH {_FILES}, {_EXPLICIT} SELECT file_id FROM explicit",
     "implicit_files": f"WITH {_FILES}, {_IMPLICIT} SELECT file_id FROM implicit",
     "visible_errors": f"WITH {_FILES}, {_GENS} SELECT file_id, CAST(k AS INTEGER) AS line_no, 'unexpected' AS message FROM files, unnest([0, 1, 2]) AS u(k) WHERE (file_id, k) NOT IN (SELECT (file_id, line_no) FROM gens)",
-    "stub_files": f"WITH s AS (SELECT DISTINCT path FROM ({corpus.SYMBOLS})) SELECT path, contains(path, '/site-packages/sage/') AS library, contains(path, '/site-packages/sage/') AND path LIKE '%.pyi' AS stub, contains(path, '/site-packages/sage/') AND path LIKE '%/all.pyi' AS all_stub FROM s",
+    "stub_files": f"WITH s AS (SELECT DISTINCT path FROM ({_PART(corpus.SYMBOLS)})) SELECT path, contains(path, '/site-packages/sage/') AS library, contains(path, '/site-packages/sage/') AND path LIKE '%.pyi' AS stub, contains(path, '/site-packages/sage/') AND path LIKE '%/all.pyi' AS all_stub FROM s",
     "namespace_anchor": f"WITH {_STUBS} SELECT path FROM home",
     "namespace_first_wins": f"WITH {_NAMES} SELECT name, nullif(kind, 'listed') AS kind, annotation, imported_name FROM names",
     "alias_follow": f"WITH {_STUBS}, {_FOLLOW} SELECT module, imported_name, n AS target_name, k AS target_kind, m AS target_module, p AS target_path, CASE WHEN k = 'class' THEN n END AS class_name FROM follow",
@@ -98,6 +99,8 @@ ORACLE_SQL: dict[str, str] = {
     "target_types": f"WITH RECURSIVE {_GENTYPES}, {_LITERALS} SELECT * FROM gentypes WHERE class_name IS NOT NULL UNION ALL SELECT * FROM literals",
     "attribute_types": f"WITH {_STUBS}, {_FOLLOW} SELECT a.name, n AS class_name FROM stubs a JOIN stubs i ON i.kind = 'import' AND i.name = a.annotation AND i.path = a.path JOIN follow f ON f.module = i.module AND f.imported_name = i.imported_name WHERE a.kind = 'attribute' AND starts_with(a.annotation, '_Type_') AND k = 'class'",
     "bytes_operand_lint": f"WITH {_MISUSE} SELECT * FROM misuse",
+    "bytes_context_lint": f"""WITH {_MISUSE} SELECT *, 'ERROR' AS level FROM misuse
+        UNION SELECT file_id, spot, x, '^^', 'ERROR' FROM code JOIN files USING (file_id, ext) WHERE ext = 'sage' AND x = '^' AND (opened = '(' AND called = 'bytes' OR contains(text, concat(before, ': bytes')))""",
     "caret_fixes": f"""WITH {_MISUSE}, marked AS (SELECT p.file_id, p.i, concat(CASE WHEN m.lexeme IS NOT NULL THEN '^' ELSE '' END, x) AS piece FROM placed p LEFT JOIN misuse m ON m.file_id = p.file_id AND m.start_at = p.spot)
         SELECT file_id, string_agg(piece, '' ORDER BY i) AS fixed_text FROM marked WHERE file_id IN (SELECT file_id FROM misuse) GROUP BY file_id""",
     "completion_lookup": f"""WITH RECURSIVE {_FILES}, {_IMPLICIT}, {_CALLABLE}, spots AS ({_POSITIONS.replace('{scripts}', 'files')})

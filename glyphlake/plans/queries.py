@@ -50,39 +50,39 @@ def visible_errors(spark: SparkSession, d: str) -> DataFrame:
 
 def stub_files(spark: SparkSession, d: str) -> DataFrame:
     path = F.col("path")
-    return corpus.symbols(spark).select("path").distinct().select("path", P.is_library(path).alias("library"), P.is_stub(path).alias("stub"), P.is_namespace_stub(path).alias("all_stub"))
+    return corpus.symbols(spark, d).select("path").distinct().select("path", P.is_library(path).alias("library"), P.is_stub(path).alias("stub"), P.is_namespace_stub(path).alias("all_stub"))
 
 
 def namespace_anchor(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.anchor(corpus.symbols(spark))
+    return catalog.anchor(corpus.symbols(spark, d))
 
 
 def namespace_first_wins(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.namespace(corpus.symbols(spark)).select("name", "kind", "annotation", "imported_name")
+    return catalog.namespace(corpus.symbols(spark, d)).select("name", "kind", "annotation", "imported_name")
 
 
 def alias_follow(spark: SparkSession, d: str) -> DataFrame:
-    symbols = corpus.symbols(spark)
+    symbols = corpus.symbols(spark, d)
     return catalog.alias_classes(symbols.where("kind = 'import'"), symbols)
 
 
 def entry_target(spark: SparkSession, d: str) -> DataFrame:
-    symbols = corpus.symbols(spark)
+    symbols = corpus.symbols(spark, d)
     return catalog.entry_targets(catalog.namespace(symbols), symbols).select("name", "target_name", "target_kind", "target_path")
 
 
 def callable_names(spark: SparkSession, d: str) -> DataFrame:
-    symbols = corpus.symbols(spark)
-    return catalog.callable_names(catalog.entry_targets(catalog.namespace(symbols), symbols), symbols, corpus.methods(spark), corpus.bases(spark))
+    symbols = corpus.symbols(spark, d)
+    return catalog.callable_names(catalog.entry_targets(catalog.namespace(symbols), symbols), symbols, corpus.methods(spark, d), corpus.bases(spark, d))
 
 
 def find_class(spark: SparkSession, d: str) -> DataFrame:
-    symbols = corpus.symbols(spark)
+    symbols = corpus.symbols(spark, d)
     return catalog.find_class(symbols, symbols)
 
 
 def find_declarations(spark: SparkSession, d: str) -> DataFrame:
-    symbols = corpus.symbols(spark)
+    symbols = corpus.symbols(spark, d)
     return resolve.find_declarations(symbols.select("name").union(spark.sql("SELECT 'nothing' AS name")), symbols)
 
 
@@ -94,7 +94,7 @@ _REFS = """SELECT file_id, 1 AS line_no, name, qualified FROM ({scripts}) CROSS
 def resolve_names(spark: SparkSession, d: str) -> DataFrame:
     files = corpus.scripts(spark, d)
     refs = spark.sql(_REFS.format(scripts="SELECT file_id FROM {s}"), s=files)
-    return resolve.resolve_names(refs, files, corpus.symbols(spark)).select("file_id", "name", "origin", "target_kind", "target_path")
+    return resolve.resolve_names(refs, files, corpus.symbols(spark, d)).select("file_id", "name", "origin", "target_kind", "target_path")
 
 
 def _assignments(files: DataFrame) -> DataFrame:
@@ -104,22 +104,22 @@ def _assignments(files: DataFrame) -> DataFrame:
 
 
 def literal_types(spark: SparkSession, d: str) -> DataFrame:
-    return resolve.literal_types(_assignments(corpus.scripts(spark, d)), corpus.symbols(spark))
+    return resolve.literal_types(_assignments(corpus.scripts(spark, d)), corpus.symbols(spark, d))
 
 
 def generator_types(spark: SparkSession, d: str) -> DataFrame:
     made = statements.generator_statements(corpus.scripts(spark, d))
-    return resolve.generator_types(made, corpus.returns(spark), corpus.methods(spark), corpus.bases(spark))
+    return resolve.generator_types(made, corpus.returns(spark, d), corpus.methods(spark, d), corpus.bases(spark, d))
 
 
 def target_types(spark: SparkSession, d: str) -> DataFrame:
     files = corpus.scripts(spark, d)
     made = statements.generator_statements(files)
-    return resolve.target_types(made, _assignments(files), corpus.symbols(spark), corpus.returns(spark), corpus.methods(spark), corpus.bases(spark))
+    return resolve.target_types(made, _assignments(files), corpus.symbols(spark, d), corpus.returns(spark, d), corpus.methods(spark, d), corpus.bases(spark, d))
 
 
 def attribute_types(spark: SparkSession, d: str) -> DataFrame:
-    return resolve.attribute_types(corpus.symbols(spark)).select("name", "class_name")
+    return resolve.attribute_types(corpus.symbols(spark, d)).select("name", "class_name")
 
 
 def bytes_operand_lint(spark: SparkSession, d: str) -> DataFrame:
@@ -142,7 +142,7 @@ _POSITIONS = """SELECT file_id, 0 AS pos, CASE file_id % 4 WHEN 0 THEN 'g' WHEN
 def completion_lookup(spark: SparkSession, d: str) -> DataFrame:
     files = corpus.scripts(spark, d)
     positions = spark.sql(_POSITIONS, scripts=files)
-    return complete.completions(positions, files, corpus.symbols(spark), corpus.methods(spark), corpus.bases(spark)).select("file_id", "name", "kind", "type_text", "is_callable", "insert_text", "caret")
+    return complete.completions(positions, files, corpus.symbols(spark, d), corpus.methods(spark, d), corpus.bases(spark, d)).select("file_id", "name", "kind", "type_text", "is_callable", "insert_text", "caret")
 
 
 def postfix_expand(spark: SparkSession, d: str) -> DataFrame:

@@ -1,11 +1,13 @@
 """Lexing, statements and lint on hand-written scripts."""
 
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from glyphlake.operators import lex, lint, statements
+from glyphlake.operators import catalog, lex, lint, resolve, statements
 
 FILES = "file_id long, path string, ext string, text string"
 
@@ -85,6 +87,13 @@ MISUSE = {
     "k: bytes = f()\nz = k ^ m": "k: bytes = f()\nz = k ^^ m",
     "z = bytes.fromhex(s) ^ m": "z = bytes.fromhex(s) ^^ m",
     "R.<x> = GF(2)[]\nz = b'k' ^ m": "R.<x> = GF(2)[]\nz = b'k' ^^ m",
+    "P.<u, v> = ring(3)[]\nkey: bytes = f()\nout = key ^ pad": "P.<u, v> = ring(3)[]\nkey: bytes = f()\nout = key ^^ pad",
+    "P.<u> = ring(3)[]\nout = bytes(\n    s ^ t for s, t in zip(p,\n    q))": "P.<u> = ring(3)[]\nout = bytes(\n    s ^^ t for s, t in zip(p,\n    q))",
+    "P.<u> = ring(3)[]\nif b'n' ^ pad:": "P.<u> = ring(3)[]\nif b'n' ^^ pad:",
+    "if x:\n    pass\nelif b'n' ^ pad:\n    y = = 1": "if x:\n    pass\nelif b'n' ^^ pad:\n    y = = 1",
+    "for i in [1..5]:\n    z = b'n' ^ i  # é ^": "for i in [1..5]:\n    z = b'n' ^^ i  # é ^",
+    "P.<u> =\ndef f(k: bytes):\n    return 'é', k ^ 2^u": "P.<u> =\ndef f(k: bytes):\n    return 'é', k ^^ 2^u",
+    "s = [] ; t = b'n' ^ r[]": "s = [] ; t = b'n' ^^ r[]",
 }
 FINE = ["e^254", "2^8", 'b"k" ** 2', "x ^^ y", 'x ^^= b"k"', "bytes(f(x ^ y))", "broken( ^", "", "s = 'b^' # ^ b'k'"]
 
@@ -119,3 +128,38 @@ def test_two_hits_in_one_expression():
 def test_lint_never_fails(text):
     for start, stop, lexeme, _ in lint.misuse_in(text):
         assert text[start:stop] == lexeme
+
+
+def test_a_long_script_is_lexed_in_linear_time(spark):
+    line = "ab ^ c1 + 'x y' # z\n"
+    took = {}
+    for n in (5_000, 5_000, 50_000):  # the first warms up
+        began = time.monotonic()
+        last = lex.tokens(files(spark, line * n)).agg(F.max("end").alias("end"), F.count_if(F.col("type") == "EXP").alias("n")).first()
+        assert (last.end, last.n) == (n * len(line), n)
+        took[n] = time.monotonic() - began
+    assert took[50_000] < 30 * max(took[5_000], 0.2)
+
+
+def test_a_long_script_is_linted_in_linear_time():
+    text = "P.<u> = ring(3)[]\n" + "z = b'n' ^ pad\nif u:\n    y = 2^u\n" * 20_000
+    assert len(lint.misuse_in(text)) == 20_000
+    assert len(lint.misuse_in("broken( ]]\n" + text)) == 20_000
+
+
+def test_ancestors_of_chains_diamonds_and_cycles(spark):
+    pairs = [(f"c{i}", f"c{i + 1}") for i in range(41)]
+    pairs += [(f"d{i}", f"{side}{i}") for i in range(18) for side in "lr"] + [(f"{side}{i}", f"d{i + 1}") for i in range(18) for side in "lr"]
+    pairs += [("x", "y"), ("y", "z"), ("z", "x"), ("s", "s"), ("n", None)]
+    got = {(r.class_name, r.ancestor): r.distance for r in catalog.ancestors(spark.createDataFrame(pairs, "class_name string, base string")).collect()}
+    assert len({a for c, a in got if c == "c0"}) == 42 and got["c0", "c41"] == 41
+    assert got["d0", "d18"] == 36 and len([1 for c, _ in got if c == "d0"]) == 18 * 3 + 1
+    assert got["x", "z"] == 2 and got["z", "y"] == 2 and got["s", "s"] == 0 and got["n", "n"] == 0
+
+
+def test_generators_come_from_the_nearest_class(spark):
+    made = statements.generator_statements(files(spark, "C.<g> = make()"))
+    bases = spark.createDataFrame([("C", "ZNear"), ("ZNear", "AFar")], "class_name string, base string")
+    methods = spark.createDataFrame([("AFar", "_first_ngens", "tuple", ["FarElt"]), ("ZNear", "_first_ngens", "tuple", ["NearElt"])], "class_name string, method string, return_kind string, return_elems array<string>")
+    returns = spark.createDataFrame([("make", "C")], "callee string, class_name string")
+    assert {r.target: r.class_name for r in resolve.generator_types(made, returns, methods, bases).collect()} == {"C": "C", "g": "NearElt"}
