@@ -3,20 +3,28 @@
 Texts are tokenized once, in Arrow batches; what is kept of a document is a narrow row per piece. The histogram
 of piece lengths (at most `capacity` rows, whatever the input) goes to the driver. There the covering program
     min sum(x_c)  subject to  sum(c_l * x_c) >= n_l  for every length l
-is solved by multiplicative weights: prices fall for lengths that are covered ahead of their share, and each round buys
-the dearest configurations, found by a knapsack dynamic program. The solution is rounded down, and the last
-pieces, whose number the configurations bound and not the input, are placed best fit, longest first. A plan is a list of slots; the executors place the pieces of a length
-into its slots by their rank, which is counted in hashed buckets, so no length meets in one task.
+is solved by multiplicative weights: a length's weight falls exponentially with the share of it that is covered, and
+each round a knapsack dynamic program prices all configurations. For every length that lags behind, the dearest
+configuration that holds it is bought. Weights over the dearest configuration's value are a dual solution, so each
+round also bounds the program from below. The solution is rounded down; what is left is solved again, and then its
+full configurations are rounded up as long as pieces for them are left. The last pieces go best fit, longest first.
+The program is run twice, with weights that change a length's price freely and with weights that only decide
+between equally full configurations; the better plan counts.
+
+A plan is a list of slots; the executors place the pieces of a length into its slots by their rank, which is
+counted in hashed buckets, so no length meets in one task.
 """
 
 from __future__ import annotations
 
 import base64
 import bisect
+import math
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +37,8 @@ CAPACITY = 1024
 END = 2
 #: Entries of a worker's table of word tokens before it is emptied; bounds its memory.
 CACHE = 400_000
-ROUNDS, STEP = 40, 0.5
-#: The program is solved again while more pieces than this are left and whole multiples can be taken.
-RESIDUE = 50_000
+#: Rounds of a solution, the learning rate, and how often what is left is solved again.
+ROUNDS, STEP, PASSES = 120, 0.5, 3
 SPECIAL = "<|endoftext|>"
 
 
@@ -105,8 +112,8 @@ def _pieces(vocab: tuple[str, str, str], capacity: int):
     return run
 
 
-def _knapsack(value: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """For every room, the length that the dearest way to fill it takes first; 0 where nothing fits."""
+def _knapsack(value: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The dearest configuration's value, and for every room the length that the dearest way to fill it takes first; 0 where nothing fits."""
     best, pick = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
     fits = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
     for room in range(1, capacity + 1):
@@ -114,7 +121,7 @@ def _knapsack(value: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray
             worth = best[room - sizes[:k]] + value[:k]
             i = worth.argmax()
             best[room], pick[room] = worth[i], sizes[i]
-    return pick
+    return float(best[capacity]), pick
 
 
 def _configuration(anchor: int, pick: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[tuple[int, int], ...]:
@@ -127,15 +134,17 @@ def _configuration(anchor: int, pick: np.ndarray, demand: np.ndarray, capacity:
     return tuple(sorted(out.items()))
 
 
-def _round(left: np.ndarray, plan: Counter, capacity: int, rounds: int) -> None:
-    """Solves the program for what is left and moves its whole multiples into the plan."""
-    # Each round buys until a further 1 / rounds of every length is covered, the longest first.
+def _program(left: np.ndarray, capacity: int, rounds: int, free: bool) -> tuple[dict[tuple, float], float]:
+    """Configurations with their fractional numbers, and the best lower bound of the program."""
     bought: dict[tuple, float] = {}
     sizes = np.flatnonzero(left)
-    covered, log_price = np.zeros(capacity + 1), np.zeros(capacity + 1)
-    for t in range(1, rounds + 1 if len(sizes) else 0):
-        # Room that stays empty outweighs any price: a price moves a length's value by under one token.
-        pick = _knapsack(sizes + np.tanh(log_price[sizes]) / 8, sizes, capacity)
+    covered, bound = np.zeros(capacity + 1), 0.0
+    for t in range(1, rounds + 1):
+        weight = np.clip(STEP * (t - 1 - rounds * covered[sizes] / left[sizes]), -4, 4)
+        value = sizes * np.exp(weight) if free else sizes + np.tanh(weight) / 8
+        top, pick = _knapsack(value, sizes, capacity)
+        bound = max(bound, float(left[sizes] @ value) / top)
+        # Until a further 1 / rounds of every length is covered, the longest first.
         for anchor in sizes[::-1]:
             need = left[anchor] * t / rounds - covered[anchor]
             if need <= 0:
@@ -145,28 +154,21 @@ def _round(left: np.ndarray, plan: Counter, capacity: int, rounds: int) -> None:
             bought[config] = bought.get(config, 0.0) + need
             for size, copies in config:
                 covered[size] += copies * need
-        log_price[sizes] -= STEP * (covered[sizes] / left[sizes] * rounds - t)
-    for config, times in sorted(bought.items(), key=lambda x: (-x[1], x[0])):
-        times = min(int(times), *(int(left[size]) // copies for size, copies in config))
-        if times > 0:
-            plan[config] += times
-            for size, copies in config:
-                left[size] -= copies * times
+    return bought, bound
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[tuple[tuple[int, int], ...], int]]:
-    """(((length, copies), ...), times) so that every piece of the histogram has exactly one place."""
-    left = np.zeros(capacity + 1, dtype=np.int64)
-    for size, n in histogram.items():
-        left[size] += n
-    plan: Counter = Counter()
-    if left[capacity]:
-        plan[((capacity, 1),)] = int(left[capacity])
-        left[capacity] = 0
-    before = None
-    while (n := int(left.sum())) > RESIDUE and n != before or before is None:
-        before = n
-        _round(left, plan, capacity, rounds)
+def _take(config: tuple, times: int, left: np.ndarray, plan: Counter) -> int:
+    """Moves so many of a configuration into the plan, as far as pieces are left; how many."""
+    times = min(times, *(int(left[size]) // copies for size, copies in config))
+    if times > 0:
+        plan[config] += times
+        for size, copies in config:
+            left[size] -= copies * times
+    return max(times, 0)
+
+
+def _best_fit(left: np.ndarray, capacity: int, plan: Counter) -> None:
+    """The last pieces, longest first, each where the least room is left that holds it."""
     room: list[tuple[int, int]] = []  # (room left, sequence)
     made: list[list[int]] = []
     for size in range(capacity, 0, -1):
@@ -182,7 +184,70 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROU
                 bisect.insort(room, (space - size, k))
     for sequence in made:
         plan[tuple(sorted(Counter(sequence).items()))] += 1
-    return sorted(plan.items())
+
+
+def _half_bound(whole: np.ndarray, capacity: int) -> int:
+    """Lower bound from pieces above half the capacity: two of them never share a sequence, nor do they with what exceeds their room."""
+    size, best = np.arange(capacity + 1), 0
+    for small in range(1, capacity // 2 + 1):
+        large, middle, few = size > capacity - small, (2 * size > capacity) & (size <= capacity - small), (size >= small) & (2 * size <= capacity)
+        room = int(whole[middle] @ (capacity - size[middle]))
+        rest = max(0, int(whole[few] @ size[few]) - room)
+        best = max(best, int(whole[large].sum() + whole[middle].sum()) - (-rest // capacity))
+    return best
+
+
+@dataclass
+class Solution:
+    """plan: (((length, copies), ...), times) so that every piece has exactly one place; bound: no packing has fewer sequences;
+    placed: pieces that configurations of the program hold, the others went best fit."""
+
+    plan: list[tuple[tuple[tuple[int, int], ...], int]]
+    bound: int
+    placed: int
+
+    @property
+    def sequences(self) -> int:
+        return sum(times for _, times in self.plan)
+
+
+def solved(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> Solution:
+    whole = np.zeros(capacity + 1, dtype=np.int64)
+    for size, n in histogram.items():
+        whole[size] += n
+    full = int(whole[capacity])
+    out, bound = [], _half_bound(whole, capacity)
+    for free in (True, False):
+        left, plan = whole.copy(), Counter()
+        if full:
+            plan[((capacity, 1),)] = full
+            left[capacity] = 0
+        ranked: list[tuple[tuple, float]] = []
+        for again in range(PASSES):
+            if not left.any():
+                break
+            bought, least = _program(left, capacity, rounds, free)
+            if not again:
+                bound = max(bound, math.ceil(full + least - 1e-6))
+            ranked = sorted(bought.items(), key=lambda x: (-x[1], x[0]))
+            if not sum(_take(config, int(times), left, plan) for config, times in ranked):
+                break
+        for up in (True, False):  # rounded up or not, what is left goes best fit
+            rest, both = left.copy(), plan.copy()
+            for config, times in ranked if up else ():
+                if sum(size * copies for size, copies in config) >= capacity - capacity // 1000:
+                    _take(config, math.ceil(times), rest, both)
+            placed = int(whole.sum() - rest.sum())
+            _best_fit(rest, capacity, both)
+            out.append(Solution(sorted(both.items()), 0, placed))
+    best = min(out, key=lambda x: (x.sequences, -x.placed))
+    best.bound = bound
+    return best
+
+
+def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+    """(((length, copies), ...), times) so that every piece of the histogram has exactly one place."""
+    return solved(histogram, capacity, rounds).plan
 
 
 def _slots(plan) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:

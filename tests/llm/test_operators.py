@@ -221,6 +221,19 @@ def test_packing_plan_covers_the_histogram(seed):
     assert packing.solve({}, 64) == []
 
 
+@pytest.mark.parametrize(("mean", "n", "share"), [(5.5, 1500, 0.8), (5.8, 60_000, 0.9)])
+def test_packing_is_near_the_bound_of_the_program(mean, n, share):
+    sizes = np.clip(np.random.default_rng(n).lognormal(mean, 0.9, n).astype(int), 1, 1024)
+    found = packing.solved({int(k): int(c) for k, c in zip(*np.unique(sizes, return_counts=True), strict=True)})
+    assert -(-int(sizes.sum()) // 1024) <= found.bound <= found.sequences <= 1.01 * found.bound
+    assert found.placed >= share * n
+
+
+def test_packing_bound_knows_that_two_do_not_fit():
+    found = packing.solved({40: 1000, 30: 10}, 64)
+    assert found.bound >= 1000 and found.sequences in (1005, 1010)
+
+
 def test_quality(spark):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("bdgklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 3)))
