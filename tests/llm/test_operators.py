@@ -59,9 +59,12 @@ def test_empty_table(spark, operator):
 def test_exact_dedup(spark, rows):
     more = [(2000 + i, t) for i, t in rows[:60]] + [(3000, " ".join(rows[0][1]))]
     want = brute.exact(rows + more)
-    for bits in (1 << 27, 64):
+    for bits in (1 << 27, 64):  # one range of several blocks, several ranges
         got = exact_dedup(table(spark, rows + more), max_bits=bits).collect()
         assert {r.doc_id: tuple(r)[1:] for r in got} == want
+    many = [(i, f"text {i // 2}" if i % 3 else f"one {i}") for i in range(9000)]
+    got = exact_dedup(table(spark, many), max_bits=1 << 15).collect()
+    assert {r.doc_id: tuple(r)[1:] for r in got} == brute.exact(many)
     again = exact_dedup(table(spark, [(1, "a"), (1, "a"), (None, "a")])).collect()
     assert sorted(r.kept for r in again) == [False, False, True]
 
