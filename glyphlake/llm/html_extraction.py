@@ -27,7 +27,7 @@ from .language_id import forward_backward
 WIDTH = 1 << 13
 PAGES, STEPS = 500, 60
 #: Elements whose content is never text of the page.
-RAW = frozenset("script style noscript template textarea svg iframe title math object canvas".split())
+RAW = frozenset("script style noscript template textarea svg iframe title".split())
 BLOCK = frozenset(
     "html head body p div h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption section article main nav header footer aside form fieldset legend label button select option blockquote pre figure figcaption address details summary dialog hr menu center".split()
 )
@@ -38,22 +38,58 @@ WORDS = re.compile(r"[a-z]+")
 SPACES = re.compile(r"\s+")
 
 
+#: The rest of a tag. A ">" inside a quoted attribute value does not end it; quotes elsewhere are no quotes.
+REST = re.compile(r"""((?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+)>""")
+
+
+class Place:
+    """An open element: a node of the tree of element paths, which pages share. It keeps only what it adds to its parent."""
+
+    __slots__ = ("parent", "tag", "own", "mark", "added", "children", "score")
+
+    def __init__(self, parent: Place | None, tag: str, own: tuple[str, ...], mark: str, added: list[str]):
+        self.parent, self.tag, self.own, self.mark, self.added = parent, tag, own, mark, added
+        self.children: dict[tuple, Place] = {}
+        self.score: tuple[float, float] | None = None
+
+    def path(self) -> list[Place]:
+        out, at = [], self
+        while at.parent:
+            out.append(at)
+            at = at.parent
+        return out[::-1]
+
+
 @dataclass
 class Block:
     text: str
-    tags: list[str]
-    names: list[str]
-    own: list[str]
+    place: Place
     linked: int
-    mark: str = ""
+
+    @property
+    def mark(self) -> str:
+        return self.place.mark
+
+    @property
+    def tags(self) -> list[str]:
+        return [x.tag for x in self.place.path()]
+
+
+class Paths:
+    """The root of the tree, and how many nodes it has got."""
+
+    def __init__(self):
+        self.root, self.size = Place(None, "", (), "", []), 0
 
 
 @dataclass
 class _Reader:
+    paths: Paths
     blocks: list[Block] = field(default_factory=list)
-    stack: list[tuple[str, list[str], str]] = field(default_factory=list)
-    #: Where in the stack each tag is open.
+    stack: list[Place] = field(default_factory=list)
+    #: Where in the stack each tag is open, and how many open elements have a feature.
     places: dict[str, list[int]] = field(default_factory=dict)
+    features: dict[str, int] = field(default_factory=dict)
     held: list[str] = field(default_factory=list)
     linked: int = 0
     link: bool = False
@@ -65,12 +101,14 @@ class _Reader:
             if self.link:
                 self.linked += len(plain)
 
+    def top(self) -> Place:
+        return self.stack[-1] if self.stack else self.paths.root
+
     def flush(self) -> None:
         if self.held:
             text = SPACES.sub(" ", "".join(self.held)).strip()
             if text:
-                mark = next((m for _, _, m in reversed(self.stack) if m), "")
-                self.blocks.append(Block(text, [t for t, _, _ in self.stack], [n for _, names, _ in self.stack for n in names], self.stack[-1][1] if self.stack else [], min(self.linked, len(text)), mark))
+                self.blocks.append(Block(text, self.top(), min(self.linked, len(text))))
             self.held, self.linked = [], 0
 
     def open(self, tag: str, attributes: str) -> None:
@@ -82,14 +120,14 @@ class _Reader:
             self.flush()
             self.link = False
             closes = {"p": ("p",), "li": ("li", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "tr": ("tr", "td", "th"), "dt": ("dd", "dt", "p"), "dd": ("dd", "dt", "p"), "option": ("option",)}.get(tag, ("p",))
-            while self.stack and self.stack[-1][0] in closes:
+            while self.stack and self.stack[-1].tag in closes:
                 self.cut(len(self.stack) - 1)
             if tag not in VOID and not attributes.endswith("/"):
                 lower = attributes.lower()
                 names = [w for m in NAME.finditer(attributes) for w in WORDS.findall((m[1] or m[2] or m[3] or "").lower())] if "class" in lower or "id" in lower or "role" in lower else []
                 mark = re.search(r'data-label="(\w+)"', attributes)
                 self.places.setdefault(tag, []).append(len(self.stack))
-                self.stack.append((tag, names, mark[1] if mark else ""))
+                self.push(tag, tuple(dict.fromkeys(names)), mark[1] if mark else "")
 
     def close(self, tag: str) -> None:
         if tag == "a":
@@ -99,14 +137,31 @@ class _Reader:
             if self.places.get(tag):
                 self.cut(self.places[tag][-1])
 
+    def push(self, tag: str, own: tuple[str, ...], mark: str) -> None:
+        parent, mine = self.top(), _place_names(tag, own)
+        place = parent.children.get((tag, own, mark))
+        if place is None:
+            place = parent.children[tag, own, mark] = Place(parent, tag, own, mark or parent.mark, [f for f in mine if not self.features.get(f)])
+            self.paths.size += 1
+        for f in mine:
+            self.features[f] = self.features.get(f, 0) + 1
+        self.stack.append(place)
+
     def cut(self, size: int) -> None:
         while len(self.stack) > size:
-            self.places[self.stack.pop()[0]].pop()
+            place = self.stack.pop()
+            self.places[place.tag].pop()
+            for f in _place_names(place.tag, place.own):
+                self.features[f] -= 1
+
 
+def _place_names(tag: str, own: tuple[str, ...]) -> list[str]:
+    return [f"in:{tag}", *(f"name:{w}" for w in own)]
 
-def leaf_blocks(page: str) -> list[Block]:
-    """The leaf blocks in page order; broken markup never fails."""
-    r, at, n = _Reader(), 0, len(page)
+
+def leaf_blocks(page: str, paths: Paths | None = None) -> list[Block]:
+    """The leaf blocks in page order, in one pass; broken markup never fails."""
+    r, at, n = _Reader(paths or Paths()), 0, len(page)
     while at < n:
         m = TAG.search(page, at)
         if not m:
@@ -117,20 +172,17 @@ def leaf_blocks(page: str) -> list[Block]:
             stop = page.find("-->" if m[0] == "<!--" else "]]>", m.end())
             at = n if stop < 0 else stop + 3
             continue
-        stop = page.find(">", m.end())
-        if stop < 0:
-            break
         if m[2] is None:
+            stop = page.find(">", m.end())
+            if stop < 0:
+                break
             at = stop + 1
             continue
-        # A ">" inside a quoted attribute value does not end the tag.
+        rest = REST.match(page, m.end())
+        stop = rest.end() - 1 if rest else page.find(">", m.end())
+        if stop < 0:
+            break
         attributes = page[m.end() : stop]
-        for quote in "\"'":
-            while attributes.count(quote) % 2 and (q := page.find(quote, stop)) >= 0 and (later := page.find(">", q)) >= 0:
-                stop = later
-                attributes = page[m.end() : stop]
-            if quote in attributes:
-                break
         at, tag = stop + 1, m[2].lower()
         if m[1]:
             r.close(tag)
@@ -146,9 +198,14 @@ def leaf_blocks(page: str) -> list[Block]:
     return r.blocks
 
 
-def place_features(b: Block) -> list[str]:
+def here_features(place: Place) -> list[str]:
+    """What the innermost element says, beside what all open ones do."""
+    return ["bias", f"leaf:{place.tag}", *(f"own:{w}" for w in place.own)]
+
+
+def place_features(place: Place) -> list[str]:
     """What a block's place in the page says; equal for all blocks in one element."""
-    return ["bias", f"leaf:{b.tags[-1] if b.tags else ''}", *(f"in:{t}" for t in set(b.tags)), *(f"name:{w}" for w in set(b.names)), *(f"own:{w}" for w in set(b.own))]
+    return [*here_features(place), *(f for x in place.path() for f in x.added)]
 
 
 def own_features(b: Block, first: bool) -> list[str]:
@@ -170,7 +227,7 @@ def page_features(blocks: list[Block]) -> tuple[list[int], list[int]]:
     """Hashed features of all blocks, and how many each block has."""
     ids, sizes = [], []
     for i, b in enumerate(blocks):
-        f = place_features(b) + own_features(b, i == 0)
+        f = place_features(b.place) + own_features(b, i == 0)
         ids += map(slot, f)
         sizes.append(len(f))
     return ids, sizes
@@ -275,34 +332,49 @@ def viterbi(e: list[tuple[float, float]], trans: np.ndarray) -> list[int]:
 
 
 class Extractor:
-    """Decodes pages; remembers the scores of places, which repeat from page to page (at most PLACES of them)."""
+    """Decodes pages; remembers the scores of places, which repeat from page to page (about PLACES of them)."""
 
     PLACES = 50_000
 
     def __init__(self, weights: np.ndarray, trans: np.ndarray):
-        self.weights, self.trans = [tuple(w) for w in weights.tolist()], trans
-        self.places: dict[tuple, tuple[float, float]] = {}
+        self.weights, self.trans, self.paths = [tuple(w) for w in weights.tolist()], trans, Paths()
         self.own: dict[tuple, tuple[float, float]] = {}
+        self.here: dict[tuple, tuple[float, float]] = {}
 
     def sum(self, features: list[str]) -> tuple[float, float]:
         w = [self.weights[slot(f)] for f in features]
         return sum(x for x, _ in w), sum(x for _, x in w)
 
+    def above(self, place: Place) -> tuple[float, float]:
+        """The score of all open elements, from the nearest one whose score is known."""
+        todo, at = [], place
+        while at.score is None and at.parent:
+            todo.append(at)
+            at = at.parent
+        x, y = at.score or (0.0, 0.0)
+        for at in reversed(todo):
+            a, b = self.sum(at.added)
+            at.score = x, y = x + a, y + b
+        return x, y
+
     def score(self, b: Block, first: bool) -> tuple[float, float]:
-        key = (tuple(b.tags), tuple(b.names), len(b.own))
-        place = self.places.get(key)
-        if place is None:
-            if len(self.places) >= self.PLACES:
-                self.places.clear()
-            place = self.places[key] = self.sum(place_features(b))
+        place = self.above(b.place)
+        key = (b.place.tag, b.place.own)
+        here = self.here.get(key)
+        if here is None:
+            if len(self.here) >= self.PLACES:
+                self.here.clear()
+            here = self.here[key] = self.sum(here_features(b.place))
         key = (min((b.text.count(" ") + 1).bit_length(), 7), round(4 * b.linked / len(b.text)), b.text[-1] in ".!?…»\"”", first, "©" in b.text)
         own = self.own.get(key)
         if own is None:
             own = self.own[key] = self.sum(own_features(b, first))
-        return place[0] + own[0], place[1] + own[1]
+        return place[0] + here[0] + own[0], place[1] + here[1] + own[1]
 
     def text(self, page: str) -> str:
-        blocks = leaf_blocks(page)
+        if self.paths.size > self.PLACES:
+            self.paths = Paths()
+        blocks = leaf_blocks(page, self.paths)
         if not blocks:
             return ""
         labels = viterbi([self.score(b, i == 0) for i, b in enumerate(blocks)], self.trans)

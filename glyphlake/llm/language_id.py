@@ -15,7 +15,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BASE, lean, mix, powers, text_of
@@ -23,8 +23,8 @@ from .common import BASE, lean, mix, powers, text_of
 WIDTH = 1 << 18
 #: Bounds of the training sample.
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 4000
-#: Languages that are learned at most: those with the most documents; keeps the weights small.
-MAX_LANGS = 200
+#: Features times languages at most: with more languages more features share a weight (64 MB of weights).
+MAX_WEIGHTS = 1 << 24
 STEPS, LENGTH = 40, 48
 CHUNK = 1 << 21
 
@@ -34,7 +34,7 @@ def _letters() -> np.ndarray:
     return np.array([chr(i).isalpha() for i in range(0x110000)], dtype=bool)
 
 
-def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def features(texts: list[str], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the texts' words in order: 7 feature ids each; ids of their letter pairs; where each word's pairs
     begin; and the number of words of each text."""
     joined = "\n".join(t.lower().replace("\n", " ") for t in texts) + "\n"
@@ -48,7 +48,7 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
         return np.empty((0, 7), np.int32), np.empty(0, np.int32), np.empty(0, np.int64), counts
     x = cp.astype(np.uint64) + np.uint64(1)
     size = end - start
-    fold = lambda h, tag: (mix(h * np.uint64(8) + np.uint64(tag)) % np.uint64(WIDTH - 1) + np.uint64(1)).astype(np.int32)
+    fold = lambda h, tag: (mix(h * np.uint64(8) + np.uint64(tag)) % np.uint64(width - 1) + np.uint64(1)).astype(np.int32)
     ids = np.empty((len(start), 7), np.int32)
     head = tail = np.zeros(len(start), np.uint64)
     shift = np.uint64(21)
@@ -73,7 +73,7 @@ def emissions(weights: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.nda
         held.append(t)
         size += len(t)
         if size >= CHUNK or i == len(texts) - 1:
-            ids, pairs, first, n = features(held)
+            ids, pairs, first, n = features(held, len(weights))
             counts.append(n)
             if len(ids):
                 e = weights[ids[:, 0]].copy()
@@ -128,7 +128,10 @@ def fit(samples: dict[str, list[str]], steps: int = STEPS, seed: int = 7) -> tup
     langs = sorted(samples)
     rng = np.random.default_rng(seed)
     texts = [" ".join(samples[x]) for x in langs]
-    ids, pairs, first, counts = features(texts)
+    width = WIDTH
+    while width * len(langs) > MAX_WEIGHTS:
+        width //= 2
+    ids, pairs, first, counts = features(texts, width)
     label = np.repeat(np.arange(len(langs)), counts)
     length = np.diff(np.append(first, len(pairs)))
     word = np.repeat(np.arange(len(ids)), length)
@@ -146,7 +149,7 @@ def fit(samples: dict[str, list[str]], steps: int = STEPS, seed: int = 7) -> tup
     while runs:
         sequences.append(np.concatenate([runs.pop() for _ in range(min(len(runs), int(rng.integers(1, 4))))]))
     order, sizes = np.concatenate(sequences), np.array([len(s) for s in sequences])
-    weights, trans = np.zeros((WIDTH, len(langs)), np.float32), np.eye(len(langs), dtype=np.float32)
+    weights, trans = np.zeros((width, len(langs)), np.float32), np.eye(len(langs), dtype=np.float32)
     squares, tsquares = np.full_like(weights, 1e-6), np.full_like(trans, 1e-6)
     gold = np.zeros((len(ids), len(langs)), np.float32)
     gold[np.arange(len(ids)), label] = 1
@@ -164,7 +167,7 @@ def fit(samples: dict[str, list[str]], steps: int = STEPS, seed: int = 7) -> tup
         g = (gold - m) / n
         grad = np.empty_like(weights)
         for k in range(len(langs)):
-            grad[:, k] = np.bincount(ids.ravel(), weights=np.repeat(g[:, k], 7), minlength=WIDTH) + np.bincount(pairs, weights=(g[:, k] / length)[word], minlength=WIDTH)
+            grad[:, k] = np.bincount(ids.ravel(), weights=np.repeat(g[:, k], 7), minlength=width) + np.bincount(pairs, weights=(g[:, k] / length)[word], minlength=width)
         grad -= 1e-7 * weights
         squares += (grad * n) ** 2
         weights += 0.3 * (grad * n) / np.sqrt(squares)
@@ -188,8 +191,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     spark = docs.sparkSession
     lean(spark)
     known = docs.where(~held_out(F.col(id_col))).where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    known = known.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("t"), F.xxhash64(F.col(id_col)).alias("h"))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    known = known.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("t"), F.xxhash64(id_col, text_col).alias("h"))
+    counts = known.groupBy("lang").count().collect()
     samples: dict[str, list[str]] = {}
     if counts:
         # About sample_docs rows of each language, by hash, and a window of each.
@@ -198,8 +201,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             share = F.when(F.col("lang") == r.lang, F.lit(max(1, r["count"] // sample_docs))).otherwise(share)
         n = F.length("t")
         at = F.when(n > SAMPLE_CHARS, F.pmod(F.shiftright("h", 20), n - SAMPLE_CHARS)).otherwise(0).cast("int") + 1
-        rows = known.withColumn("share", share).where("share > 0 AND pmod(h, share) = 0").select("lang", F.col("t").substr(at, F.lit(SAMPLE_CHARS)).alias("t"))
-        for r in rows.limit(2 * sample_docs * len(counts)).collect():
+        rows = known.withColumn("share", share).where("pmod(h, share) = 0").select("lang", "h", F.col("t").substr(at, F.lit(SAMPLE_CHARS)).alias("t"))
+        # Of repeated rows, which have one hash, more may pass than the share.
+        rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))).where(F.col("k") <= 2 * sample_docs)
+        for r in rows.orderBy("lang", "k").collect():
             samples.setdefault(r.lang, []).append(r.t)
     out = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), text_of(text_col).alias("t"))
     if not samples:

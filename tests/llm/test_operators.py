@@ -2,6 +2,7 @@
 
 import random
 import sys
+import time
 import zlib
 from pathlib import Path
 
@@ -334,6 +335,36 @@ def test_closing_tag_matches_at_any_depth():
     assert [b.tags for b in blocks[-2:]] == [["article", "p"], ["p"]]
 
 
+def test_deep_and_odd_pages_are_read_in_linear_time(reader):
+    began = time.monotonic()
+    for page in ("<div>x" * 60_000, "<p title=it's>x" * 60_000, '<a b="' * 60_000, "<ul><li>" * 30_000 + "x" + "</ul>" * 30_000):
+        reader.text(page)
+    assert time.monotonic() - began < 30
+
+
+def test_viterbi_finds_the_best_of_all_labellings():
+    import itertools
+
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 5, 9):
+        e, trans = rng.normal(size=(n, 2)), rng.normal(size=(2, 2))
+        worth = lambda x: sum(e[i, k] for i, k in enumerate(x)) + sum(trans[a, b] for a, b in itertools.pairwise(x))  # noqa: E731, B023
+        assert html_extraction.viterbi([tuple(x) for x in e.tolist()], trans) == list(max(itertools.product((0, 1), repeat=n), key=worth))
+
+
+def test_own_pages_recall(spark):
+    """Blocks under `article` of the given pages are the text, those under nav, aside, footer, form and header are not."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    got = {r.html: r.text.split("\n") for r in html_extraction.extract(spark.createDataFrame([(i, "u", h) for i, h in enumerate(pages)], "page_id long, url string, html string")).join(spark.createDataFrame(list(enumerate(pages)), "page_id long, html string"), "page_id").collect()}
+    right = wrong = missed = 0
+    for page in pages:
+        for b in html_extraction.leaf_blocks(page):
+            kept = b.text in got[page]
+            text = "article" in b.tags and not {"nav", "aside", "footer", "form"} & set(b.tags)
+            right, wrong, missed = right + (kept and text), wrong + (kept and not text), missed + (text and not kept)
+    assert right > 0 and missed <= 0.02 * right and wrong <= 0.05 * right
+
+
 def test_page(spark):
     page = """<html><head><title>no</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a>b">menu</a></li></ul></nav>
     <div class="cookie-notice">We use cookies.</div><article><h1>A &amp; B</h1><p><b>First   line
