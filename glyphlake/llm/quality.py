@@ -223,17 +223,17 @@ def _score_fn(block, unigrams, lang_at: int, text_at: int, keep: list[int], name
 
 
 def score(docs: DataFrame, model: Model, lang_col: str, text_col: str, keep: list[str]) -> DataFrame:
-    """The columns to keep, and _lp (log probability) and _n (bytes); 0 and 0 for a language without a model."""
+    """The columns to keep, and _lp_ (log probability) and _n_ (bytes); 0 and 0 for a language without a model."""
     spark = docs.sparkSession
     keep_all = list(dict.fromkeys([*keep, lang_col, text_col]))
     df, total = docs.select(*keep_all), None
     for i, block in enumerate(model.blocks):
         wanted = keep if i == len(model.blocks) - 1 else keep_all
-        fields = [df.schema[c] for c in wanted] + [T.StructField("_lp", T.DoubleType()), T.StructField("_n", T.LongType())]
-        fn = _score_fn(spark.sparkContext.broadcast(block), model.unigrams, df.columns.index(lang_col), df.columns.index(text_col), [df.columns.index(c) for c in wanted], [*wanted, "_lp", "_n"], total)
+        fields = [df.schema[c] for c in wanted] + [T.StructField("_lp_", T.DoubleType()), T.StructField("_n_", T.LongType())]
+        fn = _score_fn(spark.sparkContext.broadcast(block), model.unigrams, df.columns.index(lang_col), df.columns.index(text_col), [df.columns.index(c) for c in wanted], [*wanted, "_lp_", "_n_"], total)
         df = df.mapInArrow(fn, T.StructType(fields))
         total = len(wanted)
-    return df if model.blocks else df.select(*keep, F.lit(0.0).alias("_lp"), F.lit(0).cast("long").alias("_n"))
+    return df if model.blocks else df.select(*keep, F.lit(0.0).alias("_lp_"), F.lit(0).cast("long").alias("_n_"))
 
 
 def train(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, max_entries: int = MAX_ENTRIES) -> Model:
@@ -294,8 +294,8 @@ def train(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, max_en
             k, v, shards = home[lang]
             home[lang] = (k, v, np.concatenate([shards, missing]))
     model = Model(blocks, unigrams, {}, {})
-    scored = materialize(score(trusted.where(held), model, "lang", "text", ["lang"]).where("_n > 0"))
-    for r in scored.groupBy("lang").agg(F.sum("_lp").alias("lp"), F.sum("_n").alias("n")).collect():
+    scored = materialize(score(trusted.where(held), model, "lang", "text", ["lang"]).where("_n_ > 0"))
+    for r in scored.groupBy("lang").agg(F.sum("_lp_").alias("lp"), F.sum("_n_").alias("n")).collect():
         model.mean[r.lang] = r.lp / r.n
     for r in scored.groupBy("lang").agg(F.percentile_approx(-_rate(model), F.lit(quantile), F.lit(10_000)).alias("q")).collect():
         model.threshold[r.lang] = r.q
@@ -311,7 +311,7 @@ def _by_lang(values: dict[str, float]) -> F.Column:
 
 def _rate(model: Model) -> F.Column:
     """Log probability per byte, drawn to the language's mean for short texts."""
-    return (F.col("_lp") + PRIOR * _by_lang(model.mean)) / (F.col("_n") + PRIOR)
+    return (F.col("_lp_") + PRIOR * _by_lang(model.mean)) / (F.col("_n_") + PRIOR)
 
 
 def judge(docs: DataFrame, labels: DataFrame, keep: list[str], quantile: float = QUANTILE, max_entries: int = MAX_ENTRIES) -> DataFrame:
@@ -319,13 +319,14 @@ def judge(docs: DataFrame, labels: DataFrame, keep: list[str], quantile: float =
 
     Null or empty texts have perplexity null and are kept, as is every document whose language is null or has
     no trusted text: nothing is known against it. Ties with the threshold are kept. Repeated rows are judged
-    alike; empty tables give no rows. Other columns pass untouched if named.
+    alike; empty tables give no rows. Other columns pass untouched if named, but for those named like an output.
     """
+    keep = [c for c in keep if c not in ("perplexity", "threshold", "kept")]
     model = train(docs, labels, quantile, max_entries)
-    work = ["_lp", "_n"]
+    work = ["_lp_", "_n_"]
     rest = [c for c in keep if c not in ("lang",)]
     df = score(docs, model, "lang", "text", [*rest, "lang"])
     bits = -_rate(model)
     limit = _by_lang(model.threshold)
-    known = (F.col("_n") > 0) & limit.isNotNull()
+    known = (F.col("_n_") > 0) & limit.isNotNull()
     return df.withColumns({"perplexity": F.when(known, F.exp(bits)), "threshold": F.exp(limit), "kept": F.coalesce(~known | (bits <= limit), F.lit(True))}).drop(*work).select(*keep, "perplexity", "threshold", "kept")

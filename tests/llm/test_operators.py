@@ -402,3 +402,53 @@ def test_pipeline_keeps_what_lines_leave(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
     got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
     assert got == {1: licence, 2: "一行\n两行", 3: "milk\n \neggs", 6: " \n", 7: None}
+
+
+CLASHES = ("removed", "_id", "_kept", "kept", "perplexity", "threshold", "_n_", "_lp_", "t", "sig", "component", "component_id", "h", "contaminated")
+
+
+def test_stages_of_awkward_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("bdgklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 3)))
+    item = " ".join(f"{word()}{i}" for i in range(14))
+    plain = [(i, "\n".join(" ".join(word() for _ in range(30)) for _ in range(3))) for i in range(40)]
+    odd = [(100, None), (101, ""), (102, "  \n\t"), (103, f"{word()} {item} {word()}"), (None, f"{word()} {item}"), (None, " ".join(word() for _ in range(20))), (0, plain[0][1]), (104, plain[1][1]), (105, f"{plain[2][1]}\n{word()} {word()}")]
+    docs = spark.createDataFrame(plain + odd, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit(None).cast("string"), "n_chars": F.length("text").cast("long")} | {c: F.lit(7) for c in CLASHES})
+    spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    out = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns and got.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+        out[name] = [(r.doc_id, r.text) for r in got.collect()]
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    assert len(out["quality_classifier"]) >= len(plain + odd) - 3
+    gone = set(map(str, plain + odd)) - set(map(str, out["line_dedup"]))
+    assert gone == {str(odd[7]), str(odd[8])} and (105, odd[8][1].split("\n")[-1]) in out["line_dedup"]
+    assert sorted(map(str, set(plain + odd) - set(out["ngram_jaccard_join"]))) == sorted(map(str, [odd[7], odd[8]]))
+    assert sorted(map(str, set(plain + odd) - set(out["benchmark_decontamination"]))) == sorted(map(str, [odd[3], odd[4]]))
+    packed = stages["best_fit_packing"](spark, docs, str(tmp_path))
+    assert packed.where("piece = 0").count() == len(plain + odd) and stages["best_fit_packing"](spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_repeated_rows_and_null_ids(spark):
+    text = "one two three four five\nsix seven eight nine ten"
+    df = table(spark, [(5, text), (5, text), (None, text), (6, text), (7, None), (7, None), (None, None)])
+    assert {r.doc_id: (r.n_lines, r.removed) for r in removed_lines(df).collect()} == {5: (2, []), 6: (2, [0, 1]), 7: (1, [])}
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join(df).collect()) == [(5, 8, 5), (5, 8, 5), (6, 8, 5), (7, 0, 7), (7, 0, 7)]
+    assert sorted((r.doc_id or 0, r.length) for r in packing.pack(df).collect())[0][0] == 0 and packing.pack(df).count() == 7
+    items = spark.createDataFrame([(1, "three four five")], "item_id long, text string")
+    assert sorted((r.doc_id or 0, r.n_hit) for r in decontaminate(df, items).collect()) == [(0, 0), (0, 3), (5, 3), (5, 3), (6, 3), (7, 0), (7, 0)]
+    assert decontaminate(df.limit(0), items).count() == 0
+
+
+def test_line_dedup_of_a_family_of_near_copies(spark):
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(24)]
+    family = [(i, " ".join([*base[: 24 - k], *(f"x{rng.randrange(10**6)}" for _ in range(k))])) for i, k in enumerate(rng.choice((0, 1, 2, 3, 4, 5)) for _ in range(400))]
+    want = brute.lines(family)
+    for other in ({}, {"tried": 2}):
+        assert {r.doc_id: (r.n_lines, r.removed) for r in removed_lines(table(spark, family), **other).collect()} == want
