@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 def is_library(path: Column) -> Column:
     """The path has the segment pair of the installed library, in either spelling."""
+    # The library's folder and, below, the file endings.
     return path.contains("/site-packages/sage/") | path.contains("\\site-packages\\sage\\")
 
 

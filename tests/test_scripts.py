@@ -17,13 +17,13 @@ def files(spark, *texts, ext="sage"):
 
 
 CARETS = {
-    "e^254": [("^", "EXP")],
-    "x ^^ y": [("^^", "XOR")],
-    "x ^= 3": [("^=", "EXPEQ")],
-    "m ^^=1": [("^^=", "XOREQ")],
-    "a ^^^ b": [("^^^", "XOR")],
-    "a ^^^= b": [("^^", "XOR"), ("^=", "EXPEQ")],
-    "s = 'a^b' ^ 2  # c^d": [("^", "EXP")],
+    "g^31": [("^", "EXP")],
+    "p ^^ q": [("^^", "XOR")],
+    "p ^= 5": [("^=", "EXPEQ")],
+    "k ^^=2": [("^^=", "XOREQ")],
+    "p ^^^ q": [("^^^", "XOR")],
+    "p ^^^= q": [("^^", "XOR"), ("^=", "EXPEQ")],
+    "w = 'u^v' ^ 4  # y^z": [("^", "EXP")],
     's = """a^b\nc^d""" ^^ 2': [("^^", "XOR")],
     "": [],
 }
@@ -49,9 +49,9 @@ def test_lexemes_join_to_the_text(spark, texts):
 
 
 STATEMENTS = {
-    "R.<x> = GF(2)[]\nF.<a> = GF(2^8, modulus=x^8 + x^4 + x^3 + x + 1)": [("R", ["x"], "GF"), ("F", ["a"], "GF")],
-    "K.<a,b> = NumberField(x^2 - 2, names=('a','b'))": [("K", ["a", "b"], "NumberField")],
-    "a < b > c = 1\nx[0] = 1\na.b.<x> = 1": [],
+    "P.<t> = GF(5)[]\nE.<c> = GF(5^3, modulus=t^3 + 3*t + 3)": [("P", ["t"], "GF"), ("E", ["c"], "GF")],
+    "L.<u,v> = NumberField(t^3 - 5, names=('u','v'))": [("L", ["u", "v"], "NumberField")],
+    "p < q > r = 2\ny[1] = 3\np.q.<t> = 4": [],
     "R.<x> =": [("R", ["x"], None)],
     "R.<x": [],
     "R.<a,> = GF(7)": [],
@@ -95,7 +95,7 @@ MISUSE = {
     "P.<u> =\ndef f(k: bytes):\n    return 'é', k ^ 2^u": "P.<u> =\ndef f(k: bytes):\n    return 'é', k ^^ 2^u",
     "s = [] ; t = b'n' ^ r[]": "s = [] ; t = b'n' ^^ r[]",
 }
-FINE = ["e^254", "2^8", 'b"k" ** 2', "x ^^ y", 'x ^^= b"k"', "bytes(f(x ^ y))", "broken( ^", "", "s = 'b^' # ^ b'k'"]
+FINE = ["g^31", "3^4", 'b"k" ** 2', "x ^^ y", 'x ^^= b"k"', "bytes(f(x ^ y))", "broken( ^", "", "s = 'b^' # ^ b'k'"]
 
 
 @pytest.mark.parametrize("text", list(MISUSE))
