@@ -17,6 +17,11 @@ def is_stub(path: Column) -> Column:
     return is_library(path) & path.endswith(".pyi")
 
 
+def shortened(text: Column, size: int = 60) -> Column:
+    """L4: the first characters of a text, 60 for what a message shows of an expression."""
+    return F.left(text, F.lit(size))
+
+
 def basename(path: Column) -> Column:
     return F.element_at(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), -1)
 

@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+import builtins
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .catalog import ancestors, anchor, declared, find_class, follow_aliases, stub_symbols
-from .statements import generator_statements, implicit_files
+from .statements import bound_names, generator_statements, implicit_files
+
+
+#: Names that every script has.
+BUILTINS = tuple(x for x in dir(builtins) if not x.startswith("_"))
+
+
+def candidate_counts(names: DataFrame, symbols: DataFrame) -> DataFrame:
+    """A3: (name, n), how many functions and classes of the stub tree a name could mean."""
+    return names.select("name").distinct().join(declared(symbols).groupBy("name").agg(F.count("*").alias("n")), "name", "left").select("name", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def find_declarations(names: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -31,9 +42,10 @@ def find_declarations(names: DataFrame, symbols: DataFrame) -> DataFrame:
 def resolve_names(refs: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:
     """References (file_id, line_no, name, qualified) to (…, origin, target_kind, target_path).
 
-    Qualified names and files with the explicit import are left to ordinary resolution and give no row. A name
-    of the same generator statement wins (J7), then the catalog (J1).
+    Qualified names, files with the explicit import, builtins and names that the script binds are left to ordinary
+    resolution and give no row. A name of the same generator statement wins (J7), then the catalog (J1).
     """
+    refs = refs.where(~F.col("name").isin(*BUILTINS)).join(bound_names(files), ["file_id", "name"], "left_anti")
     open_ = refs.where(~F.col("qualified")).join(implicit_files(files).select("file_id"), "file_id", "left_semi")
     own = generator_statements(files).select("file_id", "line_no", F.explode(F.concat(F.array("factory_name"), "names")).alias("name")).distinct().withColumn("own", F.lit(True))
     rows = open_.join(own, ["file_id", "line_no", "name"], "left").join(find_declarations(open_, symbols), "name", "left")

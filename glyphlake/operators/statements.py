@@ -58,6 +58,29 @@ def generator_statements(files: DataFrame) -> DataFrame:
     )
 
 
+def statement_errors(files: DataFrame) -> DataFrame:
+    """(file_id, line_no, message) of generator statements that end after the "="; they stay statements."""
+    return generator_statements(files).where("rhs = ''").select("file_id", "line_no", F.lit("expression expected").alias("message"))
+
+
+#: Names that a line of code binds: assignment targets, definitions, loop variables and imports; one group each. A
+#: comprehension's names are its own.
+_BINDING = (
+    r"^\s*([\p{L}_][\p{L}\p{N}_]*(?:\s*,\s*[\p{L}_][\p{L}\p{N}_]*)*)\s*(?::[^=]*)?=(?!=)",
+    r"^\s*(?:async\s+)?(?:def|class)\s+([\p{L}_][\p{L}\p{N}_]*)",
+    r"^\s*for\s+([\p{L}_][\p{L}\p{N}_]*(?:\s*,\s*[\p{L}_][\p{L}\p{N}_]*)*)\s+in\b",
+    r"^\s*import\s+([\p{L}_][\p{L}\p{N}_]*)\s*$",
+    r"\bas\s+([\p{L}_][\p{L}\p{N}_]*)",
+)
+
+
+def bound_names(files: DataFrame) -> DataFrame:
+    """(file_id, name): names that a script binds in one-line statements, which ordinary resolution finds by itself."""
+    lines = logical_lines(scripts(files))
+    found = [F.split(F.regexp_extract("code", p, 1), r"\s*,\s*") for p in _BINDING]
+    return lines.select("file_id", F.explode(F.concat(*found)).alias("name")).where("name <> ''").distinct()
+
+
 def has_explicit_import(code: Column) -> Column:
     return code.rlike(r"(?m)" + EXPLICIT)
 

@@ -14,7 +14,7 @@ _FIRST = """CASE p_partkey % 5 WHEN 0 THEN 'from sage.all import *' WHEN 1 THEN
     WHEN 2 THEN 's = "from sage.all import *"' WHEN 3 THEN 'from sage.rings.all import ZZ' ELSE 'import os' END"""
 _SECOND = f"""CASE p_partkey % 8 WHEN 0 THEN concat('R', {_K}, '.<x> = ', CASE WHEN p_partkey % 16 = 0 THEN 'GF' ELSE concat('fn', CAST(p_partkey - p_partkey % 6 + 1 AS STRING)) END, '(', {_S}, ')[]') WHEN 1 THEN concat('F.<a,b> = NumberField(x^', {_S}, ' - 2)')
     WHEN 2 THEN concat('y = e^', {_S}) WHEN 3 THEN concat('m ^^= ', {_S}) WHEN 4 THEN concat('z = b"', p_brand, '" ^ k')
-    WHEN 5 THEN 'R.<x' WHEN 6 THEN concat('# ', p_name, ' ^ comment') ELSE concat('n = ', {_S}) END"""
+    WHEN 5 THEN CASE WHEN p_partkey % 16 = 5 THEN 'R.<x' ELSE 'Q.<w> =' END WHEN 6 THEN concat('# ', p_name, ' ^ comment') ELSE concat('n = ', {_S}) END"""
 _THIRD = f"""CASE p_partkey % 11 WHEN 0 THEN 'c = bytes(x ^ y for x, y in zip(a, b))' WHEN 1 THEN 'm ^= b"k"' WHEN 2 THEN 'w = p ^^^ q'
     WHEN 3 THEN concat('v = ', {_S}, '.5') WHEN 4 THEN 'u = -5' WHEN 5 THEN 's = "a^b" ^ 2  # c^d' WHEN 6 THEN 'a ^^^= b'
     WHEN 7 THEN 'd = bytes(f(x ^ y))' WHEN 8 THEN 'h: bytes = g(); v = h ^ t' WHEN 9 THEN 'for i in [1..5]: v = i ^ 2' ELSE concat('S.<y> = ZZ[]; T = ', {_S}) END"""

@@ -93,7 +93,8 @@ ORACLE_SQL: dict[str, str] = {
     "resolve_names": f"""WITH {_FILES}, {_GENS}, {_IMPLICIT}, {_FIND}, refs AS ({_REFS.replace('({scripts})', '(SELECT file_id FROM files)')}),
         own AS (SELECT file_id, line_no, unnest(list_prepend(factory_name, names)) AS name FROM gens), own1 AS (SELECT DISTINCT *, true AS mine FROM own)
         SELECT file_id, name, CASE WHEN mine THEN 'generator' WHEN tier > 0 THEN 'catalog' ELSE 'none' END AS origin, CASE WHEN mine THEN 'target' ELSE target_kind END AS target_kind, CASE WHEN mine THEN NULL ELSE target_path END AS target_path
-        FROM refs LEFT JOIN own1 USING (file_id, line_no, name) LEFT JOIN found USING (name) WHERE NOT qualified AND file_id IN (SELECT file_id FROM implicit)""",
+        FROM refs LEFT JOIN own1 USING (file_id, line_no, name) LEFT JOIN found USING (name) WHERE NOT qualified AND file_id IN (SELECT file_id FROM implicit)
+        AND name <> 'bytes' AND NOT (name = 'n' AND file_id IN (SELECT file_id FROM lines WHERE line LIKE 'n = %'))""",
     "literal_types": f"WITH {_FILES}, {_LINES}, {_LITERALS} SELECT * FROM literals",
     "generator_types": f"WITH RECURSIVE {_GENTYPES} SELECT * FROM gentypes",
     "target_types": f"WITH RECURSIVE {_GENTYPES}, {_LITERALS} SELECT * FROM gentypes WHERE class_name IS NOT NULL UNION ALL SELECT * FROM literals",
@@ -101,6 +102,16 @@ ORACLE_SQL: dict[str, str] = {
     "bytes_operand_lint": f"WITH {_MISUSE} SELECT * FROM misuse",
     "bytes_context_lint": f"""WITH {_MISUSE} SELECT *, 'ERROR' AS level FROM misuse
         UNION SELECT file_id, spot, x, '^^', 'ERROR' FROM code JOIN files USING (file_id, ext) WHERE ext = 'sage' AND x = '^' AND (opened = '(' AND called = 'bytes' OR contains(text, concat(before, ': bytes')))""",
+    "statement_errors": f"WITH {_FILES}, {_GENS} SELECT file_id, line_no, 'expression expected' AS message FROM gens JOIN lines USING (file_id, line_no) WHERE line LIKE '%='",
+    "shortened_values": f"""WITH {_FILES}, {_GENS}, v AS (SELECT file_id, line_no, trim(regexp_extract(line, '{_GEN}', 3)) AS rhs FROM gens JOIN lines USING (file_id, line_no))
+        SELECT file_id, line_no, concat(rhs, ' of ', repeat(rhs, 9))[:60] AS shown FROM v""",
+    "candidate_counts": f"WITH {_STUBS} SELECT n.name, count(s.name) AS n FROM (SELECT DISTINCT name FROM symbols) n LEFT JOIN stubs s ON s.name = n.name AND s.kind IN ('function', 'class') GROUP BY n.name",
+    "corpus_summary": f"""WITH {_MISUSE}, {_GENS}, {_IMPLICIT}, bad AS (SELECT * FROM misuse
+        UNION SELECT file_id, spot, x, '^^' FROM code JOIN files USING (file_id, ext) WHERE ext = 'sage' AND x = '^' AND (opened = '(' AND called = 'bytes' OR contains(text, concat(before, ': bytes'))))
+        SELECT file_id, ext, (SELECT count(*) FROM carets c WHERE c.file_id = f.file_id) AS carets, (SELECT count(*) FROM gens g WHERE g.file_id = f.file_id) AS generators,
+        (SELECT count(*) FROM gens g JOIN lines l USING (file_id, line_no) WHERE g.file_id = f.file_id AND line LIKE '%=') AS errors,
+        (SELECT count(*) FROM bad b WHERE b.file_id = f.file_id) AS misuse, file_id IN (SELECT file_id FROM implicit) AS implicit FROM files f""",
+    "template_keys": f"WITH {_FILES} SELECT file_id, file_id % 3 < 2 AS terminal, CAST(0 AS BIGINT) AS editable, CAST({len(_KEYS)} AS BIGINT) AS templates FROM files",
     "caret_fixes": f"""WITH {_MISUSE}, marked AS (SELECT p.file_id, p.i, concat(CASE WHEN m.lexeme IS NOT NULL THEN '^' ELSE '' END, x) AS piece FROM placed p LEFT JOIN misuse m ON m.file_id = p.file_id AND m.start_at = p.spot)
         SELECT file_id, string_agg(piece, '' ORDER BY i) AS fixed_text FROM marked WHERE file_id IN (SELECT file_id FROM misuse) GROUP BY file_id""",
     "completion_lookup": f"""WITH RECURSIVE {_FILES}, {_IMPLICIT}, {_CALLABLE}, spots AS ({_POSITIONS.replace('{scripts}', 'files')})

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..operators import catalog, complete, lex, lint, resolve, runcmd, statements, templates
 from . import corpus
+from .analysis import analyze_corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -88,7 +89,7 @@ def find_declarations(spark: SparkSession, d: str) -> DataFrame:
 
 #: What the third and second lines refer to, for resolution.
 _REFS = """SELECT file_id, 1 AS line_no, name, qualified FROM ({scripts}) CROSS JOIN
-    (VALUES ('GF', false), ('x', false), ('NumberField', false), ('a', false), ('missing', false), ('ghost', false), ('lost', false), ('ZZ', true)) AS r(name, qualified)"""
+    (VALUES ('GF', false), ('x', false), ('NumberField', false), ('a', false), ('missing', false), ('ghost', false), ('lost', false), ('ZZ', true), ('bytes', false), ('n', false)) AS r(name, qualified)"""
 
 
 def resolve_names(spark: SparkSession, d: str) -> DataFrame:
@@ -195,12 +196,38 @@ def run_configurations(spark: SparkSession, d: str) -> DataFrame:
     return runcmd.configurations_for(corpus.scripts(spark, d), runs)
 
 
+def statement_errors(spark: SparkSession, d: str) -> DataFrame:
+    return statements.statement_errors(corpus.scripts(spark, d))
+
+
+def shortened_values(spark: SparkSession, d: str) -> DataFrame:
+    rows = statements.generator_statements(corpus.scripts(spark, d))
+    return rows.select("file_id", "line_no", P.shortened(F.concat("rhs", F.lit(" of "), F.repeat("rhs", 9))).alias("shown"))
+
+
+def candidate_counts(spark: SparkSession, d: str) -> DataFrame:
+    symbols = corpus.symbols(spark, d)
+    return resolve.candidate_counts(symbols, symbols)
+
+
+def corpus_summary(spark: SparkSession, d: str) -> DataFrame:
+    return analyze_corpus(corpus.scripts(spark, d), corpus.symbols(spark, d), corpus.returns(spark, d), corpus.methods(spark, d), corpus.bases(spark, d))["summary"]
+
+
+def template_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Which operators end a prefix, and which templates a user may edit."""
+    made = templates.postfix_templates(spark)
+    ends = corpus.scripts(spark, d).select("file_id", templates.is_terminal(F.get(F.array(*map(F.lit, ".!(")), (F.col("file_id") % 3).cast("int"))).alias("terminal"))
+    return ends.crossJoin(F.broadcast(templates.editable(made).agg(F.count("*").alias("editable")).join(made.agg(F.count("*").alias("templates")))))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         caret_tokens, caret_type_counts, token_stats, generator_statements, generator_names, explicit_import_files, implicit_files, visible_errors,
         stub_files, namespace_anchor, namespace_first_wins, alias_follow, entry_target, callable_names, find_class, find_declarations,
         resolve_names, literal_types, generator_types, target_types, attribute_types, bytes_operand_lint, bytes_context_lint, caret_fixes,
+        statement_errors, shortened_values, candidate_counts, corpus_summary, template_keys,
         completion_lookup, postfix_expand, live_template_expand, wsl_path, detected_tools, run_configurations,
     )
 } | {f"argv_{m.lower()}": _argv(m) for m in ("NATIVE", "WSL", "DOCKER", "OTHER")}

@@ -163,3 +163,9 @@ def test_generators_come_from_the_nearest_class(spark):
     methods = spark.createDataFrame([("AFar", "_first_ngens", "tuple", ["FarElt"]), ("ZNear", "_first_ngens", "tuple", ["NearElt"])], "class_name string, method string, return_kind string, return_elems array<string>")
     returns = spark.createDataFrame([("make", "C")], "callee string, class_name string")
     assert {r.target: r.class_name for r in resolve.generator_types(made, returns, methods, bases).collect()} == {"C": "C", "g": "NearElt"}
+
+
+def test_bound_names_and_statement_errors(spark):
+    df = files(spark, "p = q = 1\nr: int = 2\nfor s, t in u:\n    def v(): pass\nimport w\nfrom x import y as z\n# c = 1\ne == 2\nf(g=3)\nh = [i for i in j]", "P.<k> =\nQ.<l> = ring(2)[]")
+    assert {r.name for r in statements.bound_names(df).where("file_id = 0").collect()} == {"p", "r", "s", "t", "v", "w", "z", "h"}
+    assert [(r.file_id, r.line_no) for r in statements.statement_errors(df).collect()] == [(1, 0)]
