@@ -195,15 +195,15 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     counts = known.groupBy("lang").count().collect()
     samples: dict[str, list[str]] = {}
     if counts:
-        # About sample_docs rows of each language, by hash, and a window of each.
+        # sample_docs rows of each language at most, by hash, and a window of each.
         share = F.lit(0)
         for r in counts:
             share = F.when(F.col("lang") == r.lang, F.lit(max(1, r["count"] // sample_docs))).otherwise(share)
         n = F.length("t")
         at = F.when(n > SAMPLE_CHARS, F.pmod(F.shiftright("h", 20), n - SAMPLE_CHARS)).otherwise(0).cast("int") + 1
         rows = known.withColumn("share", share).where("pmod(h, share) = 0").select("lang", "h", F.col("t").substr(at, F.lit(SAMPLE_CHARS)).alias("t"))
-        # Of repeated rows, which have one hash, more may pass than the share.
-        rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))).where(F.col("k") <= 2 * sample_docs)
+        # Up to twice as many may pass the share, and of repeated rows, which have one hash, any number.
+        rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))).where(F.col("k") <= sample_docs)
         for r in rows.orderBy("lang", "k").collect():
             samples.setdefault(r.lang, []).append(r.t)
     out = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), text_of(text_col).alias("t"))
