@@ -3,9 +3,14 @@
 Generators with high recall propose spans, which may overlap: the four base patterns, and beside them local
 telephone numbers, spelled-out mail addresses, IPv6 addresses and long mixed keys. Matches are turned into code
 point offsets by splitting the text at the same pattern. Every candidate gets a cell: its generator and binned
-format and context features (at most 2 ** 12 cells). One aggregation over all candidates counts weak labels per
-cell; boosted trees of depth two are fitted to that bounded table on the driver, calibrated per generator, and
-the selected cells go back into the plan as a literal set. Valid base matches always stay.
+format and context features (at most 2 ** 11 cells). Its weak label comes from evidence that the cell does not
+hold: the digits and letters of the match itself (numbering plans, issuer digits, randomness) and which word
+announces it. One aggregation counts candidates and labels by cell and fold; the fold is a hash of the match, so
+copies of one string are never on both sides. Boosted trees of depth two are fitted to that bounded table on the
+driver; each generator's threshold is the lowest score at which the labels of the fold that a model has not seen
+hold the precision, and the cells above it go back into the plan as a literal set. Valid base matches always stay.
+
+Lists of a text's candidates are walked by `_scan`, whose cost grows with n ** 1.5 and not with the square.
 
 The patterns run in linear time: a match can begin only where a run of its characters begins or the last match
 ended (\\G), and the loops are possessive, which changes no match because what follows can't be in the loop.
@@ -14,7 +19,7 @@ ended (\\G), and the loops are possessive, which changes no match because what f
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,32 +72,95 @@ def _valid(generator: int, m: Column) -> Column:
     return F.lit(True)
 
 
+def _evidence(generator: int, m: Column, left: Column) -> Column:
+    """The weak label of a match of valid format: what its characters, and the word before it, say for it."""
+    d = _digits(m)
+    if generator in (0, 5):
+        return m.rlike(r"[A-Za-z]{2,24}$") & ~m.rlike(r"^\.|\.@|@-|\.{2}")
+    if generator == 1:
+        return m.rlike(r"^(?!0|127\.|2[3-5][0-9]\.)") & m.rlike("[0-9]{2}")
+    if generator == 2:
+        return d.rlike("^[3-6]") & ~d.rlike(r"^([0-9])\1{7}")
+    if generator == 3:
+        return d.rlike("^[1-9]") & ~d.rlike(r"([0-9])\1{6}")
+    if generator == 4:
+        return d.rlike("^[2-9](?!11)[0-9]{2}[2-9](?!11)")
+    if generator == 6:
+        switches = F.size(F.regexp_extract_all(m, F.lit("[A-Za-z][0-9]|[0-9][A-Za-z]"), F.lit(0)))
+        return (switches * 8 >= F.length(m)) & left.rlike(r"(?i)(token|key|secret|passw|pwd|auth|credential)[a-z]*\W{0,4}$")
+    return m.rlike("(?i)^(?:[23]|f[cde])") & ~m.rlike(r"(?i)^([0-9a-f]{1,4})(?::\1){7}$")
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of the value, which is evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _scan(items: Column, start: Column, step: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column], kind: str) -> Column:
+    """emit(state, x) for each of the items, the state starting at `start` and going to step(state, x).
+
+    The result is built in runs of the square root of its length, for every append copies what is there.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def run(state: Column, part: Column) -> Column:
+        return F.aggregate(part, F.struct(state.alias("at"), none.alias("out")), lambda a, x: F.struct(step(a.at, x).alias("at"), F.array_append(a.out, emit(a.at, x)).alias("out")))
+
+    def whole(all_: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(all_))).cast("int")
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / width).cast("int")), lambda i: F.slice(all_, i * width + 1, width))
+        zero = F.struct(start.alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+        return F.flatten(F.aggregate(runs, zero, lambda a, part: _let(run(a.at, part), lambda r: F.struct(r.at.alias("at"), F.array_append(a.out, r.out).alias("out"))))["out"])
+
+    return _let(items, lambda all_: F.when(F.size(all_) == 0, none).when(F.size(all_) <= 64, run(start, all_)["out"]).otherwise(whole(all_)))
+
+
+SPAN = "struct<k:int,s:int,e:int,code:int>"
+#: Bits of a candidate's code beyond its cell: the weak label, the fold.
+CELLS, LABEL, FOLD = 1 << 11, 1 << 11, 1 << 12
+
+
 def _candidates(generator: int, text: Column) -> Column:
-    """Array of (k, g, s, e, ok, code) for one generator."""
+    """Array of (k, s, e, code) for one generator."""
     kind, pattern, test = GENERATORS[generator]
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     parts = F.split(text, pattern, -1)
-    each = F.transform(
-        F.arrays_zip(found.alias("m"), F.slice(parts, 1, F.size(found)).alias("l"), F.slice(parts, 2, F.size(found)).alias("r")),
-        lambda x: F.struct(F.length(x.m).alias("n"), F.length(x.l).alias("gap"), x.m.alias("m"), F.right(x.l, F.lit(16)).alias("l"), F.left(x.r, F.lit(1)).alias("r")),
+    each = _let(
+        F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), parts.alias("p")),
+        lambda v: F.transform(
+            F.arrays_zip(v.m.alias("m"), F.slice(v.p, 1, F.size(v.m)).alias("l"), F.slice(v.p, 2, F.size(v.m)).alias("r")),
+            lambda x: F.struct(F.length(x["m"]).alias("n"), F.length(x["l"]).alias("gap"), x["m"].alias("m"), F.right(x["l"], F.lit(16)).alias("l"), F.left(x["r"], F.lit(1)).alias("r")),
+        ),
     )
 
     def code(x: Column) -> Column:
         left = F.right(x.l, F.lit(1))
         side = lambda c: F.when((c == "") | c.rlike(r"^\s"), 0).when(c.rlike("[\"'=(<\\[]"), 1).when(c.rlike(r"^\p{L}|^\d"), 2).otherwise(3)
         size = F.when(x.n < 12, 0).when(x.n < 18, 1).when(x.n < 28, 2).otherwise(3)
-        return (F.lit(generator) + 8 * _valid(generator, x.m).cast("int") + 16 * side(left) + 64 * side(x.r) + 256 * x.l.rlike(CUE).cast("int") + 512 * size).cast("int")
-
-    kind_no = KINDS.index(kind)
-    spans = F.aggregate(
-        each,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<k:int,s:int,e:int,code:int>>").alias("out")),
-        lambda a, x: F.struct(
-            (a.at + x.gap + x.n).alias("at"),
-            F.array_append(a.out, F.struct(F.lit(kind_no).alias("k"), (a.at + x.gap).alias("s"), (a.at + x.gap + x.n).alias("e"), code(x).alias("code"))).alias("out"),
-        ),
-    )["out"]
-    return F.when(text.rlike(test), spans).otherwise(F.array().cast("array<struct<k:int,s:int,e:int,code:int>>"))
+        valid = _valid(generator, x.m)
+        cell = F.lit(generator) + 8 * valid.cast("int") + 16 * side(left) + 64 * side(x.r) + 256 * x.l.rlike(CUE).cast("int") + 512 * size
+        return (cell + LABEL * (valid & _evidence(generator, x.m, x.l)).cast("int") + FOLD * (F.crc32(x.m) % 2)).cast("int")
+
+    place = lambda at, x: F.struct(F.lit(KINDS.index(kind)).alias("k"), (at + x.gap).alias("s"), (at + x.gap + x.n).alias("e"), code(x).alias("code"))
+    spans = _scan(each, F.lit(0), lambda at, x: at + x.gap + x.n, place, SPAN)
+    return F.when(text.rlike(test), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+
+def _apart(base: Column, more: Column) -> Column:
+    """base, and those of more that overlap nothing of base: spans (k, s, e) in order, without repeats."""
+    mark = lambda spans, own: F.transform(spans, lambda x: F.struct(x.s.alias("s"), F.lit(own).alias("own"), x.k.alias("k"), x.e.alias("e"), F.lit(False).alias("hit")))
+    kind = "struct<s:int,own:int,k:int,e:int,hit:boolean>"
+    note = lambda x, hit: F.struct(x.s.alias("s"), x.own.alias("own"), x.k.alias("k"), x.e.alias("e"), (x.hit | ((x.own == 1) & hit)).alias("hit"))
+    both = F.array_sort(F.concat(mark(base, 0), mark(more, 1)))
+    # Base spans that begin no later reach beyond its start, or one that begins later begins before its end.
+    both = _scan(both, F.lit(-1), lambda at, x: F.when(x.own == 0, F.greatest(at, x.e)).otherwise(at), lambda at, x: note(x, at > x.s), kind)
+    both = _scan(F.reverse(both), F.lit(2**31 - 1), lambda at, x: F.when(x.own == 0, x.s).otherwise(at), lambda at, x: note(x, at < x.e), kind)
+    return F.filter(both, lambda x: ~x.hit)
+
+
+def _in_order(spans: Column) -> Column:
+    """(k, s, e) sorted, each once."""
+    spans = F.array_sort(F.transform(spans, lambda x: F.struct(x.k.alias("k"), x.s.alias("s"), x.e.alias("e"))))
+    return _let(spans, lambda all_: F.filter(all_, lambda x, i: (i == 0) | (x != F.get(all_, i - 1))))
 
 
 def _count(kind: int) -> Column:
@@ -105,18 +173,18 @@ def _features(code: int) -> list[int]:
     return [*(int(g == i) for i in range(8)), ok, *(int(left == i) for i in range(4)), *(int(right == i) for i in range(4)), cue, *(int(size == i) for i in range(4))]
 
 
-def weak_label(code: int) -> bool:
-    """What a cell is trained on: the format holds, and the generators beyond the base also need a fitting context."""
-    g, ok, left, right, cue = code % 8, code // 8 % 2, code // 16 % 4, code // 64 % 4, code // 256 % 2
-    return bool(ok) and (g < N_BASE or left != 2 and right != 2 and (g != 6 or cue == 1))
+#: (candidates, candidates with the weak label) of a cell.
+Cells = dict[int, tuple[int, int]]
 
 
-def boost(cells: Iterable[tuple[int, int]], rounds: int = ROUNDS, rate: float = RATE) -> dict[int, float]:
-    """Logistic gradient boosting with trees of depth two over (cell, count); the score of each cell."""
-    cells = sorted(cells)
-    x, y = [_features(c) for c, _ in cells], [float(weak_label(c)) for c, _ in cells]
-    w, f = [math.sqrt(n) for _, n in cells], [0.0] * len(cells)
+def boost(cells: Cells, rounds: int = ROUNDS, rate: float = RATE) -> Callable[[int], float]:
+    """Logistic gradient boosting with trees of depth two over labelled cells; the log odds of any cell."""
+    keys = sorted(cells)
+    x, y = [_features(c) for c in keys], [cells[c][1] / cells[c][0] for c in keys]
+    w, f = [math.sqrt(cells[c][0]) for c in keys], [0.0] * len(keys)
     width = len(x[0]) if x else 0
+    #: (root feature, for each of its sides (feature, steps of its sides)); a feature of None has one side.
+    trees: list[tuple[int | None, list[tuple[int | None, list[float]]]]] = []
 
     def best(rows: list[int], grad: list[float], hess: list[float]) -> int | None:
         gain, at = 1e-9, None
@@ -127,33 +195,53 @@ def boost(cells: Iterable[tuple[int, int]], rounds: int = ROUNDS, rate: float =
                 gain, at = new, k
         return at
 
-    for _ in range(rounds):
+    def sides(rows: list[int], k: int | None) -> list[list[int]]:
+        return [rows] if k is None else [[i for i in rows if x[i][k] == v] for v in (0, 1)]
+
+    for _ in range(rounds if keys else 0):
         p = [1 / (1 + math.exp(-v)) for v in f]
         grad, hess = [wi * (yi - pi) for wi, yi, pi in zip(w, y, p, strict=True)], [wi * pi * (1 - pi) for wi, pi in zip(w, p, strict=True)]
-        root = best(list(range(len(cells))), grad, hess)
-        halves = [list(range(len(cells)))] if root is None else [[i for i in range(len(cells)) if x[i][root] == v] for v in (0, 1)]
-        for half in halves:
-            k = best(half, grad, hess)
-            for leaf in [half] if k is None else [[i for i in half if x[i][k] == v] for v in (0, 1)]:
-                step = rate * sum(grad[i] for i in leaf) / (sum(hess[i] for i in leaf) + 1)
+        root, halves = best(list(range(len(keys))), grad, hess), []
+        for half in sides(list(range(len(keys))), root):
+            k, steps = best(half, grad, hess), []
+            for leaf in sides(half, k):
+                steps.append(rate * sum(grad[i] for i in leaf) / (sum(hess[i] for i in leaf) + 1))
                 for i in leaf:
-                    f[i] = max(-12.0, min(12.0, f[i] + step))
-    return {c: v for (c, _), v in zip(cells, f, strict=True)}
+                    f[i] += steps[-1]
+            halves.append((k, steps))
+        trees.append((root, halves))
 
+    def odds(cell: int) -> float:
+        v = _features(cell)
+        total = 0.0
+        for root, halves in trees:
+            k, steps = halves[0 if root is None else v[root]]
+            total += steps[0 if k is None else v[k]]
+        return total
 
-def select_cells(cells: list[tuple[int, int]], precision: float = PRECISION) -> list[int]:
-    """The cells to redact: by generator, down to the lowest score at which the labels still hold the precision."""
-    scores, counts, chosen = boost(cells), dict(cells), []
+    return odds
+
+
+def select_cells(folds: tuple[Cells, Cells], precision: float = PRECISION) -> list[int]:
+    """The cells to redact: those that the model of both folds holds likely, down to their generator's threshold.
+
+    The threshold is calibrated out of fold: the lowest score such that, among all candidates to which the model
+    of the other fold gives no less, the share with the weak label is at least the precision. A generator
+    that never reaches it selects nothing.
+    """
+    models = [boost(f) for f in folds]
+    both = {c: (folds[0].get(c, (0, 0))[0] + folds[1].get(c, (0, 0))[0], folds[0].get(c, (0, 0))[1] + folds[1].get(c, (0, 0))[1]) for c in {*folds[0], *folds[1]}}
+    final = boost(both)
+    chosen: list[int] = []
     for g in range(len(GENERATORS)):
-        good = total = 0
-        take: list[int] = []
-        for c in sorted((c for c in scores if c % 8 == g and scores[c] > 0), key=lambda c: -scores[c]):
-            good, total = good + counts[c] * weak_label(c), total + counts[c]
-            take.append(c)
-            if good >= precision * total:
-                chosen += take
-                take = []
-    return sorted(set(chosen))
+        seen = sorted(((models[1 - i](c), *n) for i in (0, 1) for c, n in folds[i].items() if c % 8 == g), reverse=True)
+        threshold, total, good = math.inf, 0, 0
+        for at, (score, n, labelled) in enumerate(seen):
+            total, good = total + n, good + labelled
+            if good >= precision * total and (at + 1 == len(seen) or seen[at + 1][0] < score):  # ties stand or fall together
+                threshold = score
+        chosen += [c for c in both if c % 8 == g and final(c) >= threshold and final(c) > 0]
+    return sorted(chosen)
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precision: float = PRECISION) -> DataFrame:
@@ -168,13 +256,17 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pr
     rows = materialize(
         docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("t")).select("doc_id", F.concat(*(_candidates(g, text) for g in range(len(GENERATORS)))).alias("c"))
     )
-    # At most 2 ** 12 cells, however many rows.
-    cells = [(r.code, r.n) for r in rows.select(F.explode("c.code").alias("code")).groupBy("code").agg(F.count("*").alias("n")).collect()]
-    chosen = select_cells(cells, precision)
+    # At most 2 ** 13 codes, however many rows.
+    folds: tuple[Cells, Cells] = ({}, {})
+    for r in rows.select(F.explode("c.code").alias("code")).groupBy("code").agg(F.count("*").alias("n")).collect():
+        fold, cell = folds[r.code // FOLD], r.code % CELLS
+        n, labelled = fold.get(cell, (0, 0))
+        fold[cell] = (n + r.n, labelled + (r.n if r.code & LABEL else 0))
+    chosen = select_cells(folds, precision)
     is_base = lambda x: (x.code % 8 < N_BASE) & (F.shiftright(x.code, 3) % 2 == 1)
     rows = rows.withColumn("base", F.filter("c", is_base))
-    more = F.filter("c", lambda x: ~is_base(x) & x.code.isin(chosen) & ~F.exists("base", lambda b: (b.s < x.e) & (b.e > x.s))) if chosen else F.slice("c", 1, 0)
-    rows = rows.withColumn("spans", F.array_distinct(F.array_sort(F.transform(F.concat("base", more), lambda x: F.struct(x.k.alias("k"), x.s.alias("s"), x.e.alias("e"))))))
+    rows = rows.withColumn("more", F.filter("c", lambda x: ~is_base(x) & (x.code % CELLS).isin(chosen)) if chosen else F.slice("c", 1, 0))
+    rows = rows.withColumn("spans", F.when(F.size("more") == 0, _in_order(F.col("base"))).otherwise(_in_order(_apart(F.col("base"), F.col("more")))))
     names = F.array(*map(F.lit, KINDS))
     written = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x.k), x.s.cast("string"), x.e.cast("string"))), ",")
     base = F.array_sort(F.transform("base", lambda x: F.struct(x.k.alias("k"), x.s.alias("s"), x.e.alias("e"))))

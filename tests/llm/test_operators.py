@@ -18,6 +18,7 @@ from glyphlake.llm.decontamination import decontaminate  # noqa: E402
 from glyphlake.llm.exact_dedup import exact_dedup  # noqa: E402
 from glyphlake.llm.line_dedup import line_dedup, removed_lines  # noqa: E402
 from glyphlake.llm.ngram_join import ngram_join  # noqa: E402
+from glyphlake.llm import pii  # noqa: E402
 from glyphlake.llm.pii import find_pii  # noqa: E402
 from glyphlake.llm.queries import op1_line_dedup  # noqa: E402
 from glyphlake.llm.suffix_dedup import suffix_dedup  # noqa: E402
@@ -89,6 +90,52 @@ def test_pii_adds_spans(spark):
     assert found[1].spans == ""
 
 
+def test_pii_learns_which_formats_and_contexts_the_labels_confirm(spark):
+    """`id = "…"` and `token = "…"` share a cell: what the labels of its candidates say decides, not a rule over the cell."""
+    rng = random.Random(6)
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(32))
+    quoted = [(i, f'word token = "{key()}" word') for i in range(200)]
+    loose = [(1000 + i, f"word {key()} word") for i in range(150)] + [(1500 + i, f"word secret {key()} word") for i in range(4)]
+    secret = lambda rows: {r.doc_id: "secret" in r.spans for r in find_pii(table(spark, rows)).collect()}
+    got = secret(quoted + loose)
+    assert all(got[i] for i, _ in quoted) and not any(got[i] for i, _ in loose[:150])
+    # The same quoted cell is no longer trusted once most of what it holds is something else.
+    other = [(5000 + i, f'word id = "{key()}" word') for i in range(900)]
+    assert not any(secret(quoted + other).values())
+
+
+def test_pii_thresholds_are_calibrated_out_of_fold():
+    sure, mixed, bad = (6 + 8 + 16 * k for k in (0, 1, 2))
+    folds = ({sure: (100, 99), mixed: (100, 70), bad: (100, 2)}, {sure: (100, 98), mixed: (100, 72), bad: (100, 1)})
+    assert pii.select_cells(folds, 0.95) == [sure]
+    assert pii.select_cells(folds, 0.8) == [sure, mixed]
+    assert pii.select_cells(folds, 0.999) == []
+    assert pii.select_cells(({}, {})) == []
+    # What one fold alone confirms is no evidence: its labels were seen in training.
+    assert pii.select_cells(({sure: (50, 50)}, {sure: (50, 0)}), 0.9) == []
+
+
+def test_pii_spans_apart(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(40):
+        some = lambda n: [(rng.randint(0, 3), s := rng.randrange(0, 2000), s + rng.randint(1, 12), 0) for _ in range(n)]
+        rows.append((i, some(rng.choice((0, 1, 30, 300))), some(rng.choice((0, 1, 30, 300)))))
+    df = spark.createDataFrame(rows, f"i int, a array<{pii.SPAN}>, b array<{pii.SPAN}>")
+    got = {r.i: [tuple(x) for x in r.o] for r in df.select("i", pii._in_order(pii._apart(F.col("a"), F.col("b"))).alias("o")).collect()}
+    for i, base, more in rows:
+        free = [x for x in more if not any(b[1] < x[2] and b[2] > x[1] for b in base)]
+        assert got[i] == sorted({x[:3] for x in base + free})
+
+
+def test_pii_of_very_many_candidates(spark):
+    text = "a@b.cd 1.2.3.4 token " * 30_000
+    began = time.monotonic()
+    (r,) = find_pii(table(spark, [(1, text)])).collect()
+    assert (r.n_email, r.n_ip) == (30_000, 30_000) and r.spans.count(",") + 1 == r.n_spans
+    assert r.base_sha256 == brute.personal(text)[0][-1] and time.monotonic() - began < 60
+
+
 def test_decontamination(spark, rows):
     items = [(i, " ".join(t.split()[:25])) for i, t in rows[:20]] + [(50, "short item"), (51, None), (52, ""), (53, "É a"), (54, "w " * 30)]
     items = spark.createDataFrame(items, "item_id long, text string"), items
