@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and their SQL; each runs its operator over its whole table."""
+"""The queries op1 to op13 and their SQL; each runs its operator over its whole table."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import documents
 from .decontamination import decontaminate
 from .exact_dedup import exact_dedup
+from .hard_negatives import hard_negatives
 from .html_extraction import extract
 from .language_id import identify
 from .line_dedup import removed_lines
@@ -17,6 +18,7 @@ from .ngram_join import ngram_join
 from .packing import pack
 from .pii import find_pii
 from .quality import judge
+from .source_audit import source_audit
 from .suffix_dedup import suffix_dedup
 
 
@@ -61,6 +63,16 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit(documents(spark, sf_dir))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", moved), every=100)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -72,6 +84,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_html_extraction": op9_html_extraction,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_source_audit": op11_source_audit,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -118,4 +132,36 @@ SELECT doc_id,
        first_value(doc_id) OVER w = doc_id AS kept,
        s AS text_sha256
 FROM n WINDOW w AS (PARTITION BY s ORDER BY n DESC, doc_id)""",
+    "op11_source_audit": r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+    FROM documents),
+tf AS (SELECT r, lang, source, t, count(*) AS n FROM (SELECT r, lang, source, unnest(w) AS t FROM d) GROUP BY ALL),
+kept AS (SELECT lang, t, CAST(sum(n) AS HUGEINT) AS ln FROM tf GROUP BY lang, t HAVING count(*) >= 3),
+langs AS (SELECT lang, count(*) AS v, sum(ln) AS total FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, t, CAST(sum(n) AS HUGEINT) AS n FROM tf JOIN kept USING (lang, t) GROUP BY ALL),
+groups AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN counts USING (lang, source) GROUP BY ALL),
+shares AS (
+    SELECT g.lang, g.source, k.t, coalesce(c.n, 0) AS n, 1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 1) // CAST(g.total + v AS HUGEINT) AS p,
+           1 + CAST(1000000000 AS HUGEINT) * (k.ln + 1) // CAST(l.total + v AS HUGEINT) AS q
+    FROM groups g JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.t = k.t),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, t AS item, CAST((p - q) * (p - q) // q AS BIGINT) AS value FROM shares WHERE n > 0 AND p > q),
+ranked AS (
+    SELECT lang, source, 'pair' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM pairs
+    UNION ALL SELECT * FROM (SELECT lang, source, 'term', item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM terms) WHERE rank <= 200)
+SELECT * FROM ranked""",
+    "op12_hard_negatives": r"""
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)))),
+scores AS (
+    SELECT a.vec_id AS anchor_id, a.label AS a_label, b.vec_id, b.label, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score
+    FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+liked AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE label = a_label QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM liked JOIN scores USING (anchor_id) WHERE label <> a_label AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10""",
 }
