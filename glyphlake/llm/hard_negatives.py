@@ -136,6 +136,7 @@ class Block:
         self.low[sizes == 0], self.high[sizes == 0] = np.inf, -np.inf  # nothing is there
         self.x, self.rid, self.ids, self.label = x[order], self.rid[order], self.ids[order], self.label[order]
         self.as_kind: dict[type, np.ndarray] = {}
+        self.visited = 0  # leaves that were read
 
     def _paths(self, x: np.ndarray, order: np.ndarray) -> np.ndarray:
         """Distances of the rows, leaf by leaf, from the vantage points above their leaf."""
@@ -161,6 +162,7 @@ class Block:
             held: list[tuple[np.ndarray, np.ndarray]] = []
             open_ = rings
             for i, leaf in enumerate(leaves.tolist()):
+                self.visited += 1
                 s = slice(self.cut[leaf], self.cut[leaf + 1])
                 score = (rows[s] @ v).astype(np.int64)
                 ok = np.flatnonzero((score >= a) & (score <= b) & ((self.label[s] == mine) == same) & (self.rid[s] != rid))

@@ -11,9 +11,9 @@ from pyspark.sql import SparkSession
 from .words import word_hashes
 
 #: Bytes of text that are cut at once; one longer text is cut alone.
-RUN = 1 << 22
+RUN = 1 << 21
 #: A task hands over what it has counted once it holds so many terms or counts.
-MOST_TERMS, MOST_COUNTS = 400_000, 2_000_000
+MOST_TERMS, MOST_COUNTS = 300_000, 1_200_000
 #: Rows that go out at once.
 ROWS = 100_000
 #: A-Z lower-cased, everything else as it is: words are runs of anything but ASCII white space.
@@ -57,14 +57,18 @@ class Tally:
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.size = 0
 
-    def add(self, data: bytes, starts: np.ndarray, group: np.ndarray) -> None:
-        """The texts of a run; group: a small number for each."""
+    def add(self, data: bytes, starts: np.ndarray, group: np.ndarray | None = None) -> None:
+        """The texts of a run; group: a small number for each. Without one all are one group, and documents are not counted."""
         h, doc = terms(data, starts)
         if not len(h):
             return
-        u, first, term = np.unique(h, return_index=True, return_inverse=True)
+        u, first, term, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
         words = data.split()
         self.names.update(zip(u.tolist(), (words[i] for i in first.tolist()), strict=True))
+        if group is None:
+            self.parts.append((u, np.zeros(len(u), np.int64), n, np.zeros(len(u), np.int64)))
+            self.size += len(u)
+            return
         docs, groups = len(starts) - 1, int(group.max()) + 1
         pair, tf = np.unique(term * docs + doc, return_counts=True)
         key, at = np.unique(pair // docs * groups + group[pair % docs], return_inverse=True)
