@@ -70,9 +70,9 @@ def factory_types(statements: DataFrame, returns: DataFrame) -> DataFrame:
 
 def generator_types(statements: DataFrame, returns: DataFrame, methods: DataFrame, bases: DataFrame) -> DataFrame:
     """T5 b, J11: (file_id, line_no, target, class_name): the factory's class for the first target, and for the
-    generators what `_first_ngens` of that class, own or of the nearest ancestor that has it, returns: element 0 of a tuple, else the type."""
+    generators what `_first_ngens` of that class, own or of the nearest ancestor that has it, returns: element 0 of a tuple, else the class; a union is none."""
     made = factory_types(statements, returns)
-    gens = methods.where("method = '_first_ngens'").select(F.col("class_name").alias("ancestor"), F.when(F.col("return_kind") == "tuple", F.get("return_elems", F.lit(0))).otherwise(F.col("return_elems")[0]).alias("gen_class"))
+    gens = methods.where("method = '_first_ngens'").select(F.col("class_name").alias("ancestor"), F.when(F.col("return_kind").isin("tuple", "instance"), F.get("return_elems", F.lit(0))).alias("gen_class"))
     closure = ancestors(bases).join(gens, "ancestor").groupBy("class_name").agg(F.min_by("gen_class", F.struct("distance", "ancestor")).alias("gen_class"))
     closure = closure.withColumnRenamed("class_name", "factory_class")
     rows = made.join(closure, "factory_class", "left")

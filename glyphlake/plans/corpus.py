@@ -115,3 +115,32 @@ def bases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _over_part(spark, sf_dir, RETURNS)
+
+
+#: Each row of `part` is a stub file too. Ten classes make a chain, whose first inherits from Parent or from Ring;
+#: bases are written as the names that the file imports them by.
+_GENS = f"""CASE p_partkey % 6 WHEN 0 THEN concat('Tuple[El', {_K}, ', ...]') WHEN 1 THEN concat('Union[El', {_K}, ', int]') WHEN 2 THEN concat('tuple[El', {_K}, ', int]')
+    WHEN 3 THEN concat('El', {_K}, ' | None') WHEN 4 THEN concat('Optional[El', {_K}, ']') ELSE concat('"El', {_K}, '"') END"""
+_MAKES = f"CASE p_partkey % 4 WHEN 0 THEN concat('Cls', {_K}) WHEN 1 THEN concat('\"Cls', {_K}, '\"') WHEN 2 THEN concat('Optional[Cls', {_K}, ']') ELSE concat('Tuple[Cls', {_K}, ', int]') END"
+_STUB_LINES = f"""concat(CASE WHEN p_partkey % 20 = 0 THEN 'from sage.structure.parent import Parent as Up' WHEN p_partkey % 10 = 0 THEN 'from sage.structure.parent import Ring as Up'
+        ELSE concat('from sage.gen.m', CAST(p_partkey - 1 AS STRING), ' import Cls', CAST(p_partkey - 1 AS STRING), ' as Up') END, chr(10),
+    'class Cls', {_K}, CASE WHEN p_partkey % 3 = 0 THEN '(Up[int], metaclass=M):' ELSE '(Up):' END, chr(10), '    size: int', chr(10),
+    CASE WHEN p_partkey % 5 = 0 THEN concat('    def _first_ngens(self, n) -> ', {_GENS}, ': ...', chr(10)) ELSE '' END,
+    CASE WHEN p_partkey % 15 = 0 THEN concat('    def __call__(self, x): ...', chr(10)) ELSE '' END,
+    'def fn', {_K}, '(q) -> ', {_MAKES}, ': ...', chr(10), 'at', {_K}, ': Cls', {_K}, chr(10))"""
+STUB_FILES = (
+    (f"{_LIB}/all.pyi", 'from sage.gen.m5 import fn5 as make\ndef GF(q) -> "Cls10": ...\n__all__ = ["ghost"]\n'),
+    (f"{_LIB}/structure/parent.pyi", "class Parent:\n    def __call__(self): ...\nclass Ring: ...\n"),
+    (f"{_LIB}/broken.pyi", "class Cls5(\n"),
+)
+#: One statement for each function of the stubs.
+STUB_CALLS = f"SELECT p_partkey AS file_id, '/g.sage' AS path, 'sage' AS ext, concat('G.<g> = fn', {_K}, '(2)') AS text FROM {{part}}"
+
+
+def stubs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _over_part(spark, sf_dir, f"SELECT concat('{_LIB}/gen/m', {_K}, '.pyi') AS path, {_STUB_LINES} AS text FROM {{part}}")
+    return made.unionByName(spark.createDataFrame(STUB_FILES, "path string, text string"))
+
+
+def stub_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _over_part(spark, sf_dir, STUB_CALLS)

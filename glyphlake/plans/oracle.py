@@ -111,6 +111,26 @@ ORACLE_SQL: dict[str, str] = {
         SELECT file_id, ext, (SELECT count(*) FROM carets c WHERE c.file_id = f.file_id) AS carets, (SELECT count(*) FROM gens g WHERE g.file_id = f.file_id) AS generators,
         (SELECT count(*) FROM gens g JOIN lines l USING (file_id, line_no) WHERE g.file_id = f.file_id AND line LIKE '%=') AS errors,
         (SELECT count(*) FROM bad b WHERE b.file_id = f.file_id) AS misuse, file_id IN (SELECT file_id FROM implicit) AS implicit FROM files f""",
+    "stub_declarations": f"""WITH k AS (SELECT p_partkey AS k, CAST(p_partkey AS VARCHAR) AS s, CAST(p_partkey - 1 AS VARCHAR) AS b FROM part), m AS (SELECT *, concat('sage.gen.m', s) AS module FROM k)
+        SELECT concat('Cls', s) AS name, 'class' AS kind, module, NULL AS annotation, NULL AS imported_name FROM m
+        UNION ALL SELECT concat('at', s), 'attribute', module, concat('Cls', s), NULL FROM m
+        UNION ALL SELECT concat('fn', s), 'function', module, CASE k % 4 WHEN 0 THEN concat('Cls', s) WHEN 1 THEN concat(chr(39), 'Cls', s, chr(39)) WHEN 2 THEN concat('Optional[Cls', s, ']') ELSE concat('Tuple[Cls', s, ', int]') END, NULL FROM m
+        UNION ALL SELECT 'Up', 'import', CASE WHEN k % 10 = 0 THEN 'sage.structure.parent' ELSE concat('sage.gen.m', b) END, NULL, CASE WHEN k % 20 = 0 THEN 'Parent' WHEN k % 10 = 0 THEN 'Ring' ELSE concat('Cls', b) END FROM m
+        UNION ALL SELECT * FROM (VALUES ('make', 'import', 'sage.gen.m5', NULL, 'fn5'), ('GF', 'function', 'sage.all', chr(39) || 'Cls10' || chr(39), NULL), ('__all__', 'attribute', 'sage.all', NULL, NULL), ('ghost', 'listed', 'sage.all', NULL, NULL),
+            ('Parent', 'class', 'sage.structure.parent', NULL, NULL), ('Ring', 'class', 'sage.structure.parent', NULL, NULL)) AS t""",
+    "stub_bases": "SELECT concat('Cls', CAST(p_partkey AS VARCHAR)) AS class_name, CASE WHEN p_partkey % 20 = 0 THEN 'Parent' WHEN p_partkey % 10 = 0 THEN 'Ring' ELSE concat('Cls', CAST(p_partkey - 1 AS VARCHAR)) END AS base FROM part",
+    "stub_methods": """WITH m AS (SELECT p_partkey AS k, concat('Cls', CAST(p_partkey AS VARCHAR)) AS c, concat('El', CAST(p_partkey AS VARCHAR)) AS e FROM part)
+        SELECT c AS class_name, '_first_ngens' AS method, CASE k % 6 WHEN 0 THEN 'tuple' WHEN 2 THEN 'tuple' WHEN 1 THEN 'union' ELSE 'instance' END AS return_kind,
+            CASE WHEN k % 6 IN (1, 2) THEN concat(e, ',int') ELSE e END AS elems FROM m WHERE k % 5 = 0
+        UNION ALL SELECT c, '__call__', NULL, NULL FROM m WHERE k % 15 = 0 UNION ALL SELECT 'Parent', '__call__', NULL, NULL""",
+    "stub_returns": """WITH m AS (SELECT p_partkey AS k, CAST(p_partkey AS VARCHAR) AS s FROM part)
+        SELECT concat('fn', s) AS callee, concat('Cls', s) AS class_name FROM m WHERE k % 4 <> 3 UNION ALL SELECT concat('Cls', s), concat('Cls', s) FROM m
+        UNION ALL SELECT * FROM (VALUES ('Parent', 'Parent'), ('Ring', 'Ring'), ('GF', 'Cls10'), ('make', 'Cls5')) AS t""",
+    "stub_callable_attributes": """WITH m AS (SELECT p_partkey AS k, p_partkey - p_partkey % 10 AS j FROM part)
+        SELECT concat('at', CAST(k AS VARCHAR)) AS name, j % 20 = 0 OR j % 15 = 0 OR (j + 5 <= k AND (j + 5) % 15 = 0) AS is_callable FROM m""",
+    "stub_generator_types": """WITH m AS (SELECT p_partkey AS k, p_partkey - p_partkey % 5 AS g FROM part)
+        SELECT k AS file_id, 'G' AS target, CASE WHEN k % 4 <> 3 THEN concat('Cls', CAST(k AS VARCHAR)) END AS class_name FROM m
+        UNION ALL SELECT k, 'g', CASE WHEN k % 4 <> 3 AND g % 6 <> 1 THEN concat('El', CAST(g AS VARCHAR)) END FROM m""",
     "template_keys": f"WITH {_FILES} SELECT file_id, file_id % 3 < 2 AS terminal, CAST(0 AS BIGINT) AS editable, CAST({len(_KEYS)} AS BIGINT) AS templates FROM files",
     "caret_fixes": f"""WITH {_MISUSE}, marked AS (SELECT p.file_id, p.i, concat(CASE WHEN m.lexeme IS NOT NULL THEN '^' ELSE '' END, x) AS piece FROM placed p LEFT JOIN misuse m ON m.file_id = p.file_id AND m.start_at = p.spot)
         SELECT file_id, string_agg(piece, '' ORDER BY i) AS fixed_text FROM marked WHERE file_id IN (SELECT file_id FROM misuse) GROUP BY file_id""",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..operators import catalog, complete, lex, lint, resolve, runcmd, statements, templates
+from ..sources import stubs
 from . import corpus
 from .analysis import analyze_corpus
 
@@ -214,6 +215,39 @@ def corpus_summary(spark: SparkSession, d: str) -> DataFrame:
     return analyze_corpus(corpus.scripts(spark, d), corpus.symbols(spark, d), corpus.returns(spark, d), corpus.methods(spark, d), corpus.bases(spark, d))["summary"]
 
 
+def stub_declarations(spark: SparkSession, d: str) -> DataFrame:
+    rows = stubs.symbols(stubs.read_stubs(corpus.stubs(spark, d)))
+    return rows.select("name", "kind", "module", "annotation", "imported_name")
+
+
+def stub_bases(spark: SparkSession, d: str) -> DataFrame:
+    return stubs.bases(stubs.read_stubs(corpus.stubs(spark, d)))
+
+
+def stub_methods(spark: SparkSession, d: str) -> DataFrame:
+    rows = stubs.methods(stubs.read_stubs(corpus.stubs(spark, d)))
+    return rows.select("class_name", "method", "return_kind", F.array_join("return_elems", ",", "?").alias("elems"))
+
+
+def stub_returns(spark: SparkSession, d: str) -> DataFrame:
+    return stubs.returns(stubs.read_stubs(corpus.stubs(spark, d)))
+
+
+def stub_callable_attributes(spark: SparkSession, d: str) -> DataFrame:
+    """J6 from stub texts alone: the attributes whose class has or inherits __call__."""
+    facts = stubs.read_stubs(corpus.stubs(spark, d))
+    rows = stubs.symbols(facts)
+    targets = rows.where("kind = 'attribute' AND name <> '__all__'").select("name", F.col("kind").alias("target_kind"), "annotation", "path")
+    return catalog.callable_names(targets, rows, stubs.methods(facts), stubs.bases(facts))
+
+
+def stub_generator_types(spark: SparkSession, d: str) -> DataFrame:
+    """M4 and J11 from stub texts alone."""
+    facts = stubs.read_stubs(corpus.stubs(spark, d))
+    made = statements.generator_statements(corpus.stub_calls(spark, d))
+    return resolve.generator_types(made, stubs.returns(facts), stubs.methods(facts), stubs.bases(facts)).select("file_id", "target", "class_name")
+
+
 def template_keys(spark: SparkSession, d: str) -> DataFrame:
     """Which operators end a prefix, and which templates a user may edit."""
     made = templates.postfix_templates(spark)
@@ -228,6 +262,7 @@ QUERIES: dict[str, Query] = {
         stub_files, namespace_anchor, namespace_first_wins, alias_follow, entry_target, callable_names, find_class, find_declarations,
         resolve_names, literal_types, generator_types, target_types, attribute_types, bytes_operand_lint, bytes_context_lint, caret_fixes,
         statement_errors, shortened_values, candidate_counts, corpus_summary, template_keys,
+        stub_declarations, stub_bases, stub_methods, stub_returns, stub_callable_attributes, stub_generator_types,
         completion_lookup, postfix_expand, live_template_expand, wsl_path, detected_tools, run_configurations,
     )
 } | {f"argv_{m.lower()}": _argv(m) for m in ("NATIVE", "WSL", "DOCKER", "OTHER")}

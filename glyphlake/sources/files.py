@@ -58,12 +58,14 @@ def declarations(text: str) -> list[tuple]:
     return out
 
 
-def read_symbols(stubs: DataFrame) -> DataFrame:
-    """Stub files (path, text) to the symbol relation; a stub that does not parse gives no rows."""
+def module_of(path: str) -> str:
+    """The dotted name of the module that a stub's path stands for."""
+    tail = path.replace("\\", "/").rpartition("/site-packages/")[2].removesuffix(".pyi").removesuffix("/__init__")
+    return tail.replace("/", ".")
+
 
-    def module_of(path: str) -> str:
-        tail = path.replace("\\", "/").rpartition("/site-packages/")[2].removesuffix(".pyi").removesuffix("/__init__")
-        return tail.replace("/", ".")
+def read_symbols(stubs: DataFrame) -> DataFrame:
+    """Stub files (path, text) to the symbol relation; a stub that does not parse gives no rows. `stubs` reads the other relations too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
