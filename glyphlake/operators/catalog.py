@@ -75,8 +75,8 @@ def entry_targets(names: DataFrame, symbols: DataFrame) -> DataFrame:
     return rows.select("name", "kind", "module", "path", "annotation", "imported_name", pick("target_name", "name"), pick("target_kind", "kind"), pick("target_path", "path"))
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """df from a table in the shared checkpoint folder, so that a loop's plan does not grow."""
+def settled(df: DataFrame) -> DataFrame:
+    """df from a table in the shared checkpoint folder: a loop's plan does not grow, and what is read several times is made once."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -95,13 +95,13 @@ def ancestors(bases: DataFrame) -> DataFrame:
     so the rounds grow with the logarithm of the depth. Diamonds count once and cycles end; nulls are no classes.
     """
     pair = F.col("class_name").isNotNull() & F.col("ancestor").isNotNull() & (F.col("class_name") != F.col("ancestor"))
-    steps = _settled(bases.select("class_name", F.col("base").alias("ancestor"), F.lit(1).alias("distance")).where(pair).distinct())
+    steps = settled(bases.select("class_name", F.col("base").alias("ancestor"), F.lit(1).alias("distance")).where(pair).distinct())
     size = lambda: steps.agg(F.count("*"), F.coalesce(F.sum("distance"), F.lit(0))).first()
     seen = size()
     while True:
         up = steps.toDF("ancestor", "higher", "more")
         longer = steps.join(up, "ancestor").select("class_name", F.col("higher").alias("ancestor"), (F.col("distance") + F.col("more")).alias("distance")).where(pair)
-        steps = _settled(steps.unionByName(longer).groupBy("class_name", "ancestor").agg(F.min("distance").alias("distance")))
+        steps = settled(steps.unionByName(longer).groupBy("class_name", "ancestor").agg(F.min("distance").alias("distance")))
         before, seen = seen, size()
         if seen == before:
             break

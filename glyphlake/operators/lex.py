@@ -43,8 +43,8 @@ def _caret_pieces(x: Column) -> Column:
 _BLOCK = 256
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with the value computed once."""
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once; a plain column may be computed anew for every element of a lambda that reads it."""
     return F.transform(F.array(value), body)[0]
 
 
@@ -65,13 +65,29 @@ def _placed(blocks: Column) -> Column:
     return F.flatten(F.zip_with(blocks, before, one))
 
 
-def lexemes(text: Column) -> Column:
+def running(values: Column, step: Callable[[Column, Column], Column], start: Column) -> Column:
+    """What a fold of an int array holds after each element; step must be associative and start change nothing.
+
+    Like offsets, it is found in blocks, so that a long array is not copied at every step.
+    """
+    empty = F.array().cast("array<int>").alias("out")
+
+    def held(blocks: Column) -> Column:
+        wholes = F.transform(blocks, lambda x: F.aggregate(x, start, step))
+        before = F.aggregate(wholes, F.struct(start.alias("at"), empty), lambda a, x: F.struct(step(a.at, x).alias("at"), F.array_append(a.out, a.at).alias("out")))["out"]
+        one = lambda block, at: F.aggregate(block, F.struct(at.alias("at"), empty), lambda a, x: F.struct(step(a.at, x).alias("at"), F.array_append(a.out, step(a.at, x)).alias("out")))["out"]
+        return F.flatten(F.zip_with(blocks, before, one))
+
+    return let(values, lambda v: F.coalesce(let(_blocks(v), held), empty))
+
+
+def lexemes(text: Column, pattern: str = LEX) -> Column:
     """Array of (lexeme, start): offsets are code points; built row by row, without a shuffle.
 
     A fold copies its array at every step, so offsets are summed in blocks: first of blocks, then inside each.
     """
-    found = F.regexp_extract_all(text, F.lit(LEX), F.lit(0))
-    placed = _let(found, lambda f: _let(_blocks(f), _placed))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    placed = let(found, lambda f: let(_blocks(f), _placed))
     return F.when(text.isNotNull(), F.coalesce(placed, F.array().cast("array<struct<lexeme:string,start:int>>")))
 
 

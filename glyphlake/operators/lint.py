@@ -58,7 +58,7 @@ _PIECE = re.compile(
     re.VERBOSE,
 )
 #: The generators of a top-level statement, between its first target and the "=".
-_GENERATORS = re.compile(r"(?m)(?<=^)([^\W\d]\w*)([ \t]*\.[ \t]*<[^<>\n]*>)(?=[ \t]*=(?!=))")
+_GENERATORS = re.compile(r"(?m)(?<=^)([^\W\d]\w*)([ \t]*\.[ \t]*<[ \t]*[^\W\d]\w*(?:[ \t]*,[ \t]*[^\W\d]\w*)*[ \t]*>)(?=[ \t]+=(?!=))")
 _HEADER = re.compile(r"(?:elif|else|except|finally|case)\b")
 
 
@@ -69,6 +69,14 @@ def _python(text: str) -> tuple[str, dict[int, tuple[int, str]], list[tuple[int,
     """
     heads = {m.start(): m for m in _GENERATORS.finditer(text)}
     out, back, lines, at, n, depth, begin = [], {}, [], 0, 0, 0, 0
+    pieces = list(_PIECE.finditer(text))
+    # Brackets that nothing closes hold no lines together.
+    opened, closed = [], set()
+    for m in pieces:
+        if m.lastgroup == "open":
+            opened.append(m.start())
+        elif m.lastgroup == "close" and opened:
+            closed.add(opened.pop())
 
     def plain(stop: int) -> None:
         """Text without carets, less the generators of a statement that begins in it."""
@@ -82,7 +90,7 @@ def _python(text: str) -> tuple[str, dict[int, tuple[int, str]], list[tuple[int,
         n += stop - at
         at = stop
 
-    for m in _PIECE.finditer(text):
+    for m in pieces:
         if m.start() < at:
             continue
         plain(m.start())
@@ -90,7 +98,7 @@ def _python(text: str) -> tuple[str, dict[int, tuple[int, str]], list[tuple[int,
         match m.lastgroup:
             case "caret":
                 back[n] = (at, piece + ("=" if text.startswith("=", m.end()) else ""))
-                piece = "**" if len(piece) == 1 else "^"
+                piece = "**" if len(piece) == 1 else "^" if len(piece) == 2 or not text.startswith("=", m.end()) else "^ **"
             case "range":
                 piece = ", "
             case "empty":
@@ -98,7 +106,7 @@ def _python(text: str) -> tuple[str, dict[int, tuple[int, str]], list[tuple[int,
                 if before and not keyword.iskeyword(before[1] or ""):
                     piece = " " * len(piece)
             case "open":
-                depth += 1
+                depth += m.start() in closed
             case "close":
                 depth = max(0, depth - 1)
         out.append(piece)
@@ -123,14 +131,8 @@ def _trees(source: str, lines: list[tuple[int, int]]) -> list[tuple[ast.Module,
     """Parse trees with their text and where it begins: of the whole script, else of each top-level statement, else of each of its lines."""
     if tree := _parsed(source):
         return [(tree, source, 0)]
-    out, blocks = [], []
-    for a, b in lines:
-        text = source[a:b]
-        if blocks and (not text.strip() or text[0] in " \t#" or _HEADER.match(text)):
-            blocks[-1].append((a, b))
-        else:
-            blocks.append([(a, b)])
-    for block in blocks:
+    out = []
+    for block in _blocks(source, lines):
         a, b = block[0][0], block[-1][1]
         if tree := _parsed(source[a:b]):
             out.append((tree, source[a:b], a))
@@ -165,24 +167,71 @@ class _Place:
         return range(self.at(left.end_lineno, left.end_col_offset), self.at(right.lineno, right.col_offset))
 
 
-def _bytes_like(node: ast.AST, place: _Place, known: set[str]) -> bool:
+_FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda)
+_COMPREHENSIONS = (ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp)
+#: The scopes around a node from outside in: whether it is a class, and for each name that it binds whether it is annotated as bytes.
+_Chain = tuple[tuple[bool, dict[str, bool]], ...]
+
+
+def _bytes_like(node: ast.AST, place: _Place, chain: _Chain) -> bool:
     if isinstance(node, ast.Call):
         return place.text(node.func) in BYTES_CALLS
     if isinstance(node, ast.Name):
-        return node.id in known
+        return next((names[node.id] for _, names in reversed(chain) if node.id in names), False)
     return place.text(node).lstrip()[:3].lower().startswith(BYTES_PREFIXES)
 
 
-def _annotated(tree: ast.AST) -> set[str]:
-    """Names that are annotated as bytes."""
-    kinds = lambda n: isinstance(n, ast.Name) and n.id in BYTES_TYPES
-    out = set()
-    for n in ast.walk(tree):
-        if isinstance(n, ast.AnnAssign) and isinstance(n.target, ast.Name) and kinds(n.annotation):
-            out.add(n.target.id)
-        elif isinstance(n, ast.arg) and kinds(n.annotation):
-            out.add(n.arg)
-    return out
+def _bound(scope: ast.AST) -> dict[str, bool]:
+    """The names that a module, class, function or comprehension binds itself, and which of them it annotates as bytes."""
+    out: dict[str, bool] = {}
+    shared: set[str] = set()
+    bind = lambda name, kind=None: out.update({name: out.get(name, False) or (isinstance(kind, ast.Name) and kind.id in BYTES_TYPES)})
+    if isinstance(scope, _COMPREHENSIONS):
+        stack: list[ast.AST] = [g.target for g in scope.generators]
+    elif isinstance(scope, _FUNCTIONS):
+        a = scope.args
+        for x in (*a.posonlyargs, *a.args, *a.kwonlyargs, a.vararg, a.kwarg):
+            if x:
+                bind(x.arg, x.annotation)
+        stack = list(scope.body) if isinstance(scope.body, list) else [scope.body]
+    else:
+        stack = list(scope.body)
+    while stack:
+        n = stack.pop()
+        match n:
+            case ast.FunctionDef() | ast.AsyncFunctionDef() | ast.ClassDef():
+                bind(n.name)
+                continue
+            case ast.Lambda() | ast.ListComp() | ast.SetComp() | ast.DictComp() | ast.GeneratorExp():
+                continue
+            case ast.Name(ctx=ast.Store()):
+                bind(n.id)
+            case ast.AnnAssign(target=ast.Name()):
+                bind(n.target.id, n.annotation)
+            case ast.alias():
+                bind(n.asname or n.name.split(".")[0])
+            case ast.ExceptHandler(name=str()) | ast.MatchAs(name=str()) | ast.MatchStar(name=str()):
+                bind(n.name)
+            case ast.Global() | ast.Nonlocal():
+                shared.update(n.names)
+        stack += ast.iter_child_nodes(n)
+    return {name: kind for name, kind in out.items() if name not in shared}
+
+
+def _inside(node: ast.AST, chain: _Chain) -> list[tuple[ast.AST, _Chain]]:
+    """The children of a node with the scopes around each: a function does not see the names of a class around it."""
+    outer = tuple(s for s in chain if not s[0])
+    if isinstance(node, _COMPREHENSIONS):
+        own = (*outer, (False, _bound(node)))
+        return [(child, own) for child in ast.iter_child_nodes(node)]
+    if isinstance(node, _FUNCTIONS):
+        own, body = (*outer, (False, _bound(node))), node.body if isinstance(node.body, list) else [node.body]
+    elif isinstance(node, ast.ClassDef):
+        own, body = (*outer, (True, _bound(node))), node.body
+    else:
+        return [(child, chain) for child in ast.iter_child_nodes(node)]
+    mine = set(map(id, body))
+    return [(child, own if id(child) in mine else chain) for child in ast.iter_child_nodes(node)]
 
 
 def misuse_in(text: str | None) -> list[tuple[int, int, str, str]]:
@@ -192,26 +241,29 @@ def misuse_in(text: str | None) -> list[tuple[int, int, str, str]]:
     # Form feeds and the like are no ends of lines to the parser, nor are they here.
     source, back, lines = _python(text.replace("\r", " ").replace("\f", " "))
     trees = _trees(source, lines)
-    known = set().union(*(_annotated(tree) for tree, _, _ in trees))
+    known: dict[str, bool] = {}
+    for tree, _, _ in trees:
+        for name, kind in _bound(tree).items():
+            known[name] = known.get(name, False) or kind
     out: set[tuple[int, int, str, str]] = set()
     for tree, part, base in trees:
         place = _Place(part)
-        stack: list[tuple[ast.AST, bool]] = [(tree, False)]
+        stack: list[tuple[ast.AST, bool, _Chain]] = [(tree, False, ((False, known),))]
         while stack:
-            node, inside = stack.pop()
+            node, inside, chain = stack.pop()
             if isinstance(node, ast.stmt):
                 inside = False
             spots, lexeme = range(0), "^"
-            if isinstance(node, ast.BinOp) and isinstance(node.op, ast.Pow) and (inside or _bytes_like(node.left, place, known) or _bytes_like(node.right, place, known)):
+            if isinstance(node, ast.BinOp) and isinstance(node.op, ast.Pow) and (inside or _bytes_like(node.left, place, chain) or _bytes_like(node.right, place, chain)):
                 spots = place.between(node.left, node.right)
-            elif isinstance(node, ast.AugAssign) and isinstance(node.op, ast.Pow) and (_bytes_like(node.target, place, known) or _bytes_like(node.value, place, known)):
+            elif isinstance(node, ast.AugAssign) and isinstance(node.op, ast.Pow) and (_bytes_like(node.target, place, chain) or _bytes_like(node.value, place, chain)):
                 spots, lexeme = place.between(node.target, node.value), "^="
             for i in spots:
                 if (found := back.get(base + i)) and found[1] == lexeme:
                     out.add((found[0], found[0] + len(lexeme), lexeme, "^" + lexeme))
-            for child in ast.iter_child_nodes(node):
+            for child, around in _inside(node, chain):
                 call = isinstance(node, ast.Call) and child is not node.func
-                stack.append((child, isinstance(node.func, ast.Name) and node.func.id == "bytes" if call else inside))
+                stack.append((child, isinstance(node.func, ast.Name) and node.func.id == "bytes" if call else inside, around))
     return sorted(out)
 
 
@@ -228,4 +280,53 @@ def misuse(files: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "file_id long, start int, end int, lexeme string, fix string").withColumn("level", F.lit("ERROR"))
 
 
-__all__ = ["apply_fixes", "bytes_literal", "literal_misuse", "misuse", "misuse_in", "tokens"]
+def _blocks(source: str, lines: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """The logical lines of each top-level statement."""
+    blocks: list[list[tuple[int, int]]] = []
+    for a, b in lines:
+        text = source[a:b]
+        if blocks and (not text.strip() or text[0] in " \t#" or _HEADER.match(text)):
+            blocks[-1].append((a, b))
+        else:
+            blocks.append([(a, b)])
+    return blocks
+
+
+def errors_in(text: str | None, dialect: bool = True) -> list[tuple[int, str]]:
+    """(line_no, message) of one script; the parser goes on behind each top-level statement that has an error."""
+    if not text:
+        return []
+    text = text.replace("\r", " ").replace("\f", " ")
+    # Other files are not translated, only cut into their lines.
+    translated, _, lines = _python(text)
+    source = translated if dialect else text
+    if _parsed(source):
+        return []
+    if not dialect:
+        lines, ends = [], [*(i + 1 for i, c in enumerate(text) if c == "\n"), len(text)]
+        lines = list(zip([0, *ends[:-1]], ends, strict=True))
+    out = []
+    for block in _blocks(source, lines):
+        a, b = block[0][0], block[-1][1]
+        try:
+            ast.parse(source[a:b])
+        except SyntaxError as e:
+            out.append((source.count("\n", 0, a) + max(1, e.lineno or 1) - 1, e.msg))
+        except (ValueError, RecursionError, MemoryError) as e:
+            out.append((source.count("\n", 0, a), str(e)))
+    return out
+
+
+def script_errors(files: DataFrame) -> DataFrame:
+    """(file_id, line_no, message): the syntax errors of scripts and of other files, in Arrow batches; `statements.visible_errors` filters them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, *e) for i, ext, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) for e in errors_in(t, ext == "sage")]
+            c = list(zip(*found, strict=True)) if found else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.string())], names=["file_id", "line_no", "message"])
+
+    return files.select("file_id", "ext", "text").mapInArrow(run, "file_id long, line_no int, message string")
+
+
+__all__ = ["apply_fixes", "bytes_literal", "errors_in", "literal_misuse", "misuse", "misuse_in", "script_errors", "tokens"]

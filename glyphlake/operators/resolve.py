@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-import builtins
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import ancestors, anchor, declared, find_class, follow_aliases, stub_symbols
-from .statements import bound_names, generator_statements, implicit_files
-
-
-#: Names that every script has.
-BUILTINS = tuple(x for x in dir(builtins) if not x.startswith("_"))
+from .catalog import ancestors, anchor, declared, find_class, follow_aliases, settled, stub_symbols
+from .syntax import names, open_references
 
 
 def candidate_counts(names: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -39,19 +33,17 @@ def find_declarations(names: DataFrame, symbols: DataFrame) -> DataFrame:
     return found.select("name", F.coalesce("tier", F.lit(0)).alias("tier"), F.coalesce("target_kind", "kind").alias("target_kind"), F.coalesce("target_path", "path").alias("target_path"))
 
 
-def resolve_names(refs: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:
-    """References (file_id, line_no, name, qualified) to (…, origin, target_kind, target_path).
+def resolve_names(files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(file_id, line_no, start, name, origin, target_kind, target_path) of the references in the scripts' text.
 
-    Qualified names, files with the explicit import, builtins and names that the script binds are left to ordinary
-    resolution and give no row. A name of the same generator statement wins (J7), then the catalog (J1).
+    Qualified names, files with the explicit import, builtins and names that a scope around the reference binds are
+    left to ordinary resolution and give no row. A name of the same generator statement wins (J7), then the catalog (J1).
     """
-    refs = refs.where(~F.col("name").isin(*BUILTINS)).join(bound_names(files), ["file_id", "name"], "left_anti")
-    open_ = refs.where(~F.col("qualified")).join(implicit_files(files).select("file_id"), "file_id", "left_semi")
-    own = generator_statements(files).select("file_id", "line_no", F.explode(F.concat(F.array("factory_name"), "names")).alias("name")).distinct().withColumn("own", F.lit(True))
-    rows = open_.join(own, ["file_id", "line_no", "name"], "left").join(find_declarations(open_, symbols), "name", "left")
-    mine = F.col("own").isNotNull()
+    open_ = settled(open_references(settled(names(files)), files))
+    rows = open_.join(find_declarations(open_, symbols), "name", "left")
+    mine = F.col("own")
     origin = F.when(mine, "generator").when(F.col("tier") > 0, "catalog").otherwise("none")
-    return rows.select("file_id", "line_no", "name", origin.alias("origin"), F.when(mine, "target").otherwise(F.col("target_kind")).alias("target_kind"), F.when(~mine, F.col("target_path")).alias("target_path"))
+    return rows.select("file_id", "line_no", "start", "name", origin.alias("origin"), F.when(mine, "target").otherwise(F.col("target_kind")).alias("target_kind"), F.when(~mine, F.col("target_path")).alias("target_path"))
 
 
 def literal_types(assignments: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ has a few hand-written rows for each rule, and a declaration for each row of `pa
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _K = "CAST(p_partkey AS STRING)"
 _S = "CAST(p_size AS STRING)"
@@ -144,3 +145,22 @@ def stubs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stub_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _over_part(spark, sf_dir, STUB_CALLS)
+
+
+#: Scripts with functions, classes, scopes of their own, logical lines of several lines and errors: one of them for each row of `part`.
+MODULES = (
+    "def f(k: bytes, *a, z=q):\n    return k ^ 2\ndef g(k):\n    return k ^ w\nh = lambda k, j=z: k ^ 3",
+    "k: bytes = b()\nclass A(B):\n    k = 1\n    def m(self) -> T[int]:\n        return k ^ 1, self.k\n    u = k\ndef n():\n    k = 5\n    return k ^ 4\nz = [k ^ 5 for k in range(3) if k]; y = k ^ 6",
+    "R.<x> = GF(q)[x]\ndef area(r, n=N):\n    global total\n    total = pi * r\n    return sum(total for t in ZZ) + t\ny = total + lost + x\nfor i, j in pairs: s = i ^ j\nif (m := N(2)) > 1: print(m, f(key=GF))",
+    "import os.path, re as p\nfrom a.b import c, d as e\nwith open(o) as fh:\n    data, t2 = fh.read(),\\\n  1\nx += 1\na = b = ECM\nfrom sage.all import factor",
+    "f(\nR.<x> = GF(2)[]\n)\na = 1 + \\\nS.<y> = GF(3)[]\nT.<z> = PolynomialRing(\n    GF(5), # c (\n    z, 'z')\ns = '''\nU.<u> = GF(2)\n'''\nV.<v> = GF(7)[]; q = v\nW.<w>= GF(2)",
+    "Q.<w> =\nx = (1\ny = 2\ndef broken(:\n    pass\nU.<t> = GF(\n",
+    "y = fac(2)\nx1 = obj.fac\nfac = 1\nfrom m import Inte\nprint(Inte, GF (2), cc, nA, eCm(3), gho)",
+)
+
+
+def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scripts (file_id, path, ext, text): the text of a row of `part` is that of its key modulo the number of texts."""
+    key = F.col("p_partkey")
+    text = F.get(F.array(*map(F.lit, MODULES)), F.pmod(key, F.lit(len(MODULES))).cast("int"))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(key.alias("file_id"), F.concat(F.lit("/m/"), key.cast("string"), F.lit(".sage")).alias("path"), F.lit("sage").alias("ext"), text.alias("text"))

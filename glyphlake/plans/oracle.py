@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..operators import templates
 from . import corpus
-from .queries import _OUTPUT, _POSITIONS, _REFS, _RUNS
+from .queries import _OUTPUT, _RUNS, HUMPS
 
 _PART = lambda sql: sql.replace("{part}", "part")
 _FILES = f"files AS ({_PART(corpus.SCRIPTS)})"
@@ -54,6 +54,250 @@ _LIVE = "SELECT * FROM (VALUES " + ", ".join(f"({i}, {_q(k)}, {_q(v)})" for i, (
 _SLOTS = "SELECT * FROM (VALUES " + ", ".join(f"({_q(k)}, {_q(s)}, {_q(v)})" for k, _, d in templates.LIVE for s, v in d.items()) + ") AS t(key, slot, preset)"
 
 
+def _by_module(columns: str, rows: str) -> str:
+    """Rows that are known by hand for each text of `corpus.MODULES`: one tuple (text, …) a line."""
+    return f"SELECT p_partkey AS file_id, {columns} FROM part JOIN (VALUES {', '.join(rows.split(chr(10))[1:-1])}) AS t(v, {columns}) ON p_partkey % {len(corpus.MODULES)} = v"
+
+
+_ERRORS = """
+(4, 1, true)
+(4, 4, true)
+(4, 12, true)
+(5, 0, false)
+(5, 1, true)
+(5, 3, true)
+(5, 5, false)
+"""
+_STATEMENTS = """
+(2, 0, 0, 'R', 'x', 'GF', 8)
+(4, 5, 7, 'T', 'z', 'PolynomialRing', 44)
+(4, 11, 11, 'V', 'v', 'GF', 14)
+(5, 0, 0, 'Q', 'w', NULL, 0)
+(5, 5, 5, 'U', 't', 'GF', 3)
+"""
+_ROLES = """
+(0, 0, 'function', 'f')
+(0, 0, 'parameter', 'a,k,z')
+(0, 0, 'reference', 'bytes,q')
+(0, 1, 'reference', 'k')
+(0, 2, 'function', 'g')
+(0, 2, 'parameter', 'k')
+(0, 3, 'reference', 'k,w')
+(0, 4, 'lambda', 'j,k')
+(0, 4, 'reference', 'k,z')
+(0, 4, 'target', 'h')
+(1, 0, 'reference', 'b,bytes')
+(1, 0, 'target', 'k')
+(1, 1, 'class', 'A')
+(1, 1, 'reference', 'B')
+(1, 2, 'target', 'k')
+(1, 3, 'function', 'm')
+(1, 3, 'parameter', 'self')
+(1, 3, 'reference', 'T,int')
+(1, 4, 'attribute', 'k')
+(1, 4, 'reference', 'k,self')
+(1, 5, 'reference', 'k')
+(1, 5, 'target', 'u')
+(1, 6, 'function', 'n')
+(1, 7, 'target', 'k')
+(1, 8, 'reference', 'k')
+(1, 9, 'loop', 'k')
+(1, 9, 'reference', 'k,k,k,range')
+(1, 9, 'target', 'y,z')
+(2, 0, 'generator', 'R,x')
+(2, 0, 'reference', 'GF,q,x')
+(2, 1, 'function', 'area')
+(2, 1, 'parameter', 'n,r')
+(2, 1, 'reference', 'N')
+(2, 2, 'global', 'total')
+(2, 3, 'reference', 'pi,r')
+(2, 3, 'target', 'total')
+(2, 4, 'loop', 't')
+(2, 4, 'reference', 'ZZ,sum,t,total')
+(2, 5, 'reference', 'lost,total,x')
+(2, 5, 'target', 'y')
+(2, 6, 'loop', 'i,j')
+(2, 6, 'reference', 'i,j,pairs')
+(2, 6, 'target', 's')
+(2, 7, 'keyword', 'key')
+(2, 7, 'reference', 'GF,N,f,m,print')
+(2, 7, 'walrus', 'm')
+(3, 0, 'attribute', 'path')
+(3, 0, 'import', 'os,p')
+(3, 0, 'source', 're')
+(3, 1, 'attribute', 'b')
+(3, 1, 'import', 'c,e')
+(3, 1, 'source', 'a,d')
+(3, 2, 'as', 'fh')
+(3, 2, 'reference', 'o,open')
+(3, 3, 'attribute', 'read')
+(3, 3, 'reference', 'fh')
+(3, 3, 'target', 'data,t2')
+(3, 5, 'target', 'x')
+(3, 6, 'reference', 'ECM')
+(3, 6, 'target', 'a,b')
+(3, 7, 'attribute', 'all')
+(3, 7, 'import', 'factor')
+(3, 7, 'source', 'sage')
+(4, 0, 'reference', 'f')
+(4, 1, 'reference', 'GF,R,x')
+(4, 3, 'target', 'a')
+(4, 4, 'reference', 'GF,S,y')
+(4, 5, 'generator', 'T,z')
+(4, 5, 'reference', 'PolynomialRing')
+(4, 6, 'reference', 'GF')
+(4, 7, 'reference', 'z')
+(4, 8, 'target', 's')
+(4, 11, 'generator', 'V,v')
+(4, 11, 'reference', 'GF,v')
+(4, 11, 'target', 'q')
+(4, 12, 'reference', 'GF,W,w')
+(5, 0, 'generator', 'Q,w')
+(5, 1, 'target', 'x')
+(5, 2, 'target', 'y')
+(5, 3, 'function', 'broken')
+(5, 5, 'generator', 'U,t')
+(5, 5, 'reference', 'GF')
+(6, 0, 'reference', 'fac')
+(6, 0, 'target', 'y')
+(6, 1, 'attribute', 'fac')
+(6, 1, 'reference', 'obj')
+(6, 1, 'target', 'x1')
+(6, 2, 'target', 'fac')
+(6, 3, 'import', 'Inte')
+(6, 3, 'source', 'm')
+(6, 4, 'reference', 'GF,Inte,cc,eCm,gho,nA,print')
+"""
+_BOUND = """
+(0, 0, 'none', false, 'bytes,q')
+(0, 1, 'inner', true, 'k')
+(0, 3, 'inner', false, 'k')
+(0, 3, 'none', false, 'w')
+(0, 4, 'inner', false, 'k')
+(0, 4, 'none', false, 'z')
+(1, 0, 'none', false, 'b,bytes')
+(1, 1, 'none', false, 'B')
+(1, 3, 'none', false, 'T,int')
+(1, 4, 'inner', false, 'self')
+(1, 4, 'module', true, 'k')
+(1, 5, 'inner', false, 'k')
+(1, 8, 'inner', false, 'k')
+(1, 9, 'inner', false, 'k,k')
+(1, 9, 'module', true, 'k')
+(1, 9, 'none', false, 'range')
+(2, 0, 'module', false, 'x')
+(2, 0, 'none', false, 'GF,q')
+(2, 1, 'none', false, 'N')
+(2, 3, 'inner', false, 'r')
+(2, 3, 'none', false, 'pi')
+(2, 4, 'module', false, 'total')
+(2, 4, 'none', false, 'ZZ,sum,t')
+(2, 5, 'module', false, 'total,x')
+(2, 5, 'none', false, 'lost')
+(2, 6, 'module', false, 'i,j')
+(2, 6, 'none', false, 'pairs')
+(2, 7, 'module', false, 'm')
+(2, 7, 'none', false, 'GF,N,f,print')
+(3, 2, 'none', false, 'o,open')
+(3, 3, 'module', false, 'fh')
+(3, 6, 'none', false, 'ECM')
+(4, 0, 'none', false, 'f')
+(4, 1, 'none', false, 'GF,R,x')
+(4, 4, 'none', false, 'GF,S,y')
+(4, 5, 'none', false, 'PolynomialRing')
+(4, 6, 'none', false, 'GF')
+(4, 7, 'module', false, 'z')
+(4, 11, 'module', false, 'v')
+(4, 11, 'none', false, 'GF')
+(4, 12, 'none', false, 'GF,W,w')
+(5, 5, 'none', false, 'GF')
+(6, 0, 'module', false, 'fac')
+(6, 1, 'none', false, 'obj')
+(6, 4, 'module', false, 'Inte')
+(6, 4, 'none', false, 'GF,cc,eCm,gho,nA,print')
+"""
+_OPEN = """
+(0, 0, 'q', 'none', NULL)
+(0, 3, 'w', 'none', NULL)
+(0, 4, 'z', 'none', NULL)
+(1, 0, 'b', 'none', NULL)
+(1, 1, 'B', 'none', NULL)
+(1, 3, 'T', 'none', NULL)
+(2, 0, 'GF', 'catalog', 'function')
+(2, 0, 'q', 'none', NULL)
+(2, 0, 'x', 'generator', 'target')
+(2, 1, 'N', 'catalog', 'function')
+(2, 3, 'pi', 'catalog', 'attribute')
+(2, 4, 'ZZ', 'catalog', 'attribute')
+(2, 4, 't', 'none', NULL)
+(2, 5, 'lost', 'catalog', 'import')
+(2, 6, 'pairs', 'none', NULL)
+(2, 7, 'GF', 'catalog', 'function')
+(2, 7, 'N', 'catalog', 'function')
+(2, 7, 'f', 'none', NULL)
+(4, 0, 'f', 'none', NULL)
+(4, 1, 'GF', 'catalog', 'function')
+(4, 1, 'R', 'none', NULL)
+(4, 1, 'x', 'none', NULL)
+(4, 4, 'GF', 'catalog', 'function')
+(4, 4, 'S', 'none', NULL)
+(4, 4, 'y', 'none', NULL)
+(4, 5, 'PolynomialRing', 'none', NULL)
+(4, 6, 'GF', 'catalog', 'function')
+(4, 7, 'z', 'generator', 'target')
+(4, 11, 'GF', 'catalog', 'function')
+(4, 12, 'GF', 'catalog', 'function')
+(4, 12, 'W', 'none', NULL)
+(4, 12, 'w', 'none', NULL)
+(5, 5, 'GF', 'catalog', 'function')
+(6, 1, 'obj', 'none', NULL)
+(6, 4, 'GF', 'catalog', 'function')
+(6, 4, 'cc', 'none', NULL)
+(6, 4, 'eCm', 'none', NULL)
+(6, 4, 'gho', 'none', NULL)
+(6, 4, 'nA', 'none', NULL)
+"""
+_COMPLETED = """
+(0, 87, 'ZZ', 'attribute', true, 'ZZ()', 3)
+(1, 61, 'Integer', 'class', true, 'Integer()', 8)
+(2, 10, 'GF', 'function', true, 'GF', 3)
+(2, 32, 'N', 'function', true, 'N()', 2)
+(2, 66, 'pi', 'attribute', false, 'pi', 2)
+(2, 103, 'ZZ', 'attribute', true, 'ZZ()', 3)
+(2, 125, 'lost', 'import', false, 'lost', 4)
+(2, 154, 'Integer', 'class', true, 'Integer()', 8)
+(2, 169, 'N', 'function', true, 'N', 2)
+(2, 189, 'factor', 'function', true, 'factor', 7)
+(2, 196, 'GF', 'function', true, 'GF()', 3)
+(4, 1, 'factor', 'function', true, 'factor', 7)
+(4, 13, 'GF', 'function', true, 'GF', 3)
+(4, 41, 'GF', 'function', true, 'GF', 3)
+(4, 77, 'GF', 'function', true, 'GF', 3)
+(4, 93, 'ZZ', 'attribute', true, 'ZZ()', 3)
+(4, 136, 'GF', 'function', true, 'GF', 3)
+(4, 158, 'GF', 'function', true, 'GF', 3)
+(5, 53, 'GF', 'function', true, 'GF', 3)
+(6, 7, 'factor', 'function', true, 'factor', 7)
+(6, 61, 'Integer', 'class', true, 'Integer()', 8)
+(6, 65, 'GF', 'function', true, 'GF()', 3)
+(6, 73, 'CC', 'attribute', false, 'CC', 2)
+(6, 82, 'ECM', 'class', true, 'ECM', 4)
+(6, 90, 'ghost', NULL, false, 'ghost', 5)
+"""
+#: The unbound references of the second and third lines of `corpus.SCRIPTS`, and what each of the three lines binds.
+_SCRIPT_REFS = """refs AS (SELECT file_id, 1 AS line_no, name FROM files JOIN (VALUES (1, 'NumberField'), (1, 'x'), (2, 'e'), (4, 'k')) AS t(v, name) ON file_id % 8 = v
+        UNION ALL SELECT file_id, 1, CASE WHEN file_id % 16 = 0 THEN 'GF' ELSE concat('fn', CAST(file_id - file_id % 6 + 1 AS VARCHAR)) END FROM files WHERE file_id % 8 = 0
+        UNION ALL SELECT file_id, 1, unnest(['R', 'x']) FROM files WHERE file_id % 16 = 5
+        UNION ALL SELECT file_id, 2, name FROM files JOIN (VALUES (0, 'a'), (0, 'b'), (2, 'p'), (2, 'q'), (6, 'a'), (6, 'b'), (7, 'f'), (7, 'x'), (7, 'y'), (8, 'g'), (8, 't'), (10, 'ZZ')) AS t(v, name) ON file_id % 11 = v),
+    binds AS (SELECT file_id, name FROM files JOIN (VALUES (2, 's'), (3, 'ZZ'), (4, 'os')) AS t(v, name) ON file_id % 5 = v
+        UNION ALL SELECT file_id, name FROM files JOIN (VALUES (0, 'x'), (1, 'F'), (1, 'a'), (1, 'b'), (2, 'y'), (3, 'm'), (4, 'z'), (7, 'n')) AS t(v, name) ON file_id % 8 = v
+        UNION ALL SELECT file_id, unnest(['Q', 'w']) FROM files WHERE file_id % 16 = 13
+        UNION ALL SELECT file_id, name FROM files JOIN (VALUES (0, 'c'), (1, 'm'), (2, 'w'), (3, 'v'), (4, 'u'), (5, 's'), (7, 'd'), (8, 'h'), (8, 'v'), (9, 'i'), (9, 'v'), (10, 'S'), (10, 'y'), (10, 'T')) AS t(v, name) ON file_id % 11 = v)"""
+#: What no parser reads, by line: in scripts and in plain Python.
+_SCRIPT_ERRORS = """SELECT file_id, 1 AS line_no FROM files WHERE ext = 'sage' AND file_id % 16 = 5 UNION ALL SELECT file_id, 2 FROM files WHERE ext = 'sage' AND file_id % 11 = 6
+        UNION ALL SELECT file_id, 1 FROM files WHERE ext = 'py' AND file_id % 8 IN (1, 3, 5) UNION ALL SELECT file_id, 2 FROM files WHERE ext = 'py' AND file_id % 11 IN (2, 6, 9, 10)"""
+
+
 def _argv(mode: str) -> str:
     runs = f"runs AS ({_RUNS.replace('{supplier}', 'supplier').replace('{mode}', mode)})"
     split = lambda c: f"[x for x in string_split({c}, ' ') if x <> '']"
@@ -81,7 +325,6 @@ ORACLE_SQL: dict[str, str] = {
     "generator_names": f"WITH {_FILES}, {_GENS} SELECT file_id, factory_name AS first_target, unnest(names) AS name FROM gens",
     "explicit_import_files": f"WITH {_FILES}, {_EXPLICIT} SELECT file_id FROM explicit",
     "implicit_files": f"WITH {_FILES}, {_IMPLICIT} SELECT file_id FROM implicit",
-    "visible_errors": f"WITH {_FILES}, {_GENS} SELECT file_id, CAST(k AS INTEGER) AS line_no, 'unexpected' AS message FROM files, unnest([0, 1, 2]) AS u(k) WHERE (file_id, k) NOT IN (SELECT (file_id, line_no) FROM gens)",
     "stub_files": f"WITH s AS (SELECT DISTINCT path FROM ({_PART(corpus.SYMBOLS)})) SELECT path, contains(path, '/site-packages/sage/') AS library, contains(path, '/site-packages/sage/') AND path LIKE '%.pyi' AS stub, contains(path, '/site-packages/sage/') AND path LIKE '%/all.pyi' AS all_stub FROM s",
     "namespace_anchor": f"WITH {_STUBS} SELECT path FROM home",
     "namespace_first_wins": f"WITH {_NAMES} SELECT name, nullif(kind, 'listed') AS kind, annotation, imported_name FROM names",
@@ -90,11 +333,6 @@ ORACLE_SQL: dict[str, str] = {
     "callable_names": f"WITH RECURSIVE {_CALLABLE} SELECT name, is_callable FROM entries",
     "find_class": f"WITH {_STUBS}, c AS (SELECT * FROM (SELECT name, path, module, row_number() OVER (PARTITION BY name ORDER BY path, pos) AS rn FROM stubs WHERE kind = 'class') WHERE rn = 1) SELECT s.name, c.path AS class_path, c.module AS class_module FROM (SELECT DISTINCT name FROM symbols) s LEFT JOIN c USING (name)",
     "find_declarations": f"WITH {_FIND} SELECT n.name, coalesce(tier, 0) AS tier, target_kind, target_path FROM (SELECT DISTINCT name FROM symbols UNION SELECT 'nothing') n LEFT JOIN found USING (name)",
-    "resolve_names": f"""WITH {_FILES}, {_GENS}, {_IMPLICIT}, {_FIND}, refs AS ({_REFS.replace('({scripts})', '(SELECT file_id FROM files)')}),
-        own AS (SELECT file_id, line_no, unnest(list_prepend(factory_name, names)) AS name FROM gens), own1 AS (SELECT DISTINCT *, true AS mine FROM own)
-        SELECT file_id, name, CASE WHEN mine THEN 'generator' WHEN tier > 0 THEN 'catalog' ELSE 'none' END AS origin, CASE WHEN mine THEN 'target' ELSE target_kind END AS target_kind, CASE WHEN mine THEN NULL ELSE target_path END AS target_path
-        FROM refs LEFT JOIN own1 USING (file_id, line_no, name) LEFT JOIN found USING (name) WHERE NOT qualified AND file_id IN (SELECT file_id FROM implicit)
-        AND name <> 'bytes' AND NOT (name = 'n' AND file_id IN (SELECT file_id FROM lines WHERE line LIKE 'n = %'))""",
     "literal_types": f"WITH {_FILES}, {_LINES}, {_LITERALS} SELECT * FROM literals",
     "generator_types": f"WITH RECURSIVE {_GENTYPES} SELECT * FROM gentypes",
     "target_types": f"WITH RECURSIVE {_GENTYPES}, {_LITERALS} SELECT * FROM gentypes WHERE class_name IS NOT NULL UNION ALL SELECT * FROM literals",
@@ -111,6 +349,19 @@ ORACLE_SQL: dict[str, str] = {
         SELECT file_id, ext, (SELECT count(*) FROM carets c WHERE c.file_id = f.file_id) AS carets, (SELECT count(*) FROM gens g WHERE g.file_id = f.file_id) AS generators,
         (SELECT count(*) FROM gens g JOIN lines l USING (file_id, line_no) WHERE g.file_id = f.file_id AND line LIKE '%=') AS errors,
         (SELECT count(*) FROM bad b WHERE b.file_id = f.file_id) AS misuse, file_id IN (SELECT file_id FROM implicit) AS implicit FROM files f""",
+    "visible_errors": f"WITH {_FILES} {_SCRIPT_ERRORS}",
+    "module_errors": _by_module("line_no, visible", _ERRORS),
+    "module_statements": _by_module("line_no, last_line, factory_name, names, callee, rhs_chars", _STATEMENTS),
+    "name_roles": _by_module("line_no, role, names", _ROLES),
+    "scoped_references": _by_module("line_no, bound, as_bytes, names", _BOUND),
+    "scoped_lint": _by_module("start_at, fix", "\n(0, 39, '^^')\n(1, 81, '^^')\n(1, 181, '^^')\n"),
+    "module_resolution": _by_module("line_no, name, origin, target_kind", _OPEN),
+    "completion_lookup": f"SELECT *, 'sage.all' AS type_text FROM ({_by_module('pos, name, kind, is_callable, insert_text, caret', _COMPLETED)})",
+    "hump_matches": f"""SELECT p_partkey, prefix, name FROM part JOIN (VALUES (0, 'NF', 'NumberField'), (1, 'nuF', 'NumberField'), (2, 'cFi', 'ComplexField_class'), (3, 'iR_c', 'IntegerRing_class'), (4, 'gf', 'GF'), (5, 'GF', 'GF'),
+        (6, '_T', '_Type_CC'), (6, '_T', '_Type_ZZ'), (7, 'facI', 'factor_impl'), (8, 'RN', 'RealNumber')) AS t(v, prefix, name) ON p_partkey % {len(HUMPS)} = v""",
+    "resolve_names": f"""WITH {_FILES}, {_IMPLICIT}, {_FIND}, {_SCRIPT_REFS}
+        SELECT file_id, line_no, name, CASE WHEN tier > 0 THEN 'catalog' ELSE 'none' END AS origin, target_kind, target_path FROM refs LEFT JOIN found USING (name)
+        WHERE file_id IN (SELECT file_id FROM implicit) AND (file_id, name) NOT IN (SELECT (file_id, name) FROM binds)""",
     "stub_declarations": f"""WITH k AS (SELECT p_partkey AS k, CAST(p_partkey AS VARCHAR) AS s, CAST(p_partkey - 1 AS VARCHAR) AS b FROM part), m AS (SELECT *, concat('sage.gen.m', s) AS module FROM k)
         SELECT concat('Cls', s) AS name, 'class' AS kind, module, NULL AS annotation, NULL AS imported_name FROM m
         UNION ALL SELECT concat('at', s), 'attribute', module, concat('Cls', s), NULL FROM m
@@ -134,10 +385,6 @@ ORACLE_SQL: dict[str, str] = {
     "template_keys": f"WITH {_FILES} SELECT file_id, file_id % 3 < 2 AS terminal, CAST(0 AS BIGINT) AS editable, CAST({len(_KEYS)} AS BIGINT) AS templates FROM files",
     "caret_fixes": f"""WITH {_MISUSE}, marked AS (SELECT p.file_id, p.i, concat(CASE WHEN m.lexeme IS NOT NULL THEN '^' ELSE '' END, x) AS piece FROM placed p LEFT JOIN misuse m ON m.file_id = p.file_id AND m.start_at = p.spot)
         SELECT file_id, string_agg(piece, '' ORDER BY i) AS fixed_text FROM marked WHERE file_id IN (SELECT file_id FROM misuse) GROUP BY file_id""",
-    "completion_lookup": f"""WITH RECURSIVE {_FILES}, {_IMPLICIT}, {_CALLABLE}, spots AS ({_POSITIONS.replace('{scripts}', 'files')})
-        SELECT file_id, name, kind, 'sage.all' AS type_text, is_callable, CASE WHEN is_callable AND next_char <> '(' THEN concat(name, '()') ELSE name END AS insert_text,
-        CAST(length(name) + CASE WHEN is_callable THEN 1 ELSE 0 END AS INTEGER) AS caret
-        FROM spots JOIN entries ON prefix <> '' AND starts_with(lower(name), lower(prefix)) WHERE NOT qualified AND NOT is_target AND NOT in_import AND file_id IN (SELECT file_id FROM implicit)""",
     "postfix_expand": f"""WITH {_FILES}, x AS (SELECT file_id, concat('v', CAST(file_id AS VARCHAR)) AS e, {_KEYS}[file_id % {len(_KEYS)} + 1] AS key FROM files WHERE ext = 'sage'),
         y AS (SELECT *, CASE key WHEN 'b2i' THEN concat('int.from_bytes(', e, ', "big")') WHEN 'i2b' THEN concat('int(', e, ').to_bytes(, "big")') ELSE concat(key, '(', e, ')') END AS expanded FROM x)
         SELECT file_id, key, expanded, CAST(CASE key WHEN 'i2b' THEN length(e) + 15 ELSE length(expanded) END AS INTEGER) AS caret FROM y""",

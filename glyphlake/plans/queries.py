@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from ..operators import catalog, complete, lex, lint, resolve, runcmd, statements, templates
+from ..operators import catalog, complete, lex, lint, resolve, runcmd, statements, syntax, templates
 from ..sources import stubs
 from . import corpus
 from .analysis import analyze_corpus
@@ -45,9 +45,54 @@ def implicit_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def visible_errors(spark: SparkSession, d: str) -> DataFrame:
+    """P7 over the errors that the parser finds in the scripts."""
     files = corpus.scripts(spark, d)
-    errors = files.select("file_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("line_no"), F.lit("unexpected").alias("message"))
-    return statements.visible_errors(errors, files).select("file_id", "line_no", "message")
+    return statements.visible_errors(lint.script_errors(files), files).select("file_id", "line_no")
+
+
+def module_errors(spark: SparkSession, d: str) -> DataFrame:
+    files = corpus.modules(spark, d)
+    errors = lint.script_errors(files)
+    shown = statements.visible_errors(errors, files).select("file_id", "line_no", F.lit(True).alias("visible"))
+    return errors.join(shown, ["file_id", "line_no"], "left").select("file_id", "line_no", F.coalesce("visible", F.lit(False)).alias("visible"))
+
+
+def module_statements(spark: SparkSession, d: str) -> DataFrame:
+    """Generator statements among logical lines of several lines."""
+    rows = statements.generator_statements(corpus.modules(spark, d))
+    return rows.select("file_id", "line_no", "last_line", "factory_name", F.array_join("names", ",").alias("names"), "callee", F.length("rhs").cast("long").alias("rhs_chars"))
+
+
+def name_roles(spark: SparkSession, d: str) -> DataFrame:
+    rows = syntax.names(corpus.modules(spark, d))
+    return rows.groupBy("file_id", "line_no", "role").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names"))
+
+
+def scoped_references(spark: SparkSession, d: str) -> DataFrame:
+    """What each reference is bound by: the module, a scope inside it, or nothing."""
+    rows = syntax.bound_references(catalog.settled(syntax.names(corpus.modules(spark, d))))
+    bound = F.when(F.col("scope").isNull(), "none").when(F.col("scope") == syntax.MODULE, "module").otherwise("inner")
+    return rows.groupBy("file_id", "line_no", bound.alias("bound"), F.array_contains("annotations", "bytes").alias("as_bytes")).agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names"))
+
+
+def scoped_lint(spark: SparkSession, d: str) -> DataFrame:
+    return lint.misuse(corpus.modules(spark, d)).select("file_id", F.col("start").alias("start_at"), "fix")
+
+
+def module_resolution(spark: SparkSession, d: str) -> DataFrame:
+    rows = resolve.resolve_names(corpus.modules(spark, d), corpus.symbols(spark, d))
+    return rows.select("file_id", "line_no", "name", "origin", "target_kind")
+
+
+def hump_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Prefixes of capitals and small letters, one for each row of `part`, against all names of the catalog."""
+    wanted = F.get(F.array(*map(F.lit, HUMPS)), F.pmod("p_partkey", F.lit(len(HUMPS))).cast("int"))
+    asked = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", wanted.alias("prefix"))
+    return asked.join(complete.matches(asked, corpus.symbols(spark, d)), "prefix").select("p_partkey", "prefix", "name")
+
+
+#: Prefixes, and by hand what they match among the catalog's fixed names.
+HUMPS = ("NF", "nuF", "cFi", "iR_c", "gf", "GF", "_T", "facI", "RN", "")
 
 
 def stub_files(spark: SparkSession, d: str) -> DataFrame:
@@ -88,20 +133,13 @@ def find_declarations(spark: SparkSession, d: str) -> DataFrame:
     return resolve.find_declarations(symbols.select("name").union(spark.sql("SELECT 'nothing' AS name")), symbols)
 
 
-#: What the third and second lines refer to, for resolution.
-_REFS = """SELECT file_id, 1 AS line_no, name, qualified FROM ({scripts}) CROSS JOIN
-    (VALUES ('GF', false), ('x', false), ('NumberField', false), ('a', false), ('missing', false), ('ghost', false), ('lost', false), ('ZZ', true), ('bytes', false), ('n', false)) AS r(name, qualified)"""
-
-
 def resolve_names(spark: SparkSession, d: str) -> DataFrame:
-    files = corpus.scripts(spark, d)
-    refs = spark.sql(_REFS.format(scripts="SELECT file_id FROM {s}"), s=files)
-    return resolve.resolve_names(refs, files, corpus.symbols(spark, d)).select("file_id", "name", "origin", "target_kind", "target_path")
+    return resolve.resolve_names(corpus.scripts(spark, d), corpus.symbols(spark, d)).select("file_id", "line_no", "name", "origin", "target_kind", "target_path")
 
 
 def _assignments(files: DataFrame) -> DataFrame:
     rows = statements.logical_lines(statements.scripts(files))
-    pattern = r"^([A-Za-z_]\w*)\s*=\s*([^=].*)$"
+    pattern = r"(?s)^([A-Za-z_]\w*)\s*=\s*([^=].*)$"
     return rows.where(F.col("code").rlike(pattern)).select("file_id", "line_no", F.regexp_extract("line", pattern, 1).alias("target"), F.regexp_extract("line", pattern, 2).alias("rhs"))
 
 
@@ -137,14 +175,11 @@ def caret_fixes(spark: SparkSession, d: str) -> DataFrame:
     return lint.apply_fixes(files, lint.literal_misuse(files))
 
 
-_POSITIONS = """SELECT file_id, 0 AS pos, CASE file_id % 4 WHEN 0 THEN 'g' WHEN 1 THEN 'FA' WHEN 2 THEN '' ELSE 'in' END AS prefix,
-    CASE WHEN file_id % 3 = 0 THEN '(' ELSE '' END AS next_char, file_id % 11 = 0 AS qualified, file_id % 13 = 0 AS is_target, file_id % 17 = 0 AS in_import FROM {scripts}"""
-
-
 def completion_lookup(spark: SparkSession, d: str) -> DataFrame:
-    files = corpus.scripts(spark, d)
-    positions = spark.sql(_POSITIONS, scripts=files)
-    return complete.completions(positions, files, corpus.symbols(spark, d), corpus.methods(spark, d), corpus.bases(spark, d)).select("file_id", "name", "kind", "type_text", "is_callable", "insert_text", "caret")
+    """T6 at every name of the scripts' text."""
+    files = corpus.modules(spark, d)
+    rows = complete.completions(complete.positions(files), files, corpus.symbols(spark, d), corpus.methods(spark, d), corpus.bases(spark, d))
+    return rows.select("file_id", "pos", "name", "kind", "type_text", "is_callable", "insert_text", "caret")
 
 
 def postfix_expand(spark: SparkSession, d: str) -> DataFrame:
@@ -262,6 +297,7 @@ QUERIES: dict[str, Query] = {
         stub_files, namespace_anchor, namespace_first_wins, alias_follow, entry_target, callable_names, find_class, find_declarations,
         resolve_names, literal_types, generator_types, target_types, attribute_types, bytes_operand_lint, bytes_context_lint, caret_fixes,
         statement_errors, shortened_values, candidate_counts, corpus_summary, template_keys,
+        module_errors, module_statements, name_roles, scoped_references, scoped_lint, module_resolution, hump_matches,
         stub_declarations, stub_bases, stub_methods, stub_returns, stub_callable_attributes, stub_generator_types,
         completion_lookup, postfix_expand, live_template_expand, wsl_path, detected_tools, run_configurations,
     )

@@ -57,6 +57,12 @@ STATEMENTS = {
     "R.<a,> = GF(7)": [],
     "x = 1; R.<y> = GF(2)[]": [],
     "S.<y> = ZZ[]": [("S", ["y"], None)],
+    "R.<x>= GF(2)": [],
+    "f(\nR.<x> = GF(2)[]\n)": [],
+    "a = 1 + \\\nR.<x> = GF(2)[]": [],
+    "x = f(\nR.<x> = GF(2)[]": [("R", ["x"], "GF")],
+    ")\nT.<z> = ring(\n    GF(5), # (\n    'z')\nR.<x> = GF(2)[]": [("T", ["z"], "ring"), ("R", ["x"], "GF")],
+    "s = '''\nR.<x> = GF(2)\n''' + (\n'[')\nR.<x> = GF(2)[]": [("R", ["x"], "GF")],
     's = """\nR.<x> = GF(2)\n"""': [],
     "# R.<x> = GF(2)": [],
     "    R.<x> = GF(2)": [],
@@ -94,6 +100,11 @@ MISUSE = {
     "for i in [1..5]:\n    z = b'n' ^ i  # é ^": "for i in [1..5]:\n    z = b'n' ^^ i  # é ^",
     "P.<u> =\ndef f(k: bytes):\n    return 'é', k ^ 2^u": "P.<u> =\ndef f(k: bytes):\n    return 'é', k ^^ 2^u",
     "s = [] ; t = b'n' ^ r[]": "s = [] ; t = b'n' ^^ r[]",
+    "def f(k: bytes):\n    return k ^ 2\ndef g(k):\n    return k ^ 2": "def f(k: bytes):\n    return k ^^ 2\ndef g(k):\n    return k ^ 2",
+    "k: bytes = r\nclass A:\n    k = 1\n    u = k ^ 1\n    def m(self):\n        return k ^ 1": "k: bytes = r\nclass A:\n    k = 1\n    u = k ^ 1\n    def m(self):\n        return k ^^ 1",
+    "k: bytes = r\nz = [k ^ 1 for k in r], (lambda k: k ^ 2), k ^ 3": "k: bytes = r\nz = [k ^ 1 for k in r], (lambda k: k ^ 2), k ^^ 3",
+    "def f():\n    global k\n    k = k ^ 1\nk: bytearray = r\n= =": "def f():\n    global k\n    k = k ^^ 1\nk: bytearray = r\n= =",
+    "x = (\nz = b'n' ^ r": "x = (\nz = b'n' ^^ r",
 }
 FINE = ["g^31", "3^4", 'b"k" ** 2', "x ^^ y", 'x ^^= b"k"', "bytes(f(x ^ y))", "broken( ^", "", "s = 'b^' # ^ b'k'"]
 
@@ -165,7 +176,40 @@ def test_generators_come_from_the_nearest_class(spark):
     assert {r.target: r.class_name for r in resolve.generator_types(made, returns, methods, bases).collect()} == {"C": "C", "g": "NearElt"}
 
 
-def test_bound_names_and_statement_errors(spark):
-    df = files(spark, "p = q = 1\nr: int = 2\nfor s, t in u:\n    def v(): pass\nimport w\nfrom x import y as z\n# c = 1\ne == 2\nf(g=3)\nh = [i for i in j]", "P.<k> =\nQ.<l> = ring(2)[]")
-    assert {r.name for r in statements.bound_names(df).where("file_id = 0").collect()} == {"p", "r", "s", "t", "v", "w", "z", "h"}
+def test_statement_errors(spark):
+    df = files(spark, "p = 1\nR.<x> = ring(2)[]", "P.<k> =\nQ.<l> = ring(2)[]")
     assert [(r.file_id, r.line_no) for r in statements.statement_errors(df).collect()] == [(1, 0)]
+
+
+def test_right_sides_are_whole(spark):
+    df = files(spark, "T.<z> = ring(\n    GF(5), # (\n    'z')\nu = 1", "P.<k> = a + \\\n  b; c = 2")
+    got = {r.file_id: (r.line_no, r.last_line, r.rhs) for r in statements.generator_statements(df).collect()}
+    assert got == {0: (0, 2, "ring(\n    GF(5), # (\n    'z')"), 1: (0, 1, "a + \\\n  b; c = 2")}
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.text(alphabet="ab([])=\n\n\\'#\" ", max_size=40), min_size=10, max_size=10))
+def test_logical_lines_are_the_text(spark, texts):
+    got = {}
+    for r in statements.logical_lines(files(spark, *texts)).orderBy("file_id", "line_no").collect():
+        assert len(r.line) == len(r.code) and r.line.count("\n") == r.last_line - r.line_no
+        got.setdefault(r.file_id, []).append(r.line)
+    assert {i: "\n".join(x) for i, x in got.items()} == dict(enumerate(texts))
+
+
+def test_a_long_script_has_logical_lines_in_linear_time(spark):
+    text = "x = f(\n    1,\n    2)\ny = [\n"
+    took = {}
+    for n in (400, 400, 4_000):
+        began = time.monotonic()
+        assert statements.logical_lines(files(spark, text * n)).count() > 1
+        took[n] = time.monotonic() - began
+    assert took[4_000] < 40 * max(took[400], 0.3)
+
+
+def test_errors_of_the_parser_are_filtered_by_statement(spark):
+    text = "Q.<w> =\nx = (1\ny = 2\ndef broken(:\n    pass\nU.<t> = GF(\nR.<x\nT.<z> = ring(\n  3 3,\n)\na ^^^= b\nok = 1 ^ 2"
+    df = files(spark, text, None, "").unionByName(spark.createDataFrame([(7, "/b.py", "py", "R.<x> = f()\nx = 1")], FILES))
+    errors = lint.script_errors(df)
+    assert {(r.file_id, r.line_no) for r in errors.collect()} == {(0, 0), (0, 1), (0, 3), (0, 5), (0, 6), (0, 8), (0, 10), (7, 0)}
+    assert {(r.file_id, r.line_no) for r in statements.visible_errors(errors, df).collect()} == {(0, 1), (0, 3), (0, 6), (0, 10), (7, 0)}
