@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.templates import PUBLIC_CONDITIONS, editable, read_condition
 from ..schema import RUNS, SETTINGS, SOURCES, SYMBOLS
 
 # What a new script file starts with.
@@ -16,7 +17,7 @@ NEW_FILE = "# Sage file: plain Python + the implicit sage.all namespace.\n# ^ is
 
 
 def read_files(spark: SparkSession, root: str, glob: str = "*.sage") -> DataFrame:
-    """(file_id, path, ext, text); the id is a hash of the path."""
+    """(file_id, path, ext, text); the id is a hash of the path. An empty file gives no row."""
     df = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     path = F.col("_metadata.file_path")
     return df.select(F.xxhash64(path).alias("file_id"), path.alias("path"), F.regexp_extract(path, r"\.([^./\\]+)$", 1).alias("ext"), F.col("value").alias("text"))
@@ -93,6 +94,29 @@ def write_rows(df: DataFrame, path: str, row_tag: str) -> None:
     df.write.format("xml").option("rowTag", row_tag).option("rootTag", f"{row_tag}_list").save(path)
 
 
+#: How user-made templates are stored: one element each, conditions inside.
+TEMPLATE_ROW = "_key string, _topmost string, body string, condition array<struct<_id string, _class string>>, malformed string"
+
+
+def read_templates(spark: SparkSession, path: str) -> DataFrame:
+    """User-made templates, `schema.TEMPLATES`, and `malformed`, the text of an element that is none.
+
+    A condition that is not known is null, which nothing fits. Templates without key or body, or with another topmost than true and false, are malformed too.
+    """
+    rows = spark.read.format("xml").option("rowTag", "template").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "malformed").option("ignoreSurroundingSpaces", "false").schema(TEMPLATE_ROW).load(path)
+    known = F.transform(F.coalesce("condition", F.array().cast("array<struct<_id:string,_class:string>>")), lambda c: read_condition(c["_id"], c["_class"]))
+    flag = F.lower(F.coalesce("_topmost", F.lit("false")))
+    lacking = F.when(F.col("_key").isNull() | F.col("body").isNull(), F.lit("a template needs a key and a body")).when(~flag.isin("true", "false"), F.lit("topmost is true or false"))
+    return rows.select(F.col("_key").alias("key"), "body", known.alias("conditions"), (flag == "true").alias("topmost"), F.lit(False).alias("builtin"), F.coalesce("malformed", lacking).alias("malformed"))
+
+
+def write_templates(templates: DataFrame, path: str) -> None:
+    """The user-made templates as XML; built-in ones are never written, nor are conditions that were not known."""
+    kind = lambda c: F.struct(F.when(c.isin(*PUBLIC_CONDITIONS), c).otherwise("class").alias("_id"), F.when(~c.isin(*PUBLIC_CONDITIONS), c).alias("_class"))
+    rows = editable(templates).select(F.col("key").alias("_key"), F.col("topmost").cast("string").alias("_topmost"), "body", F.transform(F.array_compact("conditions"), kind).alias("condition"))
+    rows.write.format("xml").option("rowTag", "template").option("rootTag", "templates").save(path)
+
+
 def new_file(spark: SparkSession, path: str) -> DataFrame:
     """S13."""
     return spark.createDataFrame([(path, NEW_FILE)], "path string, text string")

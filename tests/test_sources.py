@@ -2,11 +2,13 @@
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from glyphlake.functions import paths
 from glyphlake.operators import catalog, complete, runcmd, templates
 from glyphlake.sources import files as S
+from glyphlake.sources import sink
 from glyphlake.streaming import watch
 
 STUB = """
@@ -104,3 +106,62 @@ def test_stream(spark, tmp_path):
         q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out/statements")).first().factory_name == "R"
     assert spark.read.parquet(str(tmp_path / "out/misuse")).first().fix == "^^"
+
+
+def test_scripts_as_files(spark, tmp_path):
+    root = tmp_path / "out"
+    rows = [(f"d{i % 3}/f{i}.sage", f"é = {i}\r\n") for i in range(40)] + [("top.sage", ""), ("none.sage", None)]
+    df = spark.createDataFrame(rows, "path string, text string").repartition(5).withColumn("other", F.lit(1))
+    sink.write_scripts(df, f"file://{root}")
+    want = {p: t for p, t in rows if t is not None}
+    found = lambda: {str(p.relative_to(root)): p.read_bytes().decode() for p in root.rglob("*") if p.is_file() and not p.name.endswith(".crc")}
+    assert found() == want
+    read = {r.path.split("/out/")[1]: r.text for r in S.read_files(spark, str(root)).collect()}
+    assert read == {p: t for p, t in want.items() if t}
+    # What is there is replaced only on demand, and a failure leaves all as it was.
+    again = spark.createDataFrame([("new.sage", "x"), ("top.sage", "y")], "path string, text string").repartition(2)
+    with pytest.raises(PySparkException):
+        sink.write_scripts(again, f"file://{root}")
+    assert found() == want and not list(root.glob("_staging-*"))
+    sink.write_scripts(again, f"file://{root}", replace=True)
+    assert found() == want | {"new.sage": "x", "top.sage": "y"}
+
+
+@pytest.mark.parametrize("rows", [[("a.sage", "1"), ("a.sage", "2")], [("../a.sage", "1")], [("/a.sage", "1")], [(None, "1")], [("a/../../b.sage", "1"), ("ok.sage", "2")]])
+def test_scripts_that_cannot_be_files(spark, tmp_path, rows):
+    with pytest.raises(PySparkException):
+        sink.write_scripts(spark.createDataFrame(rows, "path string, text string").repartition(2), str(tmp_path / "out"))
+    assert not [p for p in tmp_path.rglob("*") if p.is_file()]
+
+
+def test_a_second_attempt_leaves_nothing(tmp_path):
+    writer = sink.ScriptWriter(str(tmp_path), False)
+    lost, kept = (writer.write(iter([Row(path="a.sage", text=t)])) for t in ("lost", "kept"))
+    writer.commit([kept, None])
+    assert lost.folder != kept.folder
+    assert [p.name for p in tmp_path.rglob("*")] == ["a.sage"] and (tmp_path / "a.sage").read_text() == "kept"
+
+
+def test_user_templates_round_trip(spark, tmp_path):
+    rows = [("sq", "($EXPR$)^2 < 3 & 'x'", ["list", "sage.rings.integer.Integer"], True, False), ("id", "$EXPR$", [], False, False), ("one", "$EXPR$", ["non-None"], False, False), ("ZZ", "ZZ($expr$)", [], False, True)]
+    df = spark.createDataFrame(rows, "key string, body string, conditions array<string>, topmost boolean, builtin boolean")
+    S.write_templates(df, str(tmp_path / "t"))
+    got = {tuple(r[:2]) + (tuple(r.conditions), r.topmost, r.builtin, r.malformed) for r in S.read_templates(spark, str(tmp_path / "t")).collect()}
+    assert got == {(k, b, tuple(c), t, False, None) for k, b, c, t, builtin in rows if not builtin}
+
+
+def test_templates_that_others_wrote(spark, tmp_path):
+    (tmp_path / "t.xml").write_text("""<templates>
+<template key="a" topmost="true"><body>f($EXPR$)</body><condition id="class" class="m.C"/><condition id="unheard"/><condition id="class"/></template>
+<template key="b"><body>g($EXPR$)</body></template>
+<template key="c" topmost="maybe"><body>h</body></template>
+<template><body>no key</body></template>
+</templates>""")
+    got = {r.key: r for r in S.read_templates(spark, str(tmp_path / "t.xml")).collect()}
+    assert got["a"].conditions == ["m.C", None, None] and got["a"].topmost and got["a"].malformed is None
+    assert got["b"].conditions == [] and not got["b"].topmost and got["b"].malformed is None
+    assert got["c"].malformed is not None and got[None].malformed is not None
+    # Unknown conditions fit nothing, known ones do.
+    good = S.read_templates(spark, str(tmp_path / "t.xml")).where("malformed IS NULL").drop("malformed")
+    asked = spark.createDataFrame([(1, "sage", "x", "a", "m.C"), (2, "sage", "x", "a", "m.D"), (3, "sage", "x", "b", None)], "file_id long, ext string, expr string, key string, expr_type string")
+    assert {(r.file_id, r.expanded) for r in templates.expand(asked, good).collect()} == {(1, "f(x)"), (3, "g(x)")}
