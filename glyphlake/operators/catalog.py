@@ -126,3 +126,17 @@ def find_class(names: DataFrame, symbols: DataFrame) -> DataFrame:
     """(name, class_path, class_module): the first class of that name in the stub tree."""
     classes = stub_symbols(symbols).where("kind = 'class'").groupBy("name").agg(F.min_by(F.struct("path", "module"), F.struct("path", "pos")).alias("c"))
     return names.select("name").distinct().join(classes, "name", "left").select("name", F.col("c.path").alias("class_path"), F.col("c.module").alias("class_module"))
+
+
+#: Buckets of a stored catalog.
+BUCKETS = 64
+
+
+def store(symbols: DataFrame, table: str, buckets: int = BUCKETS) -> DataFrame:
+    """The declarations as a table that is bucketed and sorted by name, and read back.
+
+    Lookups by name (`find_class`, `resolve.find_declarations`, `resolve.candidate_counts`) group and join it as it lies: only the names that are
+    asked for are shuffled, to its buckets, however often it is asked. An existing table of that name is replaced.
+    """
+    symbols.write.bucketBy(buckets, "name").sortBy("name").mode("overwrite").saveAsTable(table)
+    return symbols.sparkSession.table(table)

@@ -91,3 +91,26 @@ def test_no_stubs(spark):
     facts = stubs.read_stubs(spark.createDataFrame([], "path string, text string"))
     for relation in (stubs.symbols, stubs.bases, stubs.methods, stubs.returns):
         assert relation(facts).count() == 0
+
+
+def test_a_stored_catalog_is_not_shuffled(spark, facts):
+    symbols = stubs.symbols(facts)
+    asked = spark.createDataFrame([("Elt",), ("Field",), ("nothing",), ("Elt",)], "name string")
+    want = {tuple(r) for r in catalog.find_class(asked, symbols).collect()}
+    stored = catalog.store(symbols, "stored_symbols", 4)
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        found = catalog.find_class(asked, stored)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert {tuple(r) for r in found.collect()} == want
+        # One exchange, of the names that are asked for; the table is read as it lies.
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+        counted = resolve.candidate_counts(asked, stored)._jdf.queryExecution().executedPlan().toString()
+        assert counted.count("Exchange hashpartitioning") == 1
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        spark.sql("DROP TABLE stored_symbols")
