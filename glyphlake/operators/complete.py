@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import callable_names, entry_targets, namespace
+from .catalog import callable_names, entry_targets, namespace, settled
 from .statements import implicit_files
 from .syntax import references
 
@@ -86,7 +86,9 @@ def completions(positions: DataFrame, files: DataFrame, symbols: DataFrame, meth
     Gates first: unqualified, no target, not in an import (P8), implicit namespace (P1), a prefix (P9). Each prefix is
     looked up once, however many positions have it.
     """
+    # Read twice, for the prefixes and for the result, so the names of the text are found once.
     open_ = positions.where("NOT qualified AND NOT is_target AND NOT in_import AND prefix <> ''").join(implicit_files(files).select("file_id"), "file_id", "left_semi")
+    open_ = settled(open_)
     names = entries(symbols, methods, bases)
     rows = open_.join(matches(open_, names), "prefix").join(names, "name")
     text, caret = insertion(F.col("name"), F.col("is_callable"), F.col("next_char"))
