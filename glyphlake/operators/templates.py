@@ -87,7 +87,8 @@ def expand(expressions: DataFrame, templates: DataFrame, bases: DataFrame | None
     """Expressions (file_id, ext, expr, key, expr_type) to (file_id, key, expanded, caret).
 
     Only in scripts. A user row with conditions needs one that fits: a public kind, or a class that the
-    expression's type is or inherits. The caret is where $END$ was, else the end.
+    expression's type is or inherits. The caret is where $END$ was, else the end. `postfix.expand_at` finds the expressions
+    in the text, and only the outermost for a topmost template.
     """
     rows = expressions.where("ext = 'sage'").join(templates, "key")
     kind = F.coalesce("expr_type", F.lit(""))

@@ -164,3 +164,33 @@ def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
     text = F.get(F.array(*map(F.lit, MODULES)), F.pmod(key, F.lit(len(MODULES))).cast("int"))
     return spark.read.parquet(f"{sf_dir}/part.parquet").select(key.alias("file_id"), F.concat(F.lit("/m/"), key.cast("string"), F.lit(".sage")).alias("path"), F.lit("sage").alias("ext"), text.alias("text"))
+
+
+#: Scripts in which a template's key was typed, with `|` at the caret: one of them for each row of `part`.
+CARETS = (
+    "y = a + b*c.ZZ|",
+    "y = a + b*c.sq|",
+    "z = f(x, [1, 2].ls|)  # t",
+    "z = [1] + [2].ls|",
+    "z = 1 + 'a'.ts|",
+    "print('a b'.ts|)",
+    "x = -a^b.i2b|\ny = 1",
+    "# a.ZZ|",
+    "s = 'a.ZZ|'",
+    "import a.ZZ|",
+    "g(lambda t: t if t else u.N|)",
+    "q = m.nope|",
+    "h = x in y and not z.sq|",
+    "R.<t> = GF(\n    p.ZZ|)",
+    "v = a ^^ b ^ c!QQ|",
+)
+#: User-made templates beside the built-in ones: key, body, conditions, topmost.
+USER_TEMPLATES = (("sq", "($EXPR$)^2$END$", [], True), ("ls", "len($EXPR$)", ["list", "tuple"], False), ("ts", "f($EXPR$)", ["string"], True))
+
+
+def carets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests (file_id, ext, text, caret)."""
+    key = F.col("p_partkey")
+    marked = F.get(F.array(*map(F.lit, CARETS)), F.pmod(key, F.lit(len(CARETS))).cast("int"))
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(key.alias("file_id"), F.lit("sage").alias("ext"), marked.alias("marked"))
+    return rows.select("file_id", "ext", F.replace("marked", F.lit("|"), F.lit("")).alias("text"), (F.instr("marked", "|") - 1).alias("caret"))

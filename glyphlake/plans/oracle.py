@@ -284,6 +284,27 @@ _COMPLETED = """
 (6, 82, 'ECM', 'class', true, 'ECM', 4)
 (6, 90, 'ghost', NULL, false, 'ghost', 5)
 """
+#: What the templates make of `corpus.CARETS`, worked out by hand: text, start of the expression, script and caret afterwards.
+_EXPANDED = (
+    (0, 10, "y = a + b*ZZ(c)", 15),
+    (0, 8, "y = a + ZZ(b*c)", 15),
+    (0, 4, "y = ZZ(a + b*c)", 15),
+    (1, 4, "y = (a + b*c)^2", 15),
+    (2, 9, "z = f(x, len([1, 2]))  # t", 20),
+    (3, 10, "z = [1] + len([2])", 18),
+    (5, 6, "print(f('a b'))", 14),
+    (6, 7, 'x = -a^int(b).to_bytes(, "big")\ny = 1', 23),
+    (6, 5, 'x = -int(a^b).to_bytes(, "big")\ny = 1', 23),
+    (6, 4, 'x = int(-a^b).to_bytes(, "big")\ny = 1', 23),
+    (10, 24, "g(lambda t: t if t else N(u))", 28),
+    (10, 12, "g(lambda t: N(t if t else u))", 28),
+    (10, 2, "g(N(lambda t: t if t else u))", 28),
+    (12, 4, "h = (x in y and not z)^2", 24),
+    (13, 16, "R.<t> = GF(\n    ZZ(p))", 21),
+    (14, 13, "v = a ^^ b ^ QQ(c)", 18),
+    (14, 9, "v = a ^^ QQ(b ^ c)", 18),
+    (14, 4, "v = QQ(a ^^ b ^ c)", 18),
+)
 #: The unbound references of the second and third lines of `corpus.SCRIPTS`, and what each of the three lines binds.
 _SCRIPT_REFS = """refs AS (SELECT file_id, 1 AS line_no, name FROM files JOIN (VALUES (1, 'NumberField'), (1, 'x'), (2, 'e'), (4, 'k')) AS t(v, name) ON file_id % 8 = v
         UNION ALL SELECT file_id, 1, CASE WHEN file_id % 16 = 0 THEN 'GF' ELSE concat('fn', CAST(file_id - file_id % 6 + 1 AS VARCHAR)) END FROM files WHERE file_id % 8 = 0
@@ -388,6 +409,8 @@ ORACLE_SQL: dict[str, str] = {
     "postfix_expand": f"""WITH {_FILES}, x AS (SELECT file_id, concat('v', CAST(file_id AS VARCHAR)) AS e, {_KEYS}[file_id % {len(_KEYS)} + 1] AS key FROM files WHERE ext = 'sage'),
         y AS (SELECT *, CASE key WHEN 'b2i' THEN concat('int.from_bytes(', e, ', "big")') WHEN 'i2b' THEN concat('int(', e, ').to_bytes(, "big")') ELSE concat(key, '(', e, ')') END AS expanded FROM x)
         SELECT file_id, key, expanded, CAST(CASE key WHEN 'i2b' THEN length(e) + 15 ELSE length(expanded) END AS INTEGER) AS caret FROM y""",
+    "postfix_at_caret": f"""SELECT p_partkey AS file_id, start_at, text, caret FROM part
+        JOIN (VALUES {", ".join(f"({v}, {start}, {_q(text)}, {caret})" for v, start, text, caret in _EXPANDED)}) AS t(v, start_at, text, caret) ON p_partkey % {len(corpus.CARETS)} = v""",
     "live_template_expand": f"""WITH {_FILES}, t AS ({_LIVE}), slots AS ({_SLOTS}), r AS (SELECT file_id AS request_id, key, string_split(value, '$') AS parts FROM files JOIN t ON i = file_id % {len(templates.LIVE)}),
         p AS (SELECT request_id, key, unnest(parts) AS part, generate_subscripts(parts, 1) AS k FROM r)
         SELECT request_id, key, string_agg(CASE WHEN k % 2 = 1 THEN part WHEN part = 'X' THEN concat('t', CAST(request_id AS VARCHAR)) WHEN part = 'BODY' THEN 'return' ELSE preset END, '' ORDER BY k) AS expanded

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from ..operators import catalog, complete, lex, lint, resolve, runcmd, statements, syntax, templates
+from ..operators import catalog, complete, lex, lint, postfix, resolve, runcmd, statements, syntax, templates
 from ..sources import stubs
 from . import corpus
 from .analysis import analyze_corpus
@@ -189,6 +189,13 @@ def postfix_expand(spark: SparkSession, d: str) -> DataFrame:
     return templates.expand(rows, templates.postfix_templates(spark))
 
 
+def postfix_at_caret(spark: SparkSession, d: str) -> DataFrame:
+    """Built-in and user-made templates at the carets of the scripts."""
+    made = templates.postfix_templates(spark)
+    user = spark.createDataFrame([(*row, False) for row in corpus.USER_TEMPLATES], made.schema)
+    return postfix.expand_at(corpus.carets(spark, d), made.unionByName(user)).select("file_id", F.col("start").alias("start_at"), "text", "caret")
+
+
 def live_template_expand(spark: SparkSession, d: str) -> DataFrame:
     keys = [k for k, _, _ in templates.LIVE]
     n = F.col("file_id")
@@ -299,6 +306,6 @@ QUERIES: dict[str, Query] = {
         statement_errors, shortened_values, candidate_counts, corpus_summary, template_keys,
         module_errors, module_statements, name_roles, scoped_references, scoped_lint, module_resolution, hump_matches,
         stub_declarations, stub_bases, stub_methods, stub_returns, stub_callable_attributes, stub_generator_types,
-        completion_lookup, postfix_expand, live_template_expand, wsl_path, detected_tools, run_configurations,
+        completion_lookup, postfix_expand, postfix_at_caret, live_template_expand, wsl_path, detected_tools, run_configurations,
     )
 } | {f"argv_{m.lower()}": _argv(m) for m in ("NATIVE", "WSL", "DOCKER", "OTHER")}
