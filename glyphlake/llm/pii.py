@@ -7,8 +7,9 @@ format and context features (at most 2 ** 11 cells). Its weak label comes from e
 hold: the digits and letters of the match itself (numbering plans, issuer digits, randomness) and which word
 announces it. One aggregation counts candidates and labels by cell and fold; the fold is a hash of the match, so
 copies of one string are never on both sides. Boosted trees of depth two are fitted to that bounded table on the
-driver; each generator's threshold is the lowest score at which the labels of the fold that a model has not seen
-hold the precision, and the cells above it go back into the plan as a literal set. Valid base matches always stay.
+driver, one model a fold; a cell's score is the lower of the two. Each generator's threshold is the lowest score at which the
+labels of what it selects hold the precision in both folds, and the cells above it go back into the plan as a literal set. Valid
+base matches always stay.
 
 Lists of a text's candidates are walked by `_scan`, whose cost grows with n ** 1.5 and not with the square.
 
@@ -223,24 +224,27 @@ def boost(cells: Cells, rounds: int = ROUNDS, rate: float = RATE) -> Callable[[i
 
 
 def select_cells(folds: tuple[Cells, Cells], precision: float = PRECISION) -> list[int]:
-    """The cells to redact: those that the model of both folds holds likely, down to their generator's threshold.
+    """The cells to redact: those that the models of both folds hold likely, down to their generator's threshold.
 
-    The threshold is calibrated out of fold: the lowest score such that, among all candidates to which the model
-    of the other fold gives no less, the share with the weak label is at least the precision. A generator
-    that never reaches it selects nothing.
+    A cell's score is the lower one of the two models'; each has not seen the candidates of the other fold. The threshold is
+    calibrated on the very cells that it selects: the lowest score such that the share with the weak label among
+    all their candidates is at least the precision in each of the folds that holds any. A generator that never reaches
+    it selects nothing.
     """
     models = [boost(f) for f in folds]
-    both = {c: (folds[0].get(c, (0, 0))[0] + folds[1].get(c, (0, 0))[0], folds[0].get(c, (0, 0))[1] + folds[1].get(c, (0, 0))[1]) for c in {*folds[0], *folds[1]}}
-    final = boost(both)
+    scores = {c: min(m(c) for m in models) for c in {*folds[0], *folds[1]}}
     chosen: list[int] = []
     for g in range(len(GENERATORS)):
-        seen = sorted(((models[1 - i](c), *n) for i in (0, 1) for c, n in folds[i].items() if c % 8 == g), reverse=True)
-        threshold, total, good = math.inf, 0, 0
-        for at, (score, n, labelled) in enumerate(seen):
-            total, good = total + n, good + labelled
-            if good >= precision * total and (at + 1 == len(seen) or seen[at + 1][0] < score):  # ties stand or fall together
-                threshold = score
-        chosen += [c for c in both if c % 8 == g and final(c) >= threshold and final(c) > 0]
+        ranked = sorted((c for c in scores if c % 8 == g and scores[c] > 0), key=lambda c: (-scores[c], c))
+        total, good, kept = [0, 0], [0, 0], 0
+        for at, c in enumerate(ranked):
+            for i in (0, 1):
+                n, labelled = folds[i].get(c, (0, 0))
+                total[i], good[i] = total[i] + n, good[i] + labelled
+            whole = at + 1 == len(ranked) or scores[ranked[at + 1]] < scores[c]  # ties stand or fall together
+            if whole and all(good[i] >= precision * total[i] for i in (0, 1)):
+                kept = at + 1
+        chosen += ranked[:kept]
     return sorted(chosen)
 
 

@@ -115,6 +115,23 @@ def test_pii_thresholds_are_calibrated_out_of_fold():
     assert pii.select_cells(({sure: (50, 50)}, {sure: (50, 0)}), 0.9) == []
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_pii_selects_to_the_precision_or_nothing(seed):
+    """Cells whose labels follow no feature: of what a generator selects the promised share is labelled, in each fold."""
+    rng = random.Random(seed)
+    folds = ({}, {})
+    for c in rng.sample(range(pii.CELLS), 280):
+        likely = rng.random()
+        for f in folds:
+            n = rng.randint(1, 60)
+            f[c] = (n, sum(rng.random() < likely for _ in range(n)))
+    chosen = pii.select_cells(folds, 0.9)
+    for generator in range(8):
+        for f in folds:
+            cells = [f[c] for c in chosen if c % 8 == generator]
+            assert sum(good for _, good in cells) >= 0.9 * sum(n for n, _ in cells)
+
+
 def test_pii_spans_apart(spark):
     rng = random.Random(8)
     rows = []
