@@ -28,6 +28,8 @@ WIDTH = 1 << 13
 PAGES, STEPS = 500, 60
 #: Elements whose content is never text of the page.
 RAW = frozenset("script style noscript template textarea svg iframe title".split())
+#: Those that hold markup: where one is never closed, its tag alone is left out. The others run to the end of the page.
+MARKUP = frozenset("noscript template svg".split())
 BLOCK = frozenset(
     "html head body p div h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption section article main nav header footer aside form fieldset legend label button select option blockquote pre figure figcaption address details summary dialog hr menu center".split()
 )
@@ -162,6 +164,7 @@ def _place_names(tag: str, own: tuple[str, ...]) -> list[str]:
 def leaf_blocks(page: str, paths: Paths | None = None) -> list[Block]:
     """The leaf blocks in page order, in one pass; broken markup never fails."""
     r, at, n = _Reader(paths or Paths()), 0, len(page)
+    unclosed: set[str] = set()  # tags that nothing closes further on, so that they are looked for once
     while at < n:
         m = TAG.search(page, at)
         if not m:
@@ -187,9 +190,12 @@ def leaf_blocks(page: str, paths: Paths | None = None) -> list[Block]:
         if m[1]:
             r.close(tag)
         elif tag in RAW:
-            if not attributes.endswith("/"):
+            if not attributes.endswith("/") and tag not in unclosed:
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = end.end() if end else n
+                if end or tag not in MARKUP:
+                    at = end.end() if end else n
+                else:
+                    unclosed.add(tag)
             if tag == "textarea":
                 r.flush()
         else:

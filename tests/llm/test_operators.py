@@ -399,6 +399,15 @@ def test_closing_tag_matches_at_any_depth():
     assert [b.tags for b in blocks[-2:]] == [["article", "p"], ["p"]]
 
 
+def test_unclosed_elements_that_hold_markup_keep_the_rest_of_the_page():
+    texts = lambda page: [b.text for b in html_extraction.leaf_blocks(page)]
+    for tag in html_extraction.MARKUP:
+        assert texts(f"<p>before<{tag} width=1><p>after<p>end") == ["before", "after", "end"]
+        assert texts(f"<p>before<{tag}><p>inside</{tag.upper()} ><p>after<{tag}>, <{tag}/>last") == ["before", "after, last"]
+    assert texts("<p>before<script>if (a < b) c") == ["before"]
+    assert len(texts("<svg><p>x" * 50_000)) == 50_000
+
+
 def test_deep_and_odd_pages_are_read_in_linear_time(reader):
     began = time.monotonic()
     for page in ("<div>x" * 60_000, "<p title=it's>x" * 60_000, '<a b="' * 60_000, "<ul><li>" * 30_000 + "x" + "</ul>" * 30_000):
