@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .catalog import settled
 from .lex import raw_type
 from .syntax import AUGMENTED, KEYWORDS, code_tokens
 from .templates import expand
@@ -125,7 +126,7 @@ def expressions_at(requests: DataFrame) -> DataFrame:
     or a declaration binds are no expressions; a lambda in the default of a lambda ends the search. Null texts and carets outside the text give no rows.
     """
     wanted = requested(requests)
-    t = _tokens(wanted)
+    t = settled(_tokens(wanted))  # three steps read the few tokens that are left
     spine = _operators(t)
     right = Window.partitionBy("file_id").orderBy(F.desc("start")).rowsBetween(Window.unboundedPreceding, -1)
     spine = spine.withColumn("stopped", F.coalesce(F.max(F.col("stop").cast("int")).over(right), F.lit(0)) == 1).where("NOT stopped")
