@@ -289,7 +289,7 @@ def name_of(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
     return mix(mix(doc.astype(np.int64).view(np.uint64)) + line.astype(np.uint64)).view(np.int64)
 
 
-PAIRS = "name long, doc long, line long, name2 long, doc2 long, line2 long, more boolean"
+PAIRS = "name long, doc long, line long, name2 long, doc2 long, line2 long, more boolean, gap int"
 
 
 def candidates(x: np.ndarray, bits: int, percent: int, tried: int, open_: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -359,7 +359,9 @@ def _meet(percent: int, tried: int, open_: Broadcast | None):
         one = np.unique(mix(a.view(np.uint64) + mix(b.view(np.uint64))), return_index=True)[1]
         one = np.union1d(one, np.flatnonzero(more))
         i, j, a, b, more = i[one], j[one], a[one], b[one], more[one]
-        return pa.table({"name": a, "doc": x["doc"][i], "line": x["line"][i].astype(np.int64), "name2": b, "doc2": x["doc"][j], "line2": x["line"][j].astype(np.int64), "more": pa.array(more)})
+        # In thousandths of the words of both sets: by how many, at least, the two differ.
+        gap = 1000 * np.bitwise_count(x["sketch"][i] ^ x["sketch"][j]).sum(axis=1, dtype=np.int64) // (x["n"][i].astype(np.int64) + x["n"][j])
+        return pa.table({"name": a, "doc": x["doc"][i], "line": x["line"][i].astype(np.int64), "name2": b, "doc2": x["doc"][j], "line2": x["line"][j].astype(np.int64), "more": pa.array(more), "gap": pa.array(gap.astype(np.int32))})
 
     return run
 
@@ -397,14 +399,28 @@ def _verify(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, words: DataFrame, percent: int) -> DataFrame:
-    """(name, doc, line): later sets of the pairs that match their earlier one."""
+def _matching(pairs: DataFrame, words: DataFrame, percent: int) -> DataFrame:
+    """(doc, line): later sets of the pairs that match their earlier one."""
     # The earlier set of a family is its members' candidate: a hot key, which adaptive execution splits.
-    pairs = pairs.select("doc", "line", "doc2", "line2").distinct()
-    both = pairs.join(words.toDF("doc2", "line2", "toks2"), ["doc2", "line2"]).join(words, ["doc", "line"])
+    both = pairs.select("doc", "line", "doc2", "line2").join(words.toDF("doc2", "line2", "toks2"), ["doc2", "line2"]).join(words, ["doc", "line"])
     return both.select("doc", "line", "toks", "toks2").mapInArrow(_verify(percent), "doc long, line long").distinct()
 
 
+def _verified(pairs: DataFrame, words: DataFrame, percent: int) -> DataFrame:
+    """(doc, line): later sets of the pairs that match an earlier one.
+
+    A set of a family has a candidate in each of its lists. One match is enough, so its nearest by sketches is
+    tried first, and its others only if that one does not match.
+    """
+    pairs = materialize(pairs.groupBy("doc", "line", "doc2", "line2").agg(F.min("gap").alias("gap")))
+    nearest = pairs.groupBy("doc", "line").agg(F.min_by(F.struct("doc2", "line2"), F.struct("gap", "doc2", "line2")).alias("x")).select("doc", "line", "x.*")
+    settled = materialize(_matching(nearest, words, percent))
+    rest = pairs.join(settled, ["doc", "line"], "left_anti")
+    late = materialize(settled.unionByName(_matching(rest, words, percent)))
+    discard(pairs, settled)
+    return late
+
+
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, vocabulary: int = VOCABULARY, hot: int = HOT, tried: int = TRIED) -> DataFrame:
     """One row per document: doc_id, n_lines, removed (sorted numbers of the lines to remove, from 0).
 
@@ -448,7 +464,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = pairs_of()
     release(spark)
     words = words_of(pairs)
-    late = materialize(_verified(pairs, words, percent))
+    late = _verified(pairs, words, percent)
     release(spark)
     open_ = materialize(pairs.where("more").select("name", "doc", "line").distinct().join(late, ["doc", "line"], "left_anti"))
     discard(pairs)
@@ -456,7 +472,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         keys = words.join(open_, ["doc", "line"]).select("toks").mapInArrow(_open_keys(model, percent, warmest), "key long")
         rest = pairs_of(send(bitmap_of(keys, F.col("key"), BITS)), send(bitmap_of(open_, F.col("name"), BITS)))
         more = words_of(rest)
-        late = late.unionByName(materialize(_verified(rest, more, percent)))
+        late = late.unionByName(_verified(rest, more, percent))
         discard(rest, more)
     discard(words, open_)
     # A set stays where it stands first, if it has no earlier match there.

@@ -525,3 +525,30 @@ def test_line_dedup_of_a_family_of_near_copies(spark):
     want = brute.lines(family)
     for other in ({}, {"tried": 2}):
         assert {r.doc_id: (r.n_lines, r.removed) for r in removed_lines(table(spark, family), **other).collect()} == want
+
+
+def test_a_family_is_verified_by_few_pairs(spark, monkeypatch):
+    """Members meet in all their lists, but one match settles each: the pairs that are compared are about as many as the members."""
+    module = sys.modules[removed_lines.__module__]
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    family = [(i, " ".join([w for w in base if rng.random() > 0.04] + [f"x{rng.randrange(10**6)}"])) for i in range(300)]
+    plain = module._verify
+
+    def counted(percent):
+        run = plain(percent)
+
+        def count(batches):
+            for b in batches:
+                with open(seen, "a") as f:
+                    f.write(f"{b.num_rows}\n")
+                yield from run(iter([b]))
+
+        return count
+
+    seen = str(Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) / "verified")
+    monkeypatch.setattr(module, "_verify", counted)
+    want = brute.lines(family)
+    assert {r.doc_id: (r.n_lines, r.removed) for r in removed_lines(table(spark, family)).collect()} == want
+    pairs = sum(map(int, Path(seen).read_text().split()))
+    assert 0 < pairs <= 2 * len(family)
