@@ -1,8 +1,8 @@
 """The catalog of declarations: anchor, namespace, aliases, callability.
 
-A catalog has about 10 ** 5 rows at most, but its size is not taken on trust: joins carry no hint, so Spark
-broadcasts a side when its measured size is below the session's threshold and shuffles it otherwise. The one
-hinted side is the anchor, which has one row.
+A catalog may have any size, and Spark's estimates are far below it where names are made or exploded: by them it
+would collect large sides on the driver. So joins that aliases, callability, resolution and completion go through are hinted to
+be merged; the one side that is broadcast is the anchor, which has one row.
 """
 
 from __future__ import annotations
@@ -54,7 +54,7 @@ def follow_aliases(aliases: DataFrame, symbols: DataFrame) -> DataFrame:
     d = declared(symbols).select(F.col("name").alias("d_name"), F.col("kind").alias("d_kind"), F.col("module").alias("d_module"), F.col("path").alias("d_path"), "pos")
     rows = aliases.select("module", "imported_name").distinct()
     rows = rows.withColumn("t", F.explode(F.array_distinct(F.array(F.struct(F.lit(0).alias("tier"), F.col("imported_name").alias("look")), F.struct(F.lit(2).alias("tier"), strip_category(F.col("imported_name")).alias("look"))))))
-    hit = rows.join(d, F.col("t.look") == F.col("d_name"), "left").where("t.tier = 0 OR t.look <> imported_name")
+    hit = rows.join(d.hint("merge"), F.col("t.look") == F.col("d_name"), "left").where("t.tier = 0 OR t.look <> imported_name")
     order = F.struct(F.col("t.tier") + F.when(F.col("d_module") == F.col("module"), 0).otherwise(1), F.when(F.col("d_kind") == "function", 0).otherwise(1), "d_path", "pos")
     best = F.min_by(F.struct("d_name", "d_kind", "d_module", "d_path"), F.when(F.col("d_name").isNotNull(), order)).alias("b")
     out = hit.groupBy("module", "imported_name").agg(best)
@@ -69,7 +69,7 @@ def alias_classes(aliases: DataFrame, symbols: DataFrame) -> DataFrame:
 def entry_targets(names: DataFrame, symbols: DataFrame) -> DataFrame:
     """Namespace rows with (target_name, target_kind, target_path): aliases followed, else the row itself."""
     found = follow_aliases(names.where("kind = 'import'"), symbols)
-    rows = names.join(found, ["module", "imported_name"], "left")
+    rows = names.join(found.hint("merge"), ["module", "imported_name"], "left")
     own = F.col("kind").isNull() | (F.col("kind") != "import") | F.col("target_kind").isNull()
     pick = lambda target, mine: F.when(own, F.col(mine)).otherwise(F.col(target)).alias(target)
     return rows.select("name", "kind", "module", "path", "annotation", "imported_name", pick("target_name", "name"), pick("target_kind", "kind"), pick("target_path", "path"))
@@ -100,7 +100,7 @@ def ancestors(bases: DataFrame) -> DataFrame:
     seen = size()
     while True:
         up = steps.toDF("ancestor", "higher", "more")
-        longer = steps.join(up, "ancestor").select("class_name", F.col("higher").alias("ancestor"), (F.col("distance") + F.col("more")).alias("distance")).where(pair)
+        longer = steps.join(up.hint("merge"), "ancestor").select("class_name", F.col("higher").alias("ancestor"), (F.col("distance") + F.col("more")).alias("distance")).where(pair)
         steps = settled(steps.unionByName(longer).groupBy("class_name", "ancestor").agg(F.min("distance").alias("distance")))
         before, seen = seen, size()
         if seen == before:
@@ -112,13 +112,13 @@ def ancestors(bases: DataFrame) -> DataFrame:
 def callable_names(targets: DataFrame, symbols: DataFrame, methods: DataFrame, bases: DataFrame) -> DataFrame:
     """(name, is_callable): functions and classes; attributes whose class has or inherits __call__."""
     has_call = methods.where("method = '__call__'").select(F.col("class_name").alias("ancestor"))
-    callable_classes = ancestors(bases).join(has_call, "ancestor", "left_semi").select("class_name").union(has_call.toDF("class_name")).distinct()
+    callable_classes = ancestors(bases).join(has_call.hint("merge"), "ancestor", "left_semi").select("class_name").union(has_call.toDF("class_name")).distinct()
     # An attribute's `_Type_*` annotation names an import of its module; any other annotation is the class.
     imports = symbols.where("kind = 'import'").select(F.col("name").alias("annotation"), F.col("path").alias("i_path"), F.col("module").alias("i_module"), F.col("imported_name").alias("i_name"))
     classes = alias_classes(imports.select(F.col("i_module").alias("module"), F.col("i_name").alias("imported_name")), symbols).select(F.col("module").alias("i_module"), F.col("imported_name").alias("i_name"), F.col("class_name").alias("via"))
-    typed = imports.join(classes, ["i_module", "i_name"]).select("annotation", "i_path", "via").dropDuplicates(["annotation", "i_path"])
-    rows = targets.join(typed, (targets.annotation == typed.annotation) & (targets.path == typed.i_path), "left").select("name", "target_kind", F.coalesce("via", targets.annotation).alias("class_name"))
-    rows = rows.join(callable_classes.withColumn("yes", F.lit(True)), "class_name", "left")
+    typed = imports.join(classes.hint("merge"), ["i_module", "i_name"]).select("annotation", "i_path", "via").dropDuplicates(["annotation", "i_path"])
+    rows = targets.join(typed.hint("merge"), (targets.annotation == typed.annotation) & (targets.path == typed.i_path), "left").select("name", "target_kind", F.coalesce("via", targets.annotation).alias("class_name"))
+    rows = rows.join(callable_classes.withColumn("yes", F.lit(True)).hint("merge"), "class_name", "left")
     return rows.select("name", (F.coalesce(F.col("target_kind"), F.lit("")).isin("function", "class") | ((F.col("target_kind") == "attribute") & F.coalesce("yes", F.lit(False)))).alias("is_callable")).withColumn("is_callable", F.coalesce("is_callable", F.lit(False)))
 
 

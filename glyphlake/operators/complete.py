@@ -58,7 +58,7 @@ def matches(prefixes: DataFrame, names: DataFrame) -> DataFrame:
     """(prefix, name): every pair that matches once. Both sides meet by exact keys of an inverted index, then the whole rule decides."""
     wanted = prefixes.select("prefix").where("prefix <> ''").distinct().withColumn("key", F.explode(prefix_keys(F.col("prefix"))))
     index = names.select("name").distinct().withColumn("key", F.explode(name_keys(F.col("name"))))
-    return wanted.join(index, "key").where(prefix_matches(F.col("name"), F.col("prefix"))).select("prefix", "name").distinct()
+    return wanted.join(index.hint("merge"), "key").where(prefix_matches(F.col("name"), F.col("prefix"))).select("prefix", "name").distinct()
 
 
 def insertion(name: Column, is_callable: Column, next_char: Column) -> tuple[Column, Column]:
@@ -71,7 +71,7 @@ def insertion(name: Column, is_callable: Column, next_char: Column) -> tuple[Col
 def entries(symbols: DataFrame, methods: DataFrame, bases: DataFrame) -> DataFrame:
     """All names of the namespace with kind and callability, once per catalog."""
     targets = entry_targets(namespace(symbols), symbols)
-    return targets.join(callable_names(targets, symbols, methods, bases), "name").select("name", F.col("target_kind").alias("kind"), "is_callable")
+    return targets.join(callable_names(targets, symbols, methods, bases).hint("merge"), "name").select("name", F.col("target_kind").alias("kind"), "is_callable")
 
 
 def positions(files: DataFrame) -> DataFrame:
@@ -87,9 +87,9 @@ def completions(positions: DataFrame, files: DataFrame, symbols: DataFrame, meth
     looked up once, however many positions have it.
     """
     # Read twice, for the prefixes and for the result, so the names of the text are found once.
-    open_ = positions.where("NOT qualified AND NOT is_target AND NOT in_import AND prefix <> ''").join(implicit_files(files).select("file_id"), "file_id", "left_semi")
+    open_ = positions.where("NOT qualified AND NOT is_target AND NOT in_import AND prefix <> ''").join(implicit_files(files).select("file_id").hint("merge"), "file_id", "left_semi")
     open_ = settled(open_)
     names = entries(symbols, methods, bases)
-    rows = open_.join(matches(open_, names), "prefix").join(names, "name")
+    rows = open_.join(matches(open_, names).hint("merge"), "prefix").join(names.hint("merge"), "name")
     text, caret = insertion(F.col("name"), F.col("is_callable"), F.col("next_char"))
     return rows.select("file_id", "pos", "name", "kind", F.lit("sage.all").alias("type_text"), "is_callable", text.alias("insert_text"), caret.cast("int").alias("caret"))

@@ -27,9 +27,9 @@ def find_declarations(names: DataFrame, symbols: DataFrame) -> DataFrame:
     rows = rows.withColumn("tier", tier).where("tier IS NOT NULL")
     order = F.struct("tier", F.when(F.col("kind") == "class", 1).otherwise(0), "path", "pos")
     best = rows.groupBy("name").agg(F.min_by(F.struct("tier", "kind", "path", "module", "imported_name"), order).alias("d")).select("name", "d.*")
-    found = names.select("name").distinct().join(best, "name", "left")
+    found = names.select("name").distinct().join(best.hint("merge"), "name", "left")
     alias = follow_aliases(found.where("tier = 2"), symbols)
-    found = found.join(alias, ["module", "imported_name"], "left")
+    found = found.join(alias.hint("merge"), ["module", "imported_name"], "left")
     return found.select("name", F.coalesce("tier", F.lit(0)).alias("tier"), F.coalesce("target_kind", "kind").alias("target_kind"), F.coalesce("target_path", "path").alias("target_path"))
 
 
@@ -40,7 +40,7 @@ def resolve_names(files: DataFrame, symbols: DataFrame) -> DataFrame:
     left to ordinary resolution and give no row. A name of the same generator statement wins (J7), then the catalog (J1).
     """
     open_ = settled(open_references(settled(names(files)), files))
-    rows = open_.join(find_declarations(open_, symbols), "name", "left")
+    rows = open_.join(find_declarations(open_, symbols).hint("merge"), "name", "left")
     mine = F.col("own")
     origin = F.when(mine, "generator").when(F.col("tier") > 0, "catalog").otherwise("none")
     return rows.select("file_id", "line_no", "start", "name", origin.alias("origin"), F.when(mine, "target").otherwise(F.col("target_kind")).alias("target_kind"), F.when(~mine, F.col("target_path")).alias("target_path"))
@@ -57,7 +57,7 @@ def literal_types(assignments: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def factory_types(statements: DataFrame, returns: DataFrame) -> DataFrame:
     """M4: generator statements with factory_class, the declared return class of the callee (callee, class_name)."""
-    return statements.join(returns.select("callee", F.col("class_name").alias("factory_class")).dropDuplicates(["callee"]), "callee", "left")
+    return statements.join(returns.select("callee", F.col("class_name").alias("factory_class")).dropDuplicates(["callee"]).hint("merge"), "callee", "left")
 
 
 def generator_types(statements: DataFrame, returns: DataFrame, methods: DataFrame, bases: DataFrame) -> DataFrame:
@@ -65,9 +65,9 @@ def generator_types(statements: DataFrame, returns: DataFrame, methods: DataFram
     generators what `_first_ngens` of that class, own or of the nearest ancestor that has it, returns: element 0 of a tuple, else the class; a union is none."""
     made = factory_types(statements, returns)
     gens = methods.where("method = '_first_ngens'").select(F.col("class_name").alias("ancestor"), F.when(F.col("return_kind").isin("tuple", "instance"), F.get("return_elems", F.lit(0))).alias("gen_class"))
-    closure = ancestors(bases).join(gens, "ancestor").groupBy("class_name").agg(F.min_by("gen_class", F.struct("distance", "ancestor")).alias("gen_class"))
+    closure = ancestors(bases).join(gens.hint("merge"), "ancestor").groupBy("class_name").agg(F.min_by("gen_class", F.struct("distance", "ancestor")).alias("gen_class"))
     closure = closure.withColumnRenamed("class_name", "factory_class")
-    rows = made.join(closure, "factory_class", "left")
+    rows = made.join(closure.hint("merge"), "factory_class", "left")
     pair = lambda target, kind: F.struct(target.alias("target"), kind.alias("class_name"))
     return rows.select("file_id", "line_no", F.inline(F.concat(F.array(pair(F.col("factory_name"), F.col("factory_class"))), F.transform("names", lambda x: pair(x, F.col("gen_class"))))))
 

@@ -104,7 +104,7 @@ def explicit_imports(files: DataFrame) -> DataFrame:
 
 def implicit_files(files: DataFrame) -> DataFrame:
     """Scripts whose namespace stays implicit."""
-    return scripts(files).join(explicit_imports(files), "file_id", "left_anti")
+    return scripts(files).join(explicit_imports(files).hint("merge"), "file_id", "left_anti")
 
 
 def visible_errors(errors: DataFrame, files: DataFrame) -> DataFrame:

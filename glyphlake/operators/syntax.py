@@ -4,6 +4,9 @@ Scripts become rows of tokens. Windows over a file's tokens in order give bracke
 neighbours of each token, and so its role. A scope is the suite of a function or class, the brackets of a comprehension
 or what follows a lambda; each line knows the suites around it. A reference meets the bindings of its name
 in the scopes around it, never all bindings of a file. Several steps read the result of `names`: settle it first (`catalog.settled`). Everything is partitioned by file, and a file's rows stream through its windows.
+
+Both sides of the joins grow with the corpus, and Spark's estimates know nothing of the tokens that a text is exploded into: the
+hints keep it from collecting a side on the driver.
 """
 
 from __future__ import annotations
@@ -32,7 +35,9 @@ MODULE = -1
 
 def code_tokens(files: DataFrame) -> DataFrame:
     """(file_id, start, lexeme, name, line, line_no, indent) of scripts less spaces and comments; line: the logical one, indent: of its first token."""
-    t = scripts(files).where("text IS NOT NULL").select("file_id", F.explode(lexemes(F.col("text"), CODE)).alias("t")).select("file_id", "t.start", "t.lexeme")
+    # Texts are dealt out by file, not their tokens, which are many times as large; the windows and joins by file find them so.
+    texts = scripts(files).where("text IS NOT NULL").select("file_id", "text").repartition("file_id")
+    t = texts.select("file_id", F.explode(lexemes(F.col("text"), CODE)).alias("t")).select("file_id", "t.start", "t.lexeme")
     x = F.col("lexeme")
     t = t.where(~x.rlike(r"^(?:#|[ \t\r\f])"))
     t = t.withColumn("step", F.when(x.isin("(", "[", "{"), 1).when(x.isin(")", "]", "}"), -1).otherwise(0))
@@ -158,7 +163,7 @@ def names(files: DataFrame) -> DataFrame:
     scopes: the module (-1) and the functions and classes around, by the offsets of their lines, from outside in; a
     class around a function is left out, for names in the function do not see it. begin, end: where a name of a lambda or comprehension holds.
     """
-    t = _roles(files).join(_suites(files), ["file_id", "line"], "left")
+    t = _roles(files).join(_suites(files).hint("merge"), ["file_id", "line"], "left")
     own = F.struct(F.col("line_indent").alias("indent"), F.col("line_start").alias("at"), F.col("stmt").alias("kind"))
     inside = F.col("stmt").isin("def", "class") & ((F.col("suite") == 1) | (F.col("role") == "parameter"))
     around = F.concat(F.coalesce("suites", F.array().cast("array<struct<indent:int,at:int,kind:string>>")), F.when(inside, F.array(own)).otherwise(F.array().cast("array<struct<indent:int,at:int,kind:string>>")))
@@ -184,7 +189,7 @@ def bindings(named: DataFrame) -> DataFrame:
     here = F.element_at("scopes", -1)
     rows = named.where(F.col("role").isin(*BINDING) & F.col("begin").isNull()).select("file_id", here.alias("scope"), "name", "annotation")
     shared = named.where("role IN ('global', 'nonlocal')").groupBy("file_id", here.alias("scope"), "name").agg(F.min("role").alias("moved"))
-    rows = rows.join(shared, ["file_id", "scope", "name"], "left").where("moved IS NULL OR moved = 'global'")
+    rows = rows.join(shared.hint("merge"), ["file_id", "scope", "name"], "left").where("moved IS NULL OR moved = 'global'")
     rows = rows.withColumn("scope", F.when(F.col("moved").isNotNull(), F.lit(MODULE)).otherwise(F.col("scope")))
     return rows.groupBy("file_id", "scope", "name").agg(F.collect_set("annotation").alias("annotations"))
 
@@ -195,11 +200,11 @@ def bound_references(named: DataFrame) -> DataFrame:
     Scopes of comprehensions and lambdas are given by where they begin. Bindings of one scope are one, wherever in it they stand.
     """
     refs = named.where("role = 'reference'").select("file_id", "line", "piece", "line_no", "start", "name", "scopes")
-    chain = refs.select("file_id", "start", "name", F.posexplode("scopes").alias("level", "scope")).join(bindings(named), ["file_id", "scope", "name"])
+    chain = refs.select("file_id", "start", "name", F.posexplode("scopes").alias("level", "scope")).join(bindings(named).hint("merge"), ["file_id", "scope", "name"])
     suite = chain.groupBy("file_id", "start").agg(F.max_by(F.struct("scope", "annotations"), "level").alias("suite"))
     local = named.where("begin IS NOT NULL").select("file_id", "line", "name", "begin", "end").distinct()
-    inner = refs.join(local, ["file_id", "line", "name"]).where("start BETWEEN begin AND end").groupBy("file_id", "start").agg(F.max("begin").alias("local"))
-    rows = refs.join(suite, ["file_id", "start"], "left").join(inner, ["file_id", "start"], "left")
+    inner = refs.join(local.hint("merge"), ["file_id", "line", "name"]).where("start BETWEEN begin AND end").groupBy("file_id", "start").agg(F.max("begin").alias("local"))
+    rows = refs.join(suite.hint("merge"), ["file_id", "start"], "left").join(inner.hint("merge"), ["file_id", "start"], "left")
     none = F.array().cast("array<string>")
     return rows.select("file_id", "line", "piece", "line_no", "start", "name", F.coalesce("local", "suite.scope").alias("scope"), F.when(F.col("local").isNull(), F.coalesce("suite.annotations", none)).otherwise(none).alias("annotations"))
 
@@ -211,8 +216,8 @@ def open_references(named: DataFrame, files: DataFrame) -> DataFrame:
     """
     rows = bound_references(named).where(~F.col("name").isin(*BUILTINS))
     own = named.where("role = 'generator'").select("file_id", "line", "piece", "name").distinct().withColumn("own", F.lit(True))
-    rows = rows.join(own, ["file_id", "line", "piece", "name"], "left").where("scope IS NULL OR own")
-    rows = rows.join(implicit_files(files).select("file_id"), "file_id", "left_semi")
+    rows = rows.join(own.hint("merge"), ["file_id", "line", "piece", "name"], "left").where("scope IS NULL OR own")
+    rows = rows.join(implicit_files(files).select("file_id").hint("merge"), "file_id", "left_semi")
     return rows.select("file_id", "line_no", "start", "name", F.coalesce("own", F.lit(False)).alias("own"))
 
 

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from glyphlake.operators import catalog, complete, resolve, syntax
+from glyphlake.schema import SYMBOLS
 
 FILES = "file_id long, path string, ext string, text string"
 
@@ -125,3 +126,12 @@ def test_names_agree_with_the_parser(spark):
         for line in text.split("\n"):
             lines.append(lines[-1] + len(line) + 1)
         assert found[i] == {(lines[n.lineno - 1] + n.col_offset, n.id, isinstance(n.ctx, ast.Store)) for n in ast.walk(ast.parse(text)) if isinstance(n, ast.Name)}
+
+
+def test_no_side_of_a_join_is_collected_by_an_estimate(spark):
+    """What a text explodes into is larger than Spark's estimate of it, so joins of tokens and of catalogs are merged."""
+    files = spark.createDataFrame([(1, "/a.sage", "sage", "def f(k):\n    return k ^ g\n")], "file_id long, path string, ext string, text string")
+    symbols = spark.createDataFrame([("g", "function", "m", "/e/site-packages/sage/all.pyi", None, None, 2, 0)], SYMBOLS)
+    named = syntax.names(files)
+    for rows in (syntax.bound_references(named), syntax.open_references(named, files), resolve.find_declarations(named, symbols), complete.matches(named.select(F.col("name").alias("prefix")), symbols)):
+        assert "BroadcastHashJoin" not in rows._jdf.queryExecution().executedPlan().toString()
