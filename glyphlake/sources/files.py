@@ -31,9 +31,13 @@ def write_files(fixed: DataFrame, path: str) -> None:
 def declarations(text: str) -> list[tuple]:
     """Top level of one stub: (name, kind, annotation, imported module, imported name, source, position)."""
     try:
-        body = ast.parse(text).body
+        return declared_in(ast.parse(text).body)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return []
+
+
+def declared_in(body: list[ast.stmt]) -> list[tuple]:
+    """The declarations of a stub's statements."""
     out: list[tuple] = []
     add = lambda kind, name, annotation=None, module=None, imported=None: out.append((name, kind, annotation, module, imported, SOURCES.index(kind) + 1, len(out)))
     for node in body:

@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.catalog import alias_classes, anchor, entry_targets, namespace, stub_symbols
-from .files import declarations, module_of
+from ..operators.catalog import alias_classes, anchor, entry_targets, namespace, settled, stub_symbols
+from .files import declared_in, module_of
 
 FACTS = "relation string, path string, module string, pos int, owner string, name string, kind string, annotation string, imported_name string, src int, return_kind string, return_names array<string>"
 #: Wrappers whose argument is the type itself, and those that list alternatives or elements. Fixed values of the typing module.
@@ -73,7 +73,11 @@ def facts_of(text: str) -> list[dict]:
         body = ast.parse(text).body
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return []
-    out = [{"relation": "symbol", "name": n, "kind": k, "annotation": a, "owner": m, "imported_name": i, "src": s, "pos": p} for n, k, a, m, i, s, p in declarations(text)]
+    try:
+        declared = declared_in(body)
+    except (ValueError, RecursionError, MemoryError):
+        declared = []
+    out = [{"relation": "symbol", "name": n, "kind": k, "annotation": a, "owner": m, "imported_name": i, "src": s, "pos": p} for n, k, a, m, i, s, p in declared]
     given = lambda node: dict(zip(("return_kind", "return_names"), annotated(node.returns), strict=True))
     functions = ast.FunctionDef | ast.AsyncFunctionDef
     for node in body:
@@ -94,7 +98,10 @@ def facts_of(text: str) -> list[dict]:
 
 
 def read_stubs(stubs: DataFrame) -> DataFrame:
-    """Stub files (path, text) to facts; null texts and those that do not parse have none."""
+    """Stub files (path, text) to facts; null texts and those that do not parse have none.
+
+    The relations read the facts many times, so the files are dealt out evenly, parsed once and the facts settled.
+    """
     names = [x.split()[0] for x in FACTS.split(", ")]
     kinds = [pa.int32() if t == "int" else pa.list_(pa.string()) if t.startswith("array") else pa.string() for t in (x.split()[1] for x in FACTS.split(", "))]
 
@@ -105,7 +112,7 @@ def read_stubs(stubs: DataFrame) -> DataFrame:
                 rows += [fact | {"path": path, "module": module_of(path or "")} for fact in facts_of(text or "")]
             yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], k) for n, k in zip(names, kinds, strict=True)], names=names)
 
-    return stubs.select("path", "text").mapInArrow(run, FACTS)
+    return settled(stubs.select("path", "text").repartition("path").mapInArrow(run, FACTS))
 
 
 def symbols(facts: DataFrame) -> DataFrame:
@@ -120,14 +127,14 @@ def _meanings(facts: DataFrame) -> DataFrame:
     imports = stub_symbols(declared).where("kind = 'import'").groupBy("path", "name").agg(F.min_by(F.struct("module", "imported_name"), "pos").alias("i"))
     imports = imports.select("path", F.col("name").alias("written"), "i.module", "i.imported_name")
     found = alias_classes(imports, declared).select("module", "imported_name", "class_name")
-    rows = imports.join(found, ["module", "imported_name"], "left")
+    rows = imports.join(found.hint("merge"), ["module", "imported_name"], "left")
     return rows.select("path", "written", F.coalesce("class_name", "imported_name").alias("meant"))
 
 
 def _meant(rows: DataFrame, column: str, facts: DataFrame) -> DataFrame:
     """The rows with a column's name replaced by what it means in the row's file."""
     m = _meanings(facts).withColumnRenamed("path", "m_path")
-    joined = rows.join(m, (rows.path == m.m_path) & (rows[column] == m.written), "left")
+    joined = rows.join(m.hint("merge"), (rows.path == m.m_path) & (rows[column] == m.written), "left")
     return joined.withColumn(column, F.coalesce("meant", column)).drop("m_path", "written", "meant")
 
 
@@ -163,7 +170,7 @@ def returns(facts: DataFrame) -> DataFrame:
     found = every.groupBy("name").agg(F.min_by("class_name", F.struct("far", "rank", "path", "pos")).alias("class_name"), F.min("far").alias("far"))
     aliases = entry_targets(namespace(declared), declared).where("kind = 'import' AND target_kind IN ('function', 'class')").select(F.col("name").alias("callee"), F.col("target_name").alias("name"), "target_path")
     at_target = every.groupBy("name", "path").agg(F.min_by("class_name", F.struct("rank", "pos")).alias("class_name"))
-    via = aliases.join(at_target.withColumnRenamed("path", "target_path"), ["name", "target_path"]).select("callee", F.col("class_name").alias("via"))
-    rows = found.withColumnRenamed("name", "callee").join(via, "callee", "full")
+    via = aliases.join(at_target.withColumnRenamed("path", "target_path").hint("merge"), ["name", "target_path"]).select("callee", F.col("class_name").alias("via"))
+    rows = found.withColumnRenamed("name", "callee").join(via.hint("merge"), "callee", "full")
     # The namespace's function or class of a name beats its import; the import beats what the rest of the tree has.
     return rows.select("callee", F.when(F.col("far") == 0, F.col("class_name")).otherwise(F.coalesce("via", "class_name")).alias("class_name")).where("class_name IS NOT NULL")

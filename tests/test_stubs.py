@@ -114,3 +114,11 @@ def test_a_stored_catalog_is_not_shuffled(spark, facts):
         for k, v in before.items():
             spark.conf.set(k, v)
         spark.sql("DROP TABLE stored_symbols")
+
+
+def test_stubs_are_parsed_once(spark, facts):
+    """The relations read settled facts; none parses the files again, nor takes a side of a join to the driver by an estimate."""
+    for relation in (stubs.symbols, stubs.bases, stubs.methods, stubs.returns):
+        plan = relation(facts)._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" not in plan
+    assert "BroadcastHashJoin" not in stubs.bases(facts)._jdf.queryExecution().executedPlan().toString()
