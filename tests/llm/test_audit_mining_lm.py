@@ -5,6 +5,7 @@ import math
 import random
 import re
 import string
+import sys
 import zlib
 
 import numpy as np
@@ -280,3 +281,14 @@ def test_gradient_of_a_window(monkeypatch):
         down[i] -= 1e-5
         slope = (recurrent.window_gradient(like(up), state, read, token, real)[0] - recurrent.window_gradient(like(down), state, read, token, real)[0]) / 2e-5
         assert g[i] == pytest.approx(slope, rel=1e-3, abs=1e-5)
+
+
+def test_the_weights_are_fitted_to_every_training_token(spark, monkeypatch):
+    """However few tokens count as few, the rounds see each token of the training texts, and no other."""
+    module, seen = sys.modules[train.__module__], []
+    plain = module._pass
+    size = lambda rows: sum(len(r.tokens) // 4 - 1 for r in rows.collect())
+    monkeypatch.setattr(module, "_pass", lambda dealt, weights, *more: (seen.append(size(dealt)), plain(dealt, weights, *more))[1])
+    docs = spark.createDataFrame([(i, f"a b c{i % 7} d " * 40) for i in range(60)], "doc_id long, text string")
+    model = train(docs, least=100)
+    assert len(seen) == 3 and min(seen) > 0 and sum(seen) == model.tokens
