@@ -292,3 +292,27 @@ def test_the_weights_are_fitted_to_every_training_token(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"a b c{i % 7} d " * 40) for i in range(60)], "doc_id long, text string")
     model = train(docs, least=100)
     assert len(seen) == 3 and min(seen) > 0 and sum(seen) == model.tokens
+
+
+def test_a_pass_takes_many_segments_side_by_side(monkeypatch):
+    """The work beside the tokens (moving all weights, each class's arrays) is shared by thousands of them, and each token is learned from once."""
+    rng, seen, plain = np.random.default_rng(6), [], recurrent.window_gradient
+    monkeypatch.setattr(recurrent, "window_gradient", lambda w, state, read, token, real, *more: (seen.append((read.size, int(real.sum()))), plain(w, state, read, token, real, *more))[1])
+    segments = [rng.integers(0, 300, 1 + (k % 2 and 256 or 1 + k % 256)).astype(np.int32) for k in range(1500)]
+    tokens = sum(len(x) - 1 for x in segments)
+    w = recurrent.fit(_weights(4), segments)
+    assert all(np.isfinite(x).all() for x in w.each())
+    assert sum(n for _, n in seen) == tokens
+    assert len(seen) < tokens / 4000
+    assert sum(slots for slots, _ in seen) < 1.15 * tokens
+
+
+def test_words_are_cut_from_their_bytes():
+    from glyphlake.llm.lm_scoring import _words
+    from glyphlake.llm.words import word_hashes
+
+    text = "a  日本 é\tx" + "y" * 100 + "\x0b\x0cb\r\n"
+    start = word_hashes(text.encode())[1]
+    assert _words(text.encode(), start).to_pylist() == text.split()
+    assert _words(text.encode(), start[[2, 0]]).to_pylist() == ["é", "a"]
+    assert _words(text.encode(), start[:0]).to_pylist() == []
